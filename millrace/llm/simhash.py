@@ -191,7 +191,7 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         stars = materialise(small.select("e.a", "e.b").filter("a <> b").distinct(), "small-star")
         # Equal counts and sums of both ends: the stars of this round are those of the last.
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
+        if now == last or not now[0]:
             break
         last = now
     else:
