@@ -107,7 +107,7 @@ def signatures(texts: DataFrame, keys: list[str], names: list[str], lanes: int =
     least = drawn.groupBy(*keys, "lane").agg(*samples)
     codes = [F.transform(F.array(*[f"s{k}_{i}" for i in range(GROUP)]), lambda v: F.coalesce(v.bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0xFFFFFFFF))).alias(f"c{k}") for k in range(len(names))]
     least = least.select(*keys, "lane", *codes)
-    ordered = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lane", f"c{k}"))), lambda s, k=k: s[f"c{k}"])).alias(f"sig_{n}") for k, n in enumerate(names)]
+    ordered = [F.flatten(F.array_sort(F.collect_list(F.struct("lane", F.col(f"c{k}").alias("codes"))))["codes"]).alias(f"sig_{n}") for k, n in enumerate(names)]
     return least.groupBy(*keys).agg(*ordered)
 
 

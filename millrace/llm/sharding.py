@@ -13,6 +13,7 @@ gives an empty result; texts of any length are one record.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,12 +56,21 @@ def place(sizes: list[tuple[int, int, int]], shards: int = SHARDS) -> dict[tuple
     for _ in range(4 * len(sizes)):
         most, least = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
         gap = load[most] - load[least]
-        fits = [x for x in held[most].items() if x[1] < gap]
-        if gap * 1000 <= total / shards or not fits:
+        if gap * 1000 <= total / shards:
             break
-        key, size = min(fits, key=lambda x: (abs(2 * x[1] - gap), x[0]))
+        # Move a range, or swap one for a smaller, so that what changes hands is nearest to half the gap.
+        small = sorted((size, key) for key, size in held[least].items())
+        ways = []
+        for key, size in held[most].items():
+            at = bisect_left(small, (size - gap / 2,))
+            ways += [(abs(2 * (size - s) - gap), key, back) for s, back in [(0, None), *small[max(0, at - 1) : at + 1]] if 0 < size - s < gap]
+        if not ways:
+            break
+        _, key, back = min(ways, key=lambda w: (w[0], w[1], w[2] or (-1, -1)))
         held[least][key] = held[most].pop(key)
-        load[most], load[least] = load[most] - size, load[least] + size
+        if back is not None:
+            held[most][back] = held[least].pop(back)
+        load[most], load[least] = sum(held[most].values()), sum(held[least].values())
     return {key: i for i, h in enumerate(held) for key in h}
 
 
