@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-CATALOG: dict = {}
-ORACLES: dict = {}
+from millrace.queries import documents, evaluations, logs, ranking, web_pages  # noqa: F401
+from millrace.queries.registry import CATALOG, ORACLES
 
+flagship = CATALOG["q02_pdf_inventory"]
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+__all__ = ["CATALOG", "ORACLES", "flagship"]
