@@ -50,7 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def blocks(batches, column: str, limit: int = 4 << 20):
+def blocks(batches, column: str, limit: int = 1 << 20):
     """Slices of Arrow batches of at most about `limit` bytes of text each (a longer text is a slice of its own)."""
     import numpy as np
     import pyarrow.compute as pc
@@ -63,3 +63,19 @@ def blocks(batches, column: str, limit: int = 4 << 20):
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             yield batch.slice(lo, hi - lo)
+    release()
+
+
+def release() -> None:
+    """Give a worker's freed memory back to the system: workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -59,7 +59,7 @@ def op6_warc(spark, sf_dir):
 
 
 def op7_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), ranks_path=tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 def op8_tokens(spark, sf_dir):

@@ -322,10 +322,13 @@ def bpe():
 
 def test_word_tokens_equal_whole_texts(bpe):
     rnd = random.Random(4)
-    made = packing.WordTokens(tokenizer_file("byte_bpe_50k.json"))
+    path, ranks = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken")
     texts = ["", " ", "  ", "\n \n", " a", "a  b", "a \n b", "\x1c x", "don't <|endoftext|> stop", "é\u00a0 ß", "x" * 5000]
     texts += ["".join(rnd.choices([" ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "a", "é", "7", "'s", ".", "word", "日"], k=rnd.randint(1, 40))) for _ in range(3000)]
-    for t, ids in zip(texts, made.ids(texts)):
+    texts += ["".join(rnd.choices([" ", " ", "\n", "don't", "é", "ß7", "#$", "word", "ÿ", "\u00ad", "\u00a1", "_", "ǅ", "²", "1st"], k=rnd.randint(1, 40))) for _ in range(3000)]
+    texts += ["\n".join([" a", "b ", "", "c"]), "tail ", "tail\n", "\nhead", "\u0085x", "a\tb"]
+    both = [(t, ids) for own in (packing.WordTokens(path), packing.WordTokens(path, ranks)) for t, ids in zip(texts, own.ids(texts))]
+    for t, ids in both:
         assert np.frombuffer(ids, "<u4").tolist() == bpe.encode(t, add_special_tokens=False).ids, repr(t)
 
 
