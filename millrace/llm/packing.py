@@ -79,7 +79,7 @@ class WordTokens:
     def _parts(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special):
             return None
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # other white space, or runs of it
+        if text.split() != text.replace("\n", " ").split(" "):  # other white space, or runs of it
             return self.cut.split(text)
         out = []
         for line in text.split("\n"):
