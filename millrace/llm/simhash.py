@@ -216,11 +216,11 @@ def hexadecimal(fp):
 
 def one_of_each(docs: DataFrame, text="text", doc_id="doc_id", **options) -> DataFrame:
     """The document that names its class stays, once; rows without a doc_id have no name to stay by and stay."""
-    found = near_duplicates(docs, text, doc_id, **options)
-    named = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
-    named = materialise(named, "named")
-    kept = docs.join(named.select(F.col("doc_id").alias("__kept")), F.col(doc_id) == F.col("__kept"), "left_semi")
-    if named.filter("times > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id])
-    # A class whose rows all lack a doc_id is not linked to any named row.
-    return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+    found = near_duplicates(docs, text, doc_id, **options).filter("doc_id is not null")
+    named = F.bool_or(F.col("doc_id") == F.col("component_id"))
+    ids = materialise(found.groupBy("doc_id").agg(named.alias("named"), F.count("*").alias("times")), "named")
+    # The ids that go are fewer than those that stay, so texts meet the smaller side.
+    kept = docs.join(ids.filter("not named").select(F.col("doc_id").alias("__gone")), F.col(doc_id) == F.col("__gone"), "left_anti")
+    if ids.filter("named and times > 1").limit(1).count():
+        kept = kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(docs.filter(F.col(doc_id).isNull()))
+    return kept
