@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from millrace.llm.common import blocks, materialise
 
 RADIUS, SHINGLE, SEED, SHARD_LIMIT = 2, 3, 42, 512
+#: Hashed slots, 64 to a word, that mark ids: at most 2^20 words of 16 bytes are broadcast, whatever the input's size.
+SLOTS = 1 << 26
 
 
 def fingerprints(texts: list[str | None]) -> np.ndarray:
@@ -214,13 +216,28 @@ def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def without_ids(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose id isn't in gone's `__gone`; a null id stays.
+
+    A broadcast bitmap of bounded size tells most rows that stay at once, so their texts aren't shuffled; only rows whose
+    slot is marked (those that go, and others of the same slot) meet the exact join. A full bitmap leaves all to the join.
+    """
+    slot = F.xxhash64("__gone").bitwiseAND(F.lit(SLOTS - 1))
+    bit = F.expr("shiftleft(1L, cast(__slot & 63 as int))")
+    words = gone.select(slot.alias("__slot")).groupBy(F.shiftright("__slot", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    at = F.xxhash64(docs[doc_id]).bitwiseAND(F.lit(SLOTS - 1))
+    marked = docs.withColumn("__slot", at).join(F.broadcast(words), F.shiftright("__slot", 6) == F.col("__word"), "left")
+    doubtful = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    sure, rest = (marked.filter(x).select(*docs.columns) for x in (~doubtful, doubtful))
+    return sure.unionByName(rest.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti"))
+
+
 def one_of_each(docs: DataFrame, text="text", doc_id="doc_id", **options) -> DataFrame:
     """The document that names its class stays, once; rows without a doc_id have no name to stay by and stay."""
     found = near_duplicates(docs, text, doc_id, **options).filter("doc_id is not null")
     named = F.bool_or(F.col("doc_id") == F.col("component_id"))
     ids = materialise(found.groupBy("doc_id").agg(named.alias("named"), F.count("*").alias("times")), "named")
-    # The ids that go are fewer than those that stay, so texts meet the smaller side.
-    kept = docs.join(ids.filter("not named").select(F.col("doc_id").alias("__gone")), F.col(doc_id) == F.col("__gone"), "left_anti")
+    kept = without_ids(docs, doc_id, ids.filter("not named").select(F.col("doc_id").alias("__gone")))
     if ids.filter("named and times > 1").limit(1).count():
         kept = kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(docs.filter(F.col(doc_id).isNull()))
     return kept

@@ -524,3 +524,16 @@ def test_bk_tree():
         tree.add(v)
     for q in values[::20]:
         assert sorted(tree.within(q, 2)) == sorted(v for v in values if (v ^ q).bit_count() <= 2)
+
+
+def test_rows_without_ids_are_whole_at_any_bitmap_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(i if i % 7 else None, f"text {i}") for i in range(400)] + [(5, "text 5")] * 2, "doc_id long, text string")
+    gone = set(range(0, 400, 3)) | {5}
+    expected = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] not in gone)
+    ids = spark.createDataFrame([(i,) for i in sorted(gone)], "__gone long")
+    for slots in (64, 1 << 10, 1 << 26):
+        monkeypatch.setattr(simhash, "SLOTS", slots)
+        kept = simhash.without_ids(docs, "doc_id", ids)
+        assert kept.columns == docs.columns
+        assert collections.Counter(map(tuple, kept.collect())) == expected
+        assert simhash.without_ids(docs, "doc_id", ids.limit(0)).count() == docs.count()
