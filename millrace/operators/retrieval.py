@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import text as T
+from millrace.operators.ordering import row_numbers
 
 # Fixed values of BM25 and of reciprocal-rank fusion.
 K1, B, RRF = 1.5, 0.75, 60
@@ -50,8 +51,10 @@ def ranked(scores: DataFrame, score: str, k: int | None = None) -> DataFrame:
     return out if k is None else out.filter(F.col("rk") <= k)
 
 
-def hybrid(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """qid, idx, score, dense_rank, sparse_rank, rk: reciprocal-rank fusion of cosine and BM25 over the whole corpus."""
+def hybrid(corpus: DataFrame, queries: DataFrame, k: int = 5, *, save) -> DataFrame:
+    """qid, idx, score, dense_rank, sparse_rank, rk: reciprocal-rank fusion of cosine and BM25 over the whole corpus.
+
+    `save` writes the ids in corpus order to shared storage and reads them back."""
     scores = lexical_scores(corpus, queries)
     dense = Window.partitionBy("qid").orderBy(F.col("cosine").desc(), "idx")
     sparse = Window.partitionBy("qid").orderBy(F.col("bm25").desc(), "idx")
@@ -59,7 +62,7 @@ def hybrid(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     # Documents without a common token follow in corpus order in both lists; only the first k of them can be wanted, and
     # those are among the first k + hits places of the corpus.
     found = queries.select("qid").join(hits.groupBy("qid").agg(F.count("*").alias("hits")), "qid", "left").select("qid", F.coalesce("hits", F.lit(0)).alias("hits"))
-    places = corpus.select("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("idx")).alias("place"))
+    places = row_numbers(corpus.select("idx"), "idx", save=save, name="place").select("idx", "place")
     early = found.select("qid", "hits", F.explode(F.sequence(F.lit(1).cast("long"), F.col("hits") + k)).alias("place")).join(places, "place")
     rest = early.join(hits.select("qid", "idx"), ["qid", "idx"], "left_anti")
     rank = F.col("hits") + F.row_number().over(Window.partitionBy("qid").orderBy("idx"))

@@ -64,6 +64,11 @@ def evidence_of(hits: DataFrame, children: DataFrame, top: int = CONTEXT) -> Dat
     return met.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rk", "text")))["text"], " ").alias("evidence"))
 
 
+def cited(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """qid, position, and the cited chunks' columns, in the order of each answer's `ids`; unknown ids go. chunks: chunk_id and what to show."""
+    return answers.select("qid", F.posexplode("ids").alias("position", "chunk_id")).join(chunks, "chunk_id")
+
+
 def event(node: str, details: Column) -> Column:
     return F.array(F.struct(F.lit(node).alias("node"), details.alias("detail")))
 
@@ -79,7 +84,7 @@ def run(questions: DataFrame, children: DataFrame, parents: DataFrame, save, mod
     rows = questions.select("qid", safe.alias("safe_query"), safe.alias("current"), route(safe).alias("route"), F.concat(event("protect", (safe != F.col("query")).cast("string")), event("route", route(safe))).alias("trace"))
     rows, finished = save(rows), None
     for attempt in range(corrections + 1):
-        hits = save(retrieval.hybrid(children.select("idx", "text"), rows.select("qid", F.col("current").alias("query")), DEPTH))
+        hits = save(retrieval.hybrid(children.select("idx", "text"), rows.select("qid", F.col("current").alias("query")), DEPTH, save=save))
         rows = rows.join(evidence_of(hits, children), "qid", "left")
         ids = hits.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rk", F.col("idx").cast("string").alias("i"))))["i"], ",").alias("hit_ids"))
         enough = sufficient(F.col("current"), F.col("evidence"))

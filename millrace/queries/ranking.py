@@ -80,7 +80,7 @@ def _ints(df, *columns):
 
 @query(f"with {_CHILDREN}, {_hybrid('children', 'questions')} select qid, idx, dense_rank, sparse_rank, round(score, 9) as score, rk from hits")
 def q37_rrf_topk(spark, sf_dir):
-    hits = retrieval.hybrid(_children(spark, sf_dir).select("idx", "text"), _questions(spark, sf_dir))
+    hits = retrieval.hybrid(_children(spark, sf_dir).select("idx", "text"), _questions(spark, sf_dir), save=save_to(spark))
     return _ints(hits.withColumn("score", F.round("score", 9)), "dense_rank", "sparse_rank", "rk")
 
 
@@ -140,7 +140,7 @@ select count(*) as queries, round(avg((coalesce(first, 9) <= 1)::int), 6) as rec
 def q41_golden_metrics(spark, sf_dir):
     children = _children(spark, sf_dir).select("idx", "text")
     golden = _queries(spark, sf_dir)
-    graded = evaluation.grade(retrieval.hybrid(children, golden), golden.select("qid", F.col("qid").alias("idx")), golden, 5)
+    graded = evaluation.grade(retrieval.hybrid(children, golden, save=save_to(spark)), golden.select("qid", F.col("qid").alias("idx")), golden, 5)
     return evaluation.mean_metrics(graded, "recall_at_1", "recall_at_3", "mrr").withColumnRenamed("mrr", "mrr_at_5")
 
 
@@ -151,7 +151,7 @@ expanded as (select qid, row_number() over (partition by qid order by rk) as pos
 @query(f"with {_PARENTS} select qid, position, parent_id from expanded")
 def q42_parent_expansion(spark, sf_dir):
     children = _children(spark, sf_dir)
-    hits = retrieval.hybrid(children.select("idx", "text"), _questions(spark, sf_dir))
+    hits = retrieval.hybrid(children.select("idx", "text"), _questions(spark, sf_dir), save=save_to(spark))
     return _ints(retrieval.expand_parents(hits, children, _parents(children)).drop("text"), "position")
 
 
@@ -172,7 +172,7 @@ def _enough(query_column, evidence):
 @query(f"with {_CHILDREN}, {_hybrid('children', 'questions')}, e as (select qid, string_agg(text, ' ' order by rk) as evidence from hits join children using (idx) where rk <= 3 group by qid) select qid, {_enough('query', 'evidence')} as sufficient from questions left join e using (qid)")
 def q43_sufficiency(spark, sf_dir):
     children, questions = _children(spark, sf_dir), _questions(spark, sf_dir)
-    evidence = workflow.evidence_of(retrieval.hybrid(children.select("idx", "text"), questions), children)
+    evidence = workflow.evidence_of(retrieval.hybrid(children.select("idx", "text"), questions, save=save_to(spark)), children)
     return questions.join(evidence, "qid", "left").select("qid", workflow.sufficient(F.col("query"), F.col("evidence")).alias("sufficient"))
 
 
