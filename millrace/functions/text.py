@@ -94,6 +94,16 @@ def error_text(kind: Column, message: Column) -> Column:
     return F.concat_ws(": ", kind, message)
 
 
+def slug(policy: Column) -> Column:
+    """The part of a result's file name that tells its policy."""
+    return F.left(F.sha2(policy, 256), F.lit(12))
+
+
+def under(path: Column, root: str) -> Column:
+    """Whether a path without `..` steps lies under a folder."""
+    return path.startswith(root.rstrip("/") + "/") & ~F.array_contains(F.split(path, "/"), "..")
+
+
 def utc_stamp() -> Column:
     return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

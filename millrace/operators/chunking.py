@@ -1,7 +1,7 @@
 """Page spans, chunk policies, chunks with exact offsets, length audits, samples by size.
 
-Token policies count one word as one token (a model's tokenizer is pluggable through `count`); with two special tokens a
-chunk. Chunks are whole words of the normalized text, `size` words long, `size - overlap` apart.
+Token policies count one word as one token, with two special tokens a chunk; a model's own counts come from
+`models.count_tokens`. Chunks are whole words of the normalized text, `size` words long, `size - overlap` apart.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators.ordering import row_numbers
+
 # Label, size, overlap, unit.
 POLICIES = (("tokens-128", 128, 13, "tokens"), ("tokens-256", 256, 26, "tokens"), ("tokens-384", 384, 38, "tokens"), ("tokens-480", 480, 48, "tokens"), ("tokens-512", 512, 51, "tokens"), ("characters-2500", 2500, 100, "characters"))
 SPECIAL = 2
@@ -29,11 +31,15 @@ def page_spans(pages: DataFrame) -> DataFrame:
     return pages.filter("text <> ''").select("doc_id", "page_num", "text", start.alias("start")).withColumn("end", F.col("start") + F.length("text"))
 
 
+def single_spaced_words(text: Column) -> Column:
+    """Number of words, as a long, of a text whose words are parted by single spaces; 0 if it is empty."""
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
 def token_chunks(texts: DataFrame, size: int, overlap: int) -> DataFrame:
     """doc_id, chunk_id, start_index, n_tokens, text: windows over the words of texts normalized to single spaces."""
     stride = size - overlap
-    n = (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).cast("long")
-    rows = texts.filter("text <> ''").select("doc_id", "text", n.alias("n"))
+    rows = texts.filter("text <> ''").select("doc_id", "text", single_spaced_words(F.col("text")).alias("n"))
     last = F.greatest(F.lit(0), F.ceil((F.col("n") - size) / stride)).cast("long")
     rows = rows.withColumn("chunk_id", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     first = F.col("chunk_id") * stride
@@ -99,25 +105,33 @@ def middle(values: Column) -> Column:
     return F.coalesce((a + b) / 2.0, F.lit(0.0))
 
 
-def chunk_audit(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row per document: extracted tokens, chunk length figures and flags. chunks: doc_id, n_tokens (of words)."""
-    words = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, " ")) + SPECIAL)
-    own = pages.select("doc_id", words("text").cast("long").alias("n"))
+def _sorted_lengths(chunks: DataFrame, name: str) -> DataFrame:
+    return chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("n_tokens") + SPECIAL)).alias(name))
+
+
+def chunk_audit(pages: DataFrame, chunks: DataFrame, baseline: DataFrame) -> DataFrame:
+    """One row per document: extracted tokens, length figures of its chunks and of the baseline's, flags. chunks, baseline: doc_id, n_tokens (of words)."""
+    n_words = single_spaced_words(F.col("text"))
+    own = pages.select("doc_id", F.when(n_words > 0, n_words + SPECIAL).otherwise(0).alias("n"))
     own = own.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(F.col("n") == 0).alias("empty_pages"), F.sum("n").alias("extracted_tokens"))
-    sizes = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("n_tokens") + SPECIAL)).alias("v"))
-    rows = own.join(sizes, "doc_id", "left").withColumn("v", F.coalesce("v", F.expr("cast(array() as array<bigint>)")))
+    rows = own.join(_sorted_lengths(chunks, "v"), "doc_id", "left").join(_sorted_lengths(baseline, "b"), "doc_id", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.expr("cast(array() as array<bigint>)")) for c in ("v", "b")})
+    most = F.coalesce(F.get("b", F.size("b") - 1), F.lit(0))
     small, large = F.size(F.filter("v", lambda x: x < 32)), F.size(F.filter("v", lambda x: x > 512))
     n = F.size("v")
     rules = [
         (F.col("empty_pages") == F.col("pages"), "no_extracted_text"),
         ((F.col("empty_pages") > 0) & (F.col("empty_pages") < F.col("pages")), "empty_pages"),
         (F.col("extracted_tokens") < 128, "very_short_document"),
+        (most > 512, "baseline_over_embedding_limit"),
         (large > 0, "chunks_over_embedding_limit"),
         ((n > 0) & (small >= n * 0.2), "many_tiny_chunks"),
         ((n >= 10) & (nearest_rank(F.col("v"), 0.1) < 64), "short_chunk_tail"),
     ]
     return rows.select(
-        "doc_id", "pages", "empty_pages", "extracted_tokens", n.cast("long").alias("chunks"), middle(F.col("v")).alias("chunk_median"),
+        "doc_id", "pages", "empty_pages", "extracted_tokens",
+        F.size("b").cast("long").alias("baseline_segments"), middle(F.col("b")).alias("baseline_median"), nearest_rank(F.col("b"), 0.9).alias("baseline_p90"), most.alias("baseline_max"),
+        n.cast("long").alias("chunks"), middle(F.col("v")).alias("chunk_median"),
         nearest_rank(F.col("v"), 0.1).alias("chunk_p10"), nearest_rank(F.col("v"), 0.9).alias("chunk_p90"),
         F.coalesce(F.get("v", F.lit(0)), F.lit(0)).alias("chunk_min"), F.coalesce(F.get("v", n - 1), F.lit(0)).alias("chunk_max"),
         small.cast("long").alias("chunks_lt_32"), large.cast("long").alias("chunks_gt_512"),
@@ -128,7 +142,7 @@ def chunk_audit(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 def worst(audit: DataFrame, n: int = 12) -> DataFrame:
     """The flagged documents that need a look first."""
     flagged = audit.filter("flags <> ''")
-    return flagged.orderBy(F.contains("flags", F.lit("no_extracted_text")).desc(), F.col("chunks_gt_512").desc(), F.col("chunk_max").desc(), F.col("chunks_lt_32").desc(), "doc_id").limit(n)
+    return flagged.orderBy(F.contains("flags", F.lit("no_extracted_text")).desc(), F.col("chunks_gt_512").desc(), F.col("baseline_max").desc(), F.col("chunks_lt_32").desc(), "doc_id").limit(n)
 
 
 def histogram(values: DataFrame, column: str, least: int = 5, most: int = 30) -> DataFrame:
@@ -142,10 +156,9 @@ def histogram(values: DataFrame, column: str, least: int = 5, most: int = 30) ->
     return values.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def size_bands(files: DataFrame, order: Column, bands: int = 10) -> DataFrame:
+def size_bands(files: DataFrame, order: Column, save, bands: int = 10) -> DataFrame:
     """rn and band (deciles of the files by size, then name): band b holds rows [b N // 10, (b + 1) N // 10)."""
-    by = Window.partitionBy(F.lit(0)).orderBy("size", order)
-    ranked = files.withColumn("rn", F.row_number().over(by)).withColumn("total", F.count("*").over(Window.partitionBy(F.lit(0))))
+    ranked = row_numbers(files, "size", order, save=save)
     return ranked.withColumn("band", (F.ceil(bands * F.col("rn") / F.col("total")) - 1).cast("long"))
 
 

@@ -27,6 +27,22 @@ def sitemap_urls(xml: DataFrame) -> DataFrame:
     return xml.select(F.explode(F.regexp_extract_all("xml", F.lit(r"<loc>\s*([^<]*?)\s*</loc>"), F.lit(1))).alias("url")).select(web.unescape(F.col("url")).alias("url")).distinct()
 
 
+def sitemap_pages(sitemaps: DataFrame, index: str, root: str, hosts: tuple[str, ...], rules: list[tuple[str, bool]], save) -> DataFrame:
+    """url of the pages that sitemaps reached from `index` name, on own hosts and allowed by robots, and of `root`.
+
+    sitemaps: fetched (url, xml); an index of sitemaps names further ones, each read once."""
+    kinds = sitemaps.withColumn("nested", F.regexp_like("xml", F.lit(r"(?is)^[^<]*(?:<[?!][^>]*>\s*)*<(?:\w+:)?sitemapindex\b")))
+    locations = kinds.select("url", "nested", F.explode(F.regexp_extract_all("xml", F.lit(r"<(?:\w+:)?loc\b[^>]*>\s*([^<]*?)\s*</"), F.lit(1))).alias("loc"))
+    locations = save(locations.withColumn("loc", web.unescape(F.col("loc"))))
+    start = sitemaps.sparkSession.createDataFrame([(index,)], "node string")
+    reached = breadth_first(locations.filter("nested").select(F.col("url").alias("src"), F.col("loc").alias("dst")), start, save)
+    named = locations.filter(~F.col("nested")).join(reached, F.col("url") == F.col("node"), "left_semi")
+    pages = named.select(web.canonical(F.col("loc"), F.col("url")).alias("url")).filter("url is not null")
+    host = F.regexp_replace(web.part(F.col("url"), "host"), "^.*@|:[0-9]*$", "")
+    pages = pages.filter(host.isin(*hosts) & robots_allowed(web.part(F.col("url"), "path"), rules))
+    return pages.unionByName(sitemaps.sparkSession.createDataFrame([(root,)], "url string")).distinct()
+
+
 def content_kind(content_type: Column, body: Column) -> Column:
     kind = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
     return F.when((kind == "application/pdf") | body.startswith(F.lit("%PDF-").cast("binary")), "pdf").when(kind.isin("text/html", "application/xhtml+xml"), "html").otherwise("other")

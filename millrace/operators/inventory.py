@@ -58,6 +58,11 @@ def value_counts(summaries: DataFrame, column: str) -> DataFrame:
     return summaries.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("documents"))
 
 
+def unscanned(files: DataFrame, prior: DataFrame) -> DataFrame:
+    """Files without a summary yet; one with an error counts as scanned."""
+    return files.join(prior.select("path"), "path", "left_anti")
+
+
 def skipped_row(files: DataFrame, most: int = LARGE) -> DataFrame:
     """Placeholders for files over the size limit (path, length)."""
     return files.filter(F.col("length") > most).select("path", F.lit("unknown").alias("text_present"), F.lit("skipped_large").alias("languages"), F.lit("error").alias("docling_risk"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import chunking, inventory
+from millrace.operators import chunking, inventory, models
 from millrace.plans.fixtures import FULL, NORM, NORMAL, PAGES, doc_pages, full_texts, normal_pages, table
 from millrace.queries.registry import query
+from millrace.streaming.incremental import save_to
 
 _STRIP = rf"regexp_replace(text, '^{T.WS}+|{T.WS}+$', '', 'g')"
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -164,7 +165,22 @@ for _label, _size, _overlap, _unit in chunking.POLICIES:
         _token_query(_size, _overlap)
 
 
-@query()
+# Greedy packing as a recursion: from each word as a first one, the last that fits and the first word of the next chunk.
+CHARACTERS = FULL + """,
+split_words as (select doc_id, string_split(text, ' ') as w from full_texts where text <> ''),
+placed as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from split_words),
+ends as (select doc_id, i, (sum(length(word) + 1) over (partition by doc_id order by i rows unbounded preceding) - 1)::bigint as stop, length(word) as size from placed),
+spots as (select doc_id, i, stop - size as start, stop, lead(stop) over (partition by doc_id order by i) as beyond from ends),
+reach as (select a.doc_id, a.i as first, greatest(a.i, coalesce(b.i, a.i)) as last from spots a asof left join spots b on a.doc_id = b.doc_id and a.start + 2500 >= b.stop),
+tails as (select r.doc_id, r.first, r.last, greatest(a.stop - 100, a.beyond - 2500) as least, a.beyond is null as ended from reach r join spots a on a.doc_id = r.doc_id and a.i = r.last),
+steps as materialized (select t.doc_id, t.first, t.last, t.ended, greatest(t.first + 1, least(t.last + 1, coalesce(b.i, t.last + 1))) as next from tails t asof left join spots b on t.doc_id = b.doc_id and t.least <= b.start),
+walk as (select doc_id, 0::bigint as chunk_id, first, last, next, ended from steps where first = 1
+  union all select s.doc_id, w.chunk_id + 1, s.first, s.last, s.next, s.ended from walk w join steps s on s.doc_id = w.doc_id and s.first = w.next where not w.ended),
+baseline as (select w.doc_id, chunk_id, a.start::bigint as start_index, (w.last - w.first + 1)::bigint as n_tokens, text[a.start + 1:b.stop] as text
+  from walk w join spots a on a.doc_id = w.doc_id and a.i = w.first join spots b on b.doc_id = w.doc_id and b.i = w.last join full_texts f on f.doc_id = w.doc_id)"""
+
+
+@query(f"with recursive {CHARACTERS} select doc_id, chunk_id, start_index, sha256(text) as digest from baseline")
 def q24_char_chunks_2500(spark, sf_dir):
     return chunking.character_chunks(full_texts(spark, sf_dir)).withColumn("digest", F.sha2("text", 256)).drop("text")
 
@@ -179,21 +195,26 @@ def q25_chunk_reanchor(spark, sf_dir):
     return met.select("doc_id", F.size("c").cast("long").alias("chunks"), F.size(fits).cast("long").alias("anchored"), F.forall("starts", lambda s: s >= 0).alias("whole"))
 
 
-AUDIT = chunk_sql(512, 51) + f""",
+AUDIT = "recursive " + chunk_sql(512, 51) + CHARACTERS.removeprefix(FULL) + f""",
 own as (select doc_id, case when text = '' then 0 else len(string_split(text, ' ')) + {chunking.SPECIAL} end as n from normal_pages),
 pages as (select doc_id, count(*) as pages, count(*) filter (n = 0) as empty_pages, sum(n)::bigint as extracted_tokens from own group by doc_id),
 sizes as (select doc_id, list_sort(list(n_tokens + {chunking.SPECIAL})) as v from chunks group by doc_id),
-r as (select p.*, coalesce(v, []) as v from pages p left join sizes using (doc_id)),
-a as (select doc_id, pages, empty_pages, extracted_tokens, len(v)::bigint as chunks, coalesce(list_median(v), 0)::double as chunk_median,
+base_sizes as (select doc_id, list_sort(list(n_tokens + {chunking.SPECIAL})) as b from baseline group by doc_id),
+r as (select p.*, coalesce(v, []) as v, coalesce(b, []) as b from pages p left join sizes using (doc_id) left join base_sizes using (doc_id)),
+a as (select doc_id, pages, empty_pages, extracted_tokens, len(b)::bigint as baseline_segments, coalesce(list_median(b), 0)::double as baseline_median,
+  coalesce(b[round_even((len(b) - 1) * 0.9, 0)::int + 1], 0)::bigint as baseline_p90, coalesce(b[-1], 0)::bigint as baseline_max, len(v)::bigint as chunks, coalesce(list_median(v), 0)::double as chunk_median,
   coalesce(v[round_even((len(v) - 1) * 0.1, 0)::int + 1], 0)::bigint as chunk_p10, coalesce(v[round_even((len(v) - 1) * 0.9, 0)::int + 1], 0)::bigint as chunk_p90,
   coalesce(v[1], 0)::bigint as chunk_min, coalesce(v[-1], 0)::bigint as chunk_max, len(list_filter(v, lambda x: x < 32))::bigint as chunks_lt_32, len(list_filter(v, lambda x: x > 512))::bigint as chunks_gt_512 from r),
 audit as (select *, concat_ws(';', case when empty_pages = pages then 'no_extracted_text' end, case when empty_pages > 0 and empty_pages < pages then 'empty_pages' end,
-  case when extracted_tokens < 128 then 'very_short_document' end, case when chunks_gt_512 > 0 then 'chunks_over_embedding_limit' end,
+  case when extracted_tokens < 128 then 'very_short_document' end, case when baseline_max > 512 then 'baseline_over_embedding_limit' end,
+  case when chunks_gt_512 > 0 then 'chunks_over_embedding_limit' end,
   case when chunks > 0 and chunks_lt_32 >= chunks * 0.2 then 'many_tiny_chunks' end, case when chunks >= 10 and chunk_p10 < 64 then 'short_chunk_tail' end) as flags from a)"""
 
 
 def _audit(spark, sf_dir):
-    return chunking.chunk_audit(normal_pages(spark, sf_dir), chunking.token_chunks(full_texts(spark, sf_dir), 512, 51))
+    texts = full_texts(spark, sf_dir)
+    baseline = chunking.character_chunks(texts).select("doc_id", chunking.single_spaced_words(F.col("text")).alias("n_tokens"))
+    return chunking.chunk_audit(normal_pages(spark, sf_dir), chunking.token_chunks(texts, 512, 51), baseline)
 
 
 @query(f"with {AUDIT} select * from audit")
@@ -207,7 +228,7 @@ def q30_audit_flags(spark, sf_dir):
     return flagged.select(F.explode(F.split("flags", ";")).alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
 
 
-@query(f"with {AUDIT} select * from audit where flags <> '' order by contains(flags, 'no_extracted_text') desc, chunks_gt_512 desc, chunk_max desc, chunks_lt_32 desc, doc_id limit 12")
+@query(f"with {AUDIT} select * from audit where flags <> '' order by contains(flags, 'no_extracted_text') desc, chunks_gt_512 desc, baseline_max desc, chunks_lt_32 desc, doc_id limit 12")
 def q31_audit_top12(spark, sf_dir):
     return chunking.worst(_audit(spark, sf_dir))
 
@@ -224,7 +245,7 @@ banded as (select doc_id, size, rn, total, (ceil(10 * rn / total) - 1)::bigint a
 
 def _banded(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("size"))
-    return chunking.size_bands(files, F.col("doc_id"))
+    return chunking.size_bands(files, F.col("doc_id"), save_to(spark))
 
 
 @query(f"with {_BANDS} select band, count(*) as documents, min(size) as least, max(size) as most from banded group by 1")
@@ -243,3 +264,22 @@ def q54_chunk_dedup(spark, sf_dir):
     """The first document of each text: only the digest is shuffled."""
     docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_digest"), "doc_id")
     return docs.groupBy("text_digest").agg(F.min("doc_id").alias("doc_id"))
+
+
+def _word_model():
+    """A tokenizer for tests: a token per word, and one at either end."""
+    return lambda texts: [["<s>", *t.split(" "), "</s>"] for t in texts]
+
+
+@query(f"with {NORMAL} select doc_id, page_num, case when text = '' then 0 else len(string_split(text, ' ')) + 2 end::bigint as n_tokens from normal_pages")
+def q61_model_token_counts(spark, sf_dir):
+    return normal_pages(spark, sf_dir).select("doc_id", "page_num", models.count_tokens(F.col("text"), _word_model).alias("n_tokens"))
+
+
+@query("select doc_id::varchar as path, length(text)::bigint as size from documents where doc_id % 3 <> 0")
+def q62_resume_inventory(spark, sf_dir):
+    """Files left after a scan that has seen every third, some with an error: errors are not tried again."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.length("text").cast("long").alias("size"))
+    prior = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 2 == 0, "error").otherwise("low").alias("docling_risk"))
+    return inventory.unscanned(files, prior)

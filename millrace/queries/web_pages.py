@@ -13,7 +13,7 @@ from millrace.streaming.incremental import save_to
 
 _U = r"'(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$'"
 _PARTS = f"lower(regexp_extract(url, {_U}, 1)) as scheme, regexp_extract(url, {_U}, 2) as host, regexp_extract(url, {_U}, 3) as path, regexp_extract(url, {_U}, 4) as query"
-HOSTS = ("example.com", "m.example.com")
+HOSTS = ("blog.tionsh.example.net", "thther.example.org", "blog.theres.example.com")
 
 
 @query(rf"""with p as (select page_id, {_PARTS} from pages),
@@ -88,3 +88,23 @@ def q19_word_coverage(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     raw = pages.select("page_id", T.tokens(F.regexp_extract("html", "(?s)<body>(.*)</body>", 1)).alias("words"))
     return profiles.word_coverage(raw, pages.select("page_id", web.html_tokens(F.col("html")).alias("words")), "page_id")
+
+
+_ROBOTS = [("/de/", False), ("/de/4", True)]
+_SITE = "https://example.com"
+
+
+@query(rf"""with p as (select page_id, {_PARTS} from pages), c as (select *, case when path = '' then '/' else regexp_replace(path, '/{{2,}}', '/', 'g') end as clean from p),
+u as (select page_id, scheme || '://' || lower(host) || clean || case when query <> '' then '?' || query else '' end as url from c
+  where scheme in ('http', 'https') and lower(host) in {HOSTS} and (not starts_with(clean, '/de/') or starts_with(clean, '/de/4')))
+select distinct url from u where (page_id // 100) % 3 <> 2 union select '{_SITE}/'""")
+def q63_sitemap_pages(spark, sf_dir):
+    """Sitemaps made of the pages: an index names an index for each hundred pages but every third, and those one sitemap a page."""
+    pages = table(spark, sf_dir, "pages").select("url", "page_id", F.floor(F.col("page_id") / 100).alias("g"))
+    at = lambda kind, c: F.concat(F.lit(f"{_SITE}/{kind}/"), F.col(c).cast("string"), F.lit(".xml"))
+    loc = lambda c: F.concat(F.lit("<x><loc> "), c, F.lit(" </loc></x>"))
+    nested = lambda c: F.concat(F.lit('<?xml version="1.0"?>\n<sitemapindex>'), F.array_join(F.collect_set(loc(c)), ""), F.lit("</sitemapindex>"))
+    leaves = pages.select(at("s", "page_id").alias("url"), F.concat(F.lit("<urlset>"), loc(F.replace("url", F.lit("&"), F.lit("&amp;"))), F.lit("</urlset>")).alias("xml"))
+    groups = pages.groupBy("g").agg(nested(at("s", "page_id")).alias("xml")).select(at("g", "g").alias("url"), "xml")
+    top = pages.filter("g % 3 <> 2").agg(nested(at("g", "g")).alias("xml")).select(F.lit(f"{_SITE}/sitemap.xml").alias("url"), "xml")
+    return crawl.sitemap_pages(leaves.unionByName(groups).unionByName(top), f"{_SITE}/sitemap.xml", f"{_SITE}/", HOSTS, _ROBOTS, save_to(spark))

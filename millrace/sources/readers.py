@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import signal
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ SKIPPED = (".venv", "venv", ".git", "__pycache__", "node_modules")
 def find_pdfs(spark: SparkSession, root: str, skipped=()) -> DataFrame:
     """path, relative, length, modificationTime of files that end in .pdf; contents are read only if selected."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(root)
-    relative = F.regexp_replace("path", "^.*?" + __import__("re").escape(root.rstrip("/")) + "/", "")
+    relative = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
     found = found.withColumn("relative", relative)
     if skipped:
         found = found.filter(~F.exists(F.split("relative", "/"), lambda x: x.isin(*skipped)))
@@ -23,8 +27,28 @@ def size_inventory(files: DataFrame) -> DataFrame:
     return files.select("relative", F.bround(F.col("length") / 1048576.0, 2).alias("mib")).orderBy(F.lower("relative"))
 
 
-def pdf_pages(files: DataFrame, parse) -> DataFrame:
-    """doc (path), page_num, text, error: parse(bytes) yields page texts on the executors; a failure is a row with its error."""
+@contextmanager
+def at_most(seconds: float | None):
+    """Raises TimeoutError in the block after so many seconds; no limit if None. For the main thread of a worker."""
+
+    def stop(number, frame):
+        raise TimeoutError(f"more than {seconds} s")
+
+    if seconds is None:
+        yield
+        return
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def pdf_pages(files: DataFrame, parse, seconds: float | None = None) -> DataFrame:
+    """doc (path), page_num, text, error: parse(bytes) yields page texts on the executors; a failure, or a file that takes
+    over `seconds`, is a row with its error and without pages."""
 
     def run(batches):
         import pyarrow as pa
@@ -33,7 +57,9 @@ def pdf_pages(files: DataFrame, parse) -> DataFrame:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    rows += [(path, k, " ".join((t or "").split()), None) for k, t in enumerate(parse(content), 1)]
+                    with at_most(seconds):
+                        own = [(path, k, " ".join((t or "").split()), None) for k, t in enumerate(parse(content), 1)]
+                    rows += own
                 except Exception as e:  # an error is a value here
                     rows.append((path, None, None, f"{type(e).__name__}: {e}"))
             if rows:
@@ -43,9 +69,18 @@ def pdf_pages(files: DataFrame, parse) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines; none if there is no such file. Blank lines are skipped."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path)
 
 
+def page_errors(rows: DataFrame, digest: str) -> DataFrame:
+    """page_num, message of a file's (digest, page_num, message) rows; of another digest, or without a page or message, none."""
+    return rows.filter((F.col("digest") == digest) & F.col("page_num").isNotNull() & F.col("message").isNotNull()).select("page_num", "message")
+
+
 def tolerant_json_lines(lines: DataFrame, schema: str, key: str) -> DataFrame:
     """Parsed rows of (value, seq); malformed lines, non-objects and rows without a string key go."""
     good = F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT<")

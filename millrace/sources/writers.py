@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import utc_stamp
+
 
 def write_manifest(pdfs: DataFrame, errors: DataFrame, folder: str) -> None:
     pdfs.orderBy("url").write.mode("overwrite").json(f"{folder}/manifest")
@@ -18,6 +20,17 @@ def write_audit(audited: DataFrame, folder: str) -> None:
     audited.filter("error is not null").select("full_path", "error").write.mode("overwrite").csv(f"{folder}/errors", sep="\t", header=True)
 
 
+def write_paths(files: DataFrame, folder: str) -> None:
+    """The paths to scan, sorted: written before the scan."""
+    files.select("path").orderBy("path").write.mode("overwrite").json(folder)
+
+
+def write_inventory(summaries: DataFrame, features: DataFrame, folder: str) -> None:
+    """Summaries with the time of writing, and pages by document."""
+    summaries.withColumn("generated_at", utc_stamp()).write.mode("overwrite").json(f"{folder}/summaries")
+    features.write.mode("overwrite").json(f"{folder}/page_details")
+
+
 def append_log(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").json(folder)
 

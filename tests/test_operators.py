@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import web
-from millrace.operators import chunking, crawl, evaluation, inventory, profiles, retrieval, workflow
+from millrace.operators import chunking, crawl, evaluation, inventory, models, ordering, profiles, retrieval, workflow
 from millrace.sources import readers, writers
 from millrace.streaming.incremental import save_to
 
@@ -74,7 +74,7 @@ def test_dense_ranking(spark):
 
 def test_hybrid_ranks_cover_the_corpus(spark):
     corpus = spark.createDataFrame([(i, t) for i, t in enumerate(["red fox", "blue fox runs", "green tree", "a stone", "red red stone"])], "idx long, text string")
-    hits = retrieval.hybrid(corpus, spark.createDataFrame([(1, "red stone"), (2, "nothing shared"), (3, "")], "qid long, query string")).collect()
+    hits = retrieval.hybrid(corpus, spark.createDataFrame([(1, "red stone"), (2, "nothing shared"), (3, "")], "qid long, query string"), save=save_to(spark)).collect()
     by = {q: [r.idx for r in sorted(hits, key=lambda r: r.rk) if r.qid == q] for q in (1, 2, 3)}
     assert by[1][0] == 4 and sorted(by[1]) == list(range(5)) and by[2] == by[3] == [0, 1, 2, 3, 4]
 
@@ -157,3 +157,72 @@ def test_empty_tables(spark):
     assert chunking.token_chunks(chunking.concat_pages(pages), 128, 13).count() == 0
     empty = spark.createDataFrame([], "status string, value double")
     assert profiles.summarise(empty, "value").first().total == 0
+
+
+def test_row_numbers_over_many_parts(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("a"), F.col("id").alias("b")).repartition(13)
+    got = ordering.row_numbers(rows, "a", F.col("b").desc(), save=save_to(spark)).collect()
+    assert [(r.a, -r.b) for r in sorted(got, key=lambda r: r.rn)] == sorted((r.a, -r.b) for r in got)
+    assert sorted(r.rn for r in got) == list(range(1, 1001)) and {r.total for r in got} == {1000}
+    assert ordering.row_numbers(rows.limit(0), "a", save=save_to(spark)).count() == 0
+
+
+def test_bands_are_slices(spark):
+    for n in (3, 10, 27):
+        files = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 4).alias("size"))
+        got = chunking.size_bands(files, F.col("doc_id"), save_to(spark)).collect()
+        want = {i + 1: b for b in range(10) for i in range(b * n // 10, (b + 1) * n // 10)}
+        assert {r.rn: r.band for r in got} == want
+
+
+def test_chunk_audit_flags(spark):
+    pages = spark.createDataFrame([(1, 1, ""), (2, 1, "a b"), (2, 2, ""), (3, 1, "w " * 199 + "w")], "doc_id long, page_num long, text string")
+    chunks = spark.createDataFrame([(2, 2)] + [(3, 20)] * 10, "doc_id long, n_tokens long")
+    baseline = spark.createDataFrame([(2, 2), (3, 600), (3, 10)], "doc_id long, n_tokens long")
+    got = {r.doc_id: r for r in chunking.chunk_audit(pages, chunks, baseline).collect()}
+    assert got[1].flags == "no_extracted_text;very_short_document" and got[1].baseline_max == 0
+    assert got[2].flags == "empty_pages;very_short_document;many_tiny_chunks" and got[2].extracted_tokens == 4
+    assert got[3].flags == "baseline_over_embedding_limit;many_tiny_chunks;short_chunk_tail"
+    assert (got[3].baseline_segments, got[3].baseline_median, got[3].baseline_p90, got[3].baseline_max) == (2, 307.0, 602, 602)
+
+
+def test_models(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "i long, t string")
+    load = lambda: lambda texts: [["<s>", *t.split(), "</s>"] for t in texts]
+    assert {r.i: r.n for r in rows.select("i", models.count_tokens(F.col("t"), load).alias("n")).collect()} == {1: 4, 2: 0, 3: 0}
+    lengths = lambda: lambda texts: [[3.0 * len(t), 4.0 * len(t)] for t in texts]
+    got = {r.i: r.v for r in rows.select("i", models.embed(F.col("t"), lengths).alias("v")).collect()}
+    assert got[1] == pytest.approx([0.6, 0.8]) and got[2] == got[3] == [0.0, 0.0]
+
+
+def test_sitemaps(spark):
+    maps = [
+        ("https://me.org/i.xml", "<?xml version='1.0'?><!-- c --><sm:sitemapindex><sm:loc>https://me.org/a.xml</sm:loc><loc>https://me.org/i.xml</loc></sm:sitemapindex>"),
+        ("https://me.org/a.xml", "<urlset><loc> https://me.org/x?a=1&amp;b </loc><loc>/y#z</loc><loc>https://else.org/q</loc><loc>https://me.org/no/1</loc></urlset>"),
+        ("https://me.org/lost.xml", "<urlset><loc>https://me.org/lost</loc></urlset>"),
+    ]
+    got = crawl.sitemap_pages(spark.createDataFrame(maps, "url string, xml string"), "https://me.org/i.xml", "https://me.org/", ("me.org",), [("/no", False)], save_to(spark))
+    assert sorted(r.url for r in got.collect()) == ["https://me.org/", "https://me.org/x?a=1&b", "https://me.org/y"]
+
+
+def test_more_files(spark, tmp_path):
+    import time
+
+    assert readers.json_lines(spark, f"{tmp_path}/none.jsonl", "a long").count() == 0
+    errors = spark.createDataFrame([("d", 1, "x"), ("e", 2, "y"), ("d", None, "z")], "digest string, page_num long, message string")
+    assert [tuple(r) for r in readers.page_errors(errors, "d").collect()] == [(1, "x")]
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1")
+    files = readers.find_pdfs(spark, f"{tmp_path}")
+    slow = readers.pdf_pages(files, lambda content: [time.sleep(5)], seconds=0.2).collect()
+    assert [(r.page_num, r.error.split(":")[0]) for r in slow] == [(None, "TimeoutError")]
+    writers.write_paths(files, f"{tmp_path}/paths")
+    assert spark.read.json(f"{tmp_path}/paths").count() == 1
+    summaries = spark.createDataFrame([("a", "low"), ("b", "error")], "path string, docling_risk string")
+    writers.write_inventory(summaries, summaries, f"{tmp_path}/inventory")
+    assert spark.read.json(f"{tmp_path}/inventory/summaries").filter("generated_at is not null").count() == 2
+    assert [r.path for r in inventory.unscanned(spark.createDataFrame([("b",), ("c",)], "path string"), summaries).collect()] == ["c"]
+    r = one(spark, s=T.slug(F.lit("policy")), u=T.under(F.lit("/a/b/c"), "/a/b/"), v=T.under(F.lit("/a/b/../c"), "/a/b"), w=T.under(F.lit("/a/bc"), "/a/b"))
+    assert (r.s, r.u, r.v, r.w) == (hashlib.sha256(b"policy").hexdigest()[:12], True, False, False)
+    answers = spark.createDataFrame([(1, ["c2", "no", "c1"])], "qid long, ids array<string>")
+    cited = workflow.cited(answers, spark.createDataFrame([("c1", "T1"), ("c2", "T2")], "chunk_id string, title string"))
+    assert [r.title for r in cited.orderBy("position").collect()] == ["T2", "T1"]
