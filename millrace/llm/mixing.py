@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.common import materialise
+
 #: Knots (time, weight) of the schedules that sources take in turn: early, steady and late. Integrals 1, 2, 3.
 CURRICULUM = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 1.5), (1.0, 4.5)))
 
@@ -81,7 +83,8 @@ def mix(docs: DataFrame, size: Column, doc_id="doc_id", source="source", cycle=C
     rows = docs.select(F.struct("*").alias("row"), key.alias("key"), order.alias("order"), size.alias("size"))
     rows = rows.withColumn("range", F.substring("order", 1, digits))
     sizes = docs.select(key.alias("key"), F.substring(order, 1, digits).alias("range"), size.alias("size"))
-    ranges = sizes.groupBy("key", "range").agg(F.sum("size").alias("range_size"))
+    # At most 16^digits rows a source, written once: two aggregations use them, and the texts are counted for one.
+    ranges = materialise(sizes.groupBy("key", "range").agg(F.sum("size").alias("range_size")), "ranges")
     targets = source_targets(ranges.groupBy("key").agg(F.sum("range_size").alias("source_size")), cycle, max_epochs)
     earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("key", "range", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("base"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.llm import fingerprints, mixing, packing, quality, sharding, simhash, tokens, toxicity, urls, warc
-from millrace.llm.common import table, word_count
+from millrace.llm.common import materialise, table, word_count
 
 URL_RULES = (
     ("block", "com", "/en/"),
@@ -23,7 +23,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_mixing(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n_words"))
+    docs = materialise(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n_words")), "sizes")
     mix = mixing.mix(docs, F.col("n_words"))
     first = F.get("copies", F.lit(0))["position"]
     out = mix.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("copies"), F.round(first, 9).alias("position"))
