@@ -10,7 +10,10 @@ Defined results: a null or blank text has no tokens; equal scores go to fewer to
 
 from __future__ import annotations
 
+import gc
 import math
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,15 @@ class UnigramVocabulary:
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
                 self.scores[model.id_to_piece(i)] = -math.log(len(self.scores) + ZIPF)
         self.longest = max(map(len, self.scores))
+        self.trie: dict = {}  # children by character; a node is [children, score of the piece that ends here]
+        for piece, score in self.scores.items():
+            at = self.trie
+            for ch in piece:
+                node = at.get(ch)
+                if node is None:
+                    node = at[ch] = [{}, None]
+                at = node[0]
+            node[1] = score
         self.byte = -math.log(n + ZIPF) - 1.0  # below every piece
 
 
@@ -59,28 +71,36 @@ class Trie:
         node[1] = True
 
     def token_counts(self, vocabulary: UnigramVocabulary) -> dict[str, int]:
-        """Tokens of the best segmentation at each terminal. best[d] is that of the path's first d characters."""
-        scores, longest, found = vocabulary.scores, vocabulary.longest, {}
-        path, best = [], [(0.0, 0)]
+        """Tokens of the best segmentation at each terminal. best[d] is that of the path's first d characters, begun[d] has
+        the pieces that may go on there: where they start and their place in the vocabulary's trie."""
+        byte, pieces, found = vocabulary.byte, vocabulary.trie, {}
+        path, best, begun = [], [(0.0, 0)], [[]]
         stack = [(1, ch, child) for ch, child in self.root[0].items()]
         if self.root[1]:
             found[""] = 0
         while stack:
             depth, ch, node = stack.pop()
-            del path[depth - 1 :], best[depth:]
+            del path[depth - 1 :], best[depth:], begun[depth:]
             path.append(ch)
-            text = "".join(path[-longest:])
             cost = len(ch.encode())
             score, n = best[depth - 1]
-            top = (score + cost * vocabulary.byte, -(n + cost))
-            for size in range(1, len(text) + 1):
-                own = scores.get(text[-size:])
+            top, least, on = score + cost * byte, n + cost, []
+            for start, at in (*begun[depth - 1], (depth - 1, pieces)):
+                piece = at.get(ch)
+                if piece is None:
+                    continue
+                longer, own = piece
+                if longer:
+                    on.append((start, longer))
                 if own is not None:
-                    score, n = best[depth - size]
-                    top = max(top, (score + own, -(n + 1)))
-            best.append((top[0], -top[1]))
+                    score, n = best[start]
+                    score += own
+                    if score > top or (score == top and n + 1 < least):
+                        top, least = score, n + 1
+            best.append((top, least))
+            begun.append(on)
             if node[1]:
-                found["".join(path)] = -top[1]
+                found["".join(path)] = least
             stack += [(depth + 1, c, child) for c, child in node[0].items()]
         return found
 
@@ -99,11 +119,29 @@ def long_count(word: str, vocabulary: UnigramVocabulary) -> int:
     return best[-1][1]
 
 
+@contextmanager
+def no_collection():
+    """No search for cycles in the block: a trie has none, but its many nodes set the search off again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+@lru_cache(maxsize=2)
+def _vocabulary(path: str) -> UnigramVocabulary:
+    """A vocabulary, once for each worker."""
+    return UnigramVocabulary(path)
+
+
 class TokenCounter:
     """Token counts of texts, block by block, remembering pre-tokens seen before."""
 
     def __init__(self, path: str):
-        self.vocabulary, self.known = UnigramVocabulary(path), {}
+        self.vocabulary, self.known = _vocabulary(path), {}
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Words and tokens of each text."""
@@ -114,11 +152,13 @@ class TokenCounter:
             return n_words, tokens
         codes = pa.array([x for w in words for x in w], pa.binary()).dictionary_encode()
         distinct = codes.dictionary.to_pylist()
-        trie = Trie()
-        for w in distinct:
-            if w not in self.known and len(w) <= TRIE_BYTES:
-                trie.add(MARK + w.decode())
-        new = trie.token_counts(self.vocabulary)
+        with no_collection():
+            trie = Trie()
+            for w in distinct:
+                if w not in self.known and len(w) <= TRIE_BYTES:
+                    trie.add(MARK + w.decode())
+            new = trie.token_counts(self.vocabulary)
+            del trie
         known = self.known
         each = [known[w] if w in known else new[MARK + w.decode()] if len(w) <= TRIE_BYTES else long_count(MARK + w.decode(), self.vocabulary) for w in distinct]
         each = np.array(each, np.int64)
