@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm import shingles
 from millrace.llm.common import blocks, materialise
 
 RADIUS, SHINGLE, SEED, SHARD_LIMIT = 2, 3, 42, 512
@@ -201,14 +202,33 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, text="text", doc_id="doc_id", radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of the class) of every row."""
-    prints = materialise(fingerprint(docs, text, (doc_id,)).select(F.col(doc_id).alias("doc_id"), "fp"), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), radius, shard_limit))
+def _classes(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp, root and component_id (the smallest doc_id of the class) of every fp of distinct (fp, least)."""
+    roots = components(edges)
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialise(classes.join(linked, "root").select("fp", "component_id"), "classes")
+    return materialise(classes.join(linked, "root").select("fp", "root", "component_id"), "classes")
+
+
+def _by_bits(docs, text, doc_id, radius, shard_limit):
+    """Rows (doc_id, fp) and classes (fp, root, component_id) of SimHash fingerprints within the radius."""
+    prints = materialise(fingerprint(docs, text, (doc_id,)).select(F.col(doc_id).alias("doc_id"), "fp"), "fingerprints")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    return prints, _classes(distinct, links(distinct.select("fp"), radius, shard_limit))
+
+
+def _by_similarity(docs, text, doc_id, shingle, similarity):
+    """Rows (doc_id, fp) and classes (fp, root, component_id) of sets of word shingles at least so similar."""
+    prints = materialise(shingles.sketches(docs, text, (doc_id,), shingle).withColumnRenamed(doc_id, "doc_id"), "sketches")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "distinct")
+    rows_of = lambda rows, fps: _marked(rows, "fp", fps.select(F.col("fp").alias("__gone")))[1]
+    edges = shingles.links(prints, distinct, similarity, rows_of)
+    return prints.select("doc_id", "fp"), _classes(distinct.select("fp", "least"), edges)
+
+
+def near_duplicates(docs: DataFrame, text="text", doc_id="doc_id", radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id of the class) of every row."""
+    prints, classes = _by_bits(docs, text, doc_id, radius, shard_limit)
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -216,25 +236,39 @@ def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _marked(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose key surely isn't in ids' `__gone`, and the rest, told apart by a broadcast bitmap."""
+    slot = F.xxhash64("__gone").bitwiseAND(F.lit(SLOTS - 1))
+    bit = F.expr("shiftleft(1L, cast(__slot & 63 as int))")
+    words = ids.select(slot.alias("__slot")).groupBy(F.shiftright("__slot", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    at = F.xxhash64(docs[key]).bitwiseAND(F.lit(SLOTS - 1))
+    marked = docs.withColumn("__slot", at).join(F.broadcast(words), F.shiftright("__slot", 6) == F.col("__word"), "left")
+    doubtful = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    return tuple(marked.filter(x).select(*docs.columns) for x in (~doubtful, doubtful))
+
+
 def without_ids(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
     """The rows of docs whose id isn't in gone's `__gone`; a null id stays.
 
     A broadcast bitmap of bounded size tells most rows that stay at once, so their texts aren't shuffled; only rows whose
     slot is marked (those that go, and others of the same slot) meet the exact join. A full bitmap leaves all to the join.
     """
-    slot = F.xxhash64("__gone").bitwiseAND(F.lit(SLOTS - 1))
-    bit = F.expr("shiftleft(1L, cast(__slot & 63 as int))")
-    words = gone.select(slot.alias("__slot")).groupBy(F.shiftright("__slot", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    at = F.xxhash64(docs[doc_id]).bitwiseAND(F.lit(SLOTS - 1))
-    marked = docs.withColumn("__slot", at).join(F.broadcast(words), F.shiftright("__slot", 6) == F.col("__word"), "left")
-    doubtful = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
-    sure, rest = (marked.filter(x).select(*docs.columns) for x in (~doubtful, doubtful))
+    sure, rest = _marked(docs, doc_id, gone)
     return sure.unionByName(rest.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti"))
 
 
-def one_of_each(docs: DataFrame, text="text", doc_id="doc_id", **options) -> DataFrame:
-    """The document that names its class stays, once; rows without a doc_id have no name to stay by and stay."""
-    found = near_duplicates(docs, text, doc_id, **options).filter("doc_id is not null")
+def one_of_each(docs: DataFrame, text="text", doc_id="doc_id", radius: int = RADIUS, shard_limit: int = SHARD_LIMIT, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """The document that names its class stays, once; rows without a doc_id have no name to stay by and stay.
+
+    Classes are those of SimHash fingerprints within the radius or, with a similarity, of sets of `shingle` words at least so similar.
+    """
+    if similarity is None and shingle != SHINGLE:
+        raise ValueError("another shingle size needs a similarity")
+    if similarity is None:
+        prints, classes = _by_bits(docs, text, doc_id, radius, shard_limit)
+    else:
+        prints, classes = _by_similarity(docs, text, doc_id, shingle, similarity)
+    found = prints.join(classes, "fp").filter("doc_id is not null")
     named = F.bool_or(F.col("doc_id") == F.col("component_id"))
     ids = materialise(found.groupBy("doc_id").agg(named.alias("named"), F.count("*").alias("times")), "named")
     kept = without_ids(docs, doc_id, ids.filter("not named").select(F.col("doc_id").alias("__gone")))

@@ -537,3 +537,28 @@ def test_rows_without_ids_are_whole_at_any_bitmap_size(spark, monkeypatch):
         assert kept.columns == docs.columns
         assert collections.Counter(map(tuple, kept.collect())) == expected
         assert simhash.without_ids(docs, "doc_id", ids.limit(0)).count() == docs.count()
+
+
+def test_one_of_each_by_shingle_similarity(spark):
+    """Near copies beyond two bits go; of 40 unlike texts around one passage each stays."""
+    rnd = random.Random(5)
+    draw = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows, passage = [], draw(200)
+    for k in range(30):
+        w = draw(300)
+        rows.append((3 * k, " ".join(w)))
+        for j, n in ((1, 1), (2, 4)):
+            edited = list(w)
+            for at in rnd.sample(range(5, 295, 10), n):  # n edits, each at most 5 shingles of 296
+                edited[at] = "x"
+            rows.append((3 * k + j, " ".join(edited)))
+    rows += [(1000 + k, " ".join(passage + draw(60))) for k in range(40)] + [(2000, None), (2001, " "), (2002, "a b"), (2003, "A  b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: set(zip(*((t or "").lower().split()[k:] for k in range(5)))) for i, t in rows}
+    like = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert all(like(sets[3 * k], sets[3 * k + j]) for k in range(30) for j in (1, 2))
+    assert not any(like(sets[1000 + a], sets[1000 + b]) for a in range(40) for b in range(a))
+    kept = sorted(r["doc_id"] for r in simhash.one_of_each(docs, shingle=5, similarity=0.8).collect())
+    assert kept == [*range(0, 90, 3), *range(1000, 1040), 2000, 2002]
+    assert len(simhash.one_of_each(docs).collect()) > len(kept)
+    assert simhash.one_of_each(docs.limit(0), shingle=5, similarity=0.8).count() == 0
