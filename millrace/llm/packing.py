@@ -16,6 +16,8 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -188,30 +190,31 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
     return Counter({p: n for c in by_space.values() for p, n in c.items()})
 
 
+@lru_cache(maxsize=1 << 16)
+def _parts(pattern: tuple) -> tuple:
+    """Rising sums of one, of two, and of one or two lengths of a bin, and the lengths that make a sum."""
+    ones = {x: (x,) for x in pattern}
+    twos = {x + y: (x, y) for i, x in enumerate(pattern) for y in pattern[i + 1 :]}
+    return sorted(ones), sorted(twos), sorted({*ones, *twos}), ones, twos
+
+
 def _gain(giver: tuple, taker: tuple, capacity: int):
-    """The move between two bins that raises their squared fills most: (what the giver gives, what it gets), or None."""
-    give, room = sum(giver), capacity - sum(taker)
-    fill, best, found = sum(taker), 0, None
-
-    def consider(out, back):
-        nonlocal best, found
-        d = sum(out) - sum(back)
-        if 0 < d <= room and (rise := (fill + d) ** 2 + (give - d) ** 2 - fill**2 - give**2) > best:
-            best, found = rise, (out, back)
-
-    mine, theirs = sorted(set(giver)), sorted(set(taker))
-    twos = lambda own, kinds: {(a, b) for i, a in enumerate(kinds) for b in kinds[i:] if a != b or own.count(a) > 1}
-    pairs_mine, pairs_theirs = twos(giver, mine), twos(taker, theirs)
-    for x in mine:
-        consider((x,), ())
-        for y in theirs:
-            consider((x,), (y,))
-        for y in pairs_theirs:
-            consider((x,), y)
-    for x in pairs_mine:
-        consider(x, ())
-        for y in theirs:
-            consider(x, (y,))
+    """The move between two bins, the taker at least as full, that raises their squared fills most: (what the giver gives, what it gets), or None.
+
+    The rise, 2 d (d + fill - give), grows with what the taker gains, d; so the largest d that has room is best."""
+    ones, twos, _, one, two = _parts(giver)
+    backs, _, all_backs, back_one, back_two = _parts(taker)
+    room, best, found = capacity - sum(taker), 0, None
+    for outs, made, back in ((ones, one, all_backs), (twos, two, backs)):
+        for x in outs:
+            if x <= room:
+                got = 0
+            else:
+                at = bisect_left(back, x - room)
+                if at == len(back) or (got := back[at]) >= x:
+                    continue
+            if x - got > best:
+                best, found = x - got, (made[x], (back_one.get(got) or back_two[got]) if got else ())
     return found
 
 
@@ -222,43 +225,50 @@ def _moved(pattern: tuple, out: tuple, back: tuple) -> tuple:
     return tuple(sorted(c.elements(), reverse=True))
 
 
-def local_search(bins: Counter, capacity: int = CAPACITY, steps: int = 20_000) -> Counter:
+def local_search(bins: Counter, capacity: int = CAPACITY) -> Counter:
     """Move and exchange documents between classes of underfull bins, the emptiest giving, while squared fill rises.
 
-    steps bounds the pairs of classes tried; the number of classes does not grow with the corpus.
+    Ends when no move helps or as few bins are open as their words need. A class is tried with all others once; after a
+    move only the classes it made are tried anew.
     """
-    bins = Counter({p: n for p, n in bins.items() if n and p})
-    full = Counter({p: n for p, n in bins.items() if sum(p) == capacity})
-    open_ = Counter({p: n for p, n in bins.items() if sum(p) < capacity})
-    stuck: set = set()
-    while steps > 0:
-        if -(-sum(sum(p) * n for p, n in open_.items()) // capacity) == sum(open_.values()):
-            break  # as few bins as the words need
-        order, moved = sorted(open_, key=sum), False
-        for giver in order:
-            for taker in reversed(order):
-                if sum(taker) < sum(giver) or (giver, taker) in stuck or (giver == taker and open_[giver] < 2):
+    full = Counter({p: n for p, n in bins.items() if n and sum(p) == capacity})
+    open_ = {p: n for p, n in bins.items() if n and p and sum(p) < capacity}
+    words, count = sum(sum(p) * n for p, n in open_.items()), sum(open_.values())
+    order = sorted((sum(p), p) for p in open_)  # the open classes, rising
+    heap, tried = list(order), set()
+    while heap and -(-words // capacity) < count:
+        _, own = heappop(heap)
+        for fill, other in reversed(order.copy()):
+            if own not in open_:
+                break
+            for giver, taker in ((own, other), (other, own)):
+                if sum(taker) < sum(giver) or (giver, taker) in tried:
+                    continue
+                if giver not in open_ or taker not in open_ or (giver == taker and open_[giver] < 2):
                     continue
-                steps -= 1
                 move = _gain(giver, taker, capacity)
                 if move is None:
-                    stuck.add((giver, taker))
-                    if steps <= 0:
-                        break
+                    tried.add((giver, taker))
                     continue
                 n = open_[giver] // 2 if giver == taker else min(open_[giver], open_[taker])
                 for old, new in ((giver, _moved(giver, *move)), (taker, _moved(taker, *move[::-1]))):
                     open_[old] -= n
-                    if new:
-                        (full if sum(new) == capacity else open_)[new] += n
-                open_ = +open_
-                moved = True
-                break
-            if moved or steps <= 0:
-                break
-        if not moved:
-            break
-    return full + open_
+                    if not open_[old]:
+                        del open_[old]
+                        del order[bisect_left(order, (sum(old), old))]
+                    if not new:
+                        count -= n
+                    elif sum(new) == capacity:
+                        full[new] += n
+                        words, count = words - capacity * n, count - n
+                    else:
+                        if new not in open_:
+                            insort(order, (sum(new), new))
+                            heappush(heap, (sum(new), new))
+                        elif giver == taker or open_[new] == 1:
+                            heappush(heap, (sum(new), new))  # two of a class are a pair that one was not
+                        open_[new] = open_.get(new, 0) + n
+    return full + Counter(open_)
 
 
 def slots(bins: Counter) -> list[tuple[int, int, int, int, int]]:

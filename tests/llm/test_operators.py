@@ -376,6 +376,19 @@ def fewest(items, capacity):
     return best
 
 
+def test_local_search_ends_where_no_move_helps():
+    rnd = random.Random(11)
+    have = collections.Counter(min(1024, max(1, int(rnd.gauss(400, 80)))) for _ in range(20_000))
+    bins = packing.local_search(packing.best_fit(have))
+    assert sum((collections.Counter({k: n * p.count(k) for k in set(p)}) for p, n in bins.items()), collections.Counter()) == have
+    fills = {p: (sum(p), {0, *p}, {0, *p, *(a + b for a, b in itertools.combinations(p, 2))}) for p in bins if sum(p) < 1024}
+    for giver, taker in itertools.product(fills, fills):
+        (give, mine, more), (fill, theirs, others) = fills[giver], fills[taker]
+        if give <= fill and (giver != taker or bins[giver] > 1):
+            gains = {x - y for x in mine for y in others} | {x - y for x in more for y in theirs}
+            assert not any(0 < d <= 1024 - fill for d in gains)
+
+
 def test_local_search_against_all_ways():
     rnd = random.Random(9)
     over = 0
