@@ -6,6 +6,8 @@ ranks follow them in corpus order and are computed, not joined.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,17 +77,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, most: int = 4096) -> DataFrame:
     """qid, idx, score, rk of (idx, vector) for (qid, vector): a block product in NumPy of each part of the corpus with the
-    queries. The queries are a stated set of at most 4096, read to the driver and sent to the tasks."""
+    queries. The queries are read to the driver and sent to the tasks in blocks of at most `most`."""
+    asked, found = queries.select("qid", "vector").toLocalIterator(), None
+    while (own := list(itertools.islice(asked, most))) or found is None:
+        scores = _dense_scores(vectors, own, k)
+        found = scores if found is None else found.unionByName(scores)
+    return ranked(found, "score", k)
+
+
+def _dense_scores(vectors: DataFrame, own: list, k: int) -> DataFrame:
+    """qid, idx, score of each part's k best for the queries `own`."""
     import numpy as np
     import pyarrow as pa
 
-    own = queries.select("qid", "vector").limit(4097).collect()
-    if len(own) > 4096:
-        raise ValueError("ask at most 4096 queries at a time")
     ids = np.array([r["qid"] for r in own], np.int64)
-    q = np.array([r["vector"] for r in own], float).reshape(len(own), -1)
+    q = np.array([r["vector"] for r in own], float).reshape(len(own), -1) if own else np.zeros((0, 0))
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(own) else q
 
     def run(batches):
@@ -100,7 +108,7 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 best = np.lexsort((idx, -row))[:k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[i])), pa.array(idx[best]), pa.array(row[best])], names=["qid", "idx", "score"])
 
-    return ranked(vectors.select("idx", "vector").mapInArrow(run, "qid long, idx long, score double"), "score", k)
+    return vectors.select("idx", "vector").mapInArrow(run, "qid long, idx long, score double")
 
 
 def expand_parents(hits: DataFrame, children: DataFrame, parents: DataFrame, top: int = 3) -> DataFrame:

@@ -226,3 +226,10 @@ def test_more_files(spark, tmp_path):
     answers = spark.createDataFrame([(1, ["c2", "no", "c1"])], "qid long, ids array<string>")
     cited = workflow.cited(answers, spark.createDataFrame([("c1", "T1"), ("c2", "T2")], "chunk_id string, title string"))
     assert [r.title for r in cited.orderBy("position").collect()] == ["T2", "T1"]
+
+
+def test_dense_ranking_of_many_queries(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "idx long, vector array<double>").coalesce(1)
+    queries = spark.range(4100).selectExpr("id as qid", "array(cast(id % 2 as double), cast(1 - id % 2 as double)) as vector")
+    top = retrieval.dense_top(vectors, queries, 1).collect()
+    assert sorted((r["qid"], r["idx"]) for r in top) == [(q, 1 if q % 2 else 2) for q in range(4100)]
