@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,17 +50,18 @@ def content_kind(content_type: Column, body: Column) -> Column:
     return F.when((kind == "application/pdf") | body.startswith(F.lit("%PDF-").cast("binary")), "pdf").when(kind.isin("text/html", "application/xhtml+xml"), "html").otherwise("other")
 
 
-def breadth_first(edges: DataFrame, start: DataFrame, save, most_levels: int = 64) -> DataFrame:
+def breadth_first(edges: DataFrame, start: DataFrame, save) -> DataFrame:
     """node, level of what is reached from start (node) along edges (src, dst). `save` writes a round's frontier to shared storage."""
     seen = save(start.select("node", F.lit(0).cast("long").alias("level")).distinct())
     frontier = seen
-    for level in range(1, most_levels + 1):
+    for level in itertools.count(1):
         nxt = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = save(nxt.withColumn("level", F.lit(level).cast("long")))
         if not frontier.take(1):
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+        if level % 16 == 0:  # keeps the plan short
+            seen = save(seen)
 
 
 def not_attempted(urls: DataFrame, *done: DataFrame) -> DataFrame:

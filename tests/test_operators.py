@@ -233,3 +233,10 @@ def test_dense_ranking_of_many_queries(spark):
     queries = spark.range(4100).selectExpr("id as qid", "array(cast(id % 2 as double), cast(1 - id % 2 as double)) as vector")
     top = retrieval.dense_top(vectors, queries, 1).collect()
     assert sorted((r["qid"], r["idx"]) for r in top) == [(q, 1 if q % 2 else 2) for q in range(4100)]
+
+
+def test_breadth_first_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(66)], "src long, dst long").coalesce(1)
+    save = lambda df: spark.createDataFrame(df.collect(), df.schema).coalesce(1)
+    found = crawl.breadth_first(edges, spark.createDataFrame([(0,)], "node long"), save).collect()
+    assert sorted((r["node"], r["level"]) for r in found) == [(k, k) for k in range(67)]
