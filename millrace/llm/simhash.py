@@ -271,7 +271,15 @@ def one_of_each(docs: DataFrame, text="text", doc_id="doc_id", radius: int = RAD
     found = prints.join(classes, "fp").filter("doc_id is not null")
     named = F.bool_or(F.col("doc_id") == F.col("component_id"))
     ids = materialise(found.groupBy("doc_id").agg(named.alias("named"), F.count("*").alias("times")), "named")
-    kept = without_ids(docs, doc_id, ids.filter("not named").select(F.col("doc_id").alias("__gone")))
-    if ids.filter("named and times > 1").limit(1).count():
-        kept = kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(docs.filter(F.col(doc_id).isNull()))
-    return kept
+    again = ids.filter("named and times > 1").select(F.col("doc_id").alias("__gone"))
+    gone = ids.filter("not named").select(F.col("doc_id").alias("__gone"))
+    if not again.limit(1).count():
+        return without_ids(docs, doc_id, gone)
+    # Of an id's rows those of a class it names stay, one for each class: the least by text, then by the other columns.
+    rows = _marked(docs, doc_id, again)[1].join(again, F.col(doc_id) == F.col("__gone"), "left_semi")
+    columns = tuple(docs.columns)
+    rows = fingerprint(rows, text, columns) if similarity is None else shingles.sketches(rows, text, columns, shingle, whole=False)
+    rows = rows.join(classes.withColumnRenamed("fp", "__fp"), F.col("fp") == F.col("__fp")).filter(F.col(doc_id) == F.col("component_id"))
+    least = F.min(F.struct(*dict.fromkeys([text, *columns]))).alias("row")
+    rows = rows.groupBy(F.col(doc_id).alias("__id"), "root").agg(least)
+    return without_ids(docs, doc_id, gone.unionByName(again)).unionByName(rows.select(*[F.col("row")[c].alias(c) for c in columns]))

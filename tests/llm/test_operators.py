@@ -575,3 +575,12 @@ def test_one_of_each_by_shingle_similarity(spark):
     assert kept == [*range(0, 90, 3), *range(1000, 1040), 2000, 2002]
     assert len(simhash.one_of_each(docs).collect()) > len(kept)
     assert simhash.one_of_each(docs.limit(0), shingle=5, similarity=0.8).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"shingle": 5, "similarity": 0.8}])
+def test_unlike_texts_of_one_id_stay(spark, options):
+    rnd = random.Random(8)
+    one, two, three = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(7, one, "b"), (7, one, "a"), (7, two, "a"), (7, three, "a"), (3, three, "a"), (8, two, "a"), (None, one, "a")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), **options).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(3, three, "a"), (7, one, "a"), (7, two, "a"), (None, one, "a")], key=str)
