@@ -10,7 +10,8 @@ what it links, so that no more than a shard's size of them leave it.
 Components. Large-star and small-star rounds over the links, each written to the shared folder, until nothing changes.
 
 Defined results: a null or blank text has fingerprint 0; equal fingerprints link; repeated rows share a component; null
-doc_ids never name a component unless it has no other; an empty table gives an empty result.
+doc_ids never name a component unless it has no other; an empty table gives an empty result; texts of any length are taken
+whole, a block of its own each if long; other columns, whatever their names, travel inside a struct and come back as they were.
 """
 
 from __future__ import annotations
@@ -238,13 +239,13 @@ def hexadecimal(fp):
 
 def _marked(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of docs whose key surely isn't in ids' `__gone`, and the rest, told apart by a broadcast bitmap."""
-    slot = F.xxhash64("__gone").bitwiseAND(F.lit(SLOTS - 1))
     bit = F.expr("shiftleft(1L, cast(__slot & 63 as int))")
-    words = ids.select(slot.alias("__slot")).groupBy(F.shiftright("__slot", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    at = F.xxhash64(docs[key]).bitwiseAND(F.lit(SLOTS - 1))
-    marked = docs.withColumn("__slot", at).join(F.broadcast(words), F.shiftright("__slot", 6) == F.col("__word"), "left")
+    words = ids.select(F.xxhash64("__gone").bitwiseAND(F.lit(SLOTS - 1)).alias("__slot"))
+    words = words.groupBy(F.shiftright("__slot", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(docs[key]).bitwiseAND(F.lit(SLOTS - 1)).alias("__slot"))
+    marked = rows.join(F.broadcast(words), F.shiftright("__slot", 6) == F.col("__word"), "left")
     doubtful = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
-    return tuple(marked.filter(x).select(*docs.columns) for x in (~doubtful, doubtful))
+    return tuple(marked.filter(x).select("row.*") for x in (~doubtful, doubtful))
 
 
 def without_ids(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
@@ -254,7 +255,8 @@ def without_ids(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
     slot is marked (those that go, and others of the same slot) meet the exact join. A full bitmap leaves all to the join.
     """
     sure, rest = _marked(docs, doc_id, gone)
-    return sure.unionByName(rest.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti"))
+    rest = rest.select(F.struct("*").alias("row")).join(gone, F.col("row").getField(doc_id) == F.col("__gone"), "left_anti")
+    return sure.unionByName(rest.select("row.*"))
 
 
 def one_of_each(docs: DataFrame, text="text", doc_id="doc_id", radius: int = RADIUS, shard_limit: int = SHARD_LIMIT, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -276,10 +278,10 @@ def one_of_each(docs: DataFrame, text="text", doc_id="doc_id", radius: int = RAD
     if not again.limit(1).count():
         return without_ids(docs, doc_id, gone)
     # Of an id's rows those of a class it names stay, one for each class: the least by text, then by the other columns.
-    rows = _marked(docs, doc_id, again)[1].join(again, F.col(doc_id) == F.col("__gone"), "left_semi")
-    columns = tuple(docs.columns)
-    rows = fingerprint(rows, text, columns) if similarity is None else shingles.sketches(rows, text, columns, shingle, whole=False)
-    rows = rows.join(classes.withColumnRenamed("fp", "__fp"), F.col("fp") == F.col("__fp")).filter(F.col(doc_id) == F.col("component_id"))
-    least = F.min(F.struct(*dict.fromkeys([text, *columns]))).alias("row")
-    rows = rows.groupBy(F.col(doc_id).alias("__id"), "root").agg(least)
-    return without_ids(docs, doc_id, gone.unionByName(again)).unionByName(rows.select(*[F.col("row")[c].alias(c) for c in columns]))
+    rows = _marked(docs, doc_id, again)[1]
+    rows = rows.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text")).join(again, F.col("id") == F.col("__gone"), "left_semi")
+    columns = ("row", "id", "text")
+    rows = fingerprint(rows, "text", columns) if similarity is None else shingles.sketches(rows, "text", columns, shingle, whole=False)
+    rows = rows.join(classes, "fp").filter(F.col("id") == F.col("component_id"))
+    rows = rows.groupBy("id", "root").agg(F.min(F.struct("text", "row")).alias("least")).select("least.row.*")
+    return without_ids(docs, doc_id, gone.unionByName(again)).unionByName(rows)

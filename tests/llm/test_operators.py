@@ -203,8 +203,8 @@ def labelled(spark, n=600, seed=2):
                 w[rnd.randrange(len(w))] = rnd.choice(bad) + rnd.choice(["", ".", "$$$"])
         rows.append((i, " ".join(w), toxic))
     docs = spark.createDataFrame(rows, "doc_id long, text string, truth boolean").repartition(4)
-    noisy = [(i, int(t ^ (rnd.random() < 0.05))) for i, _, t in rows if i % 2 == 0]
-    labels = spark.createDataFrame([*noisy, (None, 1), (4, None), (10**9, 1)], "doc_id long, toxic int")
+    noisy = [(i, None if i % 14 == 0 else int(i % 3 > 0), int(t ^ (rnd.random() < 0.05))) for i, _, t in rows if i % 2 == 0]
+    labels = spark.createDataFrame([*noisy, (None, 1, 1), (4, 1, None), (10**9, 0, 1)], "doc_id long, quality int, toxic int")
     return docs, labels
 
 
@@ -220,8 +220,8 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_edges(spark, docs, empty):
-    labels = spark.createDataFrame([(0, 0)], "doc_id long, toxic int")
-    assert toxicity.train(docs, labels) is None
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.train(docs, labels) is None and toxicity.train(docs, labels.limit(0)) is None
     assert not any(r["is_toxic"] for r in toxicity.score(docs, None).collect())
     a, b = labelled(spark, 100)
     chain = toxicity.train(a, b)
@@ -229,11 +229,95 @@ def test_toxicity_edges(spark, docs, empty):
     assert toxicity.train(empty, b) is None
 
 
+def newton(x, y, weight, decay):
+    """Logistic regression with an intercept, solved exactly: weights, intercept last."""
+    x, w = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        grad = x.T @ (weight * (p - y)) + decay * w
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(decay + 1e-12)
+        w -= np.linalg.solve(hessian, grad)
+    return w
+
+
+def dense_chain(texts, labels, fold, new):
+    """The chain's last probabilities of new texts, before the cut, by dense matrices and exact solutions."""
+
+    def matrix(ts):
+        out = np.zeros((len(ts), 1 << toxicity.BITS))
+        for i, t in enumerate(ts):
+            counts = collections.Counter()
+            for w in re.findall("[a-z0-9]+", t.lower()):
+                for f in (w, *("^" + w[:k] for k in toxicity.BEGINNINGS if len(w) > k)):
+                    counts[toxicity.word_slot(f.encode())] += 1
+            for f, n in counts.items():
+                out[i, f] = 1 + np.log(n)
+        return out / np.maximum(1e-300, np.linalg.norm(out, axis=1))[:, None]
+
+    x, z = matrix(texts), matrix(new)
+    used = np.flatnonzero((x > 0).any(axis=0))
+    x, z = x[:, used], z[:, used]
+
+    def fitted(held, y, use):
+        share = use * np.where(y, 0.5 / (use * y).sum(), 0.5 / (use * ~y).sum())
+        has = (x > 0) * use[:, None]
+        pos, neg = (has * y[:, None]).sum(0), (has * ~y[:, None]).sum(0)
+        ratio = np.log((pos + 1) / ((use * y).sum() + 2)) - np.log((neg + 1) / ((use * ~y).sum() + 2))
+        ratio[pos + neg < toxicity.LEAST_DOCS] = 0
+        kept = np.flatnonzero(ratio)
+        w = newton(np.c_[x[:, kept] * ratio[kept], held], y, share, np.r_[np.full(len(kept), 1e-3), np.zeros(held.shape[1] + 1)])
+        return lambda m, h: 1 / (1 + np.exp(-(np.c_[m[:, kept] * ratio[kept], h] @ w[:-1] + w[-1])))
+
+    held, last = np.zeros((len(x), 0)), np.zeros((len(z), 0))
+    for k in range(labels.shape[1]):
+        y, known = labels[:, k] > 0, ~np.isnan(labels[:, k])
+        out = np.zeros(len(x))
+        for f in range(toxicity.FOLDS):
+            out[fold == f] = fitted(held, y, (known & (fold != f)).astype(float))(x, held)[fold == f]
+        last = np.c_[last, fitted(held, y, known.astype(float))(z, last)]
+        held = np.c_[held, out]
+    return held, last
+
+
+def test_chain_against_exact_solutions():
+    rnd = random.Random(8)
+    texts, labels = [], []
+    for i in range(150):
+        w = rnd.choices("alpha beta gamma delta epsilon zeta eta theta".split(), k=rnd.randint(3, 12))
+        good, toxic = rnd.random() < 0.6, rnd.random() < 0.4
+        w += rnd.choices(["careful", "sources", "alpha"], k=3) * good + rnd.choices(["nastyness", "nastyish", "beta"], k=2) * toxic
+        texts.append(" ".join(rnd.sample(w, len(w))))
+        labels.append((float("nan") if i % 10 == 3 else float(good), float(toxic)))
+    labels, fold = np.array(labels), np.arange(150) % toxicity.FOLDS
+    chain = toxicity.fit_chain(*toxicity.features(texts), labels, fold)
+    held, last = dense_chain(texts, labels, fold, texts)
+    logit = lambda p: np.log(p / (1 - p))
+    own = chain.probabilities(texts)
+    cut = toxicity.best_cut(logit(held[:, -1]), labels[:, -1] > 0)
+    assert abs(own[:, 0] - last[:, 0]).max() < 0.03
+    assert abs(1 / (1 + np.exp(cut - logit(last[:, 1]))) - own[:, 1]).max() < 0.08
+
+
+def test_best_cut():
+    y = np.array([True, True, False, False])
+    assert toxicity.best_cut(np.array([3.0, 2.0, 0.0, -1.0]), y) == 1.0
+    assert toxicity.best_cut(np.array([3.0, -2.0, 0.0, -1.0]), y) == 1.5  # a clean one flagged is worse than a toxic one missed
+    assert toxicity.best_cut(np.array([0.0, -2.0, 3.0, -1.0]), y) > 3.0
+
+
 def test_later_models_use_earlier_probabilities(spark):
     docs, labels = labelled(spark)
     assert abs(toxicity.train(docs, labels).models[-1].dense).max() > 0
 
 
+def test_sample_is_bounded(spark, monkeypatch):
+    docs, labels = labelled(spark, 3000)
+    few = toxicity.training_rows(docs, labels, per_class=20).collect()
+    assert sorted(r["y1"] for r in few) == [0.0] * 20 + [1.0] * 20
+    monkeypatch.setattr(toxicity, "SAMPLE_FEATURES", 5)
+    assert toxicity.train(docs, labels, per_class=200) is not None
+
+
 # Fingerprints
 
 
