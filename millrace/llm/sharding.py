@@ -2,12 +2,12 @@
 
 Records are ordered by the hash of their text, so equal texts are neighbours. Size-weighted draws (the smallest
 -ln(u) / size, u from a hash) give a sample of keys whose quantiles cut the key space into fine ranges of about equal
-bytes; a key drawn more than once across quantiles gets a range of its own, and overfull ones (of one hot text) are
-subdivided by record. Consecutive ranges make a shard; what a shard then has over its share moves, a range at a time, to
+bytes; a key drawn more than once across quantiles gets a range of its own. Overfull ranges are subdivided: those of several
+keys by splitters drawn from their own records, again until none is left, those of one hot text by record. Consecutive ranges make a shard; what a shard then has over its share moves, a range at a time, to
 the emptiest shards. Only counts of ranges come to the driver, at most a few times `ranges`.
 
 Defined results: a null text has no bytes and the checksum of none; repeated rows are separate records; an empty table
-gives an empty result; texts of any length are one record.
+gives an empty result; texts of any length are one record; other columns, whatever their names, stay out.
 """
 
 from __future__ import annotations
@@ -34,16 +34,37 @@ def light_records(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     return materialise(rows.withColumn("record", F.monotonically_increasing_id()), "records")
 
 
-def splitters(rows: DataFrame, ranges: int = RANGES) -> list[int]:
-    """Rising first keys of the ranges after the first, from size-weighted draws."""
+def splitters(rows: DataFrame, ranges: int, total: int) -> list[int]:
+    """Rising first keys of the ranges after the first, from size-weighted draws; total: bytes of the rows."""
     u = (F.shiftrightunsigned(F.xxhash64("record", "key"), 11) + F.lit(0.5)) * F.lit(2.0**-53)
-    drawn = rows.select("key", (-F.log(u) / F.col("size")).alias("turn")).orderBy("turn").limit(ranges * DRAWS)
-    keys = sorted(r["key"] for r in drawn.select("key").collect())  # at most ranges * DRAWS longs
+    draws = ranges * DRAWS
+    # About 2 * draws records have turns below this, so that no task sends more than its part of them to the last.
+    drawn = rows.select("key", (-F.log(u) / F.col("size")).alias("turn")).filter(F.col("turn") <= 2.0 * draws / max(1, total))
+    keys = sorted(r["key"] for r in drawn.orderBy("turn").limit(draws).select("key").collect())
     cuts = keys[DRAWS // 2 :: DRAWS] if len(keys) > ranges else keys
     hot = {a for a, b in zip(cuts, cuts[1:]) if a == b}
     return sorted({*cuts, *(k + 1 for k in hot if k < (1 << 63) - 1)})
 
 
+def ranges_of(rows: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, list, float]:
+    """The rows with their range, the ranges' (range, bytes, hi, lo), and the bytes of a range that is just full."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    cuts = splitters(rows, ranges, total)
+    fine = max(1.0, total / ranges)
+    while True:
+        # range_of takes falling cuts: negate the order with bitwise not.
+        own = rows.withColumn("range", range_of(F.bitwise_not(F.col("key")), [~k for k in cuts]) + 1 if len(cuts) > 1 else F.lit(0))
+        sums = own.groupBy("range").agg(F.sum("size").alias("bytes"), F.max("key").alias("hi"), F.min("key").alias("lo")).collect()
+        over = [r for r in sums if r["hi"] > r["lo"] and r["bytes"] > OVERFULL * fine]
+        if not over:
+            return own, sums, fine
+        many = sum(r["bytes"] for r in over)
+        inside = own.filter(F.col("range").isin([r["range"] for r in over]))
+        # The middle key parts even a range whose draws are all one key; keys are integers, so halving ends.
+        more = {*splitters(inside, math.ceil(many / fine), many), *((r["lo"] + r["hi"]) // 2 + 1 for r in over)}
+        cuts = sorted({*cuts, *more})
+
+
 def place(sizes: list[tuple[int, int, int]], shards: int = SHARDS) -> dict[tuple[int, int], int]:
     """(range, part, bytes), in order, to shards: by the middle of their bytes, then from overfull to empty shards."""
     total = sum(x[2] for x in sizes)
@@ -77,12 +98,7 @@ def place(sizes: list[tuple[int, int, int]], shards: int = SHARDS) -> dict[tuple
 def shard_by_bytes(docs: DataFrame, doc_id="doc_id", text="text", shards: int = SHARDS, ranges: int = RANGES) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every record."""
     rows = light_records(docs, doc_id, text)
-    cuts = splitters(rows, ranges)
-    # range_of takes falling cuts: negate the order with bitwise not.
-    rows = rows.withColumn("range", range_of(F.bitwise_not(F.col("key")), [~k for k in cuts]) + 1 if len(cuts) > 1 else F.lit(0))
-    sums = rows.groupBy("range").agg(F.sum("size").alias("bytes"), F.max("key").alias("hi"), F.min("key").alias("lo")).collect()
-    total = sum(r["bytes"] for r in sums)
-    fine = max(1.0, total / max(1, min(ranges, len(sums))))
+    rows, sums, fine = ranges_of(rows, ranges)
     hot = {r["range"]: min(ranges, math.ceil(r["bytes"] / fine)) for r in sums if r["hi"] == r["lo"] and r["bytes"] > OVERFULL * fine}
     rows = rows.withColumn("part", _lookup(F.col("range"), hot, lambda n: F.pmod(F.xxhash64("record"), n).cast("int"), F.lit(0)))
     if hot:
