@@ -2,11 +2,11 @@
 
 A block of texts becomes one array of word codes; prefix doubling sorts all suffixes (comparisons never cross a text's
 end) and its rank arrays give the longest common prefix of neighbours. A suffix's deepest LCP interval is the greater of
-its two neighbour values; the intervals' maximal repeats are united into covered spans. A text passes if repeats of
+its two neighbour values; the intervals' maximal repeats are merged into covered spans. A text passes if repeats of
 `min_words` or more cover at most `max_covered` percent of its words and no repeat is longer than `max_repeat` words.
 
 Defined results: a null text has no words and fails the base rule; repeated rows are judged alike; an empty table gives
-an empty result; texts of any length are taken whole, one at a time if long.
+an empty result; texts of any length are taken whole, one at a time if long; other columns, whatever their names, pass.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import blocks
 
-MIN_WORDS, MAX_COVERED, MAX_REPEAT = 10, 30, 100
+#: Repeats of 10 words and more may cover 15 % of the words, less than the base rule lets any 5-word windows cover: long
+#: repeats are lines or passages said again, short ones may be idiom. (Published rules for 10-word repeats allow 10 %.)
+MIN_WORDS, MAX_COVERED, MAX_REPEAT = 10, 15, 100
 WINDOW, MAX_WINDOWED, LEAST_WORDS = 5, 20, 10
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 

@@ -36,7 +36,8 @@ def op2_urls(spark, sf_dir):
 
 def op3_quality(spark, sf_dir):
     found = quality.assess(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    passage = (F.col("longest_repeat") > quality.MAX_REPEAT).alias("repeats_passage")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words", passage)
 
 
 def op4_toxicity(spark, sf_dir):
@@ -126,7 +127,8 @@ f as (select doc_id, len(words)::bigint as n_words, length(regexp_replace(text,
              coalesce(n5, 0)::bigint as n_repeat_words, coalesce(n10, 0) as n10, coalesce(far, 0) as far
       from w left join s using (own) left join l using (own))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
-       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 100 * n10 <= 30 * n_words and far = 0 as kept from f""",
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 100 * n10 <= 15 * n_words and far = 0 as kept,
+       n10::bigint as n_covered_words, far > 0 as repeats_passage from f""",
     "op6_warc": r"""
 with p as (select page_id, coalesce(html, '') as html from pages),
 h as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha256(html) as payload_digest from p),

@@ -121,7 +121,9 @@ def fits(host, path, rule_host, rule_path):
     return (host == rule_host or host.endswith("." + rule_host) or rule_host == "") and path.startswith(rule_path)
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("unrolled", [urls.UNROLLED, 0])
+def test_urls(spark, monkeypatch, unrolled):
+    monkeypatch.setattr(urls, "UNROLLED", unrolled)
     rnd = random.Random(3)
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"), ("block", "a.b.net", ""), ("allow", "", "/never")]
     hosts = ["com", "Example.COM", "x.example.com", "badexample.com", "example.net", "a.b.net", "q.a.b.net", "org", "", "example.com:80", "u@example.com", "é.com"]
@@ -145,6 +147,14 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.judge(pages, []).collect()} == {"allow"}
 
 
+def test_urls_with_thousands_of_shapes(spark):
+    rules = [("block", host, "/" + "p" * n) for n in range(2500) for host in ("com", "a.org")]
+    asked = [("x.com", 0), ("com", 7), ("a.org", 2499), ("b.a.org", 1200), ("org", 5), ("com", 4000)]
+    pages = spark.createDataFrame([(i, f"http://{h}/{'p' * n}/q") for i, (h, n) in enumerate(asked)], "page_id long, url string")
+    found = {r["page_id"]: r["rule"] for r in urls.judge(pages, rules).collect()}
+    assert found == {0: "com/", 1: "com/" + "p" * 7, 2: "a.org/" + "p" * 2499, 3: "a.org/" + "p" * 1200, 4: None, 5: "com/" + "p" * 2499}
+
+
 # Quality
 
 
@@ -174,7 +184,9 @@ def test_quality(docs, rows, empty):
         assert (r["n_words"], r["word_chars"], r["n_symbols"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)))
         assert (r["n_dup_lines"], r["n_repeat_words"]) == (len(lines) - len(set(lines)), n5)
         assert r["base_failed"] == (len(w) < 10 or 100 * n5 > 20 * len(w))
-        assert not (r["base_failed"] and r["kept"])
+        longest = max([k for k in range(1, min(len(w), 130)) if brute_repeats(w, k)], default=0) if len(w) < 1000 else r["longest_repeat"]
+        assert (r["n_covered_words"], min(129, r["longest_repeat"])) == (brute_repeats(w, 10), longest)
+        assert r["kept"] == (not r["base_failed"] and 100 * r["n_covered_words"] <= 15 * len(w) and longest <= 100)
     kept = quality.accepted(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in found)
     assert quality.assess(empty).count() == 0 and quality.accepted(empty).count() == 0
@@ -187,6 +199,14 @@ def test_longest_repeat_rejects():
     assert most.tolist() == [120, 0] and failed.tolist() == [False, False] and kept.tolist() == [False, True]
 
 
+def test_covered_words_reject_what_the_base_rule_keeps():
+    line = " ".join(f"w{i}" for i in range(12))
+    other = " ".join(f"v{i}" for i in range(120))
+    *_, windowed, long_ones, most, failed, kept = quality.judge_texts([f"{line} {other} {line}", f"{line} {other} {other[:3]}"])
+    assert windowed.tolist() == [24, 0] and long_ones.tolist() == [24, 0] and most.tolist() == [12, 1]
+    assert failed.tolist() == [False, False] and kept.tolist() == [False, True]
+
+
 # Toxicity
 
 
@@ -542,6 +562,22 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+def test_overfull_ranges_of_several_keys_are_subdivided(spark, monkeypatch):
+    """Splitters that miss a heavy part of the key space: its ranges are cut again until each holds its share or one text."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string"), F.repeat(F.lit("x"), 50)).alias("text"))
+    rows = sharding.light_records(docs)
+    drawn, asked = sharding.splitters, []
+
+    def bad(rows, ranges, total):
+        asked.append(ranges)
+        return [] if len(asked) < 3 else drawn(rows, ranges, total)
+
+    monkeypatch.setattr(sharding, "splitters", bad)
+    _, sums, fine = sharding.ranges_of(rows, 64)
+    assert len(asked) >= 3 and all(r["bytes"] <= sharding.OVERFULL * fine or r["hi"] == r["lo"] for r in sums)
+    assert sum(r["bytes"] for r in sums) == rows.agg(F.sum("size")).first()[0]
+
+
 def test_hot_text_is_subdivided(spark):
     rows = [(i, "the same text " * 20) for i in range(3000)] + [(3000 + i, f"text number {i} " * (1 + i % 9)) for i in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
