@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Hashed slots, 64 to a word, that mark keys: at most 2^20 words of 16 bytes are broadcast, whatever the input's size.
+SLOTS = 1 << 26
+
 _own_dir: list[str] = []
 
 
@@ -34,6 +37,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path that no later step reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
@@ -50,6 +59,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def told_apart(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose key surely isn't in ids' `__gone`, and the rest, told apart by a broadcast bitmap of bounded size."""
+    bit = F.expr("shiftleft(1L, cast(__slot & 63 as int))")
+    words = ids.select(F.xxhash64("__gone").bitwiseAND(F.lit(SLOTS - 1)).alias("__slot"))
+    words = words.groupBy(F.shiftright("__slot", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(docs[key]).bitwiseAND(F.lit(SLOTS - 1)).alias("__slot"))
+    marked = rows.join(F.broadcast(words), F.shiftright("__slot", 6) == F.col("__word"), "left")
+    doubtful = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    return tuple(marked.filter(x).select("row.*") for x in (~doubtful, doubtful))
+
+
 def blocks(batches, column: str, limit: int = 1 << 20):
     """Slices of Arrow batches of at most about `limit` bytes of text each (a longer text is a slice of its own)."""
     import numpy as np

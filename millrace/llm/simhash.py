@@ -23,11 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import shingles
-from millrace.llm.common import blocks, materialise
+from millrace.llm.common import blocks, materialise, told_apart
 
 RADIUS, SHINGLE, SEED, SHARD_LIMIT = 2, 3, 42, 512
-#: Hashed slots, 64 to a word, that mark ids: at most 2^20 words of 16 bytes are broadcast, whatever the input's size.
-SLOTS = 1 << 26
 
 
 def fingerprints(texts: list[str | None]) -> np.ndarray:
@@ -222,7 +220,7 @@ def _by_similarity(docs, text, doc_id, shingle, similarity):
     """Rows (doc_id, fp) and classes (fp, root, component_id) of sets of word shingles at least so similar."""
     prints = materialise(shingles.sketches(docs, text, (doc_id,), shingle).withColumnRenamed(doc_id, "doc_id"), "sketches")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "distinct")
-    rows_of = lambda rows, fps: _marked(rows, "fp", fps.select(F.col("fp").alias("__gone")))[1]
+    rows_of = lambda rows, fps: told_apart(rows, "fp", fps.select(F.col("fp").alias("__gone")))[1]
     edges = shingles.links(prints, distinct, similarity, rows_of)
     return prints.select("doc_id", "fp"), _classes(distinct.select("fp", "least"), edges)
 
@@ -237,24 +235,13 @@ def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _marked(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs whose key surely isn't in ids' `__gone`, and the rest, told apart by a broadcast bitmap."""
-    bit = F.expr("shiftleft(1L, cast(__slot & 63 as int))")
-    words = ids.select(F.xxhash64("__gone").bitwiseAND(F.lit(SLOTS - 1)).alias("__slot"))
-    words = words.groupBy(F.shiftright("__slot", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(docs[key]).bitwiseAND(F.lit(SLOTS - 1)).alias("__slot"))
-    marked = rows.join(F.broadcast(words), F.shiftright("__slot", 6) == F.col("__word"), "left")
-    doubtful = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
-    return tuple(marked.filter(x).select("row.*") for x in (~doubtful, doubtful))
-
-
 def without_ids(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
     """The rows of docs whose id isn't in gone's `__gone`; a null id stays.
 
     A broadcast bitmap of bounded size tells most rows that stay at once, so their texts aren't shuffled; only rows whose
     slot is marked (those that go, and others of the same slot) meet the exact join. A full bitmap leaves all to the join.
     """
-    sure, rest = _marked(docs, doc_id, gone)
+    sure, rest = told_apart(docs, doc_id, gone)
     rest = rest.select(F.struct("*").alias("row")).join(gone, F.col("row").getField(doc_id) == F.col("__gone"), "left_anti")
     return sure.unionByName(rest.select("row.*"))
 
@@ -278,7 +265,7 @@ def one_of_each(docs: DataFrame, text="text", doc_id="doc_id", radius: int = RAD
     if not again.limit(1).count():
         return without_ids(docs, doc_id, gone)
     # Of an id's rows those of a class it names stay, one for each class: the least by text, then by the other columns.
-    rows = _marked(docs, doc_id, again)[1]
+    rows = told_apart(docs, doc_id, again)[1]
     rows = rows.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text")).join(again, F.col("id") == F.col("__gone"), "left_semi")
     columns = ("row", "id", "text")
     rows = fingerprint(rows, "text", columns) if similarity is None else shingles.sketches(rows, "text", columns, shingle, whole=False)

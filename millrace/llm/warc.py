@@ -7,10 +7,12 @@ index alone. Every file is written under a name of the attempt and then renamed,
 files are in the shared folder, reached by open() for file: and by pyarrow's filesystems else.
 
 Revisits: of records with equal payloads of at least 100 bytes that with the least page_id is a response; the others
-become revisit records that name it and carry the payload's digest and length but no payload.
+become revisit records that name it and carry the payload's digest and length but no payload. Digests, not payloads, are
+shuffled to find equal ones; only payloads that may be repeated then move.
 
 Defined results: a null payload is empty; rows that repeat the least page_id of a payload are all responses; a null
-page_id is written as an empty one and reads back null; an empty table writes no archive.
+page_id is written as an empty one and reads back null; an empty table writes no archive; payloads of any length are
+written whole, records are read back one at a time; other columns, whatever their names, stay out.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, materialise, scratch_path
+from millrace.llm.common import blocks, drop_path, materialise, scratch_path, told_apart
 
 LEAST_REVISIT = 100
 #: Payload bytes after which a task starts another archive.
@@ -58,14 +60,6 @@ class Store:
 
         os.makedirs(self.root, exist_ok=True) if self.fs is None else self.fs.create_dir(self.root, recursive=True)
 
-    def remove(self, name: str) -> None:
-        import os
-
-        if self.fs is not None:
-            self.fs.delete_file(f"{self.root}/{name}")
-        elif os.path.exists(f"{self.root}/{name}"):
-            os.remove(f"{self.root}/{name}")
-
 
 class _Renamed:
     """A file that has its name only once it is whole."""
@@ -89,13 +83,13 @@ class _Renamed:
             self.store.fs.move(self.own, self.path)
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    """One WARC record; the payload is that of a response, and only counted in a revisit."""
+def record(page_id, url: str | None, payload: bytes, size: int, digest: str, kind: str, refers_to) -> bytes:
+    """One WARC record; a revisit has the size and the digest of its payload, but no payload."""
     body = payload if kind == "response" else b""
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {quote(url or '', safe='%/:=&?~#+!$,;@()*[]')}", "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8",
+        f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}", "Content-Type: text/html; charset=utf-8",
     ]
     if kind == "revisit":
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -152,15 +146,19 @@ def page_number(urn: str):
 
 
 def with_revisits(pages: DataFrame, page_id="page_id", url="url", html="html") -> DataFrame:
-    """page_id, url, payload, digest, kind, refers_to: which records become revisits, and of which."""
+    """page_id, url, payload, payload_bytes, digest, kind, refers_to: which records become revisits (without their payload), and of which."""
     text = F.coalesce(F.col(html), F.lit(""))
-    raw = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), text.alias("payload"), F.sha2(text, 256).alias("digest"))
-    rows = raw.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    groups = raw.filter(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    groups = groups.filter("n > 1 and first is not null").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = rows.join(groups, ["digest", "salt"], "left")
+    raw = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), text.alias("payload"), F.octet_length(text).cast("long").alias("payload_bytes"), F.sha2(text, 256).alias("digest"))
+    light = materialise(raw.filter(F.col("payload_bytes") >= LEAST_REVISIT).select("page_id", "digest"), "digests")
+    groups = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    groups = materialise(groups.select("digest", "first"), "repeated")
+    alone, rest = told_apart(raw, "digest", groups.select(F.col("digest").alias("__gone")))
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = rest.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return met.select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
+    columns = ["page_id", "url", "payload_bytes", "digest"]
+    met = met.select(*columns, F.when(again, "").otherwise(F.col("payload")).alias("payload"), F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
+    return alone.select(*columns, "payload", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers_to")).unionByName(met)
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -177,28 +175,28 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
             z = zlib.compressobj(1, zlib.DEFLATED, 31)
             with store.write(name) as out:
                 while block is not None and size < archive_bytes:
-                    for page, url, payload, digest, kind, first in zip(*(c.to_pylist() for c in block.columns)):
+                    for page, url, payload, length, digest, kind, first in zip(*(c.to_pylist() for c in block.columns)):
                         raw = payload.encode()
-                        out.write(z.compress(record(page, url, raw, digest, kind, first)))
+                        out.write(z.compress(record(page, url, raw, length, digest, kind, first)))
                         size, n = size + len(raw), n + 1
                     block = next(parts, None)
                 out.write(z.flush())
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["archive", "records"])
             k += 1
 
-    return records.select("page_id", "url", "payload", "digest", "kind", "refers_to").mapInArrow(run, "archive string, records long")
+    return records.select("page_id", "url", "payload", "payload_bytes", "digest", "kind", "refers_to").mapInArrow(run, "archive string, records long")
 
 
-def normalise(archives: DataFrame, folder: str, drop_sources: bool = False) -> DataFrame:
-    """Rewrite each archive with a member per record and a sidecar index; (archive, index, records) of each."""
+def normalise(archives: DataFrame, source_folder: str, folder: str) -> DataFrame:
+    """Rewrite each archive with a member per record and a sidecar index, into `folder`; (archive, index, records) of each."""
 
     def run(batches):
-        store = Store(folder)
+        sources, store = Store(source_folder), Store(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 done, at, n = name.replace("crawl-", "members-", 1), 0, 0
                 index = done.removesuffix(".warc.gz") + ".index.jsonl"
-                with store.read(name) as source, store.write(done) as out, store.write(index) as side:
+                with sources.read(name) as source, store.write(done) as out, store.write(index) as side:
                     for raw in split_records(inflate(source)):
                         fields, _ = parse(raw[: raw.find(b"\r\n\r\n") + 4])
                         z = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -242,10 +240,15 @@ def read_records(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def through_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, **columns) -> DataFrame:
-    """Write pages to monolithic archives, normalise them, and read all records back by their indexes."""
-    folder = scratch_path(pages.sparkSession, "warc")
+    """Write pages to monolithic archives, normalise them, and read all records back by their indexes.
+
+    The monolithic archives go once their members and indexes are whole and the stage that made them has ended."""
+    spark = pages.sparkSession
+    crawl, folder = scratch_path(spark, "crawl"), scratch_path(spark, "warc")
+    Store(crawl).make()
     Store(folder).make()
-    written = materialise(write_archives(with_revisits(pages, **columns), folder, archive_bytes), "written")
-    spread = written.repartition(max(1, written.count()), "archive")
-    members = materialise(normalise(spread, folder), "members")
-    return read_records(members.repartition(max(1, written.count()), "archive"), folder)
+    written = materialise(write_archives(with_revisits(pages, **columns), crawl, archive_bytes), "written")
+    n = max(1, written.count())
+    members = materialise(normalise(written.repartition(n, "archive"), crawl, folder), "members")
+    drop_path(spark, crawl)
+    return read_records(members.repartition(n, "archive"), folder)

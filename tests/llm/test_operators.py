@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprints, mixing, packing, quality, sharding, simhash, tokens, toxicity, urls, warc
+from millrace.llm import common, fingerprints, mixing, packing, quality, sharding, simhash, tokens, toxicity, urls, warc
 from millrace.llm.common import word_count
 from millrace.llm.queries import tokenizer_file
 
@@ -407,7 +407,7 @@ def test_members_stand_alone(spark):
     import gzip
     import io
 
-    raw = [warc.record(i, "u", b"p" * i, "d", "response", None) for i in range(5)]
+    raw = [warc.record(i, "u", b"p" * i, i, "d", "response", None) for i in range(5)]
     for whole in (gzip.compress(b"".join(raw)), b"".join(map(gzip.compress, raw))):
         assert list(warc.split_records(warc.inflate(io.BytesIO(whole)))) == raw
     with pytest.raises(ValueError):
@@ -665,7 +665,7 @@ def test_rows_without_ids_are_whole_at_any_bitmap_size(spark, monkeypatch):
     expected = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] not in gone)
     ids = spark.createDataFrame([(i,) for i in sorted(gone)], "__gone long")
     for slots in (64, 1 << 10, 1 << 26):
-        monkeypatch.setattr(simhash, "SLOTS", slots)
+        monkeypatch.setattr(common, "SLOTS", slots)
         kept = simhash.without_ids(docs, "doc_id", ids)
         assert kept.columns == docs.columns
         assert collections.Counter(map(tuple, kept.collect())) == expected
