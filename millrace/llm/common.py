@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -59,6 +60,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sums_before(rows: DataFrame, order: list, sums: dict[str, Column], label: str) -> DataFrame:
+    """The rows with, for each name, the sum over the rows before in a total order, and `<name>_all`, that over all rows.
+
+    A range sort deals the rows; only a row of sums for each of its parts meets in one task.
+    """
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    kept = materialise(rows.withColumns({f"{n}__": c for n, c in sums.items()}).orderBy(*order).withColumns({"part__": F.spark_partition_id(), "at__": at}), label)
+    every = Window.partitionBy(F.lit(0)).orderBy("part__")
+    parts = kept.groupBy("part__").agg(*[F.sum(f"{n}__").alias(f"{n}__") for n in sums])
+    before = [F.coalesce(F.sum(f"{n}__").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{n}_base") for n in sums]
+    whole = [F.sum(f"{n}__").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"{n}_all") for n in sums]
+    parts = parts.select("part__", *before, *whole)
+    within = Window.partitionBy("part__").orderBy("at__").rowsBetween(Window.unboundedPreceding, -1)
+    own = [(F.col(f"{n}_base") + F.coalesce(F.sum(f"{n}__").over(within), F.lit(0))).alias(n) for n in sums]
+    return kept.join(F.broadcast(parts), "part__").select(*rows.columns, *own, *[f"{n}_all" for n in sums])
+
+
 def told_apart(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of docs whose key surely isn't in ids' `__gone`, and the rest, told apart by a broadcast bitmap of bounded size."""
     bit = F.expr("shiftleft(1L, cast(__slot & 63 as int))")

@@ -2,22 +2,27 @@
 
 Each source has a weight schedule over training time 0..1 (piecewise linear). The schedules' integrals are the
 sources' weights; water-filling turns them into word targets of at most `max_epochs` times a source's size. A source's
-documents, in a pseudo-random order fixed by doc_id and repeated up to `max_epochs` times, form its word stream; the
+documents, in a pseudo-random order fixed by doc_id and text and repeated up to `max_epochs` times, form its word stream; the
 stream ends at the target. Word number q of a source's demand is trained at the time where the integral of its schedule
 reaches q, so inverting the integral gives each document's position.
 
 Defined results: a null text has no words; a document without words is never taken; null sources form one source, the
-last; repeated rows are separate documents; an empty table gives an empty mix.
+last; repeated rows are separate documents; null and repeated doc_ids are told apart by their texts; an empty table gives an
+empty mix; texts of any length are taken whole; other columns, whatever their names, travel inside the struct `row`.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import materialise
+from millrace.llm.common import materialise, sums_before
 
+#: Rows of a range of a source's order, about.
+RANGE_ROWS = 1000
 #: Knots (time, weight) of the schedules that sources take in turn: early, steady and late. Integrals 1, 2, 3.
 CURRICULUM = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 1.5), (1.0, 4.5)))
 
@@ -47,43 +52,40 @@ def time_of(share: Column, segments: Column) -> Column:
 
 
 def source_targets(sources: DataFrame, cycle=CURRICULUM, max_epochs: int = 3) -> DataFrame:
-    """Targets of (key, source_size): one row per source, so one task orders them; texts and documents never come here.
+    """Targets of (key, source_size): one row per source; there may be as many sources as urls or users.
 
     Water level: with sources by rising cap / weight, the level is the largest of (all words - caps before) / weights
     from here on; a source's target is the lesser of its cap and weight * level.
     """
-    every = Window.partitionBy(F.lit(0))
-    by_name = every.orderBy(F.col("key") == "", "key")
-    by_cap = every.orderBy("cap_per_weight", "key")
-    k = F.col("turn")
+    named = sums_before(sources, [F.col("key") == "", "key"], {"place": F.lit(1)}, "source-places")
+    k = F.col("place") % len(cycle)
     weight, segments = F.lit(integral(cycle[-1])), _segments(cycle[-1])
     for i, knots in enumerate(cycle[:-1]):
         weight = F.when(k == i, F.lit(integral(knots))).otherwise(weight)
         segments = F.when(k == i, _segments(knots)).otherwise(segments)
-    ranked = sources.withColumn("turn", (F.row_number().over(by_name) - 1) % len(cycle)).withColumn("weight", weight)
-    ranked = ranked.withColumn("cap", F.lit(max_epochs) * F.col("source_size"))
-    ranked = ranked.withColumn("cap_per_weight", F.col("cap") / F.col("weight"))
-    before = F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
-    ranked = ranked.withColumn("level", (F.sum("source_size").over(every) - before) / after)
-    ranked = ranked.withColumn("level", F.max("level").over(every))
-    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level"))
+    ranked = named.select("key", "source_size", "place", weight.alias("weight"), (F.lit(max_epochs) * F.col("source_size")).alias("cap"))
+    by_cap = [F.col("cap") / F.col("weight"), F.col("key")]
+    ranked = sums_before(ranked, by_cap, {"caps": F.col("cap"), "weights": F.col("weight"), "words": F.col("source_size")}, "source-levels")
+    level = ranked.agg(F.max((F.col("words_all") - F.col("caps")) / (F.col("weights_all") - F.col("weights")))).first()[0]
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(float(level or 0)))
     demand = F.least(F.col("cap"), F.floor(target + F.lit(0.5)))
     return ranked.select("key", "source_size", target.alias("target"), demand.alias("demand"), segments.alias("segments"))
 
 
-def mix(docs: DataFrame, size: Column, doc_id="doc_id", source="source", cycle=CURRICULUM, max_epochs: int = 3, digits: int = 3) -> DataFrame:
-    """Each row as `row` (a struct of docs' columns) with size, source_size, target, taken and copies.
+def mix(docs: DataFrame, size: Column, doc_id="doc_id", source="source", tie: Column | None = None, cycle=CURRICULUM, max_epochs: int = 3, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Each row as `row` (a struct of docs' columns) with size, source_size, target, taken, order and copies.
 
-    copies: array of (copy, words, position). `digits`: hex digits of the order key that name a range of a source;
-    prefix sums run within the 16^digits ranges of a source and over the ranges' totals, so a hot source is spread.
+    copies: array of (copy, words, position). tie: tells rows of one doc_id, or of none, apart. Prefix sums run within
+    ranges of the order key, about `range_rows` rows each if all are of one source, and over the ranges' totals, so that a
+    hot source is spread.
     """
     key = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source)))
-    order = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    order = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("/"), F.lit("") if tie is None else tie))
+    digits = max(1, math.ceil(math.log(max(1, docs.count() / range_rows), 16)))
     rows = docs.select(F.struct("*").alias("row"), key.alias("key"), order.alias("order"), size.alias("size"))
     rows = rows.withColumn("range", F.substring("order", 1, digits))
     sizes = docs.select(key.alias("key"), F.substring(order, 1, digits).alias("range"), size.alias("size"))
-    # At most 16^digits rows a source, written once: two aggregations use them, and the texts are counted for one.
+    # At most 16^digits rows a source, a small part of the rows, written once: two aggregations use them, and the texts are counted for one.
     ranges = materialise(sizes.groupBy("key", "range").agg(F.sum("size").alias("range_size")), "ranges")
     targets = source_targets(ranges.groupBy("key").agg(F.sum("range_size").alias("source_size")), cycle, max_epochs)
     earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +108,7 @@ def mix(docs: DataFrame, size: Column, doc_id="doc_id", source="source", cycle=C
 
     copies = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), copy)).otherwise(F.expr("array()"))
     taken = F.col("size") * F.col("full") + F.col("part")
-    return out.select("row", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+    return out.select("row", "size", "source_size", "target", taken.alias("taken"), "order", copies.alias("copies"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -117,11 +119,11 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, size: Column, text="text", n_chars="n_chars", **options) -> DataFrame:
     """The mix as documents in training order: a row per copy; a copy that the target cuts short ends there."""
     columns = docs.columns
-    made = mix(docs, size, **options).select("row", "size", F.explode("copies").alias("c"))
+    made = mix(docs, size, tie=F.md5(F.coalesce(F.col(text), F.lit(""))), **options).select("row", "size", "order", F.explode("copies").alias("c"))
     cut = F.col("c.words") < F.col("size")
-    made = made.select("row", "c", F.when(cut, first_words(F.col(f"row.{text}"), F.col("c.words").cast("int"))).alias("cut"))
+    made = made.select("row", "order", "c", F.when(cut, first_words(F.col(f"row.{text}"), F.col("c.words").cast("int"))).alias("cut"))
     changed = {text: F.coalesce(F.col("cut"), F.col(f"row.{text}"))}
     if n_chars in columns:
         changed[n_chars] = F.when(F.col("cut").isNotNull(), F.length("cut").cast(docs.schema[n_chars].dataType)).otherwise(F.col(f"row.{n_chars}"))
-    made = made.orderBy("c.position", F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))), "c.copy")
+    made = made.orderBy("c.position", "order", "c.copy")
     return made.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in columns])

@@ -23,8 +23,8 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_mixing(spark, sf_dir):
-    docs = materialise(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n_words")), "sizes")
-    mix = mixing.mix(docs, F.col("n_words"))
+    docs = materialise(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n_words"), F.md5(F.coalesce("text", F.lit(""))).alias("tie")), "sizes")
+    mix = mixing.mix(docs, F.col("n_words"), tie=F.col("tie"))
     first = F.get("copies", F.lit(0))["position"]
     out = mix.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("copies"), F.round(first, 9).alias("position"))
     return out.orderBy("position", "doc_id")
@@ -83,7 +83,7 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 LLM_ORACLES = {
     "op1_mixing": rf"""
-with d as (select doc_id, source, len({_WORDS})::bigint as size, md5(coalesce(doc_id::varchar, '')) as o,
+with d as (select doc_id, source, len({_WORDS})::bigint as size, md5(coalesce(doc_id::varchar, '') || '/' || md5(coalesce(text, ''))) as o,
                   case when source is null then '' else '=' || source end as k from documents),
 s as (select k, sum(size)::bigint as source_size from d group by k),
 r as (select *, (row_number() over (order by (k = ''), k) - 1) % 3 as turn from s),

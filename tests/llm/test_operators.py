@@ -96,7 +96,7 @@ def test_mixed_documents(docs, empty):
     again = [mixing.mixed_documents(docs, word_count(F.col("text"))).collect() for _ in range(2)]
     assert again[0] == again[1]
     assert again[0][0].asDict().keys() == set(docs.columns)
-    by = {(r["row"]["doc_id"], r["size"]): r for r in mixing.mix(docs, word_count(F.col("text"))).collect()}
+    by = {(r["row"]["doc_id"], r["size"]): r for r in mixing.mix(docs, word_count(F.col("text")), tie=F.md5(F.coalesce("text", F.lit("")))).collect()}
     for (i, size), r in by.items():
         if i is not None and i != 39 and r["row"]["text"]:
             out = [x for x in again[0] if x["doc_id"] == i]
@@ -105,6 +105,19 @@ def test_mixed_documents(docs, empty):
     assert mixing.mixed_documents(empty, word_count(F.col("text"))).count() == 0
 
 
+def test_mix_of_many_sources_and_null_ids(spark):
+    """As many sources as rows, half the ids null: targets follow the water level, and null ids spread over ranges."""
+    n = 20_000
+    docs = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("name"), F.concat(F.lit("s"), F.col("id")).alias("source"), (F.col("id") % 50 + 1).alias("n"), F.col("id").cast("string").alias("text"))
+    made = mixing.mix(docs, F.col("n"), doc_id="name", tie=F.md5("text")).select("row.source", "size", "target", "taken", F.substring("order", 1, 1).alias("o"), "row.name").collect()
+    sizes = {r["source"]: r["size"] for r in made}
+    target = water_fill(sizes, {s: 1 + i % 3 for i, s in enumerate(sorted(sizes))})
+    assert len(made) == n and all(r["target"] == pytest.approx(target[r["source"]]) and abs(r["taken"] - r["target"]) <= 0.5 for r in made)
+    assert len({r["o"] for r in made if r["name"] is None}) == 16
+    out = mixing.mixed_documents(docs, F.col("n"), doc_id="name", n_chars="none")
+    assert out.columns == docs.columns and out.agg(F.countDistinct("source")).first()[0] == sum(r["taken"] > 0 for r in made)
+
+
 def test_schedule_with_several_knots(spark):
     knots = ((0.0, 0.0), (0.2, 3.0), (0.6, 3.0), (0.8, 0.0), (1.0, 0.0))
     grid = spark.range(0, 101).select((F.col("id") / 100).alias("q"))
