@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +45,29 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+@contextmanager
+def discarding(spark: SparkSession):
+    """Delete what is materialised inside, but for the frames put into the list that is yielded."""
+    start, kept = len(_written), []
+    yield kept
+    stay = {df.scratch_path for df in kept}
+    for path in _written[start:]:
+        if path not in stay:
+            drop_path(spark, path)
+    _written[start:] = [p for p in _written[start:] if p in stay]
 
 
 def word_count(text: Column) -> Column:

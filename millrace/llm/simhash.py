@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import shingles
-from millrace.llm.common import blocks, materialise, told_apart
+from millrace.llm.common import blocks, discarding, materialise, told_apart
 
 RADIUS, SHINGLE, SEED, SHARD_LIMIT = 2, 3, 42, 512
 
@@ -221,13 +221,15 @@ def _by_similarity(docs, text, doc_id, shingle, similarity):
     prints = materialise(shingles.sketches(docs, text, (doc_id,), shingle).withColumnRenamed(doc_id, "doc_id"), "sketches")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "distinct")
     rows_of = lambda rows, fps: told_apart(rows, "fp", fps.select(F.col("fp").alias("__gone")))[1]
-    edges = shingles.links(prints, distinct, similarity, rows_of)
+    edges = shingles.links(prints, distinct, similarity, rows_of, components)
     return prints.select("doc_id", "fp"), _classes(distinct.select("fp", "least"), edges)
 
 
 def near_duplicates(docs: DataFrame, text="text", doc_id="doc_id", radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of the class) of every row."""
-    prints, classes = _by_bits(docs, text, doc_id, radius, shard_limit)
+    with discarding(docs.sparkSession) as kept:
+        prints, classes = _by_bits(docs, text, doc_id, radius, shard_limit)
+        kept += [prints, classes]
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -253,13 +255,15 @@ def one_of_each(docs: DataFrame, text="text", doc_id="doc_id", radius: int = RAD
     """
     if similarity is None and shingle != SHINGLE:
         raise ValueError("another shingle size needs a similarity")
-    if similarity is None:
-        prints, classes = _by_bits(docs, text, doc_id, radius, shard_limit)
-    else:
-        prints, classes = _by_similarity(docs, text, doc_id, shingle, similarity)
-    found = prints.join(classes, "fp").filter("doc_id is not null")
-    named = F.bool_or(F.col("doc_id") == F.col("component_id"))
-    ids = materialise(found.groupBy("doc_id").agg(named.alias("named"), F.count("*").alias("times")), "named")
+    with discarding(docs.sparkSession) as kept:
+        if similarity is None:
+            prints, classes = _by_bits(docs, text, doc_id, radius, shard_limit)
+        else:
+            prints, classes = _by_similarity(docs, text, doc_id, shingle, similarity)
+        found = prints.join(classes, "fp").filter("doc_id is not null")
+        named = F.bool_or(F.col("doc_id") == F.col("component_id"))
+        ids = materialise(found.groupBy("doc_id").agg(named.alias("named"), F.count("*").alias("times")), "named")
+        kept += [ids, classes]
     again = ids.filter("named and times > 1").select(F.col("doc_id").alias("__gone"))
     gone = ids.filter("not named").select(F.col("doc_id").alias("__gone"))
     if not again.limit(1).count():

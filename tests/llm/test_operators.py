@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import common, fingerprints, mixing, packing, quality, sharding, simhash, tokens, toxicity, urls, warc
+from millrace.llm import common, fingerprints, mixing, packing, quality, sharding, shingles, simhash, tokens, toxicity, urls, warc
 from millrace.llm.common import word_count
 from millrace.llm.queries import tokenizer_file
 
@@ -710,6 +710,32 @@ def test_one_of_each_by_shingle_similarity(spark):
     assert simhash.one_of_each(docs.limit(0), shingle=5, similarity=0.8).count() == 0
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """500 copies of one text with edits, most pairs under 0.8: the classes of all pairs, found with few comparisons."""
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(500):
+        w = list(base)
+        for at in rnd.sample(range(150), rnd.randint(2, 9)):
+            w[at] = rnd.choice("abcdefgh")
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    root = list(range(500))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and len(a & b) >= 0.8 * len(a | b):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    compared, confirmed = [], shingles.confirmed
+    monkeypatch.setattr(shingles, "confirmed", lambda pairs, sets, similarity: compared.append(pairs.count()) or confirmed(pairs, sets, similarity))
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs, shingle=5, similarity=0.8).collect()}
+    want = {i for i, r in enumerate(root) if r == i}
+    assert want <= kept and len(kept) <= len(want) + 2
+    assert sum(compared) < 500 * 2 * shingles.BANDS
+
+
 @pytest.mark.parametrize("options", [{}, {"shingle": 5, "similarity": 0.8}])
 def test_unlike_texts_of_one_id_stay(spark, options):
     rnd = random.Random(8)
