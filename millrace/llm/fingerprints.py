@@ -9,7 +9,8 @@ Rows are ordered within ranges of falling doc_id whose splitters are doc_ids of
 goes to the range before it, as a ghost behind its last, so that "the next document" needs no other range.
 
 Defined results: a null text is empty; a text without words has the code ffffffff in every lane; of rows with equal doc_id
-the lesser text comes first; null doc_ids come last; a single row is its own next; an empty table gives an empty result.
+the lesser text comes first; null doc_ids come last, by the hashes of their texts; a single row is its own next; an empty table
+gives an empty result; texts of any length are taken whole, by their words' counts; other columns, whatever their names, stay out.
 """
 
 from __future__ import annotations
@@ -25,43 +26,47 @@ LANES, GROUP = 32, 8
 RANGE_ROWS, MOST_RANGES = 1500, 1 << 14
 
 
-def splitters(docs: DataFrame, doc_id: str, range_rows: int = RANGE_ROWS) -> list[int]:
-    """Falling doc_ids of the table that cut it into about equal ranges; the first is the largest."""
-    n, most = docs.agg(F.count(doc_id), F.max(doc_id)).first()
+def order_key(doc_id: str, text: str) -> Column:
+    """doc_id; of a row without one a number below -2^62 - 2^61 by its text's hash, so that many such rows part into ranges, too."""
+    spread = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 3)
+    return F.coalesce(F.col(doc_id).cast("long"), spread - F.lit(1 << 62) - F.lit(1 << 62))
+
+
+def splitters(keys: DataFrame, range_rows: int = RANGE_ROWS) -> list[int]:
+    """Falling keys of the column `key` that cut it into about equal ranges; the first is the largest."""
+    n, most = keys.agg(F.count("key"), F.max("key")).first()
     if not n:
         return []
     parts = max(1, min(MOST_RANGES, n // range_rows))
-    at = docs.agg(F.percentile_approx(doc_id, [i / parts for i in range(1, parts + 1)], 20 * parts)).first()[0]
-    return sorted({most, *at}, reverse=True)
+    at = keys.agg(F.percentile_approx("key", [i / parts for i in range(1, parts + 1)], 20 * parts)).first()[0]
+    cuts = sorted({most, *at}, reverse=True)
+    # Percentiles are doubles inside: the largest key of each range stands for it, exactly.
+    heads = keys.groupBy(range_of(F.col("key"), cuts).alias("range")).agg(F.max("key").alias("key")).collect()
+    return sorted((r["key"] for r in heads), reverse=True)
 
 
 def range_of(key: Column, cuts: list[int]) -> Column:
-    """How many of the falling cuts are >= key, less one, by binary search; null keys go to the last range."""
+    """How many of the falling cuts are >= key, less one, by binary search."""
     n = len(cuts)
     if n < 2:
         return F.lit(0)
     values = F.array(*[F.lit(v).cast("long") for v in cuts])
     steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
-    found = F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= n) & (F.get(values, lo + s - 1) >= key), lo + s).otherwise(lo))
-    return F.when(key.isNull(), F.lit(n - 1)).otherwise(found - 1)
+    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= n) & (F.get(values, lo + s - 1) >= key), lo + s).otherwise(lo)) - 1
 
 
 def with_next(docs: DataFrame, doc_id="doc_id", text="text", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """range, place, ghost, doc_id, text, next_text: the rows of each range in falling doc_id, ghosts last."""
-    cuts = splitters(docs, doc_id, range_rows)
+    """range, place, ghost, doc_id, text, next_text: the rows of each range in falling key, ghosts last."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), order_key(doc_id, text).alias("key"))
+    cuts = splitters(rows.select("key"), range_rows)
     n = max(1, len(cuts))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = rows.withColumn("own", range_of(F.col("doc_id"), cuts))
-    first = F.get(F.array(*[F.lit(v).cast("long") for v in cuts]), F.col("own")) == F.col("doc_id") if cuts else F.lit(False)
-    ghost = F.pmod(F.col("own") - 1, F.lit(n))
-    both = F.when(first, F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("ghost")), F.struct(ghost.alias("range"), F.lit(True).alias("ghost"))))
-    rows = rows.select("doc_id", "text", F.explode(F.coalesce(both, F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("ghost"))))).alias("r"))
-    rows = rows.select("doc_id", "text", "r.range", "r.ghost")
-    order = Window.partitionBy("range").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
-    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
-    if not cuts:  # only null doc_ids: no row heads a range, the first follows the last
-        rows = rows.withColumn("next_text", F.coalesce("next_text", F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    return rows
+    rows = rows.withColumn("own", range_of(F.col("key"), cuts))
+    first = F.get(F.array(*[F.lit(v).cast("long") for v in cuts]), F.col("own")) == F.col("key") if cuts else F.lit(False)
+    own, ghost = F.struct(F.col("own").alias("range"), F.lit(False).alias("ghost")), F.struct(F.pmod(F.col("own") - 1, F.lit(n)).alias("range"), F.lit(True).alias("ghost"))
+    rows = rows.select("doc_id", "text", "key", F.explode(F.when(first, F.array(own, ghost)).otherwise(F.array(own))).alias("r"))
+    rows = rows.select("doc_id", "text", "key", "r.range", "r.ghost")
+    order = Window.partitionBy("range").orderBy("ghost", F.col("key").desc(), "text")
+    return rows.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order)).drop("key")
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -178,11 +178,11 @@ def _pairs(out):
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node reachable. Hot nodes' rows meet in AQE's skew joins."""
     stars = materialise(edges.select("a", "b"), "links")
     last = None
-    for _ in range(most_rounds):
+    while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = least.select("a", F.least("a", "m").alias("m"))
@@ -194,11 +194,8 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         # Equal counts and sums of both ends: the stars of this round are those of the last.
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
-            break
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = now
-    else:
-        raise RuntimeError(f"no fixed point in {most_rounds} rounds")
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _classes(distinct: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common, fingerprints, mixing, packing, quality, sharding, shingles, simhash, tokens, toxicity, urls, warc
 from millrace.llm.common import word_count
-from millrace.llm.queries import tokenizer_file
+from millrace.llm.queries import LLM_QUERIES, tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, row string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -374,6 +374,59 @@ def test_fingerprints(spark, docs, rows, empty):
     assert fingerprints.fingerprint_neighbours(docs.filter("doc_id is null")).count() == 1
 
 
+def drawn(text, lanes=fingerprints.LANES):
+    """The signature of a text by the definition, term by term."""
+    from xxhash import xxh64_intdigest
+
+    signed = lambda x: x - (x >> 63 << 64)
+    put = lambda x, size: (x % (1 << 8 * size)).to_bytes(size, "little")
+    counts, out = collections.Counter(WORDS.findall(text or "")), []
+    for lane in range(lanes):
+        group, i = divmod(lane, fingerprints.GROUP)
+        best = None
+        for word, n in counts.items():
+            term = signed(xxh64_intdigest(word.encode(), 42))
+            x, y = (xxh64_intdigest(put(group * 2 * fingerprints.GROUP + 2 * i + k, 4), xxh64_intdigest(put(term, 8), 42)) for k in (0, 1))
+            part = lambda bits, shift, width: (((bits >> shift) & ((1 << width) - 1)) + 0.5) * 2.0**-width
+            r, b = -np.log(part(x, 0, 21) * part(x, 21, 21)), part(x, 42, 22)
+            c = -np.log(part(y, 0, 32) * part(y, 32, 32))
+            t = int(np.floor(np.log(n) / r + b))
+            a = np.log(c) - r * (t - b + 1.0)
+            code = xxh64_intdigest(put(t, 8), xxh64_intdigest(put(term, 8), 42)) & 0xFFFFFFFF
+            best = min(best or (a, code), (a, code))
+        out.append(best[1] if best else 0xFFFFFFFF)
+    return out
+
+
+def test_signatures_by_definition(docs, rows):
+    made = {r["doc_id"]: r for r in fingerprints.fingerprint_neighbours(docs).collect()}
+    for i, t, *_ in rows[:40]:
+        assert list(made[i]["sig_text"]) == drawn(t)
+
+
+def test_near_columns_of_the_query(spark, tmp_path, rows):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in LLM_QUERIES["op5_fingerprints"](spark, str(tmp_path)).collect() if r["doc_id"] != 39}
+    order = sorted({r[0]: r for r in rows if r[0] is not None}.values(), key=lambda r: -r[0])
+    for a, b in zip(order, order[1:]):
+        if 39 in (a[0], b[0]):
+            continue
+        t, u = a[1] or "", b[1] or ""
+        n = len(t) // 3
+        own, edited, following = drawn(t), drawn(t[: len(t) - n] + u[:n]), drawn(u)
+        share = lambda x, y: sum(i == j for i, j in zip(x, y)) / len(x)
+        assert found[a[0]]["fingerprint"] == "".join(f"{c:08x}" for c in own)
+        assert (found[a[0]]["near_edited"], found[a[0]]["near_next"]) == (share(own, edited), share(own, following))
+
+
+def test_rows_without_ids_part_into_ranges(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    placed = fingerprints.with_next(docs, range_rows=100)
+    assert placed.filter("not ghost").groupBy("range").count().agg(F.max("count")).first()[0] < 400
+    made = placed.filter("not ghost").collect()
+    assert len(made) == 4000 and {r["next_text"] for r in made} == {r["text"] for r in made}
+
+
 def test_collisions_follow_generalised_jaccard(spark):
     rnd = random.Random(8)
     rows = []
