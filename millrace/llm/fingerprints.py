@@ -65,7 +65,8 @@ def with_next(docs: DataFrame, doc_id="doc_id", text="text", range_rows: int = R
     own, ghost = F.struct(F.col("own").alias("range"), F.lit(False).alias("ghost")), F.struct(F.pmod(F.col("own") - 1, F.lit(n)).alias("range"), F.lit(True).alias("ghost"))
     rows = rows.select("doc_id", "text", "key", F.explode(F.when(first, F.array(own, ghost)).otherwise(F.array(own))).alias("r"))
     rows = rows.select("doc_id", "text", "key", "r.range", "r.ghost")
-    order = Window.partitionBy("range").orderBy("ghost", F.col("key").desc(), "text")
+    # doc_id adds nothing to the order, but keeps the exchange alike for all that reads these rows, so that it is reused.
+    order = Window.partitionBy("range").orderBy("ghost", F.col("key").desc(), "doc_id", "text")
     return rows.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order)).drop("key")
 
 
