@@ -39,15 +39,15 @@ def single_spaced_words(text: Column) -> Column:
 def token_chunks(texts: DataFrame, size: int, overlap: int) -> DataFrame:
     """doc_id, chunk_id, start_index, n_tokens, text: windows over the words of texts normalized to single spaces."""
     stride = size - overlap
-    rows = texts.filter("text <> ''").select("doc_id", "text", single_spaced_words(F.col("text")).alias("n"))
-    last = F.greatest(F.lit(0), F.ceil((F.col("n") - size) / stride)).cast("long")
-    rows = rows.withColumn("chunk_id", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    first = F.col("chunk_id") * stride
-    stop = F.least(F.col("n"), first + size)
-    before = F.expr(f"substring_index(text, ' ', int(chunk_id * {stride}))")
-    upto = F.expr(f"substring_index(text, ' ', int(least(n, chunk_id * {stride} + {size})))")
-    start = F.when(first > 0, F.length(before) + 1).otherwise(0).cast("long")
-    return rows.select("doc_id", "chunk_id", start.alias("start_index"), (stop - first).alias("n_tokens"), F.substring(upto, start.cast("int") + 1, F.length("text")).alias("text"))
+    long = lambda c: c.cast("long")
+    # Words are split once a text and each is joined into its chunks once; more than one use keeps them a column of their own.
+    rows = texts.filter("text <> ''").select("doc_id", F.split("text", " ").alias("w"))
+    steps = F.sequence(F.lit(0).cast("long"), long(F.greatest(F.lit(0), F.ceil((F.size("w") - size) / stride))))
+    part = lambda k, n: F.array_join(F.slice(F.col("w"), (k * stride + 1).cast("int"), F.lit(n)), " ")
+    rows = rows.select("doc_id", "w", F.transform(steps, lambda k: long(F.length(part(k, stride))) + 1).alias("sizes"))
+    start = lambda k: F.aggregate(F.slice(F.col("sizes"), F.lit(1), k.cast("int")), F.lit(0).cast("long"), lambda s, x: s + x)
+    row = lambda size_, k: F.struct(long(k).alias("chunk_id"), start(k).alias("start_index"), long(F.least(F.size("w"), k * stride + size) - k * stride).alias("n_tokens"), part(k, size).alias("text"))
+    return rows.select("doc_id", F.inline(F.transform(F.col("sizes"), row)))
 
 
 def character_chunks(texts: DataFrame, size: int = 2500, overlap: int = 100) -> DataFrame:
@@ -86,7 +86,7 @@ def reanchor(text: Column, chunks: Column) -> Column:
     """Where each chunk (array<string>, in order) starts: found after the start before it, else at its first occurrence, else -1."""
 
     def step(held, chunk):
-        after = F.locate_from(chunk, text, held["at"]) if hasattr(F, "locate_from") else F.call_function("locate", chunk, text, held["at"] + 2)
+        after = F.call_function("locate", chunk, text, held["at"] + 2)
         found = F.when(after > 0, after - 1).otherwise(F.call_function("locate", chunk, text, F.lit(1)) - 1)
         return F.struct(F.when(found >= 0, found).otherwise(held["at"]).alias("at"), F.concat(held["starts"], F.array(found)).alias("starts"))
 

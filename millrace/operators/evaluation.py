@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 
 
+@F.pandas_udf("array<long>")
+def _occurrences(texts: pd.Series, parts: pd.Series) -> pd.Series:
+    def starts(text, part):
+        found, at = [], text.find(part) if part else -1
+        while at >= 0:
+            found.append(at)
+            at = text.find(part, at + 1)
+        return found
+
+    return pd.Series([starts(t or "", p or "") for t, p in zip(texts, parts)])
+
+
 def occurrences(text: Column, part: Column) -> Column:
-    """All starts (from 0) of a part in a text, overlapping ones too."""
-    starts = F.filter(F.sequence(F.lit(1), F.length(text) - F.length(part) + 1), lambda i: F.substring(text, i, F.length(part)) == part)
-    return F.when((part != "") & F.contains(text, part), F.transform(starts, lambda i: (i - 1).cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    """All starts (from 0) of a part in a text, overlapping ones too; time follows the text's length."""
+    return _occurrences(text, part)
 
 
 def evidence_spans(evidence: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows of (eval_id, doc_id, page_num, quote) with lo and hi of each occurrence in the document's joined text."""
-    met = evidence.join(spans, ["doc_id", "page_num"]).withColumn("at", F.explode(occurrences(F.col("text"), F.col("quote"))))
+    met = evidence.join(spans, ["doc_id", "page_num"]).filter(F.contains("text", "quote")).withColumn("at", F.explode(occurrences(F.col("text"), F.col("quote"))))
     return met.select("eval_id", "doc_id", "page_num", (F.col("start") + F.col("at")).alias("lo"), (F.col("start") + F.col("at") + F.length("quote")).alias("hi"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordering import row_numbers
+
 GOOD = ("success", "partial_success")
 
 
@@ -15,11 +17,16 @@ def last_written(log: DataFrame, key: str, *order: str) -> DataFrame:
     return last.select(key, *[F.col(f"r.{c}").alias(c) for c in others])
 
 
-def summarise(rows: DataFrame, value: str, status: str = "status", good=GOOD) -> DataFrame:
-    """Totals and exact min, median, mean and max of a number over successful rows; 0 without any."""
-    v = F.when(F.col(status).isin(*good), F.coalesce(F.col(value), F.lit(0)))
+def summarise(rows: DataFrame, value: str, status: str = "status", good=GOOD, *, save) -> DataFrame:
+    """Totals and exact min, median, mean and max of a number over successful rows; 0 without any.
+
+    The median is the mean of the middle two of the rows in order, which are dealt by range: no task holds all values."""
+    v = save(rows.filter(F.col(status).isin(*good)).select(F.coalesce(F.col(value), F.lit(0)).cast("double").alias("v")))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return rows.agg(F.count(v).alias("profiled"), *[F.round(zero(f(v)), 6).alias(n) for n, f in (("total", F.sum), ("least", F.min), ("middle", F.median), ("mean", F.avg), ("most", F.max))])
+    whole = v.agg(F.count("v").alias("profiled"), *[F.round(zero(f("v")), 6).alias(n) for n, f in (("total", F.sum), ("least", F.min), ("mean", F.avg), ("most", F.max))])
+    places = row_numbers(v, "v", save=save).filter("rn in ((total + 1) div 2, (total + 2) div 2)")
+    middle = places.agg(F.round(zero(F.avg("v")), 6).alias("middle")).first()["middle"]
+    return whole.select("profiled", "total", "least", F.lit(middle).alias("middle"), "mean", "most")
 
 
 def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:

@@ -1,7 +1,7 @@
 """Lexical and dense ranking. Corpora are (idx, text), queries (qid, query); idx is the corpus order that breaks ties.
 
-Scores come from a posting join on tokens, so only documents that share a token with a query are scored; the others'
-ranks follow them in corpus order and are computed, not joined.
+Only tokens that some query has leave a document's row, so what is shuffled follows the queries, not the corpus. Only documents
+that share a token with a query are scored; the others' ranks follow them in corpus order and are computed, not joined.
 """
 
 from __future__ import annotations
@@ -13,64 +13,98 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import text as T
-from millrace.operators.ordering import row_numbers
 
 # Fixed values of BM25 and of reciprocal-rank fusion.
 K1, B, RRF = 1.5, 0.75, 60
 #: Digits that scores keep before ranking: engines add in different orders.
 DIGITS = 9
+#: Tables of the queries' side (tokens, candidates) are broadcast up to so many rows of under 100 bytes.
+BROADCAST_ROWS = 500_000
 
 
-def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """key, tok, tf, and the text's length and norm."""
-    tf = corpus.select(key, F.explode(T.tokens(F.col(text))).alias("tok")).groupBy(key, "tok").agg(F.count("*").alias("tf"))
-    return tf
+def bounded(df: DataFrame, save) -> DataFrame:
+    """df, written once, and broadcast if it is small."""
+    df = save(df)
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def sum_of_squares(tokens: Column) -> Column:
+    """The sum of the squared counts of the different tokens: the k-th of a kind, in a sorted array, adds 2k - 1."""
+    start = F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("s"))
 
+    def step(held, t):
+        k = F.when(held["t"] == t, held["k"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(t.alias("t"), k.alias("k"), (held["s"] + 2 * k - 1).alias("s"))
 
-def lengths(tf: DataFrame, key: str) -> DataFrame:
-    return tf.groupBy(key).agg(F.sum("tf").alias("dl"), F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
+    return F.aggregate(F.sort_array(tokens), start, step, lambda held: held["s"])
+
+
+def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
+    """key, tok, tf."""
+    return corpus.select(key, F.explode(T.tokens(F.col(text))).alias("tok")).groupBy(key, "tok").agg(F.count("*").alias("tf"))
 
 
-def lexical_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, idx, cosine, bm25 of all pairs that share a token."""
-    d, q = postings(corpus, "idx", "text"), postings(queries, "qid", "query").withColumnRenamed("tf", "qtf")
-    own, qn = lengths(d, "idx"), lengths(q.withColumnRenamed("qtf", "tf"), "qid").select("qid", F.col("norm").alias("qnorm"))
-    facts = corpus.agg(F.count("*").alias("n"), F.sum(F.size(T.tokens(F.col("text")))).alias("words")).first()
+def lexical_scores(corpus: DataFrame, queries: DataFrame, save, cosine: bool = True, bm25: bool = True) -> DataFrame:
+    """qid, idx, cosine, bm25 (as asked) of all pairs that share a token. `save` writes to shared storage and reads back."""
+    asked = queries.withColumn("toks", T.tokens(F.col("query"))).select("qid", F.sqrt(sum_of_squares(F.col("toks")).cast("double")).alias("qnorm"), "toks").select("qid", "qnorm", F.explode("toks").alias("tok"))
+    q = save(asked.groupBy("qid", "tok").agg(F.count("*").alias("qtf"), F.first("qnorm").alias("qnorm")))
+    facts = corpus.agg(F.count("*").alias("n"), F.sum(F.regexp_count(F.lower("text"), F.lit(T.TOKEN))).alias("words")).first()
     n, avgdl = facts["n"], max((facts["words"] or 0) / max(facts["n"], 1), 1.0)
+    # Two uses of the tokens keep them a column of their own, made once a row; figures of a row are made before its tokens part.
+    rows = corpus.select("idx", T.tokens(F.col("text")).alias("toks"))
+    norm = F.sqrt(sum_of_squares(F.col("toks")).cast("double")) if cosine else F.lit(0.0)
+    rows = rows.select("idx", F.size("toks").alias("dl"), norm.alias("norm"), "toks").select("idx", "dl", "norm", F.explode("toks").alias("tok")).join(bounded(q.select("tok").distinct(), save), "tok", "left_semi")
+    d = save(rows.groupBy("idx", "tok").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("norm").alias("norm")))
     df = d.groupBy("tok").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    met = d.join(q, "tok").join(df, "tok").join(own, "idx")
+    met = d.join(bounded(q.join(df, "tok").select("qid", "tok", "qtf", "qnorm", idf.alias("idf")), save), "tok")
     denominator = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))
-    bm25 = F.sum(F.col("qtf") * idf * (F.col("tf") * (K1 + 1) / denominator))
     dot = F.sum(F.col("qtf") * F.col("tf")).cast("double")
-    scored = met.groupBy("qid", "idx").agg(dot.alias("dot"), bm25.alias("bm25"), F.max("norm").alias("norm")).join(qn, "qid")
-    return scored.select("qid", "idx", F.round(F.col("dot") / (F.col("qnorm") * F.col("norm")), DIGITS).alias("cosine"), F.round("bm25", DIGITS).alias("bm25"))
+    made = []
+    if cosine:
+        made.append(F.round(dot / (F.first("qnorm") * F.first("norm")), DIGITS).alias("cosine"))
+    if bm25:
+        made.append(F.round(F.sum(F.col("qtf") * F.col("idf") * (F.col("tf") * (K1 + 1) / denominator)), DIGITS).alias("bm25"))
+    return met.groupBy("qid", "idx").agg(*made)
 
 
-def ranked(scores: DataFrame, score: str, k: int | None = None) -> DataFrame:
-    """rk by falling score, ties by idx; the first k if given."""
-    out = scores.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy(F.col(score).desc(), "idx")))
-    return out if k is None else out.filter(F.col("rk") <= k)
+def ranked(scores: DataFrame, score: str, k: int | None = None, name: str = "rk") -> DataFrame:
+    """rk by falling score, ties by idx; the first k if given (each task then sends on its own first k of a query only)."""
+    out = scores.withColumn(name, F.row_number().over(Window.partitionBy("qid").orderBy(F.col(score).desc(), "idx")))
+    return out if k is None else out.filter(F.col(name) <= k)
 
 
 def hybrid(corpus: DataFrame, queries: DataFrame, k: int = 5, *, save) -> DataFrame:
     """qid, idx, score, dense_rank, sparse_rank, rk: reciprocal-rank fusion of cosine and BM25 over the whole corpus.
 
-    `save` writes the ids in corpus order to shared storage and reads them back."""
-    scores = lexical_scores(corpus, queries)
-    dense = Window.partitionBy("qid").orderBy(F.col("cosine").desc(), "idx")
-    sparse = Window.partitionBy("qid").orderBy(F.col("bm25").desc(), "idx")
-    hits = scores.select("qid", "idx", F.row_number().over(dense).alias("dense_rank"), F.row_number().over(sparse).alias("sparse_rank"))
-    # Documents without a common token follow in corpus order in both lists; only the first k of them can be wanted, and
-    # those are among the first k + hits places of the corpus.
-    found = queries.select("qid").join(hits.groupBy("qid").agg(F.count("*").alias("hits")), "qid", "left").select("qid", F.coalesce("hits", F.lit(0)).alias("hits"))
-    places = row_numbers(corpus.select("idx"), "idx", save=save, name="place").select("idx", "place")
-    early = found.select("qid", "hits", F.explode(F.sequence(F.lit(1).cast("long"), F.col("hits") + k)).alias("place")).join(places, "place")
-    rest = early.join(hits.select("qid", "idx"), ["qid", "idx"], "left_anti")
+    The k best are among the first RRF + 2k - 1 of either list: one behind those in both has at most 2 / (2 RRF + 2k), less
+    than the first k of a list have. A candidate's rank in the list where it comes later is 1 and the number of documents
+    before it, counted only where its best possible score could reach the k best. `save` writes to shared storage and reads back.
+    """
+    most = RRF + 2 * k - 1
+    scores = save(lexical_scores(corpus, queries, save))
+    dense, sparse = ranked(scores, "cosine", most, "dense_rank"), ranked(scores, "bm25", most, "sparse_rank")
+    found = dense.join(sparse.drop("cosine", "bm25").withColumnRenamed("idx", "i").withColumnRenamed("qid", "q"), (F.col("qid") == F.col("q")) & (F.col("idx") == F.col("i")), "left").select("qid", "idx", "cosine", "bm25", "dense_rank", "sparse_rank")
+    late = sparse.join(dense.select("qid", "idx"), ["qid", "idx"], "left_anti").select("qid", "idx", "cosine", "bm25", F.lit(None).cast("int").alias("dense_rank"), "sparse_rank")
+    found = save(found.unionByName(late))
+    share = lambda c, otherwise: F.coalesce(1 / (RRF + F.col(c)), F.lit(otherwise))
+    least, best = (share("dense_rank", x) + share("sparse_rank", x) for x in (0.0, 1 / (RRF + most + 1)))
+    bar = ranked(found.withColumn("least", least), "least", k).groupBy("qid").agg(F.min("least").alias("bar"), F.count("*").alias("n"))
+    unknown = found.filter("dense_rank is null or sparse_rank is null").join(bar, "qid").filter((best >= F.col("bar")) | (F.col("n") < k))
+    unknown = bounded(unknown.select("qid", F.col("idx").alias("c"), F.col("cosine").alias("c_cosine"), F.col("bm25").alias("c_bm25")), save)
+    before = lambda s: F.count_if((F.col(s) > F.col(f"c_{s}")) | ((F.col(s) == F.col(f"c_{s}")) & (F.col("idx") < F.col("c")))) + 1
+    counted = scores.join(unknown, "qid").groupBy("qid", "c").agg(before("cosine").alias("d"), before("bm25").alias("s")).withColumnRenamed("qid", "q")
+    hits = found.join(counted, (F.col("qid") == F.col("q")) & (F.col("idx") == F.col("c")), "left")
+    hits = hits.select("qid", "idx", F.coalesce("dense_rank", "d").alias("dense_rank"), F.coalesce("sparse_rank", "s").alias("sparse_rank")).filter("dense_rank is not null and sparse_rank is not null")
+    # Documents without a common token follow in corpus order in both lists; they matter only behind fewer than `most` hits.
+    first = [r["idx"] for r in corpus.select("idx").orderBy("idx").limit(most + k).collect()]
+    few = queries.select("qid").join(scores.groupBy("qid").agg(F.count("*").alias("hits")), "qid", "left").select("qid", F.coalesce("hits", F.lit(0)).alias("hits")).filter(F.col("hits") < most)
+    rest = few.select("qid", "hits", F.explode(F.lit(first) if first else F.expr("cast(array() as array<bigint>)")).alias("idx")).join(scores.select("qid", "idx"), ["qid", "idx"], "left_anti")
     rank = F.col("hits") + F.row_number().over(Window.partitionBy("qid").orderBy("idx"))
-    rest = rest.select("qid", "idx", rank.cast("int").alias("dense_rank"), rank.cast("int").alias("sparse_rank"))
+    rest = rest.select("qid", "idx", rank.alias("dense_rank"), rank.alias("sparse_rank"))
     score = F.round(1 / (RRF + F.col("dense_rank")) + 1 / (RRF + F.col("sparse_rank")), 12)
-    return ranked(hits.unionByName(rest).withColumn("score", score), "score", k)
+    both = hits.unionByName(rest).select("qid", "idx", F.col("dense_rank").cast("int").alias("dense_rank"), F.col("sparse_rank").cast("int").alias("sparse_rank"), score.alias("score"))
+    return ranked(both, "score", k).select("qid", "idx", "dense_rank", "sparse_rank", "score", "rk")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -97,16 +131,18 @@ def _dense_scores(vectors: DataFrame, own: list, k: int) -> DataFrame:
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(own) else q
 
     def run(batches):
+        held = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)  # scores and idx of the part's k best so far
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            idx = batch.column(0).to_numpy()
             m = np.array(batch.column(1).to_pylist(), float)
             m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            score = np.round(q @ m.T, DIGITS)
-            for i, row in enumerate(score):  # a part's k best by score, then idx, hold the whole's k best of it
-                best = np.lexsort((idx, -row))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[i])), pa.array(idx[best]), pa.array(row[best])], names=["qid", "idx", "score"])
+            score = np.c_[held[0], np.round(q @ m.T, DIGITS)]
+            idx = np.c_[held[1], np.broadcast_to(batch.column(0).to_numpy(), (len(ids), len(m)))]
+            best = np.lexsort((idx, -score), axis=1)[:, :k]
+            held = np.take_along_axis(score, best, 1), np.take_along_axis(idx, best, 1)
+        if held[1].size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, held[1].shape[1])), pa.array(held[1].ravel()), pa.array(held[0].ravel())], names=["qid", "idx", "score"])
 
     return vectors.select("idx", "vector").mapInArrow(run, "qid long, idx long, score double")
 

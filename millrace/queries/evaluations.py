@@ -9,9 +9,9 @@ from millrace.plans.fixtures import NORMAL, doc_pages, full_texts, normal_pages,
 from millrace.queries.documents import SPANS, chunk_sql
 from millrace.queries.registry import query
 
-# Evidence: the first six characters of each fifth page's text, on that page (they may occur more than once).
+# Evidence: six characters of every page's text of six and more, from a place that differs by page; they may occur more than once.
 _EVIDENCE = SPANS + """,
-evidence as (select doc_id * 1000 + page_num as eval_id, doc_id, page_num, left(text, 6) as quote from page_spans where page_num % 5 = 1 and length(text) >= 6)"""
+evidence as (select doc_id * 100000 + page_num as eval_id, doc_id, page_num, substring(text, 1 + (doc_id + page_num) % (length(text) - 5), 6) as quote from page_spans where length(text) >= 6)"""
 _OFFSETS = _EVIDENCE + """,
 starts as (select eval_id, e.doc_id, e.page_num, quote, s.text, s.start, unnest(generate_series(1, length(s.text) - length(quote) + 1)) as i from evidence e join page_spans s using (doc_id, page_num)),
 found as (select eval_id, doc_id, page_num, (start + i - 1)::bigint as lo, (start + i - 1 + length(quote))::bigint as hi from starts where substring(text, i, length(quote)) = quote)"""
@@ -19,7 +19,7 @@ found as (select eval_id, doc_id, page_num, (start + i - 1)::bigint as lo, (star
 
 def _evidence(spark, sf_dir):
     spans = chunking.page_spans(normal_pages(spark, sf_dir))
-    rows = spans.filter("page_num % 5 = 1 and length(text) >= 6").select((F.col("doc_id") * 1000 + F.col("page_num")).alias("eval_id"), "doc_id", "page_num", F.left("text", F.lit(6)).alias("quote"))
+    rows = spans.filter("length(text) >= 6").select((F.col("doc_id") * 100000 + F.col("page_num")).alias("eval_id"), "doc_id", "page_num", F.substring("text", (1 + (F.col("doc_id") + F.col("page_num")) % (F.length("text") - 5)).cast("int"), F.lit(6)).alias("quote"))
     return evaluation.evidence_spans(rows, spans), spans
 
 
@@ -75,19 +75,19 @@ def q53_resume_pages(spark, sf_dir):
 
 
 _CASES = """
-base as (select doc_id, page_num, text, string_split(text, ' ') as w from normal_pages where text <> '' and page_num <= 3),
+base as (select doc_id, page_num, text, string_split(text, ' ') as w from normal_pages where text <> ''),
 evals as (select doc_id, page_num, unnest([1, 2, 3]) as k, text, w from base),
-cases as (select doc_id, page_num, 'Query ' || case when doc_id % 5 = 1 then 1 else k end as query, w[k] as answer,
-  case when doc_id % 5 = 2 and k = 2 then 'not in ' || text when doc_id % 5 = 3 and k = 3 then '' else text end as quote, text from evals where not (doc_id % 5 = 4 and k = 3))"""
+cases as (select doc_id, page_num, 'Query ' || case when (doc_id + page_num) % 5 = 1 then 1 else k end as query, w[k] as answer,
+  case when (doc_id + page_num) % 5 = 2 and k = 2 then 'not in ' || text when (doc_id + page_num) % 5 = 3 and k = 3 then '' else text end as quote, text from evals where not ((doc_id + page_num) % 5 = 4 and k = 3))"""
 
 
 @query(f"""with {NORMAL}, {_CASES}, j as (select doc_id, page_num, bool_and(coalesce(query <> '' and coalesce(answer, '') <> '' and quote <> '' and contains(text, quote) and contains(lower(quote), lower(answer)), false)) as good, count(*) as n,
 count(distinct lower(query)) as queries from cases group by all) select doc_id, page_num, good and n = 3 and queries = 3 as accepted from j""")
 def q55_eval_validator(spark, sf_dir):
-    """Pages of eval rows with one defect in four of five documents."""
+    """Eval rows of every page, with one defect on four of five pages."""
     pages = normal_pages(spark, sf_dir)
-    k, d = F.col("k"), F.col("doc_id") % 5
-    rows = pages.filter("text <> '' and page_num <= 3").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).filter(~((d == 4) & (k == 3)))
+    k, d = F.col("k"), (F.col("doc_id") + F.col("page_num")) % 5
+    rows = pages.filter("text <> ''").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).filter(~((d == 4) & (k == 3)))
     quote = F.when((d == 2) & (k == 2), F.concat(F.lit("not in "), F.col("text"))).when((d == 3) & (k == 3), "").otherwise(F.col("text"))
     answer = F.coalesce(F.get(F.split("text", " "), k - 1), F.lit(""))
     made = rows.select("doc_id", "page_num", F.concat(F.lit("Query "), F.when(d == 1, 1).otherwise(k).cast("string")).alias("query"), answer.alias("answer"), quote.alias("quote"))

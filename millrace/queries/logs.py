@@ -33,7 +33,7 @@ from (select case when status in ('click', 'view', 'purchase') then coalesce(val
 
 @query(f"with {_LAST} {_SUMMARY}")
 def q49_profile_summary(spark, sf_dir):
-    return profiles.summarise(_last(spark, sf_dir), "value", good=_GOOD)
+    return profiles.summarise(_last(spark, sf_dir), "value", good=_GOOD, save=incremental.save_to(spark))
 
 
 @query(f"with {_LAST} select coalesce(status, 'unknown') as status, count(*) as n from last group by 1")
@@ -102,7 +102,7 @@ def q59_stream_incremental_profile(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     pick = lambda s: s.select("user_id", F.col("event_type").alias("status"), "value", "ts", "event_id")
     incremental.append_stream(spark, f"{sf_dir}/events.parquet", schema, pick, f"{folder}/log", f"{folder}/state")
-    return profiles.summarise(profiles.last_written(spark.read.parquet(f"{folder}/log"), "user_id", "ts", "event_id"), "value", good=_GOOD)
+    return profiles.summarise(profiles.last_written(spark.read.parquet(f"{folder}/log"), "user_id", "ts", "event_id"), "value", good=_GOOD, save=incremental.save_to(spark))
 
 
 @query("select conv_id, count(*) as turns, arg_max(text, turn) as last from conversations group by conv_id")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.operators import evaluation, retrieval, workflow
-from millrace.plans.fixtures import QUERIES, eval_queries, table
+from millrace.plans.fixtures import NORMAL, QUERIES, eval_queries, normal_pages, table
 from millrace.queries.registry import query
 from millrace.streaming.incremental import save_to
 
@@ -64,13 +65,13 @@ def _top(score):
 
 @query(_top("cosine"))
 def q35_bow_cosine(spark, sf_dir):
-    top = retrieval.ranked(retrieval.lexical_scores(_documents(spark, sf_dir), _queries(spark, sf_dir)), "cosine", 5)
+    top = retrieval.ranked(retrieval.lexical_scores(_documents(spark, sf_dir), _queries(spark, sf_dir), save_to(spark), bm25=False), "cosine", 5)
     return top.select("qid", "idx", F.round("cosine", 6).alias("score"), F.col("rk").cast("long").alias("rk"))
 
 
 @query(_top("bm25"))
 def q36_bm25(spark, sf_dir):
-    top = retrieval.ranked(retrieval.lexical_scores(_documents(spark, sf_dir), _queries(spark, sf_dir)), "bm25", 5)
+    top = retrieval.ranked(retrieval.lexical_scores(_documents(spark, sf_dir), _queries(spark, sf_dir), save_to(spark), cosine=False), "bm25", 5)
     return top.select("qid", "idx", F.round("bm25", 6).alias("score"), F.col("rk").cast("long").alias("rk"))
 
 
@@ -78,20 +79,20 @@ def _ints(df, *columns):
     return df.select(*[F.col(c).cast("long").alias(c) if c in columns else c for c in df.columns])
 
 
-@query(f"with {_CHILDREN}, {_hybrid('children', 'questions')} select qid, idx, dense_rank, sparse_rank, round(score, 9) as score, rk from hits")
+@query(f"with {_DOCS}, {_hybrid('corpus', 'queries')} select qid, idx, dense_rank, sparse_rank, round(score, 9) as score, rk from hits")
 def q37_rrf_topk(spark, sf_dir):
-    hits = retrieval.hybrid(_children(spark, sf_dir).select("idx", "text"), _questions(spark, sf_dir), save=save_to(spark))
+    hits = retrieval.hybrid(_documents(spark, sf_dir), _queries(spark, sf_dir), save=save_to(spark))
     return _ints(hits.withColumn("score", F.round("score", 9)), "dense_rank", "sparse_rank", "rk")
 
 
 _DENSE = """v as (select vec_id, label, embedding::double[] as e from embeddings), s as (select a.vec_id as qid, b.vec_id as idx,
-  round(list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))), 9) as score from v a join v b on a.vec_id < 20),
+  round(list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))), 9) as score from v a join v b on a.vec_id % 20 = 0),
 top as (select *, row_number() over (partition by qid order by score desc, idx) as rk from s)"""
 
 
 def _dense(spark, sf_dir, k):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"))
-    return retrieval.dense_top(v, v.filter("idx < 20").withColumnRenamed("idx", "qid"), k)
+    return retrieval.dense_top(v, v.filter("idx % 20 = 0").withColumnRenamed("idx", "qid"), k)
 
 
 @query(f"with {_DENSE} select qid, idx, round(score, 6) as score, rk from top where rk <= 10")
@@ -108,14 +109,14 @@ graded as (select qid, {recalls}, coalesce(1 / first, 0)::double as mrr, coalesc
 
 
 _GRADED = f"""{_DENSE}, ranking as (select * from top where rk <= 4 and idx <> qid), others as (select qid, idx, row_number() over (partition by qid order by rk) as rk from ranking),
-asked as (select vec_id as qid, label from embeddings where vec_id < 20), relevant as (select qid, vec_id as idx from asked join embeddings using (label) where vec_id <> qid and vec_id % 3 = 0), {grade_sql('others', 'relevant', 'asked')}"""
+asked as (select vec_id as qid, label from embeddings where vec_id % 20 = 0), relevant as (select qid, vec_id as idx from asked join embeddings using (label) where vec_id <> qid and (qid + vec_id) % 3 = 0 and qid % 7 <> 3), {grade_sql('others', 'relevant', 'asked')}"""
 
 
 def _graded(spark, sf_dir):
-    """Vectors of the same label are relevant (every third, so that some queries lack any); a query is not its own hit."""
+    """Every third vector of the same label is relevant, and none for every seventh query; a query is not its own hit."""
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), "label")
-    relevant = asked.join(vectors, "label").filter("vec_id <> qid and vec_id % 3 = 0").select("qid", F.col("vec_id").alias("idx"))
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label")
+    relevant = asked.join(vectors, "label").filter("vec_id <> qid and (qid + vec_id) % 3 = 0 and qid % 7 <> 3").select("qid", F.col("vec_id").alias("idx"))
     ranking = _dense(spark, sf_dir, 4).filter("idx <> qid").withColumnRenamed("rk", "old")
     ranking = retrieval.ranked(ranking.withColumn("back", -F.col("old")), "back")
     return evaluation.grade(ranking, relevant, asked)
@@ -134,25 +135,43 @@ def q40_mean_metrics(spark, sf_dir):
     return evaluation.mean_metrics(_graded(spark, sf_dir), *_METRICS)
 
 
-@query(f"""with {QUERIES}, children as (select item_id as idx, text from benchmark), golden as (select item_id as qid, query from eval_queries), {_hybrid('children', 'golden')},
-first as (select qid, min(rk) as first from hits where idx = qid group by qid), g as (select golden.qid, first from golden left join first using (qid))
-select count(*) as queries, round(avg((coalesce(first, 9) <= 1)::int), 6) as recall_at_1, round(avg((coalesce(first, 9) <= 3)::int), 6) as recall_at_3, round(avg(coalesce(1 / first, 0)), 6) as mrr_at_5 from g""")
+QRELS = "qrels as (select distinct item_id as qid, doc_id as idx from benchmark b join documents d on contains(d.text, b.text))"
+
+
+def qrels(spark, sf_dir):
+    """qid, idx: documents that hold a benchmark passage verbatim; met by the passages' first eight tokens, then confirmed."""
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), F.slice(T.tokens(F.col("text")), 1, 8).alias("head"))
+    passages = passages.withColumn("head", F.xxhash64(F.array_join("head", " ")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text", T.tokens(F.col("text")).alias("toks"))
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size("toks") - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("toks"), i, F.lit(8)), " ")))
+    met = docs.select("idx", "text", F.size("toks").alias("n"), F.explode(F.array_distinct(heads)).alias("head")).join(retrieval.bounded(passages, save_to(spark)), "head")
+    return met.filter(F.contains("text", "passage")).select("qid", "idx").distinct()
+
+
+@query(f"with {_DOCS}, {_hybrid('corpus', 'queries')}, {QRELS}, {grade_sql('hits', 'qrels', 'queries', 5)} select count(*) as queries, round(avg(recall_at_1), 6) as recall_at_1, round(avg(recall_at_3), 6) as recall_at_3, round(avg(mrr), 6) as mrr_at_5 from graded")
 def q41_golden_metrics(spark, sf_dir):
-    children = _children(spark, sf_dir).select("idx", "text")
+    """Fused ranks of documents graded by the documents that hold each query's passage."""
     golden = _queries(spark, sf_dir)
-    graded = evaluation.grade(retrieval.hybrid(children, golden, save=save_to(spark)), golden.select("qid", F.col("qid").alias("idx")), golden, 5)
+    graded = evaluation.grade(retrieval.hybrid(_documents(spark, sf_dir), golden, save=save_to(spark)), qrels(spark, sf_dir), golden, 5)
     return evaluation.mean_metrics(graded, "recall_at_1", "recall_at_3", "mrr").withColumnRenamed("mrr", "mrr_at_5")
 
 
-_PARENTS = f"""{_CHILDREN}, {_hybrid('children', 'questions')}, up as (select qid, parent_id, min(rk) as rk from hits join children using (idx) where rk <= 3 group by all),
-expanded as (select qid, row_number() over (partition by qid order by rk) as position, parent_id from up)"""
+@query(f"with {QRELS} select * from qrels")
+def q64_evidence_qrels(spark, sf_dir):
+    return qrels(spark, sf_dir)
+
+
+_PARENTS = f"""{NORMAL}, {_DOCS}, page_texts as (select doc_id * 100000 + page_num as idx, doc_id as parent_id, text from normal_pages where text <> ''), {_hybrid('page_texts', 'queries')},
+up as (select qid, parent_id, min(rk) as rk from hits join page_texts using (idx) where rk <= 3 group by all), expanded as (select qid, row_number() over (partition by qid order by rk) as position, parent_id from up)"""
 
 
 @query(f"with {_PARENTS} select qid, position, parent_id from expanded")
 def q42_parent_expansion(spark, sf_dir):
-    children = _children(spark, sf_dir)
-    hits = retrieval.hybrid(children.select("idx", "text"), _questions(spark, sf_dir), save=save_to(spark))
-    return _ints(retrieval.expand_parents(hits, children, _parents(children)).drop("text"), "position")
+    """Pages are ranked; what is read is their documents, each once."""
+    children = normal_pages(spark, sf_dir).filter("text <> ''").select((F.col("doc_id") * 100000 + F.col("page_num")).alias("idx"), F.col("doc_id").alias("parent_id"), "text")
+    hits = retrieval.hybrid(children.select("idx", "text"), _queries(spark, sf_dir), save=save_to(spark))
+    parents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), "text")
+    return _ints(retrieval.expand_parents(hits, children, parents).drop("text"), "position")
 
 
 def _listed(words):

@@ -34,9 +34,9 @@ def q14_link_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(web.links(F.col("html"))).alias("at", "link")).select("page_id", "link", (F.col("at") + 1).cast("long").alias("place"))
 
 
-@query(f"""with recursive l as (select distinct page_id, unnest({_LINKS}) as link from pages), e as (select distinct a.page_id as src, b.page_id as dst from l a join l b using (link) where a.page_id <> b.page_id),
-r(node, level) as (select 0::bigint, 0::bigint union select e.dst, r.level + 1 from r join e on r.node = e.src where r.level < 12)
-select node, min(level) as level from r group by node""")
+@query(f"""with recursive l as (select distinct page_id, unnest({_LINKS}) as link from pages), e as materialized (select distinct a.page_id as src, b.page_id as dst from l a join l b using (link) where a.page_id <> b.page_id),
+r(node, level) using key (node) as (select 0::bigint, 0::bigint union select e.dst, min(r.level + 1) from r join e on r.node = e.src where not exists (select 1 from recurring.r x where x.node = e.dst) group by e.dst)
+select node, level from r""")
 def q15_link_graph_bfs(spark, sf_dir):
     """Pages reached from page 0 over shared links."""
     pages = table(spark, sf_dir, "pages")

@@ -156,7 +156,7 @@ def test_empty_tables(spark):
     assert inventory.corpus_totals(inventory.inventory(inventory.page_features(pages))).first().documents == 0
     assert chunking.token_chunks(chunking.concat_pages(pages), 128, 13).count() == 0
     empty = spark.createDataFrame([], "status string, value double")
-    assert profiles.summarise(empty, "value").first().total == 0
+    assert profiles.summarise(empty, "value", save=save_to(spark)).first().total == 0
 
 
 def test_row_numbers_over_many_parts(spark):
@@ -240,3 +240,40 @@ def test_breadth_first_of_a_long_chain(spark):
     save = lambda df: spark.createDataFrame(df.collect(), df.schema).coalesce(1)
     found = crawl.breadth_first(edges, spark.createDataFrame([(0,)], "node long"), save).collect()
     assert sorted((r["node"], r["level"]) for r in found) == [(k, k) for k in range(67)]
+
+
+def test_occurrences_and_chunks_of_a_long_text(spark):
+    """Time follows the length of a text of ten million characters."""
+    text = "a quick word " * 770_000
+    rows = spark.createDataFrame([(1, text.strip())], "doc_id long, text string")
+    assert rows.select(F.size(evaluation.occurrences(F.col("text"), F.lit("quick"))).alias("n")).first().n == 770_000
+    made = chunking.token_chunks(rows, 480, 48).agg(F.count("*").alias("n"), F.max("start_index").alias("last"), F.sum("n_tokens").alias("t")).first()
+    assert made.n == -(-(2_310_000 - 480) // 432) + 1 and text[made.last - 1] == " "
+
+
+def test_fused_ranks_against_all_pairs(spark):
+    """The k best and both their ranks, where most documents come late in one of the lists."""
+    import math
+    import random
+    import re
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    docs = [" ".join(rnd.choices(words, k=rnd.choice((3, 30, 200)))) for _ in range(400)] + ["none"] * 5
+    asked = [" ".join(rnd.sample(words, 3)) for _ in range(6)] + ["zzz", "w1 zzz none"]
+    made = retrieval.hybrid(spark.createDataFrame(list(enumerate(docs)), "idx long, text string"), spark.createDataFrame(list(enumerate(asked)), "qid long, query string"), save=save_to(spark)).collect()
+    toks = [re.findall("[a-z0-9]+", d) for d in docs]
+    avgdl = sum(map(len, toks)) / len(toks)
+    df = {w: sum(w in t for t in map(set, toks)) for w in {*words, "none"}}
+    for qid, q in enumerate(asked):
+        qt = re.findall("[a-z0-9]+", q)
+        cos, bm = [], []
+        for t in toks:
+            tf = {w: t.count(w) for w in set(t)}
+            cos.append(round(sum(qt.count(w) * tf.get(w, 0) for w in set(qt)) / (math.sqrt(sum(qt.count(w) ** 2 for w in set(qt))) * math.sqrt(sum(v * v for v in tf.values()))), 9))
+            bm.append(round(sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(t) / avgdl)) for w in qt if tf.get(w)), 9))
+        place = lambda v: {i: r for r, i in enumerate(sorted(range(len(v)), key=lambda i: (-v[i], i)), 1)}
+        a, b = place(cos), place(bm)
+        best = sorted(range(len(docs)), key=lambda i: (-round(1 / (60 + a[i]) + 1 / (60 + b[i]), 12), i))[:5]
+        got = sorted((r for r in made if r.qid == qid), key=lambda r: r.rk)
+        assert [(r.idx, r.dense_rank, r.sparse_rank) for r in got] == [(i, a[i], b[i]) for i in best]
