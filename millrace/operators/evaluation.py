@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from millrace.functions import text as T
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def _occurrences(texts: pd.Series, parts: pd.Series) -> pd.Series:
     def starts(text, part):
         found, at = [], text.find(part) if part else -1
