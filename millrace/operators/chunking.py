@@ -31,6 +31,12 @@ def page_spans(pages: DataFrame) -> DataFrame:
     return pages.filter("text <> ''").select("doc_id", "page_num", "text", start.alias("start")).withColumn("end", F.col("start") + F.length("text"))
 
 
+def first_of_each(chunks: DataFrame) -> DataFrame:
+    """doc_id, chunk_id, text_digest of the first chunk of each text in corpus order; an option, pages' chunks aren't deduplicated else."""
+    own = chunks.select(F.sha2("text", 256).alias("text_digest"), F.struct("doc_id", "chunk_id").alias("at"))
+    return own.groupBy("text_digest").agg(F.min("at").alias("at")).select("at.doc_id", "at.chunk_id", "text_digest")
+
+
 def single_spaced_words(text: Column) -> Column:
     """Number of words, as a long, of a text whose words are parted by single spaces; 0 if it is empty."""
     return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")

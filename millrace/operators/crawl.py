@@ -18,15 +18,33 @@ def robots_allowed(path: Column, rules: list[tuple[str, bool]]) -> Column:
     return out
 
 
-def admitted(url: Column, hosts: tuple[str, ...], rules: list[tuple[str, bool]]) -> Column:
+def robots_rules(text: str, agent: str) -> list[tuple[str, bool]]:
+    """The (path prefix, allowed) rules of a robots file for an agent: of the group that names it, else of the group `*`."""
+    groups, names, open_ = {}, [], False
+    for line in text.splitlines():
+        field, _, value = line.partition("#")[0].partition(":")
+        field, value = field.strip().lower(), value.strip()
+        if field == "user-agent":
+            names = [*names, value.lower()] if open_ else [value.lower()]
+            open_ = True
+            groups.setdefault(value.lower(), [])
+        elif field in ("allow", "disallow"):
+            open_ = False
+            for n in names:
+                if value or field == "allow":
+                    groups[n].append((value, field == "allow"))
+    own = [n for n in groups if n != "*" and n in agent.lower()]
+    return groups[max(own, key=len)] if own else groups.get("*", [])
+
+
+def admission(url: Column, own: Column, rules: list[tuple[str, bool]]) -> Column:
     """pdf, page or null: PDF links of other hosts always, links of own hosts as robots allow."""
-    own, allowed = F.lower(web.part(url, "host")).isin(*hosts), robots_allowed(web.part(url, "path"), rules)
+    allowed = robots_allowed(web.part(url, "path"), rules)
     return F.when(web.is_pdf_url(url) & (~own | allowed), "pdf").when(own & allowed, "page")
 
 
-def sitemap_urls(xml: DataFrame) -> DataFrame:
-    """url of every <loc> of (xml)."""
-    return xml.select(F.explode(F.regexp_extract_all("xml", F.lit(r"<loc>\s*([^<]*?)\s*</loc>"), F.lit(1))).alias("url")).select(web.unescape(F.col("url")).alias("url")).distinct()
+def admitted(url: Column, hosts: tuple[str, ...], rules: list[tuple[str, bool]]) -> Column:
+    return admission(url, F.lower(web.part(url, "host")).isin(*hosts), rules)
 
 
 def sitemap_pages(sitemaps: DataFrame, index: str, root: str, hosts: tuple[str, ...], rules: list[tuple[str, bool]], save) -> DataFrame:
@@ -70,13 +88,36 @@ def not_attempted(urls: DataFrame, *done: DataFrame) -> DataFrame:
     return urls
 
 
-def manifest(pdfs: DataFrame, errors: DataFrame, root: str) -> DataFrame:
-    """One row: root, generated_at, counts, pdfs by url, errors."""
+def manifest(pdfs: DataFrame, errors: DataFrame, root: str, pages: int = 0) -> DataFrame:
+    """One row: root, generated_at, pages of this run and counts. PDFs and errors themselves are files (writers.write_manifest)."""
     from millrace.functions.text import utc_stamp
 
-    p = pdfs.agg(F.count("*").alias("pdf_count"), F.array_sort(F.collect_list(F.struct("url", "path", "bytes", "status"))).alias("pdfs"))
-    e = errors.agg(F.count("*").alias("error_count"), F.array_sort(F.collect_list(F.struct("url", "stage", "error"))).alias("errors"))
-    return p.select(F.lit(root).alias("root"), utc_stamp().alias("generated_at"), "pdf_count", "pdfs", F.lit(1).alias("k")).join(e.withColumn("k", F.lit(1)), "k").drop("k")
+    both = pdfs.select(F.lit(1).alias("pdf")).unionByName(errors.select(F.lit(0).alias("pdf")))
+    return both.agg(F.count_if(F.col("pdf") == 1).alias("pdf_count"), F.count_if(F.col("pdf") == 0).alias("error_count")).select(F.lit(root).alias("root"), utc_stamp().alias("generated_at"), F.lit(pages).cast("long").alias("pages"), "pdf_count", "error_count")
+
+
+def crawled(start: DataFrame, edges: DataFrame, done: DataFrame, save, max_pages: int | None = None, batch: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(page, step) of the pages visited by this run and (page) of the frontier it leaves: breadth first from start (page) along
+    edges (src, dst), at most `batch` pages at a time and `max_pages` in all; pages in done (page) of earlier runs aren't visited."""
+    visited, left = None, save(start.select(F.col("page")).distinct().join(done, "page", "left_anti"))
+    count = 0
+    for step in itertools.count(1):
+        room = batch if max_pages is None else min(batch, max_pages - count)
+        now = save(left.orderBy("page").limit(max(0, room)).withColumn("step", F.lit(step).cast("long")))
+        n = now.count()
+        if not n:
+            return (visited if visited is not None else now), left
+        count += n
+        visited = now if visited is None else save(visited.unionByName(now))
+        found = now.join(edges, F.col("page") == F.col("src")).select(F.col("dst").alias("page"))
+        seen = visited.select("page").unionByName(done.select("page"))
+        left = save(left.unionByName(found).distinct().join(seen, "page", "left_anti"))
+
+
+def audit_counts(audited: DataFrame) -> DataFrame:
+    """valid, invalid, exit_status (0 if none is invalid, else 1) of (error)."""
+    counts = audited.agg(F.count_if(F.col("error").isNull()).alias("valid"), F.count_if(F.col("error").isNotNull()).alias("invalid"))
+    return counts.withColumn("exit_status", (F.col("invalid") > 0).cast("long"))
 
 
 def audit_reason(content: Column, pages: Column, locked: Column) -> Column:

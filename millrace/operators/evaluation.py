@@ -95,6 +95,11 @@ def pages_to_do(pages: DataFrame, rows: DataFrame, first: int, last: int, comple
     return own.select("doc_id", "page_num", state.alias("state"))
 
 
+def page_rows(rows: DataFrame, page: int, scored: bool = True) -> DataFrame:
+    """The eval rows of a page, those with scores only if asked."""
+    return rows.filter((F.col("page_num") == page) & (F.col("recall_at_3").isNotNull() if scored else F.lit(True)))
+
+
 def checked_evals(rows: DataFrame, digest: str) -> DataFrame:
     """The rows, or an error when run if any has another digest."""
     same = F.assert_true(F.col("pdf_sha256").eqNullSafe(F.lit(digest)), "eval rows belong to another file")

@@ -12,9 +12,9 @@ LARGE = 25 * 1024 * 1024
 
 
 def page_features(pages: DataFrame) -> DataFrame:
-    """doc_id, page_num and has_text, characters, words, tables_estimate, language of each page's raw text."""
+    """doc_id, page_num and has_text, characters, words, tables_estimate, language of each page's raw text; images and text_blocks as the parser counted them."""
     t = F.col("text")
-    return pages.select("doc_id", "page_num", (T.characters(t) > 0).alias("has_text"), T.characters(t).alias("characters"), T.word_count(t).alias("words"), T.table_estimate(t).alias("tables_estimate"), T.language(t).alias("language"))
+    return pages.select("doc_id", "page_num", (T.characters(t) > 0).alias("has_text"), T.characters(t).alias("characters"), T.word_count(t).alias("words"), T.table_estimate(t).alias("tables_estimate"), T.language(t).alias("language"), *[c for c in ("images", "text_blocks") if c in pages.columns])
 
 
 def risk(pages: Column, with_text: Column, characters: Column) -> Column:
@@ -23,7 +23,9 @@ def risk(pages: Column, with_text: Column, characters: Column) -> Column:
 
 def inventory(features: DataFrame) -> DataFrame:
     """One row per document."""
+    more = [c for c in ("images", "text_blocks") if c in features.columns]
     rolled = features.groupBy("doc_id").agg(
+        *[F.sum(c).alias(c) for c in more],
         F.count("*").alias("pages"), F.count_if("has_text").alias("pages_with_text"), F.sum("characters").alias("total_characters"),
         F.sum("words").alias("total_words"), F.sum("tables_estimate").alias("tables_estimate"), F.array_sort(F.collect_set("language")).alias("found"),
     )
@@ -32,7 +34,7 @@ def inventory(features: DataFrame) -> DataFrame:
         F.when(F.col("total_characters") > 0, "yes").otherwise("no").alias("text_present"),
         F.when((F.col("pages") > 0) & (F.col("pages") == F.col("pages_with_text")), "yes").otherwise("no").alias("text_on_all_pages"),
         F.coalesce(F.bround(F.try_divide("pages_with_text", "pages") * 100, 1), F.lit(0.0)).alias("text_coverage_pct"),
-        "total_characters", "total_words", "tables_estimate", F.when(F.size("found") > 0, F.array_join("found", ", ")).otherwise("none").alias("languages"),
+        "total_characters", "total_words", "tables_estimate", *more, F.when(F.size("found") > 0, F.array_join("found", ", ")).otherwise("none").alias("languages"),
         risk(F.col("pages"), F.col("pages_with_text"), F.col("total_characters")).alias("docling_risk"),
     )
 
@@ -63,11 +65,52 @@ def unscanned(files: DataFrame, prior: DataFrame) -> DataFrame:
     return files.join(prior.select("path"), "path", "left_anti")
 
 
-def skipped_row(files: DataFrame, most: int = LARGE) -> DataFrame:
-    """Placeholders for files over the size limit (path, length)."""
-    return files.filter(F.col("length") > most).select("path", F.lit("unknown").alias("text_present"), F.lit("skipped_large").alias("languages"), F.lit("error").alias("docling_risk"))
+def placeholders(files: DataFrame, errors: DataFrame, most: int = LARGE) -> DataFrame:
+    """Summaries, with all their columns, of files too large to scan (path, length) and of those that failed (path, kind, message)."""
+    zero, unknown = F.lit(0).cast("long"), F.lit("unknown")
+    numbers = [zero.alias(c) for c in ("pages", "pages_with_text", "pages_without_text", "total_characters", "total_words", "tables_estimate", "images", "text_blocks")]
+    row = lambda languages, error: [*numbers, unknown.alias("text_present"), unknown.alias("text_on_all_pages"), F.lit(0.0).alias("text_coverage_pct"), F.lit(languages).alias("languages"), F.lit("error").alias("docling_risk"), error.alias("error")]
+    large = files.filter(F.col("length") > most).select("path", *row("skipped_large", F.lit(None).cast("string")))
+    return large.unionByName(errors.select("path", *row("error", T.error_text(F.col("kind"), F.col("message")))))
 
 
-def error_row(errors: DataFrame) -> DataFrame:
-    """Zeroed rows for files that failed (path, kind, message)."""
-    return errors.select("path", F.lit(0).cast("long").alias("pages"), F.lit("error").alias("languages"), F.lit("error").alias("docling_risk"), T.error_text(F.col("kind"), F.col("message")).alias("error"))
+def with_details(summaries: DataFrame, features: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Each summary with its pages' features in page order; an empty list without any."""
+    own = features.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page_num", *[c for c in features.columns if c not in (key, "page_num")]))).alias("details"))
+    return summaries.join(own, key, "left")
+
+
+def scan_in_batches(files: DataFrame, scan, folder: str, every: int = 200) -> DataFrame:
+    """Summaries of all files (path), in `folder`: files that have one there are not scanned again; others are, `every` files to a
+    checkpoint, each of which is kept whole if the run breaks off."""
+    spark = files.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = lambda: at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    while True:
+        left = unscanned(files, spark.read.parquet(folder)) if there() else files
+        part = left.orderBy("path").limit(every)
+        if there() and not part.take(1):
+            return spark.read.parquet(folder)
+        scan(part).write.mode("append").parquet(folder)
+
+
+def clamped(page, pages):
+    """A page number kept between 1 and the number of pages."""
+    return F.least(pages, F.greatest(F.lit(1), page))
+
+
+def thumbnail(width, height, most_width: int = 900, most_height: int = 1000):
+    """struct(width, height) of an image scaled down, never up, to fit; at least one pixel each way."""
+    scale = F.least(most_width / width, most_height / height, F.lit(1.0))
+    side = lambda x: F.greatest(F.lit(1), F.bround(x * scale, 0).cast("int"))
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def elapsed(began, ended):
+    """Seconds between two timestamps, to three digits."""
+    return F.round((F.unix_micros(ended) - F.unix_micros(began)) / 1e6, 3)
+
+
+def over_limit(counts: DataFrame, column: str, limit) -> DataFrame:
+    """How many numbers are over a model's limit; null where the limit is unknown."""
+    return counts.agg(F.count_if(F.col(column) > limit).alias("n")).select(F.when(limit.isNotNull(), F.col("n")).alias("over_limit"))

@@ -29,6 +29,12 @@ def summarise(rows: DataFrame, value: str, status: str = "status", good=GOOD, *,
     return whole.select("profiled", "total", "least", F.lit(middle).alias("middle"), "mean", "most")
 
 
+def totals(rows: DataFrame, fields: tuple[str, ...], status: str = "status", good=GOOD) -> DataFrame:
+    """The sum of each field over successful rows, a missing one as 0."""
+    own = rows.filter(F.col(status).isin(*good))
+    return own.agg(F.count("*").alias("profiled"), *[F.coalesce(F.sum(F.coalesce(F.col(f), F.lit(0))), F.lit(0)).cast("long").alias(f) for f in fields])
+
+
 def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
     return rows.groupBy(F.coalesce(F.col(status), F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
 
@@ -65,6 +71,12 @@ def run_passes(pages: DataFrame) -> DataFrame:
     return pages.agg(F.coalesce(F.bool_and(F.col("status") == "auto_pass"), F.lit(True)).alias("all_pass"), F.count("*").alias("pages"))
 
 
+def run_manifest(pages: DataFrame) -> DataFrame:
+    """job, statuses in page order, all_pass, exit_status (0 if all pages of the job passed, else 2) of (job, page, status)."""
+    own = pages.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("page", "status")))["status"].alias("statuses"), F.bool_and(F.col("status") == "auto_pass").alias("all_pass"))
+    return own.withColumn("exit_status", F.when(F.col("all_pass"), 0).otherwise(2).cast("long"))
+
+
 def word_coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """key, coverage: the multiset share of left's words (key, words array) that right has too."""
     a = left.select(key, F.explode("words").alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))

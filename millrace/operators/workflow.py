@@ -6,6 +6,8 @@ functions, so another model is another class with the same three methods.
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,20 @@ BOILERPLATE = ("based", "retrieved", "policy", "evidence")
 ANSWER = "Based on the retrieved policy evidence: "
 NO_ANSWER = "Insufficient verified policy evidence."
 ESCALATED = "Automated verification did not pass. Route this request to an authorized reviewer."
+EXHAUSTED = "bounded correction attempts exhausted"
 SUFFICIENT, SUPPORTED, DEPTH, CONTEXT, CORRECTIONS = 0.35, 0.85, 5, 3, 2
 
 
+class Model(Protocol):
+    """What the workflow asks of a model: Columns from Columns."""
+
+    def rewrite(self, query: Column) -> Column: ...
+
+    def answer(self, context: Column) -> Column: ...
+
+    def coverage(self, answer: Column, context: Column) -> Column: ...
+
+
 class DeterministicModel:
     """Rewrites by aliases, answers by quoting the context, verifies by shared terms."""
 
@@ -73,15 +86,16 @@ def event(node: str, details: Column) -> Column:
     return F.array(F.struct(F.lit(node).alias("node"), details.alias("detail")))
 
 
-def run(questions: DataFrame, children: DataFrame, parents: DataFrame, save, model=None, corrections: int = CORRECTIONS) -> DataFrame:
-    """(qid, query) to qid, safe_query, route, answer, verified, needs_human_review, correction_count, parent_ids, trace.
+def run(questions: DataFrame, children: DataFrame, parents: DataFrame, save, model: Model | None = None, corrections: int = CORRECTIONS) -> DataFrame:
+    """(qid, query) to qid, safe_query, route, answer, verified, needs_human_review, correction_count, parent_ids, trace,
+    and the last verification_coverage and citations (of parents).
 
     children: idx, parent_id, text. parents: parent_id, text. A question's state starts anew with it. `save` writes a
     DataFrame to shared storage and reads it back, so that a round's plan does not hold those of the rounds before.
     """
     model = model or DeterministicModel()
     safe = T.redact(F.col("query"))
-    rows = questions.select("qid", safe.alias("safe_query"), safe.alias("current"), route(safe).alias("route"), F.concat(event("protect", (safe != F.col("query")).cast("string")), event("route", route(safe))).alias("trace"))
+    rows = questions.select("qid", safe.alias("safe_query"), safe.alias("current"), route(safe).alias("route"), F.concat(event("protect", (safe != F.col("query")).cast("string")), event("route", route(safe))).alias("trace"), F.lit(0.0).alias("seen"), F.expr("cast(array() as array<string>)").alias("cited"))
     rows, finished = save(rows), None
     for attempt in range(corrections + 1):
         hits = save(retrieval.hybrid(children.select("idx", "text"), rows.select("qid", F.col("current").alias("query")), DEPTH, save=save))
@@ -97,15 +111,17 @@ def run(questions: DataFrame, children: DataFrame, parents: DataFrame, save, mod
         rows = rows.withColumn("verified", F.coalesce(F.col("coverage") >= SUPPORTED, F.lit(False)))
         steps = F.concat(event("expand_parent", F.array_join(F.col("p.parent_id").cast("array<string>"), ",")), event("generate", F.size("p").cast("string")), event("verify", F.col("verified").cast("string")))
         rows = rows.withColumn("trace", F.when(F.col("enough"), F.concat("trace", steps)).otherwise(F.col("trace")))
+        rows = rows.withColumns({"seen": F.coalesce("coverage", "seen"), "cited": F.when(F.col("enough"), F.coalesce(F.col("p.parent_id").cast("array<string>"), "cited")).otherwise(F.col("cited"))})
         rows, last = save(rows), attempt == corrections
         out = rows if last else rows.filter("verified")
         out = out.select(
             "qid", "safe_query", "route", F.when(F.col("verified"), F.col("answer")).otherwise(ESCALATED).alias("answer"), "verified", (~F.col("verified")).alias("needs_human_review"),
             F.lit(attempt).cast("long").alias("correction_count"), F.when(F.col("verified"), F.array_join(F.col("p.parent_id").cast("array<string>"), ",")).alias("parent_ids"),
-            F.when(F.col("verified"), F.col("trace")).otherwise(F.concat("trace", event("human_review", F.lit("bounded correction attempts exhausted")))).alias("trace"),
+            F.when(F.col("verified"), F.col("trace")).otherwise(F.concat("trace", event("human_review", F.lit(EXHAUSTED)))).alias("trace"),
+            F.col("seen").alias("verification_coverage"), F.col("cited").alias("citations"),
         )
         finished = out if finished is None else finished.unionByName(out)
         if not last:
             rewritten = model.rewrite(F.col("current"))
-            rows = rows.filter("not verified").select("qid", "safe_query", "route", rewritten.alias("current"), F.concat("trace", event("rewrite", rewritten)).alias("trace"))
+            rows = rows.filter("not verified").select("qid", "safe_query", "route", rewritten.alias("current"), F.concat("trace", event("rewrite", rewritten)).alias("trace"), "seen", "cited")
     return finished

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.queries import documents, evaluations, logs, ranking, web_pages  # noqa: F401
+from millrace.queries import documents, evaluations, files, logs, ranking, services, web_pages  # noqa: F401
 from millrace.queries.registry import CATALOG, ORACLES
 
 flagship = CATALOG["q02_pdf_inventory"]

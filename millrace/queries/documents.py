@@ -270,11 +270,10 @@ def q34_stratified_sample(spark, sf_dir):
     return chunking.stratified_sample(_banded(spark, sf_dir), 105, draw).select("doc_id", "size", "band")
 
 
-@query("select text_digest, doc_id from (select sha256(text) as text_digest, doc_id, row_number() over (partition by text order by doc_id) as rn from documents) where rn = 1")
+@query(f"with {chunk_sql(128, 13)} select doc_id, chunk_id, text_digest from (select doc_id, chunk_id, sha256(text) as text_digest, row_number() over (partition by text order by doc_id, chunk_id) as rn from chunks) where rn = 1")
 def q54_chunk_dedup(spark, sf_dir):
-    """The first document of each text: only the digest is shuffled."""
-    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_digest"), "doc_id")
-    return docs.groupBy("text_digest").agg(F.min("doc_id").alias("doc_id"))
+    """The first chunk of each text, in corpus order: only digests are shuffled."""
+    return chunking.first_of_each(chunking.token_chunks(full_texts(spark, sf_dir), 128, 13))
 
 
 def _word_model():

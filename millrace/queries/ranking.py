@@ -238,7 +238,7 @@ def _round(n, asked):
 up{n} as (select qid, parent_id, min(rk) as rk from hits{n} join children using (idx) where rk <= 3 group by all),
 cx{n} as (select qid, string_agg(parents.text, ' ' order by rk) as context, string_agg(parent_id::varchar, ',' order by rk) as parent_ids from up{n} join parents using (parent_id) group by qid),
 g{n} as (select a.qid, a.query, parent_ids, context, '{workflow.ANSWER}' || context as answer, {_enough('a.query', 'evidence')} as enough from {asked} a left join ev{n} using (qid) left join cx{n} using (qid)),
-r{n} as materialized (select *, enough and len(list_intersect({_TERMS}, {_tokens('context')})) / greatest(len({_TERMS}), 1) >= {workflow.SUPPORTED} as verified from g{n})"""
+r{n} as materialized (select *, len(list_intersect({_TERMS}, {_tokens('context')})) / greatest(len({_TERMS}), 1) as share, coalesce(enough and len(list_intersect({_TERMS}, {_tokens('context')})) / greatest(len({_TERMS}), 1) >= {workflow.SUPPORTED}, false) as verified from g{n})"""
     return up + (f", a{n + 1} as (select qid, {_rewritten('query')} as query from r{n} where not verified)" if n < 2 else "")
 
 

@@ -13,16 +13,25 @@ from pyspark.sql import functions as F
 SKIPPED = (".venv", "venv", ".git", "__pycache__", "node_modules")
 
 
-def find_pdfs(spark: SparkSession, root: str, skipped=()) -> DataFrame:
-    """path, relative, length, modificationTime of files that end in .pdf; contents are read only if selected."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(root)
+def discovered(files: DataFrame, root: str, skipped=()) -> DataFrame:
+    """Files (path, ...) below root that end in .pdf in any case, with their relative path and name; files in folders `skipped` go."""
     relative = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
-    found = found.withColumn("relative", relative)
+    found = files.filter(F.lower("path").endswith(".pdf")).withColumn("relative", relative).withColumn("name", F.substring_index("path", "/", -1))
     if skipped:
         found = found.filter(~F.exists(F.split("relative", "/"), lambda x: x.isin(*skipped)))
     return found
 
 
+def find_pdfs(spark: SparkSession, root: str, skipped=()) -> DataFrame:
+    """path, relative, name, length, modificationTime of files that end in .pdf; contents are read only if selected."""
+    return discovered(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(root), root, skipped)
+
+
+def read_object(spark: SparkSession, uri: str) -> DataFrame:
+    """path, content, length of an object (or those that a pattern names) of any store that Spark reaches."""
+    return spark.read.format("binaryFile").load(uri).select("path", "content", "length")
+
+
 def size_inventory(files: DataFrame) -> DataFrame:
     return files.select("relative", F.bround(F.col("length") / 1048576.0, 2).alias("mib")).orderBy(F.lower("relative"))
 
@@ -91,8 +100,8 @@ def tolerant_json_lines(lines: DataFrame, schema: str, key: str) -> DataFrame:
 def inventory_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """summaries and page_details (path, page struct) of an inventory file."""
     whole = spark.read.option("multiLine", True).json(path)
-    summaries = whole.select(F.explode("summaries").alias("s")).select("s.*") if "summaries" in whole.columns else None
-    details = whole.select(F.explode(F.from_json(F.to_json("page_details"), "map<string, array<struct<page int, has_text boolean, characters long, words long, language string>>>")).alias("path", "pages")) if "page_details" in whole.columns else None
+    summaries = whole.select(F.explode("summaries").alias("s")).select("s.*") if "summaries" in whole.columns else spark.createDataFrame([], "path string")
+    details = whole.select(F.explode(F.from_json(F.to_json("page_details"), "map<string, array<struct<page int, has_text boolean, characters long, words long, language string>>>")).alias("path", "pages")) if "page_details" in whole.columns else spark.createDataFrame([], "path string, pages array<struct<page int, has_text boolean, characters long, words long, language string>>")
     return summaries, details
 
 

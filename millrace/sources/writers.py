@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,19 +41,45 @@ def write_results(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").partitionBy("chunk_policy").json(folder)
 
 
-def write_rows(rows: DataFrame, folder: str) -> None:
-    """CSV and JSON with columns in alphabetical order."""
+def write_rows(rows: DataFrame, folder: str, **about) -> None:
+    """CSV and JSON with columns in alphabetical order; `about` (seed, method, model ...) is a JSON row of its own."""
     ordered = rows.select(*sorted(rows.columns))
     ordered.write.mode("overwrite").csv(f"{folder}/csv", header=True)
     ordered.write.mode("overwrite").json(f"{folder}/json")
+    if about:
+        rows.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in sorted(about.items())]).write.mode("overwrite").json(f"{folder}/about")
+
+
+def replace_folder(rows: DataFrame, folder: str) -> None:
+    """Write rows beside the folder, then put them in its place: readers see the old rows or the new ones, never a part."""
+    spark = rows.sparkSession
+    new, at = f"{folder}.{uuid.uuid4().hex}", spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    rows.write.parquet(new)
+    fs = at(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = at(f"{folder}.old")
+    fs.delete(old, True)
+    if fs.exists(at(folder)):
+        fs.rename(at(folder), old)
+    fs.rename(at(new), at(folder))
+    fs.delete(old, True)
+
+
+def put_objects(rows: DataFrame, folder: str) -> None:
+    """(key, value) rows as one object per key, overwritten by key."""
+    rows.select("value", "key").write.mode("overwrite").partitionBy("key").text(folder)
 
 
 def html_export(pages: DataFrame) -> DataFrame:
-    """doc_id, html: a section per page (doc_id, page_num, html), in order, its page0 ids renumbered."""
-    own = F.regexp_replace("html", 'id="page0"', F.concat(F.lit('id="page'), F.col("page_num").cast("string"), F.lit('"')))
-    section = F.concat(F.lit('<section data-page="'), F.col("page_num").cast("string"), F.lit('">'), own, F.lit("</section>"))
-    merged = pages.withColumn("section", section).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_num", "section")))["section"], "\n").alias("body"))
-    return merged.select("doc_id", F.concat(F.lit("<!DOCTYPE html><html><body>\n"), F.col("body"), F.lit("\n</body></html>")).alias("html"))
+    """doc_id, html: an escaped title and a section per page (doc_id, title, page_num, html), in order; a page's first page0 id gets its number."""
+    number = F.col("page_num").cast("string")
+    at = F.instr("html", 'id="page0"')
+    own = F.when(at > 0, F.concat(F.expr("left(html, instr(html, 'id=\"page0\"') - 1)"), F.lit('id="page'), number, F.lit('"'), F.expr("substring(html, instr(html, 'id=\"page0\"') + 10)"))).otherwise(F.col("html"))
+    section = F.concat(F.lit('<section aria-label="Page '), number, F.lit('">\n'), own, F.lit("\n</section>\n"))
+    merged = pages.withColumn("section", section).groupBy("doc_id").agg(F.max("title").alias("title"), F.array_join(F.array_sort(F.collect_list(F.struct("page_num", "section")))["section"], "").alias("body"))
+    title = F.col("title")
+    for plain, mark in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        title = F.replace(title, F.lit(plain), F.lit(mark))
+    return merged.select("doc_id", F.concat(F.lit('<!doctype html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<title>'), title, F.lit("</title>\n</head>\n<body>\n"), F.col("body"), F.lit("</body>\n</html>\n")).alias("html"))
 
 
 def exit_status(rows: DataFrame, good: str) -> int:

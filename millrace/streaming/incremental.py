@@ -55,3 +55,18 @@ def latest_state(spark: SparkSession, folder: str, schema, key: str, value: str,
     state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     log = spark.read.parquet(f"{sink}/batch=*")
     return log.groupBy(key).agg(F.max_by(F.struct("turns", "last"), "batch").alias("s")).select(key, "s.turns", "s.last")
+
+
+def remembered(spark: SparkSession, folder: str, path: str, build) -> DataFrame:
+    """What build() gave for the file or folder `path` when it last had its present size and time; built and kept if it never did."""
+    import hashlib
+
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = lambda p: (hadoop(p), hadoop(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
+    source, fs = at(path)
+    state, size = fs.getFileStatus(source), fs.getContentSummary(source).getLength()
+    kept = f"{folder}/{hashlib.sha256(f'{path}|{state.getModificationTime()}|{size}'.encode()).hexdigest()}"
+    place, store = at(f"{kept}/_SUCCESS")
+    if not store.exists(place):
+        build().write.mode("overwrite").parquet(kept)
+    return spark.read.parquet(kept)
