@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 
 
+#: Texts of fewer bytes a core are dealt out to all cores: a small file is one row group, which one task would read and work on.
+DEALT_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    if name not in ("documents", "pages"):
+        return rows
+    at, cores = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext.defaultParallelism
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return rows.repartition(cores) if (1 << 20) < size < cores * DEALT_BYTES else rows
 
 
 def doc_pages(spark, sf_dir) -> DataFrame:
