@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import WS, tokens
 
+# The patterns of attributes, styles, active content and fenced answers that are looked for below.
 _URL = r"^(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 _ATTRIBUTE = r"""(?is)[\s"'/](?:href|src|data-href|data-url)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 _TAG = r"""(?s)<[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*>"""
@@ -17,18 +18,32 @@ def part(url: Column, which: str) -> Column:
     return F.regexp_extract(url, _URL, at)
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash without empty inner segments, `.` and `..`; a step above the root stays at the root."""
+    segments = F.split(path, "/")
+    inner = F.filter(segments, lambda x, i: (x != "") | (i == 0) | (i == F.size(segments) - 1))
+    step = lambda held, x: F.when(x == ".", held).when(x == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(1)))).otherwise(F.concat(held, F.array(x)))
+    kept = F.aggregate(inner, F.expr("cast(array() as array<string>)"), step)
+    kept = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    joined = F.array_join(kept, "/")
+    return F.when(joined == "", "/").otherwise(joined)
+
+
 def resolve(url: Column, base: Column) -> Column:
-    """An absolute URL from a link on the page `base` (dot segments stay)."""
+    """An absolute URL from a link on the page `base`; dot segments of links without a host of their own are resolved."""
     scheme, host, path = part(base, "scheme"), part(base, "host"), part(base, "path")
     site = F.concat(scheme, F.lit("://"), host)
     folder = F.regexp_replace(path, "[^/]*$", "")
+    own = part(url, "path")
+    rest = F.substring(url, F.length(own) + 1, F.length(url))
+    merged = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
     return (
         F.when(part(url, "scheme") != "", url)
         .when(url.startswith("//"), F.concat(scheme, F.lit(":"), url))
-        .when(url.startswith("/"), F.concat(site, url))
         .when(url.startswith("?"), F.concat(site, path, url))
-        .when((url == "") | url.startswith("#"), F.concat(F.regexp_replace(base, "(?s)#.*$", ""), url))
-        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), url))
+        .when(url == "", base)
+        .when(url.startswith("#"), F.concat(F.regexp_replace(base, "(?s)#.*$", ""), url))
+        .otherwise(F.concat(site, without_dots(merged), rest))
     )
 
 

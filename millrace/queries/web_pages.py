@@ -26,6 +26,24 @@ def q13_canonical_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.canonical(u).alias("url"), web.canonical(u, keep_query=False).alias("page_url"), web.is_pdf_url(u).alias("is_pdf"), host.endswith(".com").alias("own_host"))
 
 
+_MADE = """l as (select page_id, url, unnest(regexp_extract_all(html, '[\\s"''/]href="(/[^"?#]*)"', 1)) as link from pages),
+v as (select distinct page_id, url, link, case page_id % 4 when 0 then link when 1 then ltrim(link, '/') when 2 then '.././' || ltrim(link, '/') || '?q=1#f' else '/x/..' || link || '/.' end as href from l)"""
+
+
+@query(rf"""with {_MADE}, p as (select v.*, lower(regexp_extract(url, {_U}, 1)) || '://' || lower(regexp_extract(url, {_U}, 2)) as site, string_split(regexp_extract(url, {_U}, 3), '/') as s from v where regexp_extract(url, {_U}, 2) <> ''),
+f as (select *, list_filter(s[:len(s) - 1], lambda x: x <> '') as folder from p),
+r as (select page_id, link, site, case page_id % 4 when 0 then link when 1 then '/' || array_to_string(list_concat(folder, [ltrim(link, '/')]), '/') when 2 then '/' || array_to_string(list_concat(folder[:greatest(len(folder) - 1, 0)], [ltrim(link, '/')]), '/') || '?q=1' else link || '/' end as path from f)
+select page_id, link, site || regexp_replace(path, '/{{2,}}', '/', 'g') as url from r""")
+def q106_resolved_links(spark, sf_dir):
+    """Links of four relative forms, resolved on their pages and made canonical."""
+    k, link = F.col("page_id") % 4, F.col("link")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r"""[\s"'/]href="(/[^"?#]*)\""""), F.lit(1)))).alias("link"))
+    bare = F.ltrim(link, F.lit("/"))
+    href = F.when(k == 0, link).when(k == 1, bare).when(k == 2, F.concat(F.lit(".././"), bare, F.lit("?q=1#f"))).otherwise(F.concat(F.lit("/x/.."), link, F.lit("/.")))
+    own = pages.filter(web.part(F.col("url"), "host") != "")
+    return own.select("page_id", "link", web.canonical(href, F.col("url")).alias("url"))
+
+
 _LINKS = r"""regexp_extract_all(html, '[\s"''/]href="([^"]+)"', 1)"""
 
 
