@@ -7,11 +7,13 @@ Best fit by falling length fills the classes; local search then moves one docume
 one (either way) between underfull bins wherever that raises the sum of squared fills, until bins empty or no move helps.
 Pieces take their places by their rank among pieces of their length, a prefix sum over the parts that hold them.
 
-Defined results: a null text is the end mark alone; repeated rows are pieces of their own; an empty table packs nothing.
+Defined results: a null text is the end mark alone; repeated rows are pieces of their own, and so are those of a null doc_id;
+an empty table packs nothing; texts of any length are encoded whole; other columns, whatever their names, stay out.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -44,7 +46,7 @@ class WordTokens:
 
     def __init__(self, path: str, ranks_path: str | None = None):
         self.path, self._model, self.known = path, None, {}
-        self.special = ["<|endoftext|>"] if ranks_path else [str(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.special = _special_tokens(path)
         self.ranks = _ranks(ranks_path) if ranks_path else None
         self.cut = re.compile(r"(?<=\S)(?= )")
         self.plain = re.compile(" ?[!-~\u00a1-\u024f]+")
@@ -107,6 +109,13 @@ class WordTokens:
         return out
 
 
+@lru_cache(maxsize=4)
+def _special_tokens(path: str) -> tuple[str, ...]:
+    """Texts of the added tokens that a tokenizer's file names."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens", ()))
+
+
 _loaded: dict = {}
 
 

@@ -1,11 +1,12 @@
 """Token counts by a unigram model, with dynamic programming shared along a trie of distinct pre-tokens.
 
-Scores come from a public vocabulary: a piece's score there is its merge rank, so as a unigram model its log-probability
-is taken from Zipf's law, -ln(rank + 2.7). A block's distinct pre-tokens (words behind the word mark) are put in a trie;
+Scores come from a public vocabulary, since tokenizers aren't trained here: a piece's score there is its merge rank, so as a
+unigram model its log-probability is taken from Zipf's law, -ln(rank + 2.7). A block's distinct pre-tokens (words behind the word mark) are put in a trie;
 a walk computes each node's best forward score and its number of tokens once, from nodes above it on the same path, so a
 shared prefix is never scored twice. Counts stand at the terminals. A character in no piece costs its UTF-8 bytes.
 
-Defined results: a null or blank text has no tokens; equal scores go to fewer tokens; repeated rows are counted alike.
+Defined results: a null or blank text has no tokens; equal scores go to fewer tokens; repeated rows are counted alike; an empty
+table gives an empty result; texts and words of any length are counted whole; other columns, whatever their names, stay out.
 """
 
 from __future__ import annotations
