@@ -123,6 +123,20 @@ def blocks(batches, column: str, limit: int = 1 << 20):
     release()
 
 
+@contextmanager
+def no_collection():
+    """No search for cycles in the block: what it makes has none, but is so much that the search is set off again and again."""
+    import gc
+
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def release() -> None:
     """Give a worker's freed memory back to the system: workers outlive their tasks."""
     import ctypes

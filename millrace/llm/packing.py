@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import blocks, materialise
+from millrace.llm.common import blocks, materialise, no_collection
 
 CAPACITY, END = 1024, 2
 #: Distinct words of at most so many characters whose ids a task remembers.
@@ -142,17 +142,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None,
         model, part, seen = WordTokens(tokenizer_path, ranks_path), TaskContext.get().partitionId(), Counter()
         tail = np.array([end], "<u4").tobytes()
         for block in blocks(batches, text, 1 << 20):
-            rows = []
-            ids = model.ids([t or "" for t in block.column(1).to_pylist()])
-            for doc, own in zip(block.column(0).to_pylist(), ids):
-                own += tail
-                n = len(own) // 4
-                first = n % capacity or capacity
-                for k, start in enumerate([0, *range(first, n, capacity)]):
-                    stop = first if k == 0 else start + capacity
-                    size = stop - start
-                    rows.append((doc, k, start, size, zlib.crc32(own[4 * start : 4 * stop]), part, seen[size]))
-                    seen[size] += 1
+            with no_collection():  # strings, numbers and tuples of them make no cycles
+                rows = []
+                ids = model.ids([t or "" for t in block.column(1).to_pylist()])
+                for doc, own in zip(block.column(0).to_pylist(), ids):
+                    own += tail
+                    n = len(own) // 4
+                    first = n % capacity or capacity
+                    for k, start in enumerate([0, *range(first, n, capacity)]):
+                        stop = first if k == 0 else start + capacity
+                        size = stop - start
+                        rows.append((doc, k, start, size, zlib.crc32(own[4 * start : 4 * stop]), part, seen[size]))
+                        seen[size] += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]

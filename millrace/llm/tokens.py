@@ -11,9 +11,7 @@ table gives an empty result; texts and words of any length are counted whole; ot
 
 from __future__ import annotations
 
-import gc
 import math
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm.common import blocks
+from millrace.llm.common import blocks, no_collection
 
 MARK = "▁"
 #: Pre-tokens of more bytes stay out of the trie.
@@ -120,18 +118,6 @@ def long_count(word: str, vocabulary: UnigramVocabulary) -> int:
     return best[-1][1]
 
 
-@contextmanager
-def no_collection():
-    """No search for cycles in the block: a trie has none, but its many nodes set the search off again and again."""
-    on = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if on:
-            gc.enable()
-
-
 @lru_cache(maxsize=2)
 def _vocabulary(path: str) -> UnigramVocabulary:
     """A vocabulary, once for each worker."""
