@@ -83,15 +83,9 @@ class WordTokens:
     def _parts(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special):
             return None
-        if text.split() != text.replace("\n", " ").split(" "):  # other white space, or runs of it
+        if " ".join(text.split()) != text.replace("\n", " ") or "\0" in text:  # other white space, or runs of it
             return self.cut.split(text)
-        out = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + x for x in rest]
-            out.append("\n")
-        return out[:-1]
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [self._parts(t) for t in texts]
