@@ -763,8 +763,12 @@ def test_one_of_each_by_shingle_similarity(spark):
     assert simhash.one_of_each(docs.limit(0), shingle=5, similarity=0.8).count() == 0
 
 
-def test_large_group_of_near_copies(spark, monkeypatch):
-    """500 copies of one text with edits, most pairs under 0.8: the classes of all pairs, found with few comparisons."""
+@pytest.mark.parametrize("small", [False, True])
+def test_large_group_of_near_copies(spark, monkeypatch, small):
+    """500 copies of one text with edits, most pairs under 0.8: exactly the classes of all pairs, in one block a bucket or in many."""
+    if small:
+        for name, value in {"SLICE": 60, "ASKED": 20, "BLOCK": 50, "BLOCK_BYTES": 16_384}.items():
+            monkeypatch.setattr(shingles, name, value)
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(150)]
     texts = []
@@ -785,8 +789,32 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(shingles, "confirmed", lambda pairs, sets, similarity: compared.append(pairs.count()) or confirmed(pairs, sets, similarity))
     kept = {r["doc_id"] for r in simhash.one_of_each(docs, shingle=5, similarity=0.8).collect()}
     want = {i for i, r in enumerate(root) if r == i}
-    assert want <= kept and len(kept) <= len(want) + 2
-    assert sum(compared) < 500 * 2 * shingles.BANDS
+    assert kept == want
+    assert sum(compared) < 500 * 2 * shingles.BANDS  # pairs that were rows
+
+
+def test_joining_by_brute_force():
+    rnd = np.random.default_rng(3)
+    for _ in range(40):
+        nodes = []
+        for k in range(int(rnd.integers(1, 30))):
+            own = np.unique(rnd.integers(0, 14, int(rnd.integers(1, 14)))).astype(np.uint32)
+            nodes.append((k, k if rnd.random() < 0.7 else 0, own))
+        asked = [x for x in nodes if x[1]] or nodes
+        classes = lambda links: joined_classes([x[:2] for x in nodes], links)
+        every = [(a, b) for a, _, x in asked for b, _, y in nodes if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))]
+        found = shingles.joining(asked, nodes, 0.8)
+        assert set(found) <= set(every) and len(found) < len(nodes)
+        assert classes(found) == classes(every)
+
+
+def joined_classes(nodes, links):
+    """The classes that nodes (id, class) and links make, as a set of sets."""
+    root = {k: c for k, c in nodes}
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = {k: min(x, y) if c in (x, y) else c for k, c in root.items()}
+    return {frozenset(k for k in root if root[k] == c) for c in root.values()}
 
 
 @pytest.mark.parametrize("options", [{}, {"shingle": 5, "similarity": 0.8}])
