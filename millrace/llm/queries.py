@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprints, mixing, packing, quality, sharding, simhash, tokens, toxicity, urls, warc
+from millrace.llm import bpe, divergence, fingerprints, mixing, packing, quality, sharding, simhash, tokens, toxicity, urls, warc
 from millrace.llm.common import materialise, table, word_count
 
 URL_RULES = (
@@ -77,7 +77,18 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_mixing, op2_urls, op3_quality, op4_toxicity, op5_fingerprints, op6_warc, op7_packing, op8_tokens, op9_sharding, op10_simhash)}
+def op12_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op13_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_urls, op3_quality, op4_toxicity, op5_fingerprints, op6_warc, op7_packing, op8_tokens, op9_sharding, op10_simhash, op12_bpe, op13_divergence)
+}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -135,4 +146,22 @@ h as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha25
 g as (select payload_digest, min(page_id) as least_id from h where payload_bytes >= 100 group by payload_digest),
 j as (select h.*, least_id, least_id is not null and page_id is distinct from least_id as again from h left join g using (payload_digest))
 select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then least_id end as refers_to from j""",
+    "op13_divergence": r"""
+with d as (select row_number() over () as own, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+w as (select own, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term, count(*)::hugeint as total from w group by all having count(distinct own) >= 3),
+c as (select w.lang, w.source, w.term, count(*)::hugeint as n from w semi join k using (lang, term) group by all),
+g as (select lang, source, coalesce(sum(n), 0)::hugeint as size from (select distinct lang, source from d) left join c using (lang, source) group by all),
+l as (select lang, sum(total)::hugeint as size, count(*)::hugeint as terms from k group by lang),
+s as (select g.lang, g.source, term, coalesce(n, 0) as n, 1 + 1000000000::hugeint * (coalesce(n, 0) + 1) // (g.size + terms) as p,
+             1 + 1000000000::hugeint * (total + 1) // (l.size + terms) as q
+      from g join l using (lang) join k using (lang) left join c using (lang, source, term)),
+x as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+      from s a join s b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+u as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source
+      union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from s where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from u)
+select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 200""",
 }
