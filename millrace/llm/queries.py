@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, divergence, fingerprints, mixing, packing, quality, sharding, simhash, tokens, toxicity, urls, warc
+from millrace.llm import alignment, bpe, divergence, fingerprints, mixing, packing, quality, sharding, simhash, tokens, toxicity, urls, warc
 from millrace.llm.common import materialise, table, word_count
 
 URL_RULES = (
@@ -77,6 +77,11 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op11_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def op12_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -87,7 +92,7 @@ def op13_divergence(spark, sf_dir):
 
 LLM_QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_urls, op3_quality, op4_toxicity, op5_fingerprints, op6_warc, op7_packing, op8_tokens, op9_sharding, op10_simhash, op12_bpe, op13_divergence)
+    for f in (op1_mixing, op2_urls, op3_quality, op4_toxicity, op5_fingerprints, op6_warc, op7_packing, op8_tokens, op9_sharding, op10_simhash, op11_alignment, op12_bpe, op13_divergence)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
