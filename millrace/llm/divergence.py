@@ -26,7 +26,7 @@ from millrace.llm.common import blocks, materialise, no_collection
 #: Documents of a language that must hold a term, the scale of shares, and the terms listed of a source.
 LEAST_DOCS, SCALE, TERM_RANKS = 3, 1_000_000_000, 200
 #: Bytes of text whose counts a task sums before it hands them on, and the parts a hot language is dealt to.
-BLOCK_BYTES, SALTS = 8 << 20, 32
+BLOCK_BYTES, SALTS = 32 << 20, 32
 #: ASCII letters, in lower case, and all bytes of other characters are terms; the rest parts them.
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -106,12 +106,13 @@ def wide_terms(docs: DataFrame, least_docs: int = LEAST_DOCS, **columns) -> tupl
 
     groups: sources in UTF-8 order with the sums of their counts; sizes: the same as a map; terms: how many are kept.
     """
-    cells = materialise(term_counts(docs, **columns).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "cells")
-    wide = cells.filter(F.col("term").isNotNull()).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("cells"), F.sum("n").alias("total"))
-    wide = materialise(wide.filter(F.col("docs") >= least_docs).select("lang", "term", F.map_from_entries("cells").alias("counts"), "total"), "wide-terms")
-    own = wide.select("lang", F.explode("counts").alias("source", "n"))
-    occurring = cells.filter(F.col("term").isNull()).select("lang", "source", F.lit(0).cast("long").alias("n"))
-    groups = own.unionByName(occurring).groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    # Blocks are summed already: one exchange by language and term serves both aggregations. The row without a term stays.
+    cells = term_counts(docs, **columns).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    wide = cells.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("cells"), F.sum("n").alias("total"))
+    wide = wide.filter((F.col("docs") >= least_docs) | F.col("term").isNull()).select("lang", "term", F.map_from_entries("cells").alias("counts"), "total")
+    wide = materialise(wide, "wide-terms")
+    groups = wide.select("lang", F.explode("counts").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    wide = wide.filter(F.col("term").isNotNull())
     groups = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("groups"), F.sum("n").alias("size"))
     kept = wide.groupBy("lang").agg(F.count("*").alias("terms"))
     facts = groups.join(kept, "lang", "left").select("lang", "groups", F.map_from_entries("groups").alias("sizes"), "size", F.coalesce("terms", F.lit(0)).cast("long").alias("terms"))
@@ -132,8 +133,9 @@ def pair_divergences(wide: DataFrame, facts: DataFrame) -> DataFrame:
     none = facts.select("lang", F.transform("groups", lambda g: F.lit(1).cast("long")).alias("p"), F.lit(0).cast("long").alias("times"))
     one = vectors.unionByName(none).select("lang", "p", "times", F.posexplode("p").alias("i", "own"))
     later = F.slice("p", F.col("i") + 2, F.greatest(F.size("p") - F.col("i") - 1, F.lit(0)))
-    both = F.transform(later, lambda q, k: F.struct(k.alias("k"), (excess(F.col("own"), q) * F.col("times")).alias("there"), (excess(q, F.col("own")) * F.col("times")).alias("back")))
-    pairs = one.select("lang", "i", F.explode(both).alias("c")).groupBy("lang", "i", (F.col("i") + 1 + F.col("c.k")).alias("j")).agg(F.sum("c.there").alias("there"), F.sum("c.back").alias("back"))
+    both = F.transform(later, lambda q: F.struct(excess(F.col("own"), q).alias("there"), excess(q, F.col("own")).alias("back")))
+    pairs = one.select("lang", "i", "times", F.posexplode(both).alias("k", "c")).groupBy("lang", "i", (F.col("i") + 1 + F.col("k")).alias("j"))
+    pairs = pairs.agg(F.sum(F.col("c.there") * F.col("times")).alias("there"), F.sum(F.col("c.back") * F.col("times")).alias("back"))
     ways = F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b"), F.col("there").alias("value")), F.struct(F.col("j").alias("a"), F.col("i").alias("b"), F.col("back").alias("value"))))
     pairs = pairs.select("lang", ways.alias("w")).select("lang", "w.*")
     names = facts.select("lang", F.posexplode(F.transform("groups", lambda g: g["source"])).alias("at", "name"))
