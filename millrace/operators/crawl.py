@@ -6,8 +6,11 @@ import itertools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.functions import web
+from millrace.operators.ordering import row_numbers
+from millrace.sources.commits import CommitLog
 
 
 def robots_allowed(path: Column, rules: list[tuple[str, bool]]) -> Column:
@@ -96,22 +99,58 @@ def manifest(pdfs: DataFrame, errors: DataFrame, root: str, pages: int = 0) -> D
     return both.agg(F.count_if(F.col("pdf") == 1).alias("pdf_count"), F.count_if(F.col("pdf") == 0).alias("error_count")).select(F.lit(root).alias("root"), utc_stamp().alias("generated_at"), F.lit(pages).cast("long").alias("pages"), "pdf_count", "error_count")
 
 
-def crawled(start: DataFrame, edges: DataFrame, done: DataFrame, save, max_pages: int | None = None, batch: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(page, step) of the pages visited by this run and (page) of the frontier it leaves: breadth first from start (page) along
-    edges (src, dst), at most `batch` pages at a time and `max_pages` in all; pages in done (page) of earlier runs aren't visited."""
-    visited, left = None, save(start.select(F.col("page")).distinct().join(done, "page", "left_anti"))
-    count = 0
-    for step in itertools.count(1):
-        room = batch if max_pages is None else min(batch, max_pages - count)
-        now = save(left.orderBy("page").limit(max(0, room)).withColumn("step", F.lit(step).cast("long")))
-        n = now.count()
-        if not n:
-            return (visited if visited is not None else now), left
-        count += n
-        visited = now if visited is None else save(visited.unionByName(now))
-        found = now.join(edges, F.col("page") == F.col("src")).select(F.col("dst").alias("page"))
-        seen = visited.select("page").unionByName(done.select("page"))
-        left = save(left.unionByName(found).distinct().join(seen, "page", "left_anti"))
+def crawled(start: DataFrame, links, folder: str, save, max_pages: int | None = None, batch: int | None = None, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(page, step) of the pages that this run visits, and (page) of those found but not visited yet: first found, first visited.
+
+    start: (page). links: a DataFrame (src, dst), or a function from the pages of a step (page) to one, so that it may fetch.
+    At most `batch` pages are visited in a step (all that an earlier step found if None), `max_pages` in this run. Pages in
+    done (page) are not visited. Null pages and links are none.
+
+    `folder` holds the frontier as a log: each step appends the pages that nobody found before, numbered in order, and its
+    visits, then commits. A page is written once in each, however many steps follow, and a later run with the same folder
+    goes on behind the last commit. Found pages are met by a semi-join of the log with a step's links, so that Spark may broadcast
+    the links if they are small; only links that are known already come back to be left out. `save` is for row_numbers.
+    """
+    spark = start.sparkSession
+    log = CommitLog(spark, folder)
+    kind = StructType([start.schema["page"]])
+    found_kind, seen_kind = StructType([*kind.fields, StructField("place", LongType())]), StructType([*kind.fields, StructField("step", LongType())])
+
+    def append_found(pages: DataFrame, number: int, earlier: bool) -> int:
+        pages = save(pages.filter(F.col("page").isNotNull()).distinct())
+        known = log.read("found", found_kind, number - 1).select("page") if earlier else None
+        if done is not None:
+            known = done.select("page") if known is None else known.unionByName(done.select("page"))
+        if known is not None:
+            pages = pages.join(known.join(pages, "page", "left_semi").distinct(), "page", "left_anti")
+        numbered = row_numbers(pages, "page", save=save, name="place").select("page", "place")
+        path = log.write(numbered, "found", number)
+        return spark.read.schema(found_kind).parquet(path).count()
+
+    number, facts = log.last()
+    if not number:
+        number, facts = 1, {"found": append_found(start, 1, False), "queue": 1, "taken": 0}
+        log.commit(number, **facts)
+    first, room = number, max_pages
+    queue, taken = facts["queue"], facts["taken"]  # the part that is being visited, and how many of its pages were
+    while room is None or room > 0:
+        size = log.facts(queue)["found"]
+        if taken >= size:
+            if queue >= number:
+                break
+            queue, taken = queue + 1, 0
+            continue
+        n = min(x for x in (size - taken, batch, room) if x is not None)
+        part = spark.read.schema(found_kind).parquet(log.part("found", queue)).filter(F.col("place").between(taken + 1, taken + n))
+        number += 1
+        now = spark.read.schema(seen_kind).parquet(log.write(part.select("page", F.lit(number - 1).cast("long").alias("step")), "visited", number)).select("page")
+        taken += n
+        room = None if room is None else room - n
+        edges = links(now) if callable(links) else now.join(links, F.col("page") == F.col("src"))
+        log.commit(number, found=append_found(edges.select(F.col("dst").alias("page")), number, True), queue=queue, taken=taken)
+    visited = log.read("visited", seen_kind).filter(F.col("n") > first).select("page", "step")
+    left = log.read("found", found_kind).filter((F.col("n") > queue) | ((F.col("n") == queue) & (F.col("place") > taken)))
+    return visited, left.select("page")
 
 
 def audit_counts(audited: DataFrame) -> DataFrame:

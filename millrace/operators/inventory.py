@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions import text as T
+from millrace.operators.ordering import row_numbers
+from millrace.sources.commits import CommitLog
 
 #: Files of more bytes are not scanned.
 LARGE = 25 * 1024 * 1024
@@ -80,18 +83,42 @@ def with_details(summaries: DataFrame, features: DataFrame, key: str = "doc_id")
     return summaries.join(own, key, "left")
 
 
-def scan_in_batches(files: DataFrame, scan, folder: str, every: int = 200) -> DataFrame:
-    """Summaries of all files (path), in `folder`: files that have one there are not scanned again; others are, `every` files to a
-    checkpoint, each of which is kept whole if the run breaks off."""
+def scan_in_batches(files: DataFrame, scan, folder: str, save, every: int = 200) -> DataFrame:
+    """Summaries of all files (path) that some run with this folder tried: those without a commit are scanned now, `every` files
+    to a commit, in the order of their paths, so that a run that breaks off loses at most one batch.
+
+    The files are dealt to batches once, by their places. A batch's commit says which files were tried, whatever came back:
+    a file without a row is not asked again but told by `without_summary`. Null paths are no files.
+    """
     spark = files.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    there = lambda: at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    while True:
-        left = unscanned(files, spark.read.parquet(folder)) if there() else files
-        part = left.orderBy("path").limit(every)
-        if there() and not part.take(1):
-            return spark.read.parquet(folder)
-        scan(part).write.mode("append").parquet(folder)
+    log = CommitLog(spark, folder)
+    tried = StructType([StructField("path", StringType())])
+    number, first = log.last()[0], log.last()[0]
+    left = files.filter(F.col("path").isNotNull())
+    if number:
+        left = unscanned(left, log.read("tried", tried))
+    dealt = row_numbers(left, "path", save=save).withColumn("batch", F.expr(f"(rn - 1) div {int(every)}"))
+    dealt = save(dealt.select(*files.columns, "batch"))
+    batches = dealt.agg(F.max("batch")).first()[0]
+    summary = None
+    for k in range(0 if batches is None else batches + 1):
+        number += 1
+        part = dealt.filter(F.col("batch") == k).drop("batch")
+        rows = scan(part)
+        summary = rows.schema
+        log.write(rows, "rows", number)
+        log.write(part.select("path"), "tried", number)
+        log.commit(number, schema=summary.jsonValue())
+    if summary is None:
+        summary = StructType.fromJson(log.facts(first)["schema"]) if first else scan(files.limit(0)).schema
+    return log.read("rows", summary).drop("n")
+
+
+def without_summary(spark, folder: str) -> DataFrame:
+    """path of the files that were tried and gave no row."""
+    log = CommitLog(spark, folder)
+    kind = StructType([StructField("path", StringType())])
+    return log.read("tried", kind).select("path").join(log.read("rows", kind).select("path"), "path", "left_anti")
 
 
 def clamped(page, pages):

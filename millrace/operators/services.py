@@ -50,14 +50,14 @@ def fetched(urls: DataFrame, fetch, seconds: float | None = None) -> DataFrame:
 
 def downloads(urls: DataFrame, existing: DataFrame, fetch) -> DataFrame:
     """url, path, bytes, status, error: a file that is there and not empty (path, bytes) is `existing`; another is fetched and is
-    `downloaded` if it is a PDF by its type or its first bytes."""
+    `downloaded` if it is a PDF by its type or its first bytes. A null url is an error."""
     have = existing.filter("bytes > 0").select("path", F.col("bytes").alias("old"))
     met = urls.join(have, "path", "left")
     kept = met.filter("old is not null").select("url", "path", F.col("old").alias("bytes"), F.lit("existing").alias("status"), F.lit(None).cast("string").alias("error"))
     new = met.filter("old is null").select("url", "path")
-    got = fetched(new.select("url").distinct(), fetch).withColumn("pdf", F.col("error").isNull() & (crawl.content_kind(F.col("content_type"), F.col("body")) == "pdf"))
-    new = new.join(got, "url")
-    error = F.when(~F.col("pdf"), F.coalesce("error", F.lit("ValueError: response is not a PDF")))
+    got = fetched(new.select("url").filter("url is not null").distinct(), fetch).withColumn("pdf", F.col("error").isNull() & (crawl.content_kind(F.col("content_type"), F.col("body")) == "pdf"))
+    new = new.join(got, "url", "left")
+    error = F.when(F.col("url").isNull(), "ValueError: no url").when(~F.col("pdf"), F.coalesce("error", F.lit("ValueError: response is not a PDF")))
     new = new.select("url", "path", F.when(F.col("pdf"), F.octet_length("body")).cast("long").alias("bytes"), F.when(F.col("pdf"), "downloaded").alias("status"), error.alias("error"))
     return kept.unionByName(new)
 

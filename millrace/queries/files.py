@@ -10,7 +10,7 @@ from millrace.operators import crawl, evaluation, inventory, profiles
 from millrace.plans.fixtures import PAGES, doc_pages, table
 from millrace.queries.documents import FEATURES, SUMMARY, _features, _summary
 from millrace.queries.registry import query
-from millrace.sources import readers, writers
+from millrace.sources import commits, readers, writers
 from millrace.streaming.incremental import save_to, shared_dir
 
 _FOLDERS = ("a", ".venv", "sub/node_modules", "crawl", "B")
@@ -149,8 +149,8 @@ def q75_inventory_details(spark, sf_dir):
     folder = shared_dir(spark)
     maps = inventory.language_pages(_features(spark, sf_dir))
     writers.write_inventory(_summary(spark, sf_dir).join(maps, "doc_id").drop("language_pages"), _features(spark, sf_dir), folder)
-    summaries = spark.read.schema("doc_id long, pages long, languages string").json(f"{folder}/summaries")
-    details = spark.read.schema("doc_id long, page_num long, characters long").json(f"{folder}/page_details")
+    summaries = spark.read.schema("doc_id long, pages long, languages string").json(commits.current(spark, folder, "summaries"))
+    details = spark.read.schema("doc_id long, page_num long, characters long").json(commits.current(spark, folder, "page_details"))
     met = inventory.with_details(summaries, details)
     return met.select("doc_id", "pages", "languages", F.size("details").cast("long").alias("listed"), F.aggregate("details", F.lit(0).cast("long"), lambda s, x: s + x["characters"]).alias("characters"))
 
@@ -176,7 +176,7 @@ def q77_scored_results(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("policy "), (F.col("item_id") % 3).cast("string")).alias("chunk_policy"))
     writers.write_results(rows.limit(1), folder)
     writers.write_results(rows, folder)
-    return spark.read.schema("item_id long, chunk_policy string").json(folder).withColumn("slug", T.slug(F.col("chunk_policy")))
+    return spark.read.schema("item_id long, chunk_policy string").json(commits.current(spark, folder, "results")).withColumn("slug", T.slug(F.col("chunk_policy")))
 
 
 @query("select doc_id, length(text)::bigint as b_size, lang as a_lang, 'a_lang,b_size,doc_id' as header, 7::bigint as seed, 'stratified' as method from documents")
@@ -306,28 +306,30 @@ def q90_image_value_counts(spark, sf_dir):
     return inventory.value_counts(inventory.inventory(inventory.page_features(pages)), "images")
 
 
-@query("select doc_id::varchar as path, length(text)::bigint as size from documents")
+@query("""select doc_id::varchar as path, case when doc_id % 9 <> 4 then length(text) end::bigint as size, doc_id % 9 <> 4 as scanned from documents""")
 def q91_checkpointed_scan(spark, sf_dir):
-    """A scan that breaks off after its first checkpoints and goes on from them, then replaced whole by its sorted rows."""
-    folder = shared_dir(spark)
+    """A scan that breaks off after its first checkpoints and goes on from them; every ninth file gives no row, and is told apart.
+    Then the rows replace a snapshot."""
+    folder, save = shared_dir(spark), save_to(spark)
     files = table(spark, sf_dir, _D).select(F.col("doc_id").cast("string").alias("path"), F.length("text").cast("long").alias("size"))
-    every = max(1, files.count() // 3)
-    inventory.scan_in_batches(files.orderBy("path").limit(every), lambda part: part, f"{folder}/scan", every)
-    whole = inventory.scan_in_batches(files, lambda part: part, f"{folder}/scan", every)
-    writers.replace_folder(whole.limit(1), f"{folder}/summary")
-    writers.replace_folder(whole, f"{folder}/summary")
-    return spark.read.parquet(f"{folder}/summary")
+    every, scan = max(1, files.count() // 3), lambda part: part.filter("cast(path as long) % 9 <> 4")
+    inventory.scan_in_batches(files.orderBy("path").limit(every), scan, f"{folder}/scan", save, every)
+    whole = inventory.scan_in_batches(files.unionByName(files.limit(1).select(F.lit(None).cast("string").alias("path"), "size")), scan, f"{folder}/scan", save, every)
+    commits.replace(f"{folder}/summary", rows=whole.limit(1))
+    commits.replace(f"{folder}/summary", rows=whole)
+    there = spark.read.parquet(commits.current(spark, f"{folder}/summary", "rows")).withColumn("scanned", F.lit(True))
+    none = inventory.without_summary(spark, f"{folder}/scan").select("path", F.lit(None).cast("long").alias("size"), F.lit(False).alias("scanned"))
+    return there.unionByName(none)
 
 
-@query("select item_id, sha256(text) as digest, octet_length(encode(text))::bigint as bytes from benchmark where item_id % 4 = 1")
+@query("select item_id, sha256(text) as digest, octet_length(encode(text))::bigint as bytes from benchmark")
 def q92_object_round_trip(spark, sf_dir):
     """Objects put under keys and read back as bytes."""
     folder = shared_dir(spark)
-    rows = table(spark, sf_dir, "benchmark").filter("item_id % 4 = 1").select(F.col("item_id").cast("string").alias("key"), F.col("text").alias("value"))
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("key"), F.col("text").alias("value"))
     writers.put_objects(rows, folder)
-    back = readers.read_object(spark, f"{folder}/key=*/part-*").select(F.regexp_extract("path", "key=([0-9]+)", 1).cast("long").alias("item_id"), F.decode("content", "utf-8").alias("t"))
-    back = back.groupBy("item_id").agg(F.array_join(F.collect_list("t"), "").alias("t")).select("item_id", F.regexp_replace("t", "\n$", "").alias("t"))
-    return back.select("item_id", F.sha2("t", 256).alias("digest"), F.octet_length("t").cast("long").alias("bytes"))
+    back = readers.read_object(spark, f"{folder}/bucket=*/part-*").select(F.explode(readers.objects_in(F.col("content"))).alias("o"))
+    return back.select(F.col("o.key").cast("long").alias("item_id"), F.sha2("o.value", 256).alias("digest"), F.octet_length("o.value").cast("long").alias("bytes"))
 
 
 @query("""with x as (select page_id, 100 + page_id * 37 % 3000 as w, 1 + page_id * 91 % 4000 as h from pages), s as (select *, least(900 / w, 1000 / h, 1) as f from x)

@@ -127,13 +127,15 @@ def q100_eval_generation(spark, sf_dir):
 
 @query("select page_id as page, case when page_id < 7 then 1 else 2 end::int as run from pages")
 def q101_crawl_resume(spark, sf_dir):
-    """A tree of pages crawled in batches: a run of seven pages, then one that goes on from what it left."""
+    """A tree of pages, with null links, crawled in batches: a run of seven pages, then one that goes on from its log."""
     save, p = save_to(spark), F.col("page_id")
+    folder = f"{shared_dir(spark)}/crawl"
     pages = table(spark, sf_dir, "pages").select("page_id")
-    edges = save(pages.select(p.alias("dst"), F.floor((p - 1) / 2).alias("src")).filter("dst > 0"))
+    edges = save(pages.select(F.when(p % 5 > 0, p).alias("dst"), F.floor((p - 1) / 2).alias("src")).filter("src >= 0").unionByName(pages.filter("page_id % 5 = 0 and page_id > 0").select(p.alias("dst"), F.floor((p - 1) / 2).alias("src"))))
     start = pages.filter("page_id = 0").select(p.alias("page"))
-    first, left = crawl.crawled(start, edges, start.limit(0), save, max_pages=7, batch=3)
-    second, _ = crawl.crawled(left, edges, first.select("page"), save)
+    first, _ = crawl.crawled(start, edges, folder, save, max_pages=7, batch=3)
+    first = save(first)
+    second, _ = crawl.crawled(start, edges, folder, save)
     return first.select("page", F.lit(1).alias("run")).unionByName(second.select("page", F.lit(2).alias("run")))
 
 
@@ -192,12 +194,12 @@ def q104_encoder(spark, sf_dir):
 
 @query("select lang, count(*) as n from documents group by lang")
 def q105_remembered(spark, sf_dir):
-    """A result kept under its input's name, size and time: built once, then read."""
+    """A result kept under a name and its input's path, size and time: built once, then read."""
     folder = shared_dir(spark)
     build = lambda: table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    remembered(spark, folder, f"{sf_dir}/documents.parquet", build)
+    remembered(spark, folder, "languages", f"{sf_dir}/documents.parquet", build)
 
     def never():
         raise RuntimeError("built twice")
 
-    return remembered(spark, folder, f"{sf_dir}/documents.parquet", never)
+    return remembered(spark, folder, "languages", f"{sf_dir}/documents.parquet", never, seconds=3600)

@@ -6,7 +6,7 @@ import re
 import signal
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that discovery skips.
@@ -32,6 +32,12 @@ def read_object(spark: SparkSession, uri: str) -> DataFrame:
     return spark.read.format("binaryFile").load(uri).select("path", "content", "length")
 
 
+def objects_in(content: Column) -> Column:
+    """array of (key, value) of a bucket's file of JSON lines, as writers.put_objects writes them."""
+    lines = F.filter(F.split(F.decode(content, "utf-8"), "\n"), lambda x: x != "")
+    return F.transform(lines, lambda x: F.from_json(x, "key string, value string"))
+
+
 def size_inventory(files: DataFrame) -> DataFrame:
     return files.select("relative", F.bround(F.col("length") / 1048576.0, 2).alias("mib")).orderBy(F.lower("relative"))
 

@@ -1,13 +1,12 @@
-"""File sinks: JSON, CSV and TSV splits, upserts into new paths, HTML exports, exit states."""
+"""File sinks: JSON, CSV and TSV splits, snapshots by version, HTML exports, exit states."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import utc_stamp
+from millrace.sources import commits
 
 
 def write_manifest(pdfs: DataFrame, errors: DataFrame, folder: str) -> None:
@@ -28,9 +27,8 @@ def write_paths(files: DataFrame, folder: str) -> None:
 
 
 def write_inventory(summaries: DataFrame, features: DataFrame, folder: str) -> None:
-    """Summaries with the time of writing, and pages by document."""
-    summaries.withColumn("generated_at", utc_stamp()).write.mode("overwrite").json(f"{folder}/summaries")
-    features.write.mode("overwrite").json(f"{folder}/page_details")
+    """Summaries with the time of writing, and pages by document: a version of both, committed together."""
+    commits.replace(folder, "json", summaries=summaries.withColumn("generated_at", utc_stamp()), page_details=features)
 
 
 def append_log(rows: DataFrame, folder: str) -> None:
@@ -38,7 +36,8 @@ def append_log(rows: DataFrame, folder: str) -> None:
 
 
 def write_results(rows: DataFrame, folder: str) -> None:
-    rows.write.mode("overwrite").partitionBy("chunk_policy").json(folder)
+    """Scored results, a folder per chunk policy, as a new version."""
+    commits.replace(folder, "json", ("chunk_policy",), results=rows)
 
 
 def write_rows(rows: DataFrame, folder: str, **about) -> None:
@@ -50,23 +49,11 @@ def write_rows(rows: DataFrame, folder: str, **about) -> None:
         rows.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in sorted(about.items())]).write.mode("overwrite").json(f"{folder}/about")
 
 
-def replace_folder(rows: DataFrame, folder: str) -> None:
-    """Write rows beside the folder, then put them in its place: readers see the old rows or the new ones, never a part."""
-    spark = rows.sparkSession
-    new, at = f"{folder}.{uuid.uuid4().hex}", spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    rows.write.parquet(new)
-    fs = at(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = at(f"{folder}.old")
-    fs.delete(old, True)
-    if fs.exists(at(folder)):
-        fs.rename(at(folder), old)
-    fs.rename(at(new), at(folder))
-    fs.delete(old, True)
-
-
-def put_objects(rows: DataFrame, folder: str) -> None:
-    """(key, value) rows as one object per key, overwritten by key."""
-    rows.select("value", "key").write.mode("overwrite").partitionBy("key").text(folder)
+def put_objects(rows: DataFrame, folder: str, buckets: int = 16) -> None:
+    """(key, value) rows put under their keys. Keys are dealt to `buckets` folders by hash, so that many small objects make few
+    files; each holds JSON lines (see readers.objects_in). Writing again replaces all."""
+    bucket = F.pmod(F.hash("key"), F.lit(buckets))
+    rows.select("key", "value", bucket.alias("bucket")).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").option("ignoreNullFields", False).json(folder)
 
 
 def html_export(pages: DataFrame) -> DataFrame:

@@ -7,14 +7,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources import commits
+
+
+_own_dir: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, deleted when the driver's JVM ends; in a temporary one only where that is unset and
+    Spark runs on one machine."""
     import tempfile
 
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (found or "file://" + tempfile.mkdtemp(prefix="millrace-")).rstrip("/") + f"/run-{uuid.uuid4().hex}"
+    if not found:
+        if not _own_dir:
+            _own_dir.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
+        found = _own_dir[0]
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found.rstrip("/") + f"/run-{uuid.uuid4().hex}")
+    made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(made)
+    return made.toString()
 
 
 def save_to(spark: SparkSession):
@@ -57,16 +70,17 @@ def latest_state(spark: SparkSession, folder: str, schema, key: str, value: str,
     return log.groupBy(key).agg(F.max_by(F.struct("turns", "last"), "batch").alias("s")).select(key, "s.turns", "s.last")
 
 
-def remembered(spark: SparkSession, folder: str, path: str, build) -> DataFrame:
-    """What build() gave for the file or folder `path` when it last had its present size and time; built and kept if it never did."""
+def remembered(spark: SparkSession, folder: str, name: str, path: str, build, seconds: float | None = None) -> DataFrame:
+    """What build() gave under `name` for the file or folder `path` when it last had its present size and time; built and kept as
+    a new version if it never did, or if that was more than `seconds` ago."""
     import hashlib
-
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    at = lambda p: (hadoop(p), hadoop(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
-    source, fs = at(path)
-    state, size = fs.getFileStatus(source), fs.getContentSummary(source).getLength()
-    kept = f"{folder}/{hashlib.sha256(f'{path}|{state.getModificationTime()}|{size}'.encode()).hexdigest()}"
-    place, store = at(f"{kept}/_SUCCESS")
-    if not store.exists(place):
-        build().write.mode("overwrite").parquet(kept)
-    return spark.read.parquet(kept)
+    import time
+
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state, size = fs.getFileStatus(hadoop), fs.getContentSummary(hadoop).getLength()
+    kept = f"{folder}/{hashlib.sha256(f'{name}|{path}|{state.getModificationTime()}|{size}'.encode()).hexdigest()}"
+    number, facts = commits.CommitLog(spark, kept).last()
+    if not number or (seconds is not None and time.time() - facts["at"] > seconds):
+        commits.replace(kept, rows=build())
+    return spark.read.parquet(commits.current(spark, kept, "rows"))

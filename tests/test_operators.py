@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions import web
 from millrace.operators import chunking, crawl, evaluation, inventory, models, ordering, profiles, retrieval, workflow
-from millrace.sources import readers, writers
+from millrace.sources import commits, readers, writers
 from millrace.streaming.incremental import save_to
 
 
@@ -219,7 +219,7 @@ def test_more_files(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/paths").count() == 1
     summaries = spark.createDataFrame([("a", "low"), ("b", "error")], "path string, docling_risk string")
     writers.write_inventory(summaries, summaries, f"{tmp_path}/inventory")
-    assert spark.read.json(f"{tmp_path}/inventory/summaries").filter("generated_at is not null").count() == 2
+    assert spark.read.json(commits.current(spark, f"{tmp_path}/inventory", "summaries")).filter("generated_at is not null").count() == 2
     assert [r.path for r in inventory.unscanned(spark.createDataFrame([("b",), ("c",)], "path string"), summaries).collect()] == ["c"]
     r = one(spark, s=T.slug(F.lit("policy")), u=T.under(F.lit("/a/b/c"), "/a/b/"), v=T.under(F.lit("/a/b/../c"), "/a/b"), w=T.under(F.lit("/a/bc"), "/a/b"))
     assert (r.s, r.u, r.v, r.w) == (hashlib.sha256(b"policy").hexdigest()[:12], True, False, False)
