@@ -6,6 +6,7 @@ Token policies count one word as one token, with two special tokens a chunk; a m
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,24 +43,44 @@ def single_spaced_words(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+def _cut_texts(texts: DataFrame, cut, names: tuple[str, ...]) -> DataFrame:
+    """doc_id, chunk_id, the columns `names` (numbers) and text: cut(text) yields a chunk's numbers and text, in one pass of a text."""
+    import pyarrow as pa
+
+    kinds = [pa.int64(), pa.int64(), *[pa.int64() for _ in names], pa.string()]
+    columns = ["doc_id", "chunk_id", *names, "text"]
+
+    def run(batches):
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = [(doc, k, *chunk) for k, chunk in enumerate(cut(text))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=columns)
+
+    return texts.filter("text <> ''").select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_id long, " + "".join(f"{n} long, " for n in names) + "text string")
+
+
 def token_chunks(texts: DataFrame, size: int, overlap: int) -> DataFrame:
-    """doc_id, chunk_id, start_index, n_tokens, text: windows over the words of texts normalized to single spaces."""
+    """doc_id, chunk_id, start_index, n_tokens, text: windows over the words of texts normalized to single spaces. A text's words
+    are found once, and chunks are slices of it, so time follows the text and its chunks."""
     stride = size - overlap
-    long = lambda c: c.cast("long")
-    # Words are split once a text and each is joined into its chunks once; more than one use keeps them a column of their own.
-    rows = texts.filter("text <> ''").select("doc_id", F.split("text", " ").alias("w"))
-    steps = F.sequence(F.lit(0).cast("long"), long(F.greatest(F.lit(0), F.ceil((F.size("w") - size) / stride))))
-    part = lambda k, n: F.array_join(F.slice(F.col("w"), (k * stride + 1).cast("int"), F.lit(n)), " ")
-    rows = rows.select("doc_id", "w", F.transform(steps, lambda k: long(F.length(part(k, stride))) + 1).alias("sizes"))
-    start = lambda k: F.aggregate(F.slice(F.col("sizes"), F.lit(1), k.cast("int")), F.lit(0).cast("long"), lambda s, x: s + x)
-    row = lambda size_, k: F.struct(long(k).alias("chunk_id"), start(k).alias("start_index"), long(F.least(F.size("w"), k * stride + size) - k * stride).alias("n_tokens"), part(k, size).alias("text"))
-    return rows.select("doc_id", F.inline(F.transform(F.col("sizes"), row)))
+
+    def cut(text):
+        starts = [0]
+        at = text.find(" ")
+        while at >= 0:
+            starts.append(at + 1)
+            at = text.find(" ", at + 1)
+        n = len(starts)
+        for first in range(0, max(1, n - size + stride), stride):
+            stop = min(n, first + size)
+            yield starts[first], stop - first, text[starts[first] : starts[stop] - 1 if stop < n else len(text)]
+
+    return _cut_texts(texts, cut, ("start_index", "n_tokens"))
 
 
 def character_chunks(texts: DataFrame, size: int = 2500, overlap: int = 100) -> DataFrame:
     """doc_id, chunk_id, start_index, text: greedy packing of whole words into at most `size` characters, each chunk
     starting with the last words of the one before, of at most `overlap` characters. One text at a time, in order."""
-    import pyarrow as pa
 
     def cut(text):
         words, at = [], 0
@@ -79,25 +100,28 @@ def character_chunks(texts: DataFrame, size: int = 2500, overlap: int = 100) ->
                 back -= 1
             first = back
 
-    def run(batches):
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(doc, k, start, chunk) for k, (start, chunk) in enumerate(cut(text))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "chunk_id", "start_index", "text"])
+    return _cut_texts(texts, cut, ("start_index",))
 
-    return texts.filter("text <> ''").select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_id long, start_index long, text string")
 
+@F.pandas_udf("array<int>")
+def _anchored(texts: pd.Series, chunks: pd.Series) -> pd.Series:
+    def starts(text, parts):
+        at, found = -1, []
+        for part in parts:
+            here = text.find(part, at + 1)
+            if here < 0:
+                here = text.find(part, 0, at + len(part))  # nothing was found behind
+            at = here if here >= 0 else at
+            found.append(here)
+        return found
 
-def reanchor(text: Column, chunks: Column) -> Column:
-    """Where each chunk (array<string>, in order) starts: found after the start before it, else at its first occurrence, else -1."""
+    return pd.Series([None if t is None or c is None else starts(t, c) for t, c in zip(texts, chunks)])
 
-    def step(held, chunk):
-        after = F.call_function("locate", chunk, text, held["at"] + 2)
-        found = F.when(after > 0, after - 1).otherwise(F.call_function("locate", chunk, text, F.lit(1)) - 1)
-        return F.struct(F.when(found >= 0, found).otherwise(held["at"]).alias("at"), F.concat(held["starts"], F.array(found)).alias("starts"))
 
-    start = F.struct(F.lit(-1).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
-    return F.aggregate(chunks, start, step, lambda held: held["starts"])
+def reanchor(text: Column, chunks: Column) -> Column:
+    """Where each chunk (array<string>, in order) starts: found after the start before it, else at its first occurrence, else -1.
+    A text is searched onwards, so that time follows its length where chunks are in order."""
+    return _anchored(text, chunks)
 
 
 def nearest_rank(values: Column, p: float) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from millrace.functions import text as T
+from millrace.operators import intervals
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -33,18 +34,22 @@ def evidence_spans(evidence: DataFrame, spans: DataFrame) -> DataFrame:
     return met.select("eval_id", "doc_id", "page_num", (F.col("start") + F.col("at")).alias("lo"), (F.col("start") + F.col("at") + F.length("quote")).alias("hi"))
 
 
+def _chunk_spans(chunks: DataFrame) -> DataFrame:
+    """doc_id, chunk_id, s, e; chunks with a negative start hold nothing."""
+    own = chunks.select("doc_id", "chunk_id", F.col("start_index").cast("long").alias("s"), (F.col("start_index") + F.length("text")).cast("long").alias("e"))
+    return own.filter("s >= 0")
+
+
 def relevant_chunks(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """eval_id, doc_id, chunk_id: chunks that hold some occurrence whole. Chunks with a negative start hold nothing."""
-    own = chunks.select("doc_id", "chunk_id", F.col("start_index").alias("s"), (F.col("start_index") + F.length("text")).alias("e"))
-    met = evidence.join(own, "doc_id").filter("s >= 0 and s <= lo and hi <= e")
+    met = intervals.holding(evidence.select("eval_id", "doc_id", "lo", "hi"), _chunk_spans(chunks), ["doc_id"])
     return met.select("eval_id", "doc_id", "chunk_id").distinct()
 
 
 def page_overlaps(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     """doc_id, page_num, chunk_id of chunks that share characters with a page."""
-    own = chunks.select("doc_id", "chunk_id", F.col("start_index").alias("s"), (F.col("start_index") + F.length("text")).alias("e"))
-    met = spans.select("doc_id", "page_num", "start", "end").join(own, "doc_id")
-    return met.filter((F.col("s") >= 0) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start"))).select("doc_id", "page_num", "chunk_id")
+    pages = spans.select("doc_id", "page_num", "start", "end")
+    return intervals.overlapping(pages, _chunk_spans(chunks), ["doc_id"], "start", "end").select("doc_id", "page_num", "chunk_id")
 
 
 def grade(ranking: DataFrame, relevant: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
