@@ -63,10 +63,9 @@ def test_bpe_equals_the_library(words, library, rows):
 
 def test_rank_array_and_heap_merge_alike(words):
     model, rnd = bpe.WordBpe(words), random.Random(3)
-    for n in [*range(1, 40), 200, 700]:
-        symbols = rnd.choices(list("abcdeionstr") + ["Ã", "©"], k=n)
-        word = [*symbols[:-1], symbols[-1] + model.end]
-        assert model._by_ranks(word) == model._by_heap(word)
+    made = [bytes(rnd.choices([*b"abcdeionstr", 0xC3, 0xA9, 0x2E], k=n)) for n in (*range(1, bpe.SHORT + 1), *range(1, 30), 200, 700) for _ in range(6)]
+    for word, ids in zip(made, model.merged(made)):
+        assert ids == model._by_heap(word)
 
 
 def test_bpe_digests(docs, rows, empty, words, library):
