@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from millrace.operators.ordering import row_numbers
@@ -103,7 +104,7 @@ def character_chunks(texts: DataFrame, size: int = 2500, overlap: int = 100) ->
     return _cut_texts(texts, cut, ("start_index",))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _anchored(texts: pd.Series, chunks: pd.Series) -> pd.Series:
     def starts(text, parts):
         at, found = -1, []

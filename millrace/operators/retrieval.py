@@ -1,12 +1,15 @@
 """Lexical and dense ranking. Corpora are (idx, text), queries (qid, query); idx is the corpus order that breaks ties.
 
-Only tokens that some query has leave a document's row, so what is shuffled follows the queries, not the corpus. Only documents
-that share a token with a query are scored; the others' ranks follow them in corpus order and are computed, not joined.
+Only tokens that some query has leave a document's row, so what is shuffled follows the queries, not the corpus. The first k of
+a list come from an index of block bounds: documents are dealt to small blocks, and a block is scored for a query only if the
+largest impacts of its tokens could reach what the k-th hit of the most promising blocks has. Fused ranks need whole lists: there
+all documents that share a token are scored once, and a candidate's rank is a sum of counts between candidates. The others' ranks
+follow in corpus order and are computed, not joined. No join has a hint: Spark broadcasts by the bytes it measures.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +21,10 @@ from millrace.functions import text as T
 K1, B, RRF = 1.5, 0.75, 60
 #: Digits that scores keep before ranking: engines add in different orders.
 DIGITS = 9
-#: Tables of the queries' side (tokens, candidates) are broadcast up to so many rows of under 100 bytes.
-BROADCAST_ROWS = 500_000
-
-
-def bounded(df: DataFrame, save) -> DataFrame:
-    """df, written once, and broadcast if it is small."""
-    df = save(df)
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+#: Documents of a block of the index, and the most promising blocks of a query that set its bar.
+BLOCK, PROMISING = 64, 2
+#: Vectors of a block of a dense search.
+VECTORS = 16384
 
 
 def sum_of_squares(tokens: Column) -> Column:
@@ -44,28 +43,77 @@ def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
     return corpus.select(key, F.explode(T.tokens(F.col(text))).alias("tok")).groupBy(key, "tok").agg(F.count("*").alias("tf"))
 
 
+class LexicalIndex:
+    """Postings of the tokens that the queries (qid, query) have, with their impacts: what a document's tokens add to a score.
+
+    q: qid, tok, weights of each measure. d: block, idx, tok and impacts. A score is the sum of weight x impact, rounded.
+    `save` writes to shared storage and reads back.
+    """
+
+    def __init__(self, corpus: DataFrame, queries: DataFrame, save, measures: tuple[str, ...] = ("cosine", "bm25"), block: int = BLOCK):
+        self.save, self.measures = save, measures
+        asked = queries.withColumn("toks", T.tokens(F.col("query"))).select("qid", F.sqrt(sum_of_squares(F.col("toks")).cast("double")).alias("qnorm"), "toks").select("qid", "qnorm", F.explode("toks").alias("tok"))
+        q = save(asked.groupBy("qid", "tok").agg(F.count("*").alias("qtf"), F.first("qnorm").alias("qnorm")))
+        facts = corpus.agg(F.count("*").alias("n"), F.sum(F.regexp_count(F.lower("text"), F.lit(T.TOKEN))).alias("words")).first()
+        n, avgdl = facts["n"], max((facts["words"] or 0) / max(facts["n"], 1), 1.0)
+        # Two uses of the tokens keep them a column of their own, made once a row; figures of a row are made before its tokens part.
+        rows = corpus.select("idx", T.tokens(F.col("text")).alias("toks"))
+        norm = F.sqrt(sum_of_squares(F.col("toks")).cast("double")) if "cosine" in measures else F.lit(0.0)
+        rows = rows.select("idx", F.size("toks").alias("dl"), norm.alias("norm"), "toks").select("idx", "dl", "norm", F.explode("toks").alias("tok")).join(save(q.select("tok").distinct()), "tok", "left_semi")
+        d = rows.groupBy("idx", "tok").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("norm").alias("norm"))
+        impact = {"cosine": F.col("tf") / F.col("norm"), "bm25": F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))}
+        dealt = F.pmod(F.xxhash64("idx"), F.lit(max(1, math.ceil(n / block))))
+        self.d = save(d.select(dealt.alias("block"), "idx", "tok", *[impact[m].alias(m) for m in measures]))
+        df = self.d.groupBy("tok").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = {"cosine": F.col("qtf") / F.col("qnorm"), "bm25": F.col("qtf") * idf}
+        self.q = save(q.join(df, "tok").select("qid", "tok", *[weight[m].alias(f"w_{m}") for m in measures]))
+
+    def _scored(self, met: DataFrame, *measures: str) -> DataFrame:
+        return met.groupBy("qid", "idx").agg(*[F.round(F.sum(F.col(f"w_{m}") * F.col(m)), DIGITS).alias(m) for m in measures])
+
+    def scores(self) -> DataFrame:
+        """qid, idx and the measures of all pairs that share a token."""
+        return self._scored(self.d.join(self.q, "tok"), *self.measures)
+
+    def bounds(self, measure: str) -> DataFrame:
+        """qid, block, ub: no document of the block has a higher score."""
+        largest = self.d.groupBy("block", "tok").agg(F.max(measure).alias("most"))
+        return self.q.join(largest, "tok").groupBy("qid", "block").agg(F.sum(F.col(f"w_{measure}") * F.col("most")).alias("ub"))
+
+    def _of_blocks(self, chosen: DataFrame, measure: str) -> DataFrame:
+        asked = chosen.select("qid", "block").join(self.q, "qid")
+        return self._scored(asked.join(self.d.select("block", "tok", "idx", measure), ["block", "tok"]), measure)
+
+    def surviving(self, measure: str, k: int, promising: int = PROMISING) -> DataFrame:
+        """qid, block: blocks that may hold one of the k best. The bar is the k-th score of the most promising blocks."""
+        bounds = self.save(self.bounds(measure))
+        first = bounds.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("ub").desc(), "block"))).filter(F.col("at") <= promising)
+        best = ranked(self._of_blocks(first, measure), measure, k)
+        bar = best.groupBy("qid").agg(F.min(measure).alias("bar"), F.count("*").alias("n")).filter(F.col("n") == k)
+        # Bounds and scores are sums in another order, and scores are rounded.
+        reached = F.coalesce(F.col("ub") >= F.col("bar") * (1 - 1e-9) - 10.0**-DIGITS, F.lit(True))
+        return bounds.join(bar, "qid", "left").filter(reached).select("qid", "block")
+
+    def top(self, measure: str, k: int, promising: int = PROMISING) -> DataFrame:
+        """qid, idx, the measure and rk of the k best of the documents that share a token: as of the full scores."""
+        return ranked(self._of_blocks(self.surviving(measure, k, promising), measure), measure, k)
+
+    def work(self, measure: str, k: int, promising: int = PROMISING) -> DataFrame:
+        """qid, pairs, scored: documents that share a token with a query, and those of them in surviving blocks."""
+        survivors = self.surviving(measure, k, promising).withColumn("kept", F.lit(1))
+        docs = self.d.join(self.q.select("qid", "tok"), "tok").select("qid", "block", "idx").distinct()
+        return docs.join(survivors, ["qid", "block"], "left").groupBy("qid").agg(F.count("*").alias("pairs"), F.count("kept").alias("scored"))
+
+
 def lexical_scores(corpus: DataFrame, queries: DataFrame, save, cosine: bool = True, bm25: bool = True) -> DataFrame:
     """qid, idx, cosine, bm25 (as asked) of all pairs that share a token. `save` writes to shared storage and reads back."""
-    asked = queries.withColumn("toks", T.tokens(F.col("query"))).select("qid", F.sqrt(sum_of_squares(F.col("toks")).cast("double")).alias("qnorm"), "toks").select("qid", "qnorm", F.explode("toks").alias("tok"))
-    q = save(asked.groupBy("qid", "tok").agg(F.count("*").alias("qtf"), F.first("qnorm").alias("qnorm")))
-    facts = corpus.agg(F.count("*").alias("n"), F.sum(F.regexp_count(F.lower("text"), F.lit(T.TOKEN))).alias("words")).first()
-    n, avgdl = facts["n"], max((facts["words"] or 0) / max(facts["n"], 1), 1.0)
-    # Two uses of the tokens keep them a column of their own, made once a row; figures of a row are made before its tokens part.
-    rows = corpus.select("idx", T.tokens(F.col("text")).alias("toks"))
-    norm = F.sqrt(sum_of_squares(F.col("toks")).cast("double")) if cosine else F.lit(0.0)
-    rows = rows.select("idx", F.size("toks").alias("dl"), norm.alias("norm"), "toks").select("idx", "dl", "norm", F.explode("toks").alias("tok")).join(bounded(q.select("tok").distinct(), save), "tok", "left_semi")
-    d = save(rows.groupBy("idx", "tok").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("norm").alias("norm")))
-    df = d.groupBy("tok").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    met = d.join(bounded(q.join(df, "tok").select("qid", "tok", "qtf", "qnorm", idf.alias("idf")), save), "tok")
-    denominator = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))
-    dot = F.sum(F.col("qtf") * F.col("tf")).cast("double")
-    made = []
-    if cosine:
-        made.append(F.round(dot / (F.first("qnorm") * F.first("norm")), DIGITS).alias("cosine"))
-    if bm25:
-        made.append(F.round(F.sum(F.col("qtf") * F.col("idf") * (F.col("tf") * (K1 + 1) / denominator)), DIGITS).alias("bm25"))
-    return met.groupBy("qid", "idx").agg(*made)
+    return LexicalIndex(corpus, queries, save, ("cosine",) * cosine + ("bm25",) * bm25).scores()
+
+
+def lexical_top(corpus: DataFrame, queries: DataFrame, k: int, save, measure: str = "bm25") -> DataFrame:
+    """qid, idx, the measure and rk of the k best documents of each query that share a token with it."""
+    return LexicalIndex(corpus, queries, save, (measure,)).top(measure, k)
 
 
 def ranked(scores: DataFrame, score: str, k: int | None = None, name: str = "rk") -> DataFrame:
@@ -74,12 +122,39 @@ def ranked(scores: DataFrame, score: str, k: int | None = None, name: str = "rk"
     return out if k is None else out.filter(F.col(name) <= k)
 
 
+def places(scores: DataFrame, candidates: DataFrame, measures: tuple[str, ...]) -> DataFrame:
+    """qid, idx and at_<measure> of the candidates (qid, idx, measures): their places in the list of all scores of their query,
+    by falling score and idx. Both are rows of one table of scores.
+
+    A query's candidates, sorted, cut its list into pieces. One pass over the scores finds each row's piece by binary search and
+    counts the rows of pieces, and a place is the sum of the pieces before: a row of the scores meets its query's candidates
+    as one array, never each of them.
+    """
+    out = None
+    for m in measures:
+        key = lambda m=m: F.struct((-F.col(m)).alias("s"), F.col("idx").alias("i"))
+        arrays = candidates.groupBy("qid").agg(F.array_sort(F.collect_list(key())).alias("c"))
+        most = arrays.agg(F.max(F.size("c"))).first()[0] or 0
+        steps = F.array(*[F.lit(1 << b) for b in range(max(1, int(most).bit_length()) - 1, -1, -1)])
+        own = scores.select("qid", key().alias("k")).join(arrays, "qid")
+        # How many candidates are not behind the row: it stands before all others.
+        within = lambda lo, step: (lo + step <= F.size("c")) & (F.get("c", lo + step - 1) <= F.col("k"))
+        piece = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(within(lo, step), lo + step).otherwise(lo))
+        counts = own.select("qid", piece.alias("piece")).groupBy("qid", "piece").agg(F.count("*").alias("n"))
+        counts = counts.groupBy("qid").agg(F.collect_list(F.struct("piece", "n")).alias("p"))
+        each = arrays.select("qid", F.posexplode("c").alias("j", "c")).join(counts, "qid", "left")
+        before = F.aggregate(F.filter("p", lambda x: x["piece"] <= F.col("j")), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+        own = each.select("qid", F.col("c.i").alias("idx"), (F.coalesce(before, F.lit(0)) + 1).alias(f"at_{m}"))
+        out = own if out is None else out.join(own, ["qid", "idx"])
+    return out
+
+
 def hybrid(corpus: DataFrame, queries: DataFrame, k: int = 5, *, save) -> DataFrame:
     """qid, idx, score, dense_rank, sparse_rank, rk: reciprocal-rank fusion of cosine and BM25 over the whole corpus.
 
     The k best are among the first RRF + 2k - 1 of either list: one behind those in both has at most 2 / (2 RRF + 2k), less
-    than the first k of a list have. A candidate's rank in the list where it comes later is 1 and the number of documents
-    before it, counted only where its best possible score could reach the k best. `save` writes to shared storage and reads back.
+    than the first k of a list have. A candidate's rank in the list where it comes later is its place among all scores (see
+    `places`), asked only where its best possible score could reach the k best. `save` writes to shared storage and reads back.
     """
     most = RRF + 2 * k - 1
     scores = save(lexical_scores(corpus, queries, save))
@@ -91,11 +166,10 @@ def hybrid(corpus: DataFrame, queries: DataFrame, k: int = 5, *, save) -> DataFr
     least, best = (share("dense_rank", x) + share("sparse_rank", x) for x in (0.0, 1 / (RRF + most + 1)))
     bar = ranked(found.withColumn("least", least), "least", k).groupBy("qid").agg(F.min("least").alias("bar"), F.count("*").alias("n"))
     unknown = found.filter("dense_rank is null or sparse_rank is null").join(bar, "qid").filter((best >= F.col("bar")) | (F.col("n") < k))
-    unknown = bounded(unknown.select("qid", F.col("idx").alias("c"), F.col("cosine").alias("c_cosine"), F.col("bm25").alias("c_bm25")), save)
-    before = lambda s: F.count_if((F.col(s) > F.col(f"c_{s}")) | ((F.col(s) == F.col(f"c_{s}")) & (F.col("idx") < F.col("c")))) + 1
-    counted = scores.join(unknown, "qid").groupBy("qid", "c").agg(before("cosine").alias("d"), before("bm25").alias("s")).withColumnRenamed("qid", "q")
-    hits = found.join(counted, (F.col("qid") == F.col("q")) & (F.col("idx") == F.col("c")), "left")
-    hits = hits.select("qid", "idx", F.coalesce("dense_rank", "d").alias("dense_rank"), F.coalesce("sparse_rank", "s").alias("sparse_rank")).filter("dense_rank is not null and sparse_rank is not null")
+    unknown = unknown.select("qid", "idx", "cosine", "bm25")
+    counted = places(scores, save(unknown), ("cosine", "bm25"))
+    hits = found.join(counted.select(F.col("qid").alias("q"), F.col("idx").alias("c"), F.col("at_cosine").alias("d"), F.col("at_bm25").alias("s")), (F.col("qid") == F.col("q")) & (F.col("idx") == F.col("c")), "left")
+    hits = hits.select("qid", "idx", F.coalesce("dense_rank", "d").cast("int").alias("dense_rank"), F.coalesce("sparse_rank", "s").cast("int").alias("sparse_rank")).filter("dense_rank is not null and sparse_rank is not null")
     # Documents without a common token follow in corpus order in both lists; they matter only behind fewer than `most` hits.
     first = [r["idx"] for r in corpus.select("idx").orderBy("idx").limit(most + k).collect()]
     few = queries.select("qid").join(scores.groupBy("qid").agg(F.count("*").alias("hits")), "qid", "left").select("qid", F.coalesce("hits", F.lit(0)).alias("hits")).filter(F.col("hits") < most)
@@ -111,40 +185,45 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int, most: int = 4096) -> DataFrame:
-    """qid, idx, score, rk of (idx, vector) for (qid, vector): a block product in NumPy of each part of the corpus with the
-    queries. The queries are read to the driver and sent to the tasks in blocks of at most `most`."""
-    asked, found = queries.select("qid", "vector").toLocalIterator(), None
-    while (own := list(itertools.islice(asked, most))) or found is None:
-        scores = _dense_scores(vectors, own, k)
-        found = scores if found is None else found.unionByName(scores)
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = VECTORS) -> DataFrame:
+    """qid, idx, score, rk of (idx, vector) for (qid, vector): exact, in blocks. Both sides are dealt to blocks of about `block`
+    rows, every block of the queries meets every block of the corpus in a task of its own, and what leaves it is the k
+    best of each query there. No vector passes the driver; a vector is shuffled once for each block of the other side."""
+    n, asked = vectors.count(), queries.count()
+    parts = max(1, math.ceil(n / block), min(vectors.sparkSession.sparkContext.defaultParallelism, n // 1024))
+    own = max(1, math.ceil(asked / block))
+    left = queries.select(F.pmod(F.xxhash64("qid"), F.lit(own)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cb"), F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<double>").alias("vector"))
+    right = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(own - 1))).alias("b"), F.pmod(F.xxhash64("idx"), F.lit(parts)).cast("int").alias("c"), F.col("idx").cast("long").alias("idx"), F.col("vector").cast("array<double>").alias("vector"))
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("b", "c")).applyInArrow(lambda a, b: _block_best(a, b, k), "qid long, idx long, score double")
     return ranked(found, "score", k)
 
 
-def _dense_scores(vectors: DataFrame, own: list, k: int) -> DataFrame:
-    """qid, idx, score of each part's k best for the queries `own`."""
+def _block_best(queries, vectors, k: int, tile: int = 256):
+    """qid, idx, score of the k best of a block of vectors for each of a block of queries."""
     import numpy as np
     import pyarrow as pa
 
-    ids = np.array([r["qid"] for r in own], np.int64)
-    q = np.array([r["vector"] for r in own], float).reshape(len(own), -1) if own else np.zeros((0, 0))
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(own) else q
-
-    def run(batches):
-        held = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)  # scores and idx of the part's k best so far
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            m = np.array(batch.column(1).to_pylist(), float)
-            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            score = np.c_[held[0], np.round(q @ m.T, DIGITS)]
-            idx = np.c_[held[1], np.broadcast_to(batch.column(0).to_numpy(), (len(ids), len(m)))]
-            best = np.lexsort((idx, -score), axis=1)[:, :k]
-            held = np.take_along_axis(score, best, 1), np.take_along_axis(idx, best, 1)
-        if held[1].size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, held[1].shape[1])), pa.array(held[1].ravel()), pa.array(held[0].ravel())], names=["qid", "idx", "score"])
-
-    return vectors.select("idx", "vector").mapInArrow(run, "qid long, idx long, score double")
+    def unit(table):
+        rows = table["vector"].combine_chunks()
+        m = np.asarray(rows.flatten(), float).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    ids, idx = (np.asarray(t[c], np.int64) for t, c in ((queries, "qid"), (vectors, "idx")))
+    out = [[], [], []]
+    if len(ids) and len(idx):
+        q, v = unit(queries), unit(vectors)
+        for at in range(0, len(ids), tile):
+            score = np.round(q[at : at + tile] @ v.T, DIGITS)
+            bar = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
+            row, col = np.nonzero(score >= bar[:, None])  # ties of the k-th too
+            order = np.lexsort((idx[col], -score[row, col], row))
+            row, col = row[order], col[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[first], col[first]
+            for held, x in zip(out, (ids[at + row], idx[col], score[row, col])):
+                held.append(x)
+    made = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, float))]
+    return pa.table([pa.array(x) for x in made], names=["qid", "idx", "score"])
 
 
 def expand_parents(hits: DataFrame, children: DataFrame, parents: DataFrame, top: int = 3) -> DataFrame:

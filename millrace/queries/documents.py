@@ -120,8 +120,6 @@ d as (select tok, count(*) as df from f group by tok) select n.*, round(tokens /
 )
 def q12_token_stats(spark, sf_dir):
     """Postings are written once; a row's own figures need no shuffle of its tokens, only the counts of documents by token do."""
-    from millrace.operators.retrieval import bounded
-
     save = save_to(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("toks"))
     counts = docs.select("doc_id", F.size("toks").cast("long").alias("n"), F.sort_array("toks").alias("toks"))
@@ -133,7 +131,7 @@ def q12_token_stats(spark, sf_dir):
 
     runs = F.aggregate("toks", start, step)
     own = save(counts.select("doc_id", "n", runs.alias("r"), F.array_distinct("toks").alias("distinct")).filter("n > 0"))
-    df = bounded(own.select(F.explode("distinct").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")), save)
+    df = save(own.select(F.explode("distinct").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")))
     rare = own.select("doc_id", F.explode("distinct").alias("tok")).join(df, "tok").groupBy("doc_id").agg(F.min("df").alias("rarest"))
     mean = own.agg(F.avg("n").alias("a")).first()["a"]
     return own.select("doc_id", F.col("n").alias("tokens"), F.col("r.kinds").alias("distinct_tokens"), F.col("r.most").alias("top_tf"), F.round(F.col("n") / F.lit(mean), 6).alias("relative")).join(rare, "doc_id")

@@ -65,13 +65,13 @@ def _top(score):
 
 @query(_top("cosine"))
 def q35_bow_cosine(spark, sf_dir):
-    top = retrieval.ranked(retrieval.lexical_scores(_documents(spark, sf_dir), _queries(spark, sf_dir), save_to(spark), bm25=False), "cosine", 5)
+    top = retrieval.lexical_top(_documents(spark, sf_dir), _queries(spark, sf_dir), 5, save_to(spark), "cosine")
     return top.select("qid", "idx", F.round("cosine", 6).alias("score"), F.col("rk").cast("long").alias("rk"))
 
 
 @query(_top("bm25"))
 def q36_bm25(spark, sf_dir):
-    top = retrieval.ranked(retrieval.lexical_scores(_documents(spark, sf_dir), _queries(spark, sf_dir), save_to(spark), cosine=False), "bm25", 5)
+    top = retrieval.lexical_top(_documents(spark, sf_dir), _queries(spark, sf_dir), 5, save_to(spark))
     return top.select("qid", "idx", F.round("bm25", 6).alias("score"), F.col("rk").cast("long").alias("rk"))
 
 
@@ -144,8 +144,10 @@ def qrels(spark, sf_dir):
     passages = passages.withColumn("head", F.xxhash64(F.array_join("head", " ")))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text", T.tokens(F.col("text")).alias("toks"))
     heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size("toks") - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("toks"), i, F.lit(8)), " ")))
-    met = docs.select("idx", "text", F.size("toks").alias("n"), F.explode(F.array_distinct(heads)).alias("head")).join(retrieval.bounded(passages, save_to(spark)), "head")
-    return met.filter(F.contains("text", "passage")).select("qid", "idx").distinct()
+    met = docs.select("idx", F.explode(F.array_distinct(heads)).alias("head")).join(passages.select("qid", "head"), "head").select("qid", "idx").distinct()
+    # Only ids meet by heads; texts join the few pairs that do.
+    confirmed = met.join(docs.select("idx", "text"), "idx").join(passages.select("qid", "passage"), "qid")
+    return confirmed.filter(F.contains("text", "passage")).select("qid", "idx")
 
 
 @query(f"with {_DOCS}, {_hybrid('corpus', 'queries')}, {QRELS}, {grade_sql('hits', 'qrels', 'queries', 5)} select count(*) as queries, round(avg(recall_at_1), 6) as recall_at_1, round(avg(recall_at_3), 6) as recall_at_3, round(avg(mrr), 6) as mrr_at_5 from graded")
