@@ -1,8 +1,9 @@
 """Lexical and dense ranking. Corpora are (idx, text), queries (qid, query); idx is the corpus order that breaks ties.
 
 Only tokens that some query has leave a document's row, so what is shuffled follows the queries, not the corpus. The first k of
-a list come from an index of block bounds: documents are dealt to small blocks, and a block is scored for a query only if the
-largest impacts of its tokens could reach what the k-th hit of the most promising blocks has. Fused ranks need whole lists: there
+a list come from an index of block bounds: documents are dealt to small blocks, and the most promising blocks of a query set a
+bar. Blocks, and then documents, whose largest impacts can't reach it are left out, and frequent tokens that can't reach it by
+themselves are looked up for the remaining documents only. Fused ranks need whole lists: there
 all documents that share a token are scored once, and a candidate's rank is a sum of counts between candidates. The others' ranks
 follow in corpus order and are computed, not joined. No join has a hint: Spark broadcasts by the bytes it measures.
 """
@@ -76,34 +77,47 @@ class LexicalIndex:
         """qid, idx and the measures of all pairs that share a token."""
         return self._scored(self.d.join(self.q, "tok"), *self.measures)
 
-    def bounds(self, measure: str) -> DataFrame:
-        """qid, block, ub: no document of the block has a higher score."""
-        largest = self.d.groupBy("block", "tok").agg(F.max(measure).alias("most"))
-        return self.q.join(largest, "tok").groupBy("qid", "block").agg(F.sum(F.col(f"w_{measure}") * F.col("most")).alias("ub"))
+    def _pruned(self, measure: str, k: int, promising: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Terms (qid, tok, w, essential), surviving blocks (qid, block) and bars (qid, bar: null if anything may be among the k best).
 
-    def _of_blocks(self, chosen: DataFrame, measure: str) -> DataFrame:
-        asked = chosen.select("qid", "block").join(self.q, "qid")
-        return self._scored(asked.join(self.d.select("block", "tok", "idx", measure), ["block", "tok"]), measure)
-
-    def surviving(self, measure: str, k: int, promising: int = PROMISING) -> DataFrame:
-        """qid, block: blocks that may hold one of the k best. The bar is the k-th score of the most promising blocks."""
-        bounds = self.save(self.bounds(measure))
+        The bar is the k-th score of a query's most promising blocks. Terms whose largest impacts together stay below it are not
+        essential: a document that has only such terms can't reach the bar."""
+        largest = self.save(self.d.groupBy("block", "tok").agg(F.max(measure).alias("most")))
+        w = F.col(f"w_{measure}")
+        bounds = self.save(self.q.join(largest, "tok").groupBy("qid", "block").agg(F.sum(w * F.col("most")).alias("ub")))
         first = bounds.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("ub").desc(), "block"))).filter(F.col("at") <= promising)
-        best = ranked(self._of_blocks(first, measure), measure, k)
-        bar = best.groupBy("qid").agg(F.min(measure).alias("bar"), F.count("*").alias("n")).filter(F.col("n") == k)
+        asked = first.select("qid", "block").join(self.q, "qid")
+        best = ranked(self._scored(asked.join(self.d.select("block", "tok", "idx", measure), ["block", "tok"]), measure), measure, k)
         # Bounds and scores are sums in another order, and scores are rounded.
-        reached = F.coalesce(F.col("ub") >= F.col("bar") * (1 - 1e-9) - 10.0**-DIGITS, F.lit(True))
-        return bounds.join(bar, "qid", "left").filter(reached).select("qid", "block")
+        bar = F.min(measure) * (1 - 1e-9) - 10.0**-DIGITS
+        bars = self.q.select("qid").distinct().join(best.groupBy("qid").agg(bar.alias("bar"), F.count("*").alias("n")).filter(F.col("n") == k), "qid", "left")
+        bars = self.save(bars.select("qid", "bar"))
+        blocks = bounds.join(bars, "qid").filter(F.coalesce(F.col("ub") >= F.col("bar"), F.lit(True))).select("qid", "block")
+        terms = self.q.join(largest.groupBy("tok").agg(F.max("most").alias("most")), "tok").join(bars, "qid")
+        up_to = F.sum(w * F.col("most")).over(Window.partitionBy("qid").orderBy(w * F.col("most"), "tok").rowsBetween(Window.unboundedPreceding, 0))
+        essential = F.coalesce(up_to >= F.col("bar"), F.lit(True))
+        return self.save(terms.select("qid", "tok", w.alias("w"), (w * F.col("most")).alias("most"), essential.alias("essential"))), blocks, bars
+
+    def _candidates(self, terms: DataFrame, blocks: DataFrame, bars: DataFrame, measure: str) -> DataFrame:
+        """qid, idx, part: documents of surviving blocks that have an essential term, and could reach the bar with all others."""
+        rest = terms.groupBy("qid").agg(F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(0.0)).alias("rest"))
+        met = self.d.select("block", "idx", "tok", measure).join(terms.filter("essential").select("qid", "tok", "w"), "tok").join(blocks, ["qid", "block"], "left_semi")
+        met = met.groupBy("qid", "idx").agg(F.sum(F.col("w") * F.col(measure)).alias("part")).join(bars, "qid").join(rest, "qid")
+        return met.filter(F.coalesce(F.col("part") + F.col("rest") >= F.col("bar"), F.lit(True))).select("qid", "idx", "part")
 
     def top(self, measure: str, k: int, promising: int = PROMISING) -> DataFrame:
         """qid, idx, the measure and rk of the k best of the documents that share a token: as of the full scores."""
-        return ranked(self._of_blocks(self.surviving(measure, k, promising), measure), measure, k)
+        terms, blocks, bars = self._pruned(measure, k, promising)
+        found = self.save(self._candidates(terms, blocks, bars, measure))
+        others = found.select("qid", "idx").join(terms.filter("not essential").select("qid", "tok", "w"), "qid").join(self.d.select("idx", "tok", measure), ["idx", "tok"])
+        parts = found.unionByName(others.select("qid", "idx", (F.col("w") * F.col(measure)).alias("part")))
+        return ranked(parts.groupBy("qid", "idx").agg(F.round(F.sum("part"), DIGITS).alias(measure)), measure, k)
 
     def work(self, measure: str, k: int, promising: int = PROMISING) -> DataFrame:
-        """qid, pairs, scored: documents that share a token with a query, and those of them in surviving blocks."""
-        survivors = self.surviving(measure, k, promising).withColumn("kept", F.lit(1))
-        docs = self.d.join(self.q.select("qid", "tok"), "tok").select("qid", "block", "idx").distinct()
-        return docs.join(survivors, ["qid", "block"], "left").groupBy("qid").agg(F.count("*").alias("pairs"), F.count("kept").alias("scored"))
+        """qid, pairs, scored: documents that share a token with a query, and those of them whose scores are completed."""
+        found = self._candidates(*self._pruned(measure, k, promising), measure).groupBy("qid").agg(F.count("*").alias("scored"))
+        docs = self.d.join(self.q.select("qid", "tok"), "tok").groupBy("qid").agg(F.count_distinct("idx").alias("pairs"))
+        return docs.join(found, "qid", "left").select("qid", "pairs", F.coalesce("scored", F.lit(0)).alias("scored"))
 
 
 def lexical_scores(corpus: DataFrame, queries: DataFrame, save, cosine: bool = True, bm25: bool = True) -> DataFrame:

@@ -57,8 +57,7 @@ def test_pruned_top_equals_full_scores(spark, texts, measure, block):
         assert [s for s, _ in got[qid]] == pytest.approx([s for s, _ in want], abs=2e-9) and [i for _, i in got[qid]] == [i for _, i in want], qid
     if block == 8:
         work = index.work(measure, 5).agg(F.sum("pairs"), F.sum("scored")).first()
-        print(measure, "pairs", work[0], "scored", work[1])
-        assert work[0] == sum(map(len, full.values())) and work[1] < work[0]
+        assert work[0] == sum(map(len, full.values())) and work[1] < work[0] / (2 if measure == "bm25" else 1)
 
 
 def test_places_are_ranks_of_the_whole_list(spark):
