@@ -91,14 +91,19 @@ def term_counts(docs: DataFrame, lang="lang", source="source", text="text") -> D
 
 
 def share(count: Column, size: Column, terms: Column, scale: int = SCALE) -> Column:
-    """1 + floor(scale * (count + 1) / (size + terms)), exact for any longs."""
-    over = (F.lit(scale).cast("decimal(12,0)") * (count + 1).cast("decimal(20,0)"), (size + terms).cast("decimal(20,0)"))
-    return 1 + F.call_function("div", *over)
+    """1 + floor(scale * (count + 1) / (size + terms)), exact for any longs: in longs where the product is one, else in decimals."""
+    whole = size + terms
+    wide = F.call_function("div", F.lit(scale).cast("decimal(12,0)") * (count + 1).cast("decimal(20,0)"), whole.cast("decimal(20,0)"))
+    return 1 + F.when(count < (1 << 63) // scale - 1, F.call_function("div", F.lit(scale).cast("long") * (count + 1), whole)).otherwise(wide)
+
+
+def squared(p: Column, q: Column) -> Column:
+    return (p - q) * (p - q)
 
 
 def excess(p: Column, q: Column) -> Column:
     """floor((p - q)^2 / q) of shares."""
-    return F.call_function("div", (p - q) * (p - q), q)
+    return F.call_function("div", squared(p, q), q)
 
 
 def wide_terms(docs: DataFrame, least_docs: int = LEAST_DOCS, **columns) -> tuple[DataFrame, DataFrame]:
@@ -133,9 +138,11 @@ def pair_divergences(wide: DataFrame, facts: DataFrame) -> DataFrame:
     none = facts.select("lang", F.transform("groups", lambda g: F.lit(1).cast("long")).alias("p"), F.lit(0).cast("long").alias("times"))
     one = vectors.unionByName(none).select("lang", "p", "times", F.posexplode("p").alias("i", "own"))
     later = F.slice("p", F.col("i") + 2, F.greatest(F.size("p") - F.col("i") - 1, F.lit(0)))
-    both = F.transform(later, lambda q: F.struct(excess(F.col("own"), q).alias("there"), excess(q, F.col("own")).alias("back")))
-    pairs = one.select("lang", "i", "times", F.posexplode(both).alias("k", "c")).groupBy("lang", "i", (F.col("i") + 1 + F.col("k")).alias("j"))
-    pairs = pairs.agg(F.sum(F.col("c.there") * F.col("times")).alias("there"), F.sum(F.col("c.back") * F.col("times")).alias("back"))
+    # Of each pair the share and the square that both of its ways have; the sums divide it, floored, by either share.
+    both = F.transform(later, lambda q: F.struct(q.alias("q"), squared(F.col("own"), q).alias("square")))
+    pairs = one.select("lang", "i", "own", "times", F.posexplode(both).alias("k", "c")).select("lang", "i", (F.col("i") + 1 + F.col("k")).alias("j"), "own", "times", "c.q", "c.square")
+    way = lambda q: F.sum(F.call_function("div", F.col("square"), F.col(q)) * F.col("times"))
+    pairs = pairs.groupBy("lang", "i", "j").agg(way("q").alias("there"), way("own").alias("back"))
     ways = F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b"), F.col("there").alias("value")), F.struct(F.col("j").alias("a"), F.col("i").alias("b"), F.col("back").alias("value"))))
     pairs = pairs.select("lang", ways.alias("w")).select("lang", "w.*")
     names = facts.select("lang", F.posexplode(F.transform("groups", lambda g: g["source"])).alias("at", "name"))
