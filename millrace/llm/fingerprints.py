@@ -5,8 +5,10 @@ all from hashes of term and lane; with weight S, t = floor(ln S / r + b) and ln
 least a is the lane's sample, and (term, t) its code: two texts' codes agree with the probability sum(min) / sum(max) of
 their weights, the generalised Jaccard similarity. Terms are 64-bit hashes of words.
 
-Rows are ordered within ranges of falling doc_id whose splitters are doc_ids of the table; a range's first document also
-goes to the range before it, as a ghost behind its last, so that "the next document" needs no other range.
+Rows are ordered within ranges of falling doc_id whose heads are doc_ids of the table; a range's first document also goes to
+the range before it, as a ghost behind its last, so that "the next document" needs no other range. Ranges are found in two
+steps, whatever their number: a binary search in at most `COARSE` percentiles, one literal that is parsed once, and one in the heads
+of that coarse range, which are rows of a small table (8 bytes a range), made by Spark and met by an equi-join.
 
 Defined results: a null text is empty; a text without words has the code ffffffff in every lane; of rows with equal doc_id
 the lesser text comes first; null doc_ids come last, by the hashes of their texts; a single row is its own next; an empty table
@@ -19,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import SPACE
+from millrace.llm.common import SPACE, materialise
 
 LANES, GROUP = 32, 8
-#: Documents in a range, about; and the most ranges (splitters are a literal of so many longs at most).
-RANGE_ROWS, MOST_RANGES = 1500, 1 << 14
+#: Documents in a range, about; the most coarse ranges; and the most ranges whose heads are broadcast (8 bytes each).
+RANGE_ROWS, COARSE, BROADCAST_HEADS = 1500, 1 << 14, 1 << 24
+#: The heads that a search in a coarse range tells apart: those of more documents than an array of keys holds.
+MOST_HEADS = (1 << 21) - 1
 
 
 def order_key(doc_id: str, text: str) -> Column:
@@ -32,42 +36,63 @@ def order_key(doc_id: str, text: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), spread - F.lit(1 << 62) - F.lit(1 << 62))
 
 
-def splitters(keys: DataFrame, range_rows: int = RANGE_ROWS) -> list[int]:
-    """Falling keys of the column `key` that cut it into about equal ranges; the first is the largest."""
-    n, most = keys.agg(F.count("key"), F.max("key")).first()
-    if not n:
-        return []
-    parts = max(1, min(MOST_RANGES, n // range_rows))
-    at = keys.agg(F.percentile_approx("key", [i / parts for i in range(1, parts + 1)], 20 * parts)).first()[0]
-    cuts = sorted({most, *at}, reverse=True)
-    # Percentiles are doubles inside: the largest key of each range stands for it, exactly.
-    heads = keys.groupBy(range_of(F.col("key"), cuts).alias("range")).agg(F.max("key").alias("key")).collect()
-    return sorted((r["key"] for r in heads), reverse=True)
+def longs(values: list, kind: str = "bigint") -> Column:
+    """The array of the numbers: one literal that is parsed once, not a literal for each."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if values else F.expr(f"cast(array() as array<{kind}>)")
+
+
+def count_not_below(values: Column, key: Column, most: int) -> Column:
+    """How many of the falling values, at most `most`, are >= key, by binary search."""
+    steps = longs([1 << i for i in range(max(1, most).bit_length() - 1, -1, -1)], "int")
+    reached = lambda lo, s: (lo + s <= F.size(values)) & (F.get(values, lo + s - 1) >= key)
+    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when(reached(lo, s), lo + s).otherwise(lo))
 
 
 def range_of(key: Column, cuts: list[int]) -> Column:
     """How many of the falling cuts are >= key, less one, by binary search."""
-    n = len(cuts)
-    if n < 2:
-        return F.lit(0)
-    values = F.array(*[F.lit(v).cast("long") for v in cuts])
-    steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= n) & (F.get(values, lo + s - 1) >= key), lo + s).otherwise(lo)) - 1
+    return count_not_below(longs(cuts), key, len(cuts)) - 1 if len(cuts) > 1 else F.lit(0)
+
+
+def coarse_cuts(keys: DataFrame, range_rows: int) -> tuple[list[int], int]:
+    """Falling percentiles of the column `key`, the largest key first, at most `COARSE`; and about how many ranges there will be."""
+    n, most = keys.agg(F.count("key"), F.max("key")).first()
+    if not n:
+        return [], 0
+    ranges = max(1, n // range_rows)
+    parts = min(COARSE, ranges)
+    at = keys.agg(F.percentile_approx("key", longs([i / parts for i in range(1, parts + 1)], "double"), F.lit(20 * parts))).first()[0]
+    return sorted({most, *at}, reverse=True), ranges
+
+
+def range_heads(keys: DataFrame, cuts: list[int], range_rows: int) -> DataFrame:
+    """coarse, base, heads, total: the largest keys of a coarse range's ranges, falling, and how many ranges there are before it and
+    in all. The keys of a coarse range, 8 bytes each, are sorted in one task; a row for each of them meets in one."""
+    held = keys.groupBy(range_of(F.col("key"), cuts).alias("coarse")).agg(F.sort_array(F.collect_list("key"), asc=False).alias("k"))
+    every = F.sequence(F.lit(0), F.size("k") - 1, F.lit(range_rows))
+    held = held.select("coarse", F.array_distinct(F.transform(every, lambda i: F.get("k", i))).alias("heads"))
+    by = Window.partitionBy(F.lit(0)).orderBy("coarse")
+    before = F.coalesce(F.sum(F.size("heads")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum(F.size("heads")).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return materialise(held.select("coarse", before.alias("base"), "heads", total.alias("total")), "range-heads")
 
 
 def with_next(docs: DataFrame, doc_id="doc_id", text="text", range_rows: int = RANGE_ROWS) -> DataFrame:
     """range, place, ghost, doc_id, text, next_text: the rows of each range in falling key, ghosts last."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), order_key(doc_id, text).alias("key"))
-    cuts = splitters(rows.select("key"), range_rows)
-    n = max(1, len(cuts))
-    rows = rows.withColumn("own", range_of(F.col("key"), cuts))
-    first = F.get(F.array(*[F.lit(v).cast("long") for v in cuts]), F.col("own")) == F.col("key") if cuts else F.lit(False)
-    own, ghost = F.struct(F.col("own").alias("range"), F.lit(False).alias("ghost")), F.struct(F.pmod(F.col("own") - 1, F.lit(n)).alias("range"), F.lit(True).alias("ghost"))
-    rows = rows.select("doc_id", "text", "key", F.explode(F.when(first, F.array(own, ghost)).otherwise(F.array(own))).alias("r"))
-    rows = rows.select("doc_id", "text", "key", "r.range", "r.ghost")
+    cuts, ranges = coarse_cuts(rows.select("key"), range_rows)
+    heads = range_heads(rows.select("key"), cuts, range_rows)
+    heads = F.broadcast(heads) if ranges <= BROADCAST_HEADS else heads
+    met = rows.withColumn("coarse", range_of(F.col("key"), cuts)).join(heads, "coarse")
+    fine = count_not_below(F.col("heads"), F.col("key"), MOST_HEADS) - 1
+    met = met.withColumn("fine", fine).withColumn("first", F.get("heads", F.col("fine")) == F.col("key"))
+    met = met.select("doc_id", "text", "key", (F.col("base") + F.col("fine")).alias("own"), "first", "total")
+    own = F.struct(F.col("own").alias("range"), F.lit(False).alias("ghost"))
+    ghost = F.struct(F.pmod(F.col("own") - 1, F.col("total")).alias("range"), F.lit(True).alias("ghost"))
+    met = met.select("doc_id", "text", "key", F.explode(F.when(F.col("first"), F.array(own, ghost)).otherwise(F.array(own))).alias("r"))
+    met = met.select("doc_id", "text", "key", "r.range", "r.ghost")
     # doc_id adds nothing to the order, but keeps the exchange alike for all that reads these rows, so that it is reused.
     order = Window.partitionBy("range").orderBy("ghost", F.col("key").desc(), "doc_id", "text")
-    return rows.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order)).drop("key")
+    return met.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order)).drop("key")
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -3,7 +3,8 @@
 Records are ordered by the hash of their text, so equal texts are neighbours. Size-weighted draws (the smallest
 -ln(u) / size, u from a hash) give a sample of keys whose quantiles cut the key space into fine ranges of about equal
 bytes; a key drawn more than once across quantiles gets a range of its own. Overfull ranges are subdivided: those of several
-keys by splitters drawn from their own records, again until none is left, those of one hot text by record. Consecutive ranges make a shard; what a shard then has over its share moves, a range at a time, to
+keys by splitters drawn from their own records, of which alone sums are taken anew, until none is left, those of one hot text by
+record. Splitters are one literal that is parsed once. Consecutive ranges make a shard; what a shard then has over its share moves, a range at a time, to
 the emptiest shards. Only counts of ranges come to the driver, at most a few times `ranges`.
 
 Defined results: a null text has no bytes and the checksum of none; repeated rows are separate records; an empty table
@@ -13,14 +14,14 @@ gives an empty result; texts of any length are one record; other columns, whatev
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm.common import materialise
-from millrace.llm.fingerprints import range_of
+from millrace.llm.fingerprints import count_not_below, longs, range_of
 
 SHARDS, OVERHEAD, RANGES, DRAWS = 24, 8, 3072, 4
 #: A range of one text is overfull at so many times the mean range.
@@ -51,18 +52,30 @@ def ranges_of(rows: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, list, f
     total = rows.agg(F.sum("size")).first()[0] or 0
     cuts = splitters(rows, ranges, total)
     fine = max(1.0, total / ranges)
+    inside, sums = rows, []
     while True:
-        # range_of takes falling cuts: negate the order with bitwise not.
-        own = rows.withColumn("range", range_of(F.bitwise_not(F.col("key")), [~k for k in cuts]) + 1 if len(cuts) > 1 else F.lit(0))
-        sums = own.groupBy("range").agg(F.sum("size").alias("bytes"), F.max("key").alias("hi"), F.min("key").alias("lo")).collect()
-        over = [r for r in sums if r["hi"] > r["lo"] and r["bytes"] > OVERFULL * fine]
+        held = _with_range(inside, cuts).groupBy("range").agg(F.sum("size").alias("bytes"), F.max("key").alias("hi"), F.min("key").alias("lo")).collect()
+        over = [r for r in held if r["hi"] > r["lo"] and r["bytes"] > OVERFULL * fine]
+        sums += [r for r in held if r not in over]
         if not over:
-            return own, sums, fine
+            break
         many = sum(r["bytes"] for r in over)
-        inside = own.filter(F.col("range").isin([r["range"] for r in over]))
+        at, own = F.col("key"), sorted((r["lo"], r["hi"]) for r in over)
+        lows, highs = longs([lo for lo, _ in own]), longs([hi for _, hi in own])
+        # The last overfull range that begins at or before a key is the only one that may hold it.
+        last = count_not_below(F.transform(lows, F.bitwise_not), F.bitwise_not(at), len(own)) - 1
+        inside = materialise(inside.filter((last >= 0) & (F.get(highs, last) >= at)), "overfull")
         # The middle key parts even a range whose draws are all one key; keys are integers, so halving ends.
         more = {*splitters(inside, math.ceil(many / fine), many), *((r["lo"] + r["hi"]) // 2 + 1 for r in over)}
         cuts = sorted({*cuts, *more})
+    sums = [Row(range=bisect_right(cuts, r["lo"]) if len(cuts) > 1 else 0, bytes=r["bytes"], hi=r["hi"], lo=r["lo"]) for r in sums]
+    return _with_range(rows, cuts), sums, fine
+
+
+def _with_range(rows: DataFrame, cuts: list[int]) -> DataFrame:
+    """The rows with how many of the rising cuts are <= their key."""
+    # range_of takes falling cuts: negate the order with bitwise not.
+    return rows.withColumn("range", range_of(F.bitwise_not(F.col("key")), [~k for k in cuts]) + 1 if len(cuts) > 1 else F.lit(0))
 
 
 def place(sizes: list[tuple[int, int, int]], shards: int = SHARDS) -> dict[tuple[int, int], int]:

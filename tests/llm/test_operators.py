@@ -427,6 +427,36 @@ def test_rows_without_ids_part_into_ranges(spark):
     assert len(made) == 4000 and {r["next_text"] for r in made} == {r["text"] for r in made}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 100_000])
+def test_ranges_of_many_splitters(spark, n):
+    """Splitters are one literal, however many: a hundred thousand are found by binary search, and the plan has no node for each."""
+    import bisect
+    import time
+
+    rnd = random.Random(n)
+    cuts = sorted({rnd.randrange(-(10**15), 10**15) for _ in range(n)}, reverse=True)
+    keys = [rnd.randrange(-(10**15), cuts[0] + 1) for _ in range(500)] + cuts[:50] + cuts[-50:]
+    began = time.time()
+    column = fingerprints.range_of(F.col("k"), cuts)
+    assert time.time() - began < 5
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", column.alias("r"))
+    falling = [-x for x in cuts]
+    assert all(r["r"] == (bisect.bisect_right(falling, -r["k"]) - 1 if n > 1 else 0) for r in rows.collect())
+    assert rows._jdf.queryExecution().analyzed().treeString().count("\n") < 10
+
+
+@pytest.mark.parametrize("coarse", [1, 3, 1 << 14])
+def test_ranges_in_two_steps(spark, rows, docs, monkeypatch, coarse):
+    monkeypatch.setattr(fingerprints, "COARSE", coarse)
+    monkeypatch.setattr(fingerprints, "BROADCAST_HEADS", 1 if coarse == 3 else 1 << 24)
+    made = [r for r in fingerprints.with_next(docs, range_rows=10).collect() if not r["ghost"]]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = collections.Counter((a[0], a[1] or "", b[1] or "") for a, b in zip(order, order[1:] + order[:1]))
+    assert collections.Counter((r["doc_id"], r["text"], r["next_text"]) for r in made) == want
+    sizes = collections.Counter(r["range"] for r in made)
+    assert len(sizes) >= 11 and set(sizes) == set(range(len(sizes))) and max(sizes.values()) < 30
+
+
 def test_collisions_follow_generalised_jaccard(spark):
     rnd = random.Random(8)
     rows = []
@@ -628,6 +658,19 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+def test_sharding_query(spark, tmp_path, rows):
+    """All columns of the query: its law is `bytes`, which names no grown shard."""
+    many = [(9000 + i, f"text {i % 400} " * (40 + i % 7), "en", "s", 0, 7, "k", "r") for i in range(3000)]
+    spark.createDataFrame(rows + many, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    made = LLM_QUERIES["op9_sharding"](spark, str(tmp_path)).collect()
+    assert {(r["law"], r["grown_shard"]) for r in made} == {("bytes", None)}
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in made) == collections.Counter((r[0], len((r[1] or "").encode()) + 8, binascii.crc32((r[1] or "").encode())) for r in rows + many)
+    load = collections.Counter()
+    for r in made:
+        load[r["shard"]] += r["size"]
+    assert set(load) == set(range(24)) and max(load.values()) < 1.2 * min(load.values())
+
+
 def test_overfull_ranges_of_several_keys_are_subdivided(spark, monkeypatch):
     """Splitters that miss a heavy part of the key space: its ranges are cut again until each holds its share or one text."""
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string"), F.repeat(F.lit("x"), 50)).alias("text"))
