@@ -1,7 +1,7 @@
 """Page spans, chunk policies, chunks with exact offsets, length audits, samples by size.
 
-Token policies count one word as one token, with two special tokens a chunk; a model's own counts come from
-`models.count_tokens`. Chunks are whole words of the normalized text, `size` words long, `size - overlap` apart.
+`token_chunks` counts one word as one token, with two special tokens a chunk: whole words of the normalized text, `size` words
+long, `size - overlap` apart. `subword_chunks` packs whole words by the tokens of a model's tokenizer.
 """
 
 from __future__ import annotations
@@ -79,6 +79,52 @@ def token_chunks(texts: DataFrame, size: int, overlap: int) -> DataFrame:
     return _cut_texts(texts, cut, ("start_index", "n_tokens"))
 
 
+def subword_chunks(texts: DataFrame, load, size: int, overlap: int) -> DataFrame:
+    """doc_id, chunk_id, start_index, n_tokens, text: whole words of texts normalized to single spaces, packed greedily into at most
+    `size` tokens of a model's tokenizer (more only where a word alone has more); a chunk starts with the last words of the one
+    before, of at most `overlap` tokens.
+
+    load() gives, on an executor, a function from texts to the character offsets (start, end) of their tokens, of a tokenizer that
+    has no token across words. A text is encoded once: a word's tokens are those that start in it or in the space before it.
+    The first word of a chunk has no space before it and is counted as it is encoded alone."""
+    from bisect import bisect_right
+
+    held = []
+
+    def cut(text):
+        if not held:
+            held.append(load())
+        encode = held[0]
+        words = text.split(" ")
+        ends, at = [], 0
+        for w in words:
+            at += len(w)
+            ends.append(at)
+            at += 1
+        n = [0] * len(words)
+        for start, _ in encode([text])[0]:
+            n[bisect_right(ends, start)] += 1  # a token that starts at a word's end is the space of the next
+        different = list(dict.fromkeys(words))
+        alone = dict(zip(different, map(len, encode(different))))
+        before = [0]
+        for x in n:
+            before.append(before[-1] + x)
+        tokens = lambda first, stop: alone[words[first]] + before[stop] - before[first + 1]
+        first, stop = 0, 0
+        while stop < len(words):
+            stop = max(stop, first + 1)
+            while stop < len(words) and tokens(first, stop + 1) <= size:
+                stop += 1
+            start = ends[first] - len(words[first])
+            yield start, tokens(first, stop), text[start : ends[stop - 1]]
+            back = stop
+            while stop < len(words) and back - 1 > first and tokens(back - 1, stop) <= overlap and tokens(back - 1, stop + 1) <= size:
+                back -= 1
+            first = back
+
+    return _cut_texts(texts, cut, ("start_index", "n_tokens"))
+
+
 def character_chunks(texts: DataFrame, size: int = 2500, overlap: int = 100) -> DataFrame:
     """doc_id, chunk_id, start_index, text: greedy packing of whole words into at most `size` characters, each chunk
     starting with the last words of the one before, of at most `overlap` characters. One text at a time, in order."""

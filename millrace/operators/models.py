@@ -35,3 +35,16 @@ def embed(text: Column, load) -> Column:
             yield pd.Series(list((rows / np.where(norm > 0, norm, 1)).astype("float32")))
 
     return run(text)
+
+
+def token_offsets(path: str):
+    """A loader, for executors, of a tokenizer file: texts to the character offsets of their tokens, without special ones."""
+
+    def load():
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        model.no_truncation()
+        return lambda texts: [e.offsets for e in model.encode_batch(texts, add_special_tokens=False)]
+
+    return load

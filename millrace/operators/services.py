@@ -3,6 +3,7 @@ executors, once for every row, and returns its outcome as a row; what fails is a
 
 from __future__ import annotations
 
+import itertools
 import time
 
 import pyarrow as pa
@@ -34,18 +35,96 @@ def _error(e: Exception) -> str:
     return f"{type(e).__name__}: {e}"
 
 
-def fetched(urls: DataFrame, fetch, seconds: float | None = None) -> DataFrame:
-    """url, final_url, content_type (without parameters, lower case), body, error: fetch(url) gives (final url, type, bytes)."""
+def concurrently(items, work, host, in_flight: int = 8, per_host: int = 2, seconds: float | None = None, window: int = 1000):
+    """work(item) of each item, in the order of the items, at most `in_flight` at a time and `per_host` of a host's.
+
+    Up to `window` items are read ahead, and the next item of any host that is free starts, a host's in their order. An item that
+    takes over `seconds` gives a TimeoutError and its place is free again; what work raises is its outcome, too."""
+    import queue
+    import threading
+    from collections import deque
+
+    items, done, news = iter(items), {}, queue.SimpleQueue()
+    waiting: dict = {}  # items of each host, in order
+    running: dict = {}  # number -> (host, deadline)
+    busy: dict = {}
+    read = told = 0
+    more = True
+
+    def start(number, item):
+        def run():
+            try:
+                news.put((number, work(item)))
+            except BaseException as e:  # the outcome of the item
+                news.put((number, e))
+
+        threading.Thread(target=run, daemon=True).start()
+
+    while more or told < read:
+        while more and read - told < window:
+            item = next(items, StopIteration)
+            if item is StopIteration:
+                more = False
+                break
+            waiting.setdefault(host(item), deque()).append((read, item))
+            read += 1
+        for name in [h for h in waiting if busy.get(h, 0) < per_host]:
+            while waiting[name] and busy.get(name, 0) < per_host and len(running) < in_flight:
+                number, item = waiting[name].popleft()
+                busy[name] = busy.get(name, 0) + 1
+                running[number] = (name, None if seconds is None else time.monotonic() + seconds)
+                start(number, item)
+            if not waiting[name]:
+                del waiting[name]
+        while told in done:
+            yield done.pop(told)
+            told += 1
+        if not running:
+            continue
+        try:
+            number, outcome = news.get(timeout=None if seconds is None else max(0.0, min(d for _, d in running.values()) - time.monotonic()))
+        except queue.Empty:
+            number = min(running, key=lambda n: running[n][1])
+            outcome = TimeoutError(f"more than {seconds} s")
+        if number in running:  # else it came after its time
+            busy[running.pop(number)[0]] -= 1
+            done[number] = outcome
+
+
+def fetched(urls: DataFrame, fetch, seconds: float | None = None, in_flight: int = 8, per_host: int = 2, lanes: int = 1) -> DataFrame:
+    """url, final_url, content_type (without parameters, lower case), body, error: fetch(url) gives (final url, type, bytes).
 
-    def work(url):
+    URLs are dealt by host, so that a host's are asked by one task (by `lanes` tasks at most, for a host with a large share of
+    them), in the order of their texts, `per_host` at a time; a task has `in_flight` at work. fetch must bear being called from threads."""
+    from urllib.parse import urlsplit
+
+    def host(url):
         try:
-            with at_most(seconds):
-                final, kind, body = fetch(url)
-            return [(url, final, (kind or "").split(";")[0].strip().lower(), body, None)]
-        except Exception as e:  # an error is a value here
-            return [(url, None, None, None, _error(e))]
+            return urlsplit(url or "").hostname or ""
+        except ValueError:
+            return ""
 
-    return each_row(urls, ["url"], work, "url string, final_url string, content_type string, body binary, error string", ["url", "final_url", "content_type", "body", "error"])
+    def run(batches):
+        rows = (u for b in batches for u in b.column(0).to_pylist())
+        pairs, kept = itertools.tee(rows)
+        held = []
+        for url, outcome in zip(kept, concurrently(pairs, fetch, host, in_flight, per_host, seconds)):
+            if isinstance(outcome, BaseException):
+                held.append((url, None, None, None, _error(outcome)))
+            else:
+                final, kind, body = outcome
+                held.append((url, final, (kind or "").split(";")[0].strip().lower(), body, None))
+            if len(held) >= 64:
+                yield batch(held)
+                held = []
+        if held:
+            yield batch(held)
+
+    kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string())
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["url", "final_url", "content_type", "body", "error"])
+    dealt = urls.select("url", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[^/?#]*//(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"), F.pmod(F.hash("url"), F.lit(lanes)).alias("lane"))
+    dealt = dealt.repartition("host", "lane").sortWithinPartitions(F.xxhash64("host"), "url").select("url")
+    return dealt.mapInArrow(run, "url string, final_url string, content_type string, body binary, error string")
 
 
 def downloads(urls: DataFrame, existing: DataFrame, fetch) -> DataFrame:

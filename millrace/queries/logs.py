@@ -8,7 +8,8 @@ from millrace.functions import web
 from millrace.operators import profiles
 from millrace.plans.fixtures import table
 from millrace.queries.registry import query
-from millrace.streaming import incremental
+from millrace.sources import logtail, readers
+from millrace.streaming import incremental, threads
 
 _LAST = """last as (select user_id, arg_max(event_type, (ts, event_id)) as status, arg_max(value, (ts, event_id)) as value, max(event_id) as newest from events group by user_id)"""
 _GOOD = ("click", "view", "purchase")
@@ -110,4 +111,31 @@ def q60_thread_state(spark, sf_dir):
     """Turns and the last message of each conversation, kept as streaming state."""
     folder = incremental.shared_dir(spark)
     schema = table(spark, sf_dir, "conversations").schema
-    return incremental.latest_state(spark, f"{sf_dir}/conversations.parquet", schema, "conv_id", "text", "turn", f"{folder}/state", f"{folder}/log")
+    return threads.latest_state(spark, f"{sf_dir}/conversations.parquet", schema, "conv_id", "text", "turn", f"{folder}/state", f"{folder}/log")
+
+
+@query("""with m as (select user_id, epoch_us(ts::timestamp) // 1000 as ms from events), g as (select *, ms - lag(ms) over (partition by user_id order by ms) > 7200000 as fresh from m),
+s as (select user_id, ms, sum(coalesce(fresh, false)::int) over (partition by user_id order by ms rows unbounded preceding) as n from g),
+r as (select user_id, n, min(ms) as began, max(ms) as ended, count(*) as turns from s group by all)
+select user_id, began, ended, turns from r where ended + 7200001 <= (select max(ms) - 600000 from m) or exists (select 1 from r later where later.user_id = r.user_id and later.n > r.n)""")
+def q107_thread_sessions(spark, sf_dir):
+    """Users' events in sessions that end after two idle hours, by timers of keyed state; those that may still grow are not told."""
+    folder = incremental.shared_dir(spark)
+    schema = table(spark, sf_dir, "events").schema
+    return threads.sessions(spark, f"{sf_dir}/events.parquet", schema, "user_id", "ts", 7_200_000, 600_000, f"{folder}/state", f"{folder}/log")
+
+
+@query("""select user_id::varchar as relative_path, event_type as status, event_id as seq from events where event_id % 7 <> 0""")
+def q108_log_tail(spark, sf_dir):
+    """A log of JSON lines, some broken, followed as a stream by a source of lines: appended in two parts, each line is told once."""
+    folder, e = incremental.shared_dir(spark), F.col("event_id")
+    line = F.to_json(F.struct(F.col("user_id").cast("string").alias("relative_path"), F.col("event_type").alias("status"), e.alias("event")))
+    rows = table(spark, sf_dir, "events").select(F.when(e % 7 == 0, F.concat(F.lit("{"), line)).otherwise(line).alias("value"), e.alias("seq"))
+    logtail.register(spark)
+    for part in (0, 1):
+        rows.filter(f"seq % 2 = {part}").select("value").write.mode("append").text(f"{folder}/log")
+        lines = spark.readStream.format("log_lines").option("range_bytes", 1 << 18).load(f"{folder}/log")
+        copy = lines.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        copy.start(f"{folder}/copy").awaitTermination()
+    told = spark.read.parquet(f"{folder}/copy").select("value", F.col("at").alias("seq"))
+    return readers.tolerant_json_lines(told, "relative_path string, status string, event long", "relative_path").select("relative_path", "status", F.col("event").alias("seq"))

@@ -103,11 +103,15 @@ def tolerant_json_lines(lines: DataFrame, schema: str, key: str) -> DataFrame:
     return lines.filter(good & own).select(F.from_json("value", schema).alias("r"), "seq").select("r.*", "seq")
 
 
-def inventory_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """summaries and page_details (path, page struct) of an inventory file."""
-    whole = spark.read.option("multiLine", True).json(path)
+def inventory_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """summaries and page_details (path, pages) of an inventory file, or of a folder of them; with `lines` each line is one.
+    A file may lack either."""
+    page = "array<struct<page int, has_text boolean, characters long, words long, language string>>"
+    whole = spark.read.option("multiLine", not lines).json(path)
     summaries = whole.select(F.explode("summaries").alias("s")).select("s.*") if "summaries" in whole.columns else spark.createDataFrame([], "path string")
-    details = whole.select(F.explode(F.from_json(F.to_json("page_details"), "map<string, array<struct<page int, has_text boolean, characters long, words long, language string>>>")).alias("path", "pages")) if "page_details" in whole.columns else spark.createDataFrame([], "path string, pages array<struct<page int, has_text boolean, characters long, words long, language string>>")
+    # A map of paths is read as text, not as a column for each path.
+    texts = spark.read.schema("page_details string").option("multiLine", not lines).json(path)
+    details = texts.select(F.explode(F.from_json("page_details", f"map<string, {page}>")).alias("path", "pages"))
     return summaries, details
 
 

@@ -1,4 +1,4 @@
-"""Incremental scans and keyed state on Structured Streaming."""
+"""Incremental scans on Structured Streaming, scratch folders, and results kept by name."""
 
 from __future__ import annotations
 
@@ -42,7 +42,7 @@ def save_to(spark: SparkSession):
     return save
 
 
-def _files(spark: SparkSession, path: str, schema) -> DataFrame:
+def files_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """A stream of a table that is a folder of files, or one file."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
@@ -53,23 +53,10 @@ def _files(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def append_stream(spark: SparkSession, folder: str, schema, transform, sink: str, checkpoint: str) -> None:
     """Run all new files of a folder through transform into an append-only Parquet log; reruns take up where they ended."""
-    stream = transform(_files(spark, folder, schema))
+    stream = transform(files_stream(spark, folder, schema))
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
 
 
-def latest_state(spark: SparkSession, folder: str, schema, key: str, value: str, order: str, checkpoint: str, sink: str) -> DataFrame:
-    """key, turns, last: the newest value of each key, kept in the state store between runs and upserted into a log by batch."""
-    stream = _files(spark, folder, schema)
-    state = stream.groupBy(key).agg(F.count("*").alias("turns"), F.max_by(value, order).alias("last"))
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
-
-    state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    log = spark.read.parquet(f"{sink}/batch=*")
-    return log.groupBy(key).agg(F.max_by(F.struct("turns", "last"), "batch").alias("s")).select(key, "s.turns", "s.last")
-
-
 def remembered(spark: SparkSession, folder: str, name: str, path: str, build, seconds: float | None = None) -> DataFrame:
     """What build() gave under `name` for the file or folder `path` when it last had its present size and time; built and kept as
     a new version if it never did, or if that was more than `seconds` ago."""
