@@ -345,3 +345,34 @@ def q93_thumbnails(spark, sf_dir):
 def q94_elapsed(spark, sf_dir):
     began = F.col("ts").cast("timestamp")
     return table(spark, sf_dir, "events").select("event_id", inventory.elapsed(began, F.timestamp_micros(F.unix_micros(began) + F.col("event_id") % 100000 * 1000)).alias("seconds"))
+
+
+@query(f"with {FEATURES} select doc_id::varchar as path, count(*)::bigint as pages, sum(characters)::bigint as characters, sum(words)::bigint as words, count(*) filter (has_text)::bigint as with_text, true as stamped from features group by doc_id")
+def q111_inventory_reader(spark, sf_dir):
+    """Inventory files, one a document, with their pages by path and the time of writing, read back."""
+    folder = shared_dir(spark)
+    pages = _features(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.struct(F.col("page_num").cast("int").alias("page"), "has_text", "characters", "words", "language").alias("p"))
+    own = pages.groupBy("path").agg(F.array_sort(F.collect_list("p")).alias("pages"))
+    summary = F.array(F.struct("path", F.size("pages").cast("long").alias("pages"), T.utc_stamp().alias("generated_at")))
+    line = F.to_json(F.struct(summary.alias("summaries"), F.map_from_arrays(F.array("path"), F.array("pages")).alias("page_details")))
+    own.select(line.alias("value")).write.text(f"{folder}/inventory")
+    summaries, details = readers.inventory_json(spark, f"{folder}/inventory", lines=True)
+    total = lambda c: F.aggregate("pages", F.lit(0).cast("long"), lambda s, x: s + x[c])
+    details = details.select("path", total("characters").alias("characters"), total("words").alias("words"), F.size(F.filter("pages", lambda x: x["has_text"])).cast("long").alias("with_text"))
+    stamped = F.col("generated_at").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$")
+    return summaries.select("path", "pages", stamped.alias("stamped")).join(details, "path").select("path", "pages", "characters", "words", "with_text", "stamped")
+
+
+@query("select item_id, sha256('file ' || item_id % 3) as pdf_sha256, true as refused from benchmark where item_id % 3 = 1")
+def q112_checked_evals(spark, sf_dir):
+    """Eval rows that belong to a file by its digest; a log with rows of another file is refused as a whole."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.sha2(F.concat(F.lit("file "), (F.col("item_id") % 3).cast("string")), 256).alias("pdf_sha256"))
+    import hashlib
+
+    digest, refused = hashlib.sha256(b"file 1").hexdigest(), False
+    try:
+        evaluation.checked_evals(rows, digest).write.format("noop").mode("overwrite").save()
+    except Exception as e:  # Spark's error of a failed assertion
+        refused = "another file" in str(e)
+    own = evaluation.checked_evals(rows.filter(F.col("pdf_sha256") == digest), digest)
+    return own.withColumn("refused", F.lit(refused))

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import crawl, evaluation, models, retrieval, services
-from millrace.plans.fixtures import NORM, NORMAL, normal_pages, table
+from millrace.operators import chunking, crawl, evaluation, models, retrieval, services
+from millrace.plans.fixtures import FULL, NORM, NORMAL, full_texts, normal_pages, table
 from millrace.queries.ranking import _CHILDREN, _METRICS, _children, _hybrid, _ints, _parents, _questions, _round, _SAFE, grade_sql, workflow
 from millrace.queries.registry import query
 from millrace.streaming.incremental import remembered, save_to, shared_dir
@@ -87,7 +87,7 @@ def _ocr(content):
 
 
 def _write(content, words, issues):
-    return words[: len(words) - (max(0, len(issues) - 2) if issues else len(content) % 6)]
+    return words[: len(words) - (max(0, len(issues) - 2) if issues else len(content) % min(6, content.count(" ") + 1))]
 
 
 def _verify(content, own):
@@ -95,12 +95,12 @@ def _verify(content, own):
     return missing == 0, ["a word is missing"] * missing
 
 
-@query("""with c as (select page_id as page, length(html) as n, len(string_split(html, ' ')[1:20]) as w, length(html) % 6 as m from pages)
+@query("""with c as (select page_id as page, length(html) as n, len(string_split(html, ' ')[1:20]) as w, length(html) % least(6, len(string_split(html, ' '))) as m from pages)
 select page, case when n % 17 = 4 then 'error' when m > 4 then 'review' else 'auto_pass' end as status, case when n % 17 = 4 then 'ValueError: unreadable' when m > 4 then 'revisions exhausted' end as reason,
-case when n % 17 = 4 then 0 else least(3, 1 + ceil(m / 2)) end::bigint as attempts, case when n % 17 = 4 then null when m > 4 then round((w - 1) / w, 9) else 1 end::double as coverage from c where w > 5""")
+case when n % 17 = 4 then 0 else least(3, 1 + ceil(m / 2)) end::bigint as attempts, case when n % 17 = 4 then null when m > 4 then round((w - 1) / w, 9) else 1 end::double as coverage from c""")
 def q99_review_loop(spark, sf_dir):
     """Pages written, verified and written again with the issues found, three times at most."""
-    pages = table(spark, sf_dir, "pages").filter("size(split(html, ' ')) > 5").select(F.col("page_id").alias("page"), F.col("html").alias("content"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.col("html").alias("content"))
     return services.reviewed_pages(pages, _ocr, _write, _verify, max_revisions=2)
 
 
@@ -203,3 +203,33 @@ def q105_remembered(spark, sf_dir):
         raise RuntimeError("built twice")
 
     return remembered(spark, folder, "languages", f"{sf_dir}/documents.parquet", never, seconds=3600)
+
+
+@query(f"""with {FULL} select doc_id, length(text) - length(replace(text, ' ', '')) + 1 as words, true as whole, true as fitting, true as overlapping from full_texts where text <> ''""")
+def q109_subword_chunks(spark, sf_dir):
+    """Chunks of at most 128 tokens of a public tokenizer: each is its place in the text, counted anew by the tokenizer, and together
+    they hold every word."""
+    import public_tokenizers
+
+    load = models.token_offsets(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = full_texts(spark, sf_dir)
+    made = chunking.subword_chunks(texts, load, 128, 13)
+    made = made.withColumn("counted", models.count_tokens(F.col("text"), load)).withColumn("w", chunking.single_spaced_words(F.col("text")))
+    at = F.expr("length(substring(whole_text, 1, start_index)) - length(replace(substring(whole_text, 1, start_index), ' ', ''))").cast("long")
+    met = made.join(texts.select("doc_id", F.col("text").alias("whole_text")), "doc_id").withColumn("first", at)
+    exact = (F.expr("substring(whole_text, start_index + 1, length(text))") == F.col("text")) & (F.col("counted") == F.col("n_tokens"))
+    rows = met.select("doc_id", "chunk_id", "first", (F.col("first") + F.col("w")).alias("stop"), exact.alias("exact"), ((F.col("counted") <= 128) | (F.col("w") == 1)).alias("fits"))
+    order = F.array_sort(F.collect_list(F.struct("chunk_id", "first", "stop")))
+    held = rows.groupBy("doc_id").agg(order.alias("c"), F.bool_and("exact").alias("whole"), F.bool_and("fits").alias("fitting"))
+    step = F.forall(F.sequence(F.lit(1), F.greatest(F.size("c") - 1, F.lit(1))), lambda i: (F.size("c") == 1) | ((F.get("c.first", i) <= F.get("c.stop", i - 1)) & (F.get("c.first", i) > F.get("c.first", i - 1))))
+    return held.select("doc_id", F.get("c.stop", F.size("c") - 1).alias("words"), "whole", "fitting", ((F.get("c.first", F.lit(0)) == 0) & step).alias("overlapping"))
+
+
+@query("""with a as (select item_id as qid, unnest(['c' || item_id, 'unknown', 'c' || (item_id * 7 + 3) % 100000]) as chunk_id, unnest([0, 1, 2]) as position from benchmark)
+select qid, position::int as position, sha256(text) as digest from a join benchmark b on chunk_id = 'c' || b.item_id""")
+def q110_citations(spark, sf_dir):
+    """What the chunks hold that answers cite by id, in the answers' order; unknown ids go."""
+    items, c = table(spark, sf_dir, "benchmark"), F.lit("c")
+    ids = F.array(F.concat(c, F.col("item_id").cast("string")), F.lit("unknown"), F.concat(c, ((F.col("item_id") * 7 + 3) % 100000).cast("string")))
+    chunks = items.select(F.concat(c, F.col("item_id").cast("string")).alias("chunk_id"), "text")
+    return workflow.cited(items.select(F.col("item_id").alias("qid"), ids.alias("ids")), chunks).select("qid", "position", F.sha2("text", 256).alias("digest"))
