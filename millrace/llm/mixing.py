@@ -87,10 +87,12 @@ def mix(docs: DataFrame, size: Column, doc_id="doc_id", source="source", tie: Co
     sizes = docs.select(key.alias("key"), F.substring(order, 1, digits).alias("range"), size.alias("size"))
     # At most 16^digits rows a source, a small part of the rows, written once: two aggregations use them, and the texts are counted for one.
     ranges = materialise(sizes.groupBy("key", "range").agg(F.sum("size").alias("range_size")), "ranges")
-    targets = source_targets(ranges.groupBy("key").agg(F.sum("range_size").alias("source_size")), cycle, max_epochs)
-    earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("key", "range", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("base"))
-    plan = ranges.join(targets, "key")
+    # Sums before a range come from parts of the order of all ranges, less those before its source: no task holds a hot source's.
+    placed = sums_before(ranges, [F.col("key"), F.col("range")], {"base": F.col("range_size")}, "range-sums")
+    placed = materialise(placed.select("key", "range", "range_size", "base"), "range-places")
+    sources = placed.groupBy("key").agg(F.sum("range_size").alias("source_size"), F.min("base").alias("start"))
+    targets = source_targets(sources.select("key", "source_size"), cycle, max_epochs).join(sources.select("key", "start"), "key")
+    plan = placed.join(targets, "key").withColumn("base", F.col("base") - F.col("start")).drop("range_size", "start")
     within = Window.partitionBy("key", "range").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(plan, ["key", "range"])
     out = out.withColumn("before", F.col("base") + F.sum("size").over(within) - F.col("size"))
