@@ -157,6 +157,35 @@ def element_pages(files: DataFrame, partition) -> DataFrame:
     return pages.select("path", "page_num", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
 
 
+def page_assets(files: DataFrame, open_file, max_pages: int = 0, prefix: str | None = None) -> DataFrame:
+    """path, page, key, pdf, png, error: each page of a file (path, content) on its own and as an image, of the first `max_pages`
+    pages (all if 0). open_file(bytes) gives a sequence whose item k is (pdf bytes, image bytes) of page k + 1.
+
+    A page that fails is a row with its error, and the next goes on; a file that can't be opened is one row without a page.
+    key: where its assets go, the prefix or `processed/<name without ending>`, and the page's number in four digits."""
+    if max_pages < 0:
+        raise ValueError("max_pages is 0 for all pages, or a number of them")
+
+    def work(path, content):
+        try:
+            pages = open_file(content)
+            n = min(len(pages), max_pages) if max_pages else len(pages)
+        except Exception as e:
+            yield path, None, None, None, _error(e)
+            return
+        for k in range(n):
+            try:
+                pdf, png = pages[k]
+                yield path, k + 1, pdf, png, None
+            except Exception as e:
+                yield path, k + 1, None, None, _error(e)
+
+    made = each_row(files, ["path", "content"], work, "path string, page long, pdf binary, png binary, error string", ["path", "page", "pdf", "png", "error"])
+    own = F.lit(prefix.strip("/")) if prefix else F.concat(F.lit("processed/"), F.regexp_replace(F.substring_index("path", "/", -1), r"(?<=.)\.[^.]*$", ""))
+    key = F.when(F.col("page").isNotNull(), F.concat(own, F.lit("/page_"), F.when(F.col("page") < 10000, F.lpad(F.col("page").cast("string"), 4, "0")).otherwise(F.col("page").cast("string"))))
+    return made.select("path", "page", key.alias("key"), "pdf", "png", "error")
+
+
 def structural_profiles(files: DataFrame, convert, fields: tuple[str, ...], seconds: float | None = None) -> DataFrame:
     """path, status, conversion_seconds (3 digits), error and the counts `fields`: convert(bytes) gives (status, counts by name)."""
 

@@ -376,3 +376,14 @@ def q112_checked_evals(spark, sf_dir):
         refused = "another file" in str(e)
     own = evaluation.checked_evals(rows.filter(F.col("pdf_sha256") == digest), digest)
     return own.withColumn("refused", F.lit(refused))
+
+
+@query("""select item_id::varchar as path, unnest([item_id % 9, 4]) as page_num, unnest(['bad ' || item_id, '7']) as message from benchmark where item_id % 5 in (0, 1) and item_id % 9 <> 4""")
+def q114_page_error_files(spark, sf_dir):
+    """Files of page errors: broken ones, those of another digest, and those with a page that is no number have none."""
+    i = F.col("item_id")
+    text, page = i.cast("string"), (i % 9).cast("string")
+    good = F.concat(F.lit('{"pdf_sha256": "d", "errors": {"'), page, F.lit('": "bad '), text, F.lit('", "4": 7}}'))
+    value = F.when(i % 5 < 2, good).when(i % 5 == 2, F.replace(good, F.lit('"d"'), F.lit('"e"'))).when(i % 5 == 3, F.replace(good, F.lit('"4"'), F.lit('"four"'))).otherwise(F.concat(F.lit("["), good))
+    files = table(spark, sf_dir, "benchmark").filter("item_id % 9 <> 4").select(text.alias("path"), value.alias("value"))
+    return readers.page_error_files(files, F.lit("d"))

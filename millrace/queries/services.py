@@ -233,3 +233,32 @@ def q110_citations(spark, sf_dir):
     ids = F.array(F.concat(c, F.col("item_id").cast("string")), F.lit("unknown"), F.concat(c, ((F.col("item_id") * 7 + 3) % 100000).cast("string")))
     chunks = items.select(F.concat(c, F.col("item_id").cast("string")).alias("chunk_id"), "text")
     return workflow.cited(items.select(F.col("item_id").alias("qid"), ids.alias("ids")), chunks).select("qid", "position", F.sha2("text", 256).alias("digest"))
+
+
+class _Lines(list):
+    def __getitem__(self, k):
+        line = super().__getitem__(k)
+        if len(line) % 13 == 7:
+            raise ValueError("damaged page")
+        return b"%PDF-" + line.encode(), line.upper().encode()
+
+
+def _open(content):
+    lines = content.decode().split("\n")
+    if len(lines) % 11 == 5:
+        raise ValueError("no document")
+    return _Lines(lines)
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i, len(string_split(text, chr(10))) as n from documents)
+select 'in/file ' || doc_id || '.v1.pdf' as path, i::bigint as page, 'processed/file ' || doc_id || '.v1/page_' || lpad(i::varchar, 4, '0') as key,
+case when length(line) % 13 <> 7 then 5 + octet_length(encode(line)) end::bigint as pdf_bytes, case when length(line) % 13 <> 7 then sha256(encode(line)) end as pdf_digest,
+case when length(line) % 13 = 7 then 'ValueError: damaged page' end as error from l where n % 11 <> 5 and i <= 6
+union all select distinct 'in/file ' || doc_id || '.v1.pdf', null::bigint, null, null::bigint, null, 'ValueError: no document' from l where n % 11 = 5""")
+def q113_page_assets(spark, sf_dir):
+    """The first six pages of files, each on its own; damaged pages and files are rows with their errors."""
+    path = F.concat(F.lit("in/file "), F.col("doc_id").cast("string"), F.lit(".v1.pdf"))
+    files = table(spark, sf_dir, "documents").select(path.alias("path"), F.encode("text", "utf-8").alias("content"))
+    made = services.page_assets(files, _open, max_pages=6)
+    own = F.substring("pdf", 6, 1 << 30)
+    return made.select("path", "page", "key", F.octet_length("pdf").cast("long").alias("pdf_bytes"), F.sha2(own, 256).alias("pdf_digest"), "error")

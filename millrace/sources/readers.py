@@ -96,6 +96,17 @@ def page_errors(rows: DataFrame, digest: str) -> DataFrame:
     return rows.filter((F.col("digest") == digest) & F.col("page_num").isNotNull() & F.col("message").isNotNull()).select("page_num", "message")
 
 
+def page_error_files(files: DataFrame, digest: Column) -> DataFrame:
+    """path, page_num, message of files of page errors (path, value): a JSON object with pdf_sha256 and errors, messages by page.
+
+    A file that is no such object, that is of another digest, or that names a page which is no number, has no errors."""
+    schema = "pdf_sha256 string, errors map<string,string>"
+    read = files.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"})).withColumn("pages", F.map_keys("r.errors"))
+    whole = F.forall("pages", lambda k: F.trim(k).try_cast("int").isNotNull())
+    good = read.filter((F.col("r.pdf_sha256") == digest) & whole)
+    return good.select("path", F.explode("r.errors").alias("page", "message")).select("path", F.trim("page").cast("int").cast("long").alias("page_num"), F.coalesce("message", F.lit("None")).alias("message"))
+
+
 def tolerant_json_lines(lines: DataFrame, schema: str, key: str) -> DataFrame:
     """Parsed rows of (value, seq); malformed lines, non-objects and rows without a string key go."""
     good = F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT<")
