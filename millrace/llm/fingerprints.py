@@ -53,6 +53,12 @@ def range_of(key: Column, cuts: list[int]) -> Column:
     return count_not_below(longs(cuts), key, len(cuts)) - 1 if len(cuts) > 1 else F.lit(0)
 
 
+def with_searched(rows: DataFrame, name: str, found: Column) -> DataFrame:
+    """The rows with a searched column that may be a join's key. It comes from a generator, so that the optimizer holds no equation
+    of it with its search: where it did, it put a filter on the search at times on the join's other side, which lacks the key."""
+    return rows.select("*", F.explode(F.array(found)).alias(name))
+
+
 def coarse_cuts(keys: DataFrame, range_rows: int) -> tuple[list[int], int]:
     """Falling percentiles of the column `key`, the largest key first, at most `COARSE`; and about how many ranges there will be."""
     n, most = keys.agg(F.count("key"), F.max("key")).first()
@@ -82,7 +88,7 @@ def with_next(docs: DataFrame, doc_id="doc_id", text="text", range_rows: int = R
     cuts, ranges = coarse_cuts(rows.select("key"), range_rows)
     heads = range_heads(rows.select("key"), cuts, range_rows)
     heads = F.broadcast(heads) if ranges <= BROADCAST_HEADS else heads
-    met = rows.withColumn("coarse", range_of(F.col("key"), cuts)).join(heads, "coarse")
+    met = with_searched(rows, "coarse", range_of(F.col("key"), cuts)).join(heads, "coarse")
     fine = count_not_below(F.col("heads"), F.col("key"), MOST_HEADS) - 1
     met = met.withColumn("fine", fine).withColumn("first", F.get("heads", F.col("fine")) == F.col("key"))
     met = met.select("doc_id", "text", "key", (F.col("base") + F.col("fine")).alias("own"), "first", "total")

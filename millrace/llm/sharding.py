@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm.common import materialise
-from millrace.llm.fingerprints import count_not_below, longs, range_of
+from millrace.llm.fingerprints import count_not_below, longs, range_of, with_searched
 
 SHARDS, OVERHEAD, RANGES, DRAWS = 24, 8, 3072, 4
 #: A range of one text is overfull at so many times the mean range.
@@ -75,7 +75,7 @@ def ranges_of(rows: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, list, f
 def _with_range(rows: DataFrame, cuts: list[int]) -> DataFrame:
     """The rows with how many of the rising cuts are <= their key."""
     # range_of takes falling cuts: negate the order with bitwise not.
-    return rows.withColumn("range", range_of(F.bitwise_not(F.col("key")), [~k for k in cuts]) + 1 if len(cuts) > 1 else F.lit(0))
+    return with_searched(rows, "range", range_of(F.bitwise_not(F.col("key")), [~k for k in cuts]) + 1 if len(cuts) > 1 else F.lit(0))
 
 
 def place(sizes: list[tuple[int, int, int]], shards: int = SHARDS) -> dict[tuple[int, int], int]:

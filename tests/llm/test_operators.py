@@ -427,6 +427,19 @@ def test_rows_without_ids_part_into_ranges(spark):
     assert len(made) == 4000 and {r["next_text"] for r in made} == {r["text"] for r in made}
 
 
+def test_the_search_of_a_range_stays_on_its_side_of_the_join(spark):
+    """Of what the optimizer knows of the rows that meet the heads, nothing equals their range with its search."""
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    plan = fingerprints.with_next(docs, range_rows=100)._jdf.queryExecution().optimizedPlan()
+    sides = [n.children().apply(0) for n in nodes(plan) if n.nodeName() == "Join"]
+    assert sides and not any("lambda" in side.constraints().toString() for side in sides)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 100_000])
 def test_ranges_of_many_splitters(spark, n):
     """Splitters are one literal, however many: a hundred thousand are found by binary search, and the plan has no node for each."""
