@@ -30,8 +30,9 @@ def toxicity_stage(spark, docs, sf_dir):
 
 
 def near_duplicates_stage(spark, docs, sf_dir):
-    """Of each group of near-duplicates (sets of five words at least 0.8 similar) the document with the smallest doc_id stays."""
-    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
+    """Of each group of near-duplicates the document with the smallest doc_id stays. Links are SimHash fingerprints within 2 bits,
+    found with BK-trees as in op10, and beyond their reach sets of five words that are at least 0.8 similar."""
+    return simhash.one_of_each(docs, shingle=5, similarity=0.8, both=True)
 
 
 def mixing_stage(spark, docs, sf_dir):

@@ -61,22 +61,27 @@ def bands(own: np.ndarray) -> list[int]:
     return [xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def sketches(docs: DataFrame, text: str, keep: tuple, shingle: int, whole: bool = True) -> DataFrame:
-    """The columns `keep` with fp, the digest of the set as a signed long, and if `whole` the set and its bands."""
+def sketches(docs: DataFrame, text: str, keep: tuple, shingle: int, whole: bool = True, sign=None) -> DataFrame:
+    """The columns `keep` with fp, the digest of the set as a signed long, if `whole` the set and its bands, and if `sign` is given
+    (texts to unsigned numbers) its number as a signed long, `sim`."""
     more = [T.StructField("own", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))] if whole else []
+    more += [T.StructField("sim", T.LongType())] if sign else []
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType()), *more])
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for part in blocks(batches, text):
-            own = [shingle_set(t, shingle) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+            texts = part.column(part.schema.get_field_index(text)).to_pylist()
+            own = [shingle_set(t, shingle) for t in texts]
             fp = np.array([xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in own], np.uint64).view(np.int64)
             made = [pa.array(fp)]
             if whole:
                 keys = [np.array(bands(s), np.uint64).view(np.int64) for s in own]
                 small = [np.unique(s.astype(np.uint32)).tobytes() for s in own]
                 made += [pa.array(small, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            if sign:
+                made.append(pa.array(sign(texts).view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + made, names=schema.names)
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
@@ -163,8 +168,8 @@ def remaining(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return units.mapInArrow(run, "a long, b long")
 
 
-def links(prints: DataFrame, distinct: DataFrame, similarity: float, rows_of, components) -> DataFrame:
-    """Links (a, b) between nodes, whose classes are those of the links of all candidates.
+def links(prints: DataFrame, distinct: DataFrame, similarity: float, rows_of, components, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between nodes, whose classes are those of the links of all candidates and of the `known` links, if any.
 
     distinct: fp, least, bands; rows_of(prints, fps): the rows of prints with these fp, perhaps more; components(edges): (node, root).
     """
@@ -176,7 +181,7 @@ def links(prints: DataFrame, distinct: DataFrame, similarity: float, rows_of, co
     members = materialise(shared.join(again, "key").withColumn("class", F.col("fp")), "members")
     met = members.select("fp").distinct()
     sets = materialise(rows_of(prints, met).groupBy("fp").agg(F.first("own").alias("own")).join(met, "fp").withColumn("bytes", F.length("own")), "sets")
-    found = None
+    found = known
     for turn, order in enumerate(ROUNDS):
         piece = F.pmod(F.xxhash64("fp", F.lit(turn)), F.ceil(F.col("n") / F.lit(SLICE)))
         by = Window.partitionBy("key", piece).orderBy(*[f"near{k}" for k in order], "fp")

@@ -213,12 +213,27 @@ def _by_bits(docs, text, doc_id, radius, shard_limit):
     return prints, _classes(distinct, links(distinct.select("fp"), radius, shard_limit))
 
 
-def _by_similarity(docs, text, doc_id, shingle, similarity):
-    """Rows (doc_id, fp) and classes (fp, root, component_id) of sets of word shingles at least so similar."""
-    prints = materialise(shingles.sketches(docs, text, (doc_id,), shingle).withColumnRenamed(doc_id, "doc_id"), "sketches")
+def _links_of_bits(prints, radius, shard_limit):
+    """Links (a, b) of the nodes fp of (fp, sim) whose SimHash fingerprints sim are equal or within the radius; of the nodes of one
+    fingerprint the least stands for it."""
+    signed = materialise(prints.select("fp", "sim").distinct(), "signed")
+    named = materialise(signed.groupBy("sim").agg(F.min("fp").alias("node")), "signs")
+    same = signed.join(named, "sim").select(F.col("fp").alias("x"), F.col("node").alias("y"))
+    near = links(named.select(F.col("sim").alias("fp")), radius, shard_limit)
+    for c, n in (("a", "x"), ("b", "y")):
+        near = near.join(named.select(F.col("sim").alias(c), F.col("node").alias(n)), c)
+    every = same.unionByName(near.select("x", "y")).filter("x <> y")
+    return materialise(every.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "links-of-bits")
+
+
+def _by_similarity(docs, text, doc_id, shingle, similarity, radius, shard_limit):
+    """Rows (doc_id, fp) and classes (fp, root, component_id) of sets of word shingles at least so similar and, with a radius, of
+    SimHash fingerprints within it too, found with BK-trees."""
+    sign = None if radius is None else fingerprints
+    prints = materialise(shingles.sketches(docs, text, (doc_id,), shingle, sign=sign).withColumnRenamed(doc_id, "doc_id"), "sketches")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "distinct")
     rows_of = lambda rows, fps: told_apart(rows, "fp", fps.select(F.col("fp").alias("__gone")))[1]
-    edges = shingles.links(prints, distinct, similarity, rows_of, components)
+    edges = shingles.links(prints, distinct, similarity, rows_of, components, None if radius is None else _links_of_bits(prints, radius, shard_limit))
     return prints.select("doc_id", "fp"), _classes(distinct.select("fp", "least"), edges)
 
 
@@ -245,10 +260,11 @@ def without_ids(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
     return sure.unionByName(rest.select("row.*"))
 
 
-def one_of_each(docs: DataFrame, text="text", doc_id="doc_id", radius: int = RADIUS, shard_limit: int = SHARD_LIMIT, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, text="text", doc_id="doc_id", radius: int = RADIUS, shard_limit: int = SHARD_LIMIT, shingle: int = SHINGLE, similarity: float | None = None, both: bool = False) -> DataFrame:
     """The document that names its class stays, once; rows without a doc_id have no name to stay by and stay.
 
-    Classes are those of SimHash fingerprints within the radius or, with a similarity, of sets of `shingle` words at least so similar.
+    Classes are those of SimHash fingerprints within the radius or, with a similarity, of sets of `shingle` words at least so
+    similar; with `both`, those of the links of either kind together.
     """
     if similarity is None and shingle != SHINGLE:
         raise ValueError("another shingle size needs a similarity")
@@ -256,7 +272,7 @@ def one_of_each(docs: DataFrame, text="text", doc_id="doc_id", radius: int = RAD
         if similarity is None:
             prints, classes = _by_bits(docs, text, doc_id, radius, shard_limit)
         else:
-            prints, classes = _by_similarity(docs, text, doc_id, shingle, similarity)
+            prints, classes = _by_similarity(docs, text, doc_id, shingle, similarity, radius if both else None, shard_limit)
         found = prints.join(classes, "fp").filter("doc_id is not null")
         named = F.bool_or(F.col("doc_id") == F.col("component_id"))
         ids = materialise(found.groupBy("doc_id").agg(named.alias("named"), F.count("*").alias("times")), "named")

@@ -828,6 +828,21 @@ def test_one_of_each_by_shingle_similarity(spark):
     assert simhash.one_of_each(docs.limit(0), shingle=5, similarity=0.8).count() == 0
 
 
+def test_pipeline_links_simhash_fingerprints(spark, monkeypatch):
+    """Texts of equal fingerprints go, though their sets of five words are unlike; the trees are asked."""
+    import corpus_pipeline
+
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, *a: asked.append(distinct.count()) or links(distinct, *a))
+    body = " ".join(f"w{i}" for i in range(11)) + " "
+    rows = [(k, body * 60 + " ".join(f"t{k}x{i}" for i in range(8))) for k in range(3)] + [(3, " ".join(f"u{i}" for i in range(50)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    assert len(set(simhash.fingerprints([t for _, t in rows[:3]]))) == 1 and len(sets[0] & sets[1]) < 0.5 * len(sets[0] | sets[1])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates_stage(spark, docs, None).collect()) == [0, 3]
+    assert asked == [2]
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_large_group_of_near_copies(spark, monkeypatch, small):
     """500 copies of one text with edits, most pairs under 0.8: exactly the classes of all pairs, in one block a bucket or in many."""
