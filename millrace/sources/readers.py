@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 # Folders that discovery skips.
 SKIPPED = (".venv", "venv", ".git", "__pycache__", "node_modules")
@@ -118,10 +119,12 @@ def inventory_json(spark: SparkSession, path: str, lines: bool = False) -> tuple
     """summaries and page_details (path, pages) of an inventory file, or of a folder of them; with `lines` each line is one.
     A file may lack either."""
     page = "array<struct<page int, has_text boolean, characters long, words long, language string>>"
-    whole = spark.read.option("multiLine", not lines).json(path)
-    summaries = whole.select(F.explode("summaries").alias("s")).select("s.*") if "summaries" in whole.columns else spark.createDataFrame([], "path string")
-    # A map of paths is read as text, not as a column for each path.
-    texts = spark.read.schema("page_details string").option("multiLine", not lines).json(path)
+    # Both are read as text, so that a map of paths is no column for each path, neither of the rows nor of an inferred schema.
+    texts = spark.read.schema("summaries string, page_details string").option("multiLine", not lines).json(path)
+    listed = texts.select("summaries").filter("summaries is not null")
+    kind = spark.read.json(listed.rdd.map(lambda r: r["summaries"])).schema
+    none = spark.createDataFrame([], "path string")
+    summaries = listed.select(F.explode(F.from_json("summaries", ArrayType(kind))).alias("s")).select("s.*") if len(kind) else none
     details = texts.select(F.explode(F.from_json("page_details", f"map<string, {page}>")).alias("path", "pages"))
     return summaries, details
 

@@ -295,3 +295,43 @@ def web_same(ours, theirs):
 
     a, b = urlsplit(ours), urlsplit(theirs)
     return (a.scheme, a.netloc, a.path or "/", a.query, a.fragment) == (b.scheme, b.netloc, b.path or "/", b.query, b.fragment)
+
+
+def test_inventory_paths_are_no_columns(spark, tmp_path):
+    """Paths of page details, also those that differ in case only, take no part in what is inferred."""
+    import json
+
+    from millrace.sources import readers
+
+    page = lambda n: [{"page": 1, "has_text": True, "characters": n, "words": 2, "language": "english"}]
+    lines = [{"summaries": [{"path": p, "pages": n}], "page_details": {p: page(n)}} for n, p in enumerate(("a.pdf", "A.pdf", "b c.pdf"))] + [{"page_details": {}}]
+    (tmp_path / "inventory.json").write_text("\n".join(map(json.dumps, lines)))
+    summaries, details = readers.inventory_json(spark, str(tmp_path / "inventory.json"), lines=True)
+    assert sorted((r["path"], r["pages"]) for r in summaries.collect()) == [("A.pdf", 1), ("a.pdf", 0), ("b c.pdf", 2)]
+    assert sorted((r["path"], r["pages"][0]["characters"]) for r in details.collect()) == [("A.pdf", 1), ("a.pdf", 0), ("b c.pdf", 2)]
+
+
+def test_parts_are_found_at_their_places(spark):
+    """Words before each start, also of one that falls back, and whether all parts stand where they are said to."""
+    rows = [("aa b cc d", [0, 3, 5], ["aa b", "b", "cc d"]), ("aa b cc d", [5, 0], ["cc", "aa"]), ("aa b", [0, 2], ["aa", "b"]), (None, [0], ["a"])]
+    df = spark.createDataFrame(rows, "t string, at array<long>, parts array<string>")
+    found = df.select(chunking.words_before(F.col("t"), F.col("at")).alias("n"), chunking.stand(F.col("t"), F.col("at"), F.col("parts")).alias("there")).collect()
+    assert [(r["n"], r["there"]) for r in found] == [([0, 1, 2], True), ([2, 0], True), ([0, 0], False), (None, None)]
+
+
+def test_page_figures_by_definition(spark):
+    """Stop words are whole runs of letters, in one pass; white space of any kind is no text and is stripped at the ends."""
+    import re
+
+    texts = ["el del la LAS política", "hola del_ de1 la", "the THE con con", "para_que por que", "\u00a0\u2003", "", "x", "\u3000 a b \x1f", "con,la;the-and of", "el ellos los", None]
+    runs = lambda t: re.findall(r"\w+", t.lower())
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    found = df.select("t", T.words_of(t, T.SPANISH).alias("es"), T.words_of(t, T.ENGLISH).alias("en"), T.has_text(t).alias("has"), T.strip(t).alias("strip")).collect()
+    for r in found:
+        if r["t"] is None:
+            assert r["es"] is None and r["has"] is None and r["strip"] is None
+            continue
+        assert (r["es"], r["en"]) == tuple(sum(w in words for w in runs(r["t"])) for words in (T.SPANISH, T.ENGLISH))
+        assert r["strip"] == r["t"].strip() and r["has"] == bool(r["t"].strip())
+    assert "lambda" not in df.select(T.language(t))._jdf.queryExecution().optimizedPlan().toString()
