@@ -30,7 +30,14 @@ def normalize(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
+    """No white space at the ends; only a text that has some there is searched for it."""
+    ends = F.left(text, F.lit(1)).rlike(WS) | F.right(text, F.lit(1)).rlike(WS)
+    return F.when(ends, F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")).otherwise(text)
+
+
+def has_text(text: Column) -> Column:
+    """Whether there is more than white space."""
+    return text.rlike(WS.replace("[", "[^", 1))
 
 
 def join_lines(text: Column) -> Column:
@@ -49,26 +56,31 @@ def characters(text: Column) -> Column:
     return F.length(strip(text)).cast("long")
 
 
+def words_of(text: Column, words: tuple[str, ...]) -> Column:
+    """How many of the text's runs of letters are one of some lower-case words, without a list of the others."""
+    edge, first = LETTERS.removesuffix("+"), "".join(sorted({w[0] for w in words}))
+    return F.regexp_count(F.lower(text), F.lit(f"(?=[{first}])(?<!{edge})(?:{'|'.join(words)})(?!{edge})"))
+
+
 def language(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0))
-    spanish = F.size(F.filter(words, lambda w: w.isin(*SPANISH)))
-    english = F.size(F.filter(words, lambda w: w.isin(*ENGLISH)))
+    spanish = words_of(text, SPANISH)
     return (
-        F.when(strip(text) == "", "none")
+        F.when(~has_text(text), "none")
         .when(text.rlike(r"[\x{ac00}-\x{d7af}]"), "korean")
         .when(text.rlike(r"[\x{4e00}-\x{9fff}]"), "chinese")
-        .when((spanish > english) & (spanish >= 2), "spanish")
+        .when((spanish >= 2) & (spanish > words_of(text, ENGLISH)), "spanish")
         .when(text.rlike("[A-Za-z]"), "english")
         .otherwise("other")
     )
 
 
 def table_estimate(text: Column) -> Column:
-    """1 if two lines have two pipes or three lines three columns parted by wide gaps, else 0."""
-    lines = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+    """1 if two lines have two pipes or three lines three columns parted by wide gaps, else 0; a single line is not looked at."""
+    ends = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+    lines = F.split(text, ends)
     piped = F.size(F.filter(lines, lambda x: x.rlike(r"\|[^|]*\|")))
     aligned = F.size(F.filter(lines, lambda x: F.size(F.split(strip(x), WS + "{2,}")) >= 3))
-    return F.when((strip(text) != "") & ((piped >= 2) | (aligned >= 3)), 1).otherwise(0).cast("long")
+    return F.when(text.rlike(ends) & has_text(text) & ((piped >= 2) | (aligned >= 3)), 1).otherwise(0).cast("long")
 
 
 def redact(text: Column) -> Column:

@@ -17,7 +17,7 @@ LARGE = 25 * 1024 * 1024
 def page_features(pages: DataFrame) -> DataFrame:
     """doc_id, page_num and has_text, characters, words, tables_estimate, language of each page's raw text; images and text_blocks as the parser counted them."""
     t = F.col("text")
-    return pages.select("doc_id", "page_num", (T.characters(t) > 0).alias("has_text"), T.characters(t).alias("characters"), T.word_count(t).alias("words"), T.table_estimate(t).alias("tables_estimate"), T.language(t).alias("language"), *[c for c in ("images", "text_blocks") if c in pages.columns])
+    return pages.select("doc_id", "page_num", T.has_text(t).alias("has_text"), T.characters(t).alias("characters"), T.word_count(t).alias("words"), T.table_estimate(t).alias("tables_estimate"), T.language(t).alias("language"), *[c for c in ("images", "text_blocks") if c in pages.columns])
 
 
 def risk(pages: Column, with_text: Column, characters: Column) -> Column:
