@@ -9,7 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType
 from pyspark.sql.window import Window
 
 from millrace.operators.ordering import row_numbers
@@ -17,6 +17,10 @@ from millrace.operators.ordering import row_numbers
 # Label, size, overlap, unit.
 POLICIES = (("tokens-128", 128, 13, "tokens"), ("tokens-256", 256, 26, "tokens"), ("tokens-384", 384, 38, "tokens"), ("tokens-480", 480, 48, "tokens"), ("tokens-512", 512, 51, "tokens"), ("characters-2500", 2500, 100, "characters"))
 SPECIAL = 2
+#: Characters of the texts whose chunks leave a task together.
+CUT_CHARACTERS = 1 << 20
+#: Words whose own tokens a task remembers.
+KNOWN_WORDS = 1 << 17
 
 
 def concat_pages(pages: DataFrame) -> DataFrame:
@@ -51,11 +55,20 @@ def _cut_texts(texts: DataFrame, cut, names: tuple[str, ...]) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), *[pa.int64() for _ in names], pa.string()]
     columns = ["doc_id", "chunk_id", *names, "text"]
 
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=columns)
+
     def run(batches):
         for batch in batches:
+            rows, held = [], 0  # short texts' chunks leave together
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(doc, k, *chunk) for k, chunk in enumerate(cut(text))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=columns)
+                rows += [(doc, k, *chunk) for k, chunk in enumerate(cut(text))]
+                held += len(text)
+                if held > CUT_CHARACTERS:
+                    yield made(rows)
+                    rows, held = [], 0
+            if rows:
+                yield made(rows)
 
     return texts.filter("text <> ''").select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_id long, " + "".join(f"{n} long, " for n in names) + "text string")
 
@@ -89,7 +102,7 @@ def subword_chunks(texts: DataFrame, load, size: int, overlap: int) -> DataFrame
     The first word of a chunk has no space before it and is counted as it is encoded alone."""
     from bisect import bisect_right
 
-    held = []
+    held, alone = [], {}
 
     def cut(text):
         if not held:
@@ -104,8 +117,10 @@ def subword_chunks(texts: DataFrame, load, size: int, overlap: int) -> DataFrame
         n = [0] * len(words)
         for start, _ in encode([text])[0]:
             n[bisect_right(ends, start)] += 1  # a token that starts at a word's end is the space of the next
-        different = list(dict.fromkeys(words))
-        alone = dict(zip(different, map(len, encode(different))))
+        if len(alone) > KNOWN_WORDS:
+            alone.clear()
+        if new := [w for w in dict.fromkeys(words) if w not in alone]:
+            alone.update(zip(new, map(len, encode(new))))
         before = [0]
         for x in n:
             before.append(before[-1] + x)
@@ -171,6 +186,34 @@ def reanchor(text: Column, chunks: Column) -> Column:
     return _anchored(text, chunks)
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _words_before(texts: pd.Series, starts: pd.Series) -> pd.Series:
+    def counts(text, at):
+        found, n, here = [], 0, 0
+        for start in at:
+            n = n + text.count(" ", here, start) if start >= here else text.count(" ", 0, start)
+            here = start
+            found.append(n)
+        return found
+
+    return pd.Series([None if t is None or s is None else counts(t, s) for t, s in zip(texts, starts)])
+
+
+def words_before(text: Column, starts: Column) -> Column:
+    """How many spaces stand before each start (array); in one pass of the text where starts rise."""
+    return _words_before(text, starts)
+
+
+@F.pandas_udf(BooleanType())
+def _stand(texts: pd.Series, starts: pd.Series, parts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or s is None or p is None else all(t.startswith(part, at) for at, part in zip(s, p)) for t, s, p in zip(texts, starts, parts)], dtype="object")
+
+
+def stand(text: Column, starts: Column, parts: Column) -> Column:
+    """Whether each part (array) stands in the text at its start (array)."""
+    return _stand(text, starts, parts)
+
+
 def nearest_rank(values: Column, p: float) -> Column:
     """sorted[round_half_even((n - 1) p)] of a sorted array; 0 if it is empty."""
     return F.coalesce(F.get(values, F.bround((F.size(values) - 1) * F.lit(p)).cast("int")), F.lit(0)).cast("long")

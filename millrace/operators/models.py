@@ -41,10 +41,34 @@ def token_offsets(path: str):
     """A loader, for executors, of a tokenizer file: texts to the character offsets of their tokens, without special ones."""
 
     def load():
+        encode = open_()
+        return lambda texts: [e.offsets for e in encode(texts, add_special_tokens=False)]
+
+    open_ = _encoder(path, "encode_batch")
+    return load
+
+
+def token_encodings(path: str):
+    """A loader, for executors, of a tokenizer file: texts to encodings as long as they have tokens, without special ones."""
+
+    def load():
+        encode = open_()
+        return lambda texts: encode(texts, add_special_tokens=False)
+
+    open_ = _encoder(path, "encode_batch_fast")
+    return load
+
+
+def _encoder(path: str, method: str):
+    def open_():
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own would take the others' turns
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
         model.no_truncation()
-        return lambda texts: [e.offsets for e in model.encode_batch(texts, add_special_tokens=False)]
+        model.no_padding()
+        return getattr(model, method)
 
-    return load
+    return open_

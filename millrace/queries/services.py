@@ -211,16 +211,17 @@ def q109_subword_chunks(spark, sf_dir):
     they hold every word."""
     import public_tokenizers
 
-    load = models.token_offsets(public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
     texts = full_texts(spark, sf_dir)
-    made = chunking.subword_chunks(texts, load, 128, 13)
-    made = made.withColumn("counted", models.count_tokens(F.col("text"), load)).withColumn("w", chunking.single_spaced_words(F.col("text")))
-    at = F.expr("length(substring(whole_text, 1, start_index)) - length(replace(substring(whole_text, 1, start_index), ' ', ''))").cast("long")
-    met = made.join(texts.select("doc_id", F.col("text").alias("whole_text")), "doc_id").withColumn("first", at)
-    exact = (F.expr("substring(whole_text, start_index + 1, length(text))") == F.col("text")) & (F.col("counted") == F.col("n_tokens"))
-    rows = met.select("doc_id", "chunk_id", "first", (F.col("first") + F.col("w")).alias("stop"), exact.alias("exact"), ((F.col("counted") <= 128) | (F.col("w") == 1)).alias("fits"))
-    order = F.array_sort(F.collect_list(F.struct("chunk_id", "first", "stop")))
-    held = rows.groupBy("doc_id").agg(order.alias("c"), F.bool_and("exact").alias("whole"), F.bool_and("fits").alias("fitting"))
+    made = chunking.subword_chunks(texts, models.token_offsets(path), 128, 13)
+    made = made.withColumn("counted", models.count_tokens(F.col("text"), models.token_encodings(path))).withColumn("w", chunking.single_spaced_words(F.col("text")))
+    # A text meets its chunks once, as one array: it is not repeated for each of them, nor read anew from its start.
+    parts = F.array_sort(F.collect_list(F.struct("chunk_id", F.col("start_index").alias("at"), "text", "w"))).alias("p")
+    fits = F.bool_and((F.col("counted") <= 128) | (F.col("w") == 1)).alias("fitting")
+    own = made.groupBy("doc_id").agg(parts, F.bool_and(F.col("counted") == F.col("n_tokens")).alias("exact"), fits)
+    met = own.join(texts, "doc_id").select("doc_id", F.col("p.w").alias("w"), "exact", "fitting", chunking.words_before(F.col("text"), F.col("p.at")).alias("first"), chunking.stand(F.col("text"), F.col("p.at"), F.col("p.text")).alias("there"))
+    c = F.zip_with("first", "w", lambda first, w: F.struct(first.alias("first"), (first + w).alias("stop")))
+    held = met.select("doc_id", c.alias("c"), (F.col("exact") & F.col("there")).alias("whole"), "fitting")
     step = F.forall(F.sequence(F.lit(1), F.greatest(F.size("c") - 1, F.lit(1))), lambda i: (F.size("c") == 1) | ((F.get("c.first", i) <= F.get("c.stop", i - 1)) & (F.get("c.first", i) > F.get("c.first", i - 1))))
     return held.select("doc_id", F.get("c.stop", F.size("c") - 1).alias("words"), "whole", "fitting", ((F.get("c.first", F.lit(0)) == 0) & step).alias("overlapping"))
 
