@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it; both Java's and RE2's syntax.
@@ -29,6 +29,21 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WS + "+", " "))
 
 
+def normalized(rows: DataFrame, column: str = "text") -> DataFrame:
+    """The rows with `column` as `normalize` gives it, in one pass: each text is taken apart once, however the result is used
+    or filtered, while an expression is worked out again for each filter on it. Python's white space is the same."""
+    import pyarrow as pa
+
+    names, at = rows.columns, rows.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            clean = [None if t is None else " ".join(t.split()) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def strip(text: Column) -> Column:
     """No white space at the ends; only a text that has some there is searched for it."""
     ends = F.left(text, F.lit(1)).rlike(WS) | F.right(text, F.lit(1)).rlike(WS)
