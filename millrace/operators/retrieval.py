@@ -30,6 +30,8 @@ BLOCK, PROMISING = 64, 2
 HELD_TOKENS = 1 << 18
 #: Postings of the corpus and queries of a block of scores, and the scores and products of a tile of it.
 POSTINGS, ASKED, CELLS = 1 << 20, 4096, 1 << 21
+#: The most tasks over pairs of blocks.
+TASKS = 4096
 #: Vectors of a block of a dense search.
 VECTORS = 16384
 
@@ -68,6 +70,44 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, text).mapInArrow(run, f"{key} {kind}, tok string, tf long, size long, norm double")
 
 
+def windows(rows: DataFrame, key: str, text: str, width: int = 8, only_first: bool = False) -> DataFrame:
+    """key, head: a 64-bit number for each different run of `width` tokens of a row (all of them if it has fewer), or for the first
+    run only. Equal runs have equal numbers; different ones may, so what meets by them has to be confirmed."""
+    import pyarrow as pa
+
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import zlib
+
+        import numpy as np
+
+        find, known = re.compile(T.TOKEN).findall, {}
+        factors = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(width)]
+        for batch in batches:
+            places, held = [], []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                toks = find((text or "").lower())
+                if only_first:
+                    toks = toks[:width]
+                if len(known) > HELD_TOKENS:
+                    known.clear()
+                for t in set(toks).difference(known):
+                    known[t] = zlib.crc32(t.encode()) << 32 | zlib.crc32(t.encode()[::-1])
+                h = np.array([known[t] for t in toks], np.uint64)
+                n = max(1, len(h) - width + 1)
+                head = np.zeros(n, np.uint64)
+                for j in range(min(width, len(h))):
+                    head += h[j : j + n] * factors[j]
+                head = np.unique(head)
+                places.append(np.full(len(head), at))
+                held.append(head)
+            if places:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(places))), pa.array(np.concatenate(held).view(np.int64))], names=[key, "head"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, head long")
+
+
 class LexicalIndex:
     """Postings of the tokens that the queries (qid, query) have, with their impacts: what a document's tokens add to a score.
 
@@ -252,9 +292,11 @@ class BlockScores:
         self.qid, self.idx = (t.schema[c].dataType.simpleString() for t, c in ((queries, "qid"), (index.d, "idx")))
 
     def _met(self, left: DataFrame, work, schema: str) -> DataFrame:
-        """Each block of the left side with each block of the documents."""
+        """Each block of the left side with each block of the documents; about one pair of blocks a task, so that a task does not grow."""
+        tasks = min(self.parts * self.own, TASKS)
         left = left.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))))
         right = self.d.select("c", "idx", "tok", *self.measures).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(self.own - 1))))
+        left, right = left.repartition(tasks, "qb", "cb"), right.repartition(tasks, "b", "c")
         return left.groupBy("qb", "cb").cogroup(right.groupBy("b", "c")).applyInArrow(work, schema)
 
     def first(self, most: int) -> DataFrame:

@@ -140,13 +140,12 @@ QRELS = "qrels as (select distinct item_id as qid, doc_id as idx from benchmark
 
 def qrels(spark, sf_dir):
     """qid, idx: documents that hold a benchmark passage verbatim; met by the passages' first eight tokens, then confirmed."""
-    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), F.slice(T.tokens(F.col("text")), 1, 8).alias("head"))
-    passages = passages.withColumn("head", F.xxhash64(F.array_join("head", " ")))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text", T.tokens(F.col("text")).alias("toks"))
-    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size("toks") - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("toks"), i, F.lit(8)), " ")))
-    met = docs.select("idx", F.explode(F.array_distinct(heads)).alias("head")).join(passages.select("qid", "head"), "head").select("qid", "idx").distinct()
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    docs = _documents(spark, sf_dir)
+    heads = retrieval.windows(passages, "qid", "passage", only_first=True)
+    met = retrieval.windows(docs, "idx", "text").join(heads, "head").select("qid", "idx").distinct()
     # Only ids meet by heads; texts join the few pairs that do.
-    confirmed = met.join(docs.select("idx", "text"), "idx").join(passages.select("qid", "passage"), "qid")
+    confirmed = met.join(docs, "idx").join(passages.select("qid", "passage"), "qid")
     return confirmed.filter(F.contains("text", "passage")).select("qid", "idx")
 
 

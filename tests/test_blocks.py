@@ -23,7 +23,7 @@ def fused(docs, asked, k):
         yield from ((q, i, places[0][i], places[1][i], n) for n, (_, i) in enumerate(best, 1))
 
 
-@pytest.mark.parametrize("postings, asked_block", [(1 << 20, 4096), (256, 4096), (16, 3)])
+@pytest.mark.parametrize("postings, asked_block", [(1 << 20, 4096), (256, 4096), (512, 5)])
 def test_fused_ranks_of_blocks(spark, texts, monkeypatch, postings, asked_block):  # noqa: F811
     monkeypatch.setattr(retrieval, "POSTINGS", postings)
     monkeypatch.setattr(retrieval, "ASKED", asked_block)
@@ -98,3 +98,22 @@ def test_pages_are_not_normalized_again_by_a_filter(spark, tmp_path):
     assert [tuple(r) for r in pages.orderBy("page_num").collect()] == [(2, 1, "a b"), (2, 3, "c")]
     plan = pages._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "regexp_replace" not in plan
+
+
+def test_windows_of_tokens(spark):
+    texts = ["a b c d a b c d", "x a B c", "", None, "a b", "b a", "a b c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    made = {}
+    for r in retrieval.windows(rows, "id", "text", 3).collect():
+        made.setdefault(r["id"], set()).add(r["head"])
+    first = {r["id"]: r["head"] for r in retrieval.windows(rows, "id", "text", 3, only_first=True).collect()}
+    assert [len(made[i]) for i in range(len(texts))] == [4, 2, 1, 1, 1, 1, 1]
+    assert all(first[i] in made[i] for i in made) and len(first) == len(texts)
+    assert made[6] == {first[0]} and made[0] & made[1] == made[6] and made[2] == made[3] and len({first[4], first[5], first[2], first[6]}) == 4
+
+
+def test_blocks_have_tasks_of_their_own(spark, texts, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(retrieval, "POSTINGS", 64)
+    corpus, queries = frames(spark, *texts)
+    blocks = retrieval.BlockScores(retrieval.LexicalIndex(corpus, queries, save_to(spark)), queries, save_to(spark))
+    assert blocks.parts > 16 and blocks.first(5).rdd.getNumPartitions() == blocks.parts * blocks.own
