@@ -30,16 +30,26 @@ def normalize(text: Column) -> Column:
 
 
 def normalized(rows: DataFrame, column: str = "text") -> DataFrame:
-    """The rows with `column` as `normalize` gives it, in one pass: each text is taken apart once, however the result is used
-    or filtered, while an expression is worked out again for each filter on it. Python's white space is the same."""
+    """The rows with `column` (string or array<string>) as `normalize` gives it, in one pass: each text is taken apart once,
+    however the result is used or filtered, while an expression is worked out again for each filter on it. Python's white
+    space is the same."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     names, at = rows.columns, rows.columns.index(column)
 
+    def clean(texts):
+        if pa.types.is_list(texts.type):
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(texts), 0))
+            return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), clean(texts.flatten()), mask=texts.is_null())
+        # Only texts with two spaces together or white space of another kind (none is printable) are taken apart.
+        odd = pc.fill_null(pc.or_(pc.invert(pc.utf8_is_printable(texts)), pc.match_substring(texts, "  ")), False)
+        made = pa.array([" ".join(t.split()) for t in texts.filter(odd).to_pylist()], texts.type)
+        return pc.replace_with_mask(pc.utf8_trim(texts, " "), odd, made)
+
     def run(batches):
         for batch in batches:
-            clean = [None if t is None else " ".join(t.split()) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
+            yield pa.RecordBatch.from_arrays([clean(c) if i == at else c for i, c in enumerate(batch.columns)], names=names)
 
     return rows.mapInArrow(run, rows.schema)
 

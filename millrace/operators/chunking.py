@@ -29,6 +29,23 @@ def concat_pages(pages: DataFrame) -> DataFrame:
     return own.select("doc_id", F.array_join(F.col("p.text"), " ").alias("text"))
 
 
+def bound(parts: DataFrame) -> DataFrame:
+    """doc_id, pages (array of page_num and text, in page order): a document's non-empty pages in one row, from rows that hold
+    some of them each. Rows are dealt by doc_id, so that what is grouped, ordered or joined by it later does not move a text again."""
+    own = parts.groupBy("doc_id").agg(F.collect_list("pages").alias("p"))
+    return own.filter(F.exists("p", lambda x: F.size(x) > 0)).select("doc_id", F.sort_array(F.flatten("p")).alias("pages"))
+
+
+def joined_pages(documents: DataFrame) -> DataFrame:
+    """As `concat_pages`, of bound pages."""
+    return documents.select("doc_id", F.array_join(F.col("pages.text"), " ").alias("text"))
+
+
+def unbound(documents: DataFrame) -> DataFrame:
+    """doc_id, page_num, text of bound pages, of which a document has some (so that no filter has to build them to see that)."""
+    return documents.select("doc_id", F.explode_outer("pages").alias("p")).select("doc_id", "p.page_num", "p.text")
+
+
 def page_spans(pages: DataFrame) -> DataFrame:
     """start and end of each non-empty page in its document's joined text."""
     order = Window.partitionBy("doc_id").orderBy("page_num").rowsBetween(Window.unboundedPreceding, 0)

@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from millrace.functions import text as T
 from millrace.operators import intervals
 
 
+def starts(text: str, part: str | None) -> list[int]:
+    """All starts of a part in a text, overlapping ones too; an empty part has none."""
+    found, at = [], text.find(part) if part else -1
+    while at >= 0:
+        found.append(at)
+        at = text.find(part, at + 1)
+    return found
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def _occurrences(texts: pd.Series, parts: pd.Series) -> pd.Series:
-    def starts(text, part):
-        found, at = [], text.find(part) if part else -1
-        while at >= 0:
-            found.append(at)
-            at = text.find(part, at + 1)
-        return found
-
     return pd.Series([starts(t or "", p or "") for t, p in zip(texts, parts)])
 
 
@@ -34,6 +37,39 @@ def evidence_spans(evidence: DataFrame, spans: DataFrame) -> DataFrame:
     return met.select("eval_id", "doc_id", "page_num", (F.col("start") + F.col("at")).alias("lo"), (F.col("start") + F.col("at") + F.length("quote")).alias("hi"))
 
 
+def evidence_in(evidence: DataFrame, documents: DataFrame) -> DataFrame:
+    """As `evidence_spans`, of documents with bound pages (`chunking.bound`): a document's quotes come to it, and its text stays."""
+    asked = evidence.groupBy("doc_id").agg(F.collect_list(F.struct("eval_id", "page_num", "quote")).alias("asked"))
+    kinds = [evidence.schema["eval_id"], evidence.schema["page_num"], StructField("lo", LongType()), StructField("hi", LongType())]
+
+    @F.arrow_udf(ArrayType(StructType(kinds)))
+    def placed(pages: pa.Array, asked: pa.Array) -> pa.Array:
+        own, quotes = pages.flatten(), asked.flatten()
+        numbers, texts = own.field("page_num").to_pylist(), own.field("text").to_pylist()
+        of, parts = quotes.field("page_num").to_pylist(), quotes.field("quote").to_pylist()
+        i = first = 0
+        row, lo, hi, ends = [], [], [], [0]
+        for n, m in zip(pages.value_lengths().to_pylist(), asked.value_lengths().to_pylist()):
+            here, at = {}, 0
+            for number, text in zip(numbers[i : i + n], texts[i : i + n]):
+                here.setdefault(number, []).append((at, text))
+                at += len(text) + 1
+            i += n
+            for j in range(first, first + m):
+                for start, text in here.get(of[j], ()):
+                    for k in starts(text, parts[j]):
+                        row.append(j)
+                        lo.append(start + k)
+                        hi.append(start + k + len(parts[j]))
+            first += m
+            ends.append(len(row))
+        found = [*(quotes.field(c).take(pa.array(row, pa.int64())) for c in ("eval_id", "page_num")), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(found, ["eval_id", "page_num", "lo", "hi"]))
+
+    met = documents.join(asked, "doc_id").select("doc_id", F.explode(placed("pages", "asked")).alias("f"))
+    return met.select("f.eval_id", "doc_id", "f.page_num", "f.lo", "f.hi")
+
+
 def _chunk_spans(chunks: DataFrame) -> DataFrame:
     """doc_id, chunk_id, s, e; chunks with a negative start hold nothing."""
     own = chunks.select("doc_id", "chunk_id", F.col("start_index").cast("long").alias("s"), (F.col("start_index") + F.length("text")).cast("long").alias("e"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import chunking, evaluation
-from millrace.plans.fixtures import NORMAL, doc_pages, full_texts, normal_pages, table
+from millrace.plans.fixtures import NORMAL, doc_pages, documents, normal_pages, table
 from millrace.queries.documents import SPANS, chunk_sql
 from millrace.queries.registry import query
 
@@ -17,15 +17,19 @@ starts as (select eval_id, e.doc_id, e.page_num, quote, s.text, s.start, unnest(
 found as (select eval_id, doc_id, page_num, (start + i - 1)::bigint as lo, (start + i - 1 + length(quote))::bigint as hi from starts where substring(text, i, length(quote)) = quote)"""
 
 
+def _documents(spark, sf_dir):
+    return documents(spark, sf_dir).filter("doc_id is not null")
+
+
 def _evidence(spark, sf_dir):
-    spans = chunking.page_spans(normal_pages(spark, sf_dir))
-    rows = spans.filter("length(text) >= 6").select((F.col("doc_id") * 100000 + F.col("page_num")).alias("eval_id"), "doc_id", "page_num", F.substring("text", (1 + (F.col("doc_id") + F.col("page_num")) % (F.length("text") - 5)).cast("int"), F.lit(6)).alias("quote"))
-    return evaluation.evidence_spans(rows, spans), spans
+    own = _documents(spark, sf_dir)
+    rows = chunking.unbound(own).filter("length(text) >= 6").select((F.col("doc_id") * 100000 + F.col("page_num")).alias("eval_id"), "doc_id", "page_num", F.substring("text", (1 + (F.col("doc_id") + F.col("page_num")) % (F.length("text") - 5)).cast("int"), F.lit(6)).alias("quote"))
+    return evaluation.evidence_in(rows, own)
 
 
 @query(f"with {_OFFSETS} select * from found")
 def q22_evidence_offsets(spark, sf_dir):
-    return _evidence(spark, sf_dir)[0]
+    return _evidence(spark, sf_dir)
 
 
 _CHUNKS = chunk_sql(128, 13).split("full_texts as", 1)[1]
@@ -33,22 +37,22 @@ _RELEVANT = f"{_OFFSETS}, full_texts as{_CHUNKS}, held as (select distinct eval_
 
 
 def _chunks(spark, sf_dir):
-    return chunking.token_chunks(full_texts(spark, sf_dir), 128, 13)
+    return chunking.token_chunks(chunking.joined_pages(_documents(spark, sf_dir)), 128, 13)
 
 
 @query(f"with {_RELEVANT} select * from held")
 def q26_relevant_chunks(spark, sf_dir):
-    return evaluation.relevant_chunks(_evidence(spark, sf_dir)[0], _chunks(spark, sf_dir))
+    return evaluation.relevant_chunks(_evidence(spark, sf_dir), _chunks(spark, sf_dir))
 
 
 @query(f'with {SPANS}, full_texts as{_CHUNKS} select doc_id, page_num, chunk_id from page_spans s join chunks c using (doc_id) where start_index >= 0 and start_index < s."end" and start_index + length(c.text) > s.start')
 def q27_page_chunk_overlap(spark, sf_dir):
-    return evaluation.page_overlaps(chunking.page_spans(normal_pages(spark, sf_dir)), _chunks(spark, sf_dir))
+    return evaluation.page_overlaps(chunking.page_spans(chunking.unbound(_documents(spark, sf_dir))), _chunks(spark, sf_dir))
 
 
 @query(f"with {_RELEVANT} select doc_id, chunk_id, string_agg(eval_id, ',' order by eval_id) as evals from held group by all")
 def q28_chunk_evidence_map(spark, sf_dir):
-    held = evaluation.relevant_chunks(_evidence(spark, sf_dir)[0], _chunks(spark, sf_dir))
+    held = evaluation.relevant_chunks(_evidence(spark, sf_dir), _chunks(spark, sf_dir))
     return held.groupBy("doc_id", "chunk_id").agg(F.array_join(F.array_sort(F.collect_list("eval_id")).cast("array<string>"), ",").alias("evals"))
 
 

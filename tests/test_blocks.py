@@ -100,6 +100,72 @@ def test_pages_are_not_normalized_again_by_a_filter(spark, tmp_path):
     assert plan.count("MapInArrow") == 1 and "regexp_replace" not in plan
 
 
+@pytest.fixture
+def odd_documents(spark, tmp_path):
+    """Repeated and null ids, no text, no page with text, code points beyond 16 bits, white space of all kinds, a long text."""
+    long = "\n".join(" ".join(f"w{(i * j) % 97}\U0001f600" for j in range(40)) for i in range(60))
+    rows = [(1, "aaaaaaaa aaa\n\nbb\u00a0\u2003bb  bbbbbb"), (1, "aaaaaaaa aaa\n\nbb bb bbbbbb"), (1, "cc"), (2, None), (3, ""), (4, " \t\n\u3000"), (None, "xxxxxxxx"), (5, long), (8, "abcabcabcabcabc"), (7, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = {}
+    for doc, text in rows:
+        for n, line in enumerate((text or "").split("\n") if text is not None else [], 1):
+            if doc is not None and line.split() and (doc * 31 + n) % 17:
+                pages.setdefault(doc, []).append((n, " ".join(line.split())))
+    return str(tmp_path), {doc: sorted(own) for doc, own in pages.items()}
+
+
+def test_evidence_and_chunks_of_odd_documents(spark, odd_documents):
+    from millrace.operators import chunking, evaluation
+    from millrace.plans.fixtures import normal_pages
+    from millrace.queries import CATALOG
+
+    path, pages = odd_documents
+    found, held = [], set()
+    for doc, own in pages.items():
+        spans, at = [], 0
+        for n, text in own:
+            spans.append((n, text, at))
+            at += len(text) + 1
+        here = []
+        for n, text in own:
+            place = (doc + n) % max(1, len(text) - 5)
+            quote = text[place : place + 6]
+            here += [(doc * 100000 + n, doc, n, s + k, s + k + 6) for m, other, s in spans if m == n and len(quote) == 6 for k in range(len(other)) if other.startswith(quote, k)]
+        found += here
+        words, chunks, k = " ".join(text for _, text in own).split(" "), [], 0
+        while k == 0 or k * 115 + 13 < len(words):
+            start = len(" ".join(words[: k * 115])) + (k > 0)
+            chunks.append((k, start, start + len(" ".join(words[k * 115 : k * 115 + 128]))))
+            k += 1
+        held |= {(e, doc, c) for e, _, _, lo, hi in here for c, s, t in chunks if s <= lo and hi <= t}
+    run = lambda name: [tuple(r) for r in CATALOG[name](spark, path).collect()]
+    assert sorted(run("q22_evidence_offsets")) == sorted(found) and len(found) > 60
+    assert sorted(run("q26_relevant_chunks")) == sorted(held) and max(c for _, _, c in held) > 10
+    assert sorted(run("q28_chunk_evidence_map")) == sorted((d, c, ",".join(str(e) for e, x, y in sorted(held) if (x, y) == (d, c))) for d, c in {h[1:] for h in held})
+    ask = spark.createDataFrame([(e, d, n, q) for e, d, n, q in [("a", 8, 1, "abcabc"), ("b", 8, 1, ""), ("c", 8, 1, None), ("d", 8, 2, "abc"), ("e", 1, 1, "aa"), ("f", 99, 1, "a"), ("g", None, 1, "xxx")]], "eval_id string, doc_id long, page_num long, quote string")
+    whole = normal_pages(spark, path)
+    rows = whole.filter("text <> ''").groupBy("doc_id", "page_num").agg(F.array(F.struct("page_num", F.min("text").alias("text"))).alias("pages")).select("doc_id", "pages")
+    single = chunking.unbound(chunking.bound(rows))
+    plain = evaluation.evidence_spans(ask, chunking.page_spans(single)).select("eval_id", "doc_id", "page_num", "lo", "hi")
+    made = evaluation.evidence_in(ask, chunking.bound(rows))
+    assert made.columns == plain.columns and sorted(made.collect()) == sorted(plain.collect()) and made.filter("eval_id = 'a'").count() == 4
+
+
+def test_texts_are_normalized_and_shuffled_once(spark, odd_documents):
+    from millrace.queries import CATALOG
+
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        for name, passes, exchanges in (("q22_evidence_offsets", 1, 1), ("q26_relevant_chunks", 2, 4), ("q27_page_chunk_overlap", 2, 3), ("q28_chunk_evidence_map", 2, 5)):
+            plan = CATALOG[name](spark, odd_documents[0])._jdf.queryExecution().executedPlan().toString()
+            assert (plan.count("MapInArrow"), plan.count("- Exchange ")) == (passes, exchanges), plan
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_windows_of_tokens(spark):
     texts = ["a b c d a b c d", "x a B c", "", None, "a b", "b a", "a b c"]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
