@@ -65,12 +65,13 @@ def single_spaced_words(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def _cut_texts(texts: DataFrame, cut, names: tuple[str, ...]) -> DataFrame:
-    """doc_id, chunk_id, the columns `names` (numbers) and text: cut(text) yields a chunk's numbers and text, in one pass of a text."""
+def _cut_texts(texts: DataFrame, cut, names: tuple[str, ...], text: bool = True) -> DataFrame:
+    """doc_id, chunk_id, the columns `names` (numbers) and, if asked for, text: cut(text) yields a chunk's numbers and text, in one
+    pass of a text."""
     import pyarrow as pa
 
-    kinds = [pa.int64(), pa.int64(), *[pa.int64() for _ in names], pa.string()]
-    columns = ["doc_id", "chunk_id", *names, "text"]
+    kinds = [pa.int64(), pa.int64(), *[pa.int64() for _ in names], *[pa.string()] * text]
+    columns = ["doc_id", "chunk_id", *names, *["text"] * text]
 
     def made(rows):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=columns)
@@ -79,6 +80,8 @@ def _cut_texts(texts: DataFrame, cut, names: tuple[str, ...]) -> DataFrame:
         for batch in batches:
             rows, held = [], 0  # short texts' chunks leave together
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text:
+                    continue
                 rows += [(doc, k, *chunk) for k, chunk in enumerate(cut(text))]
                 held += len(text)
                 if held > CUT_CHARACTERS:
@@ -87,26 +90,29 @@ def _cut_texts(texts: DataFrame, cut, names: tuple[str, ...]) -> DataFrame:
             if rows:
                 yield made(rows)
 
-    return texts.filter("text <> ''").select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_id long, " + "".join(f"{n} long, " for n in names) + "text string")
+    return texts.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} {'string' if k == pa.string() else 'long'}" for n, k in zip(columns, kinds)))
+
+
+def _token_windows(text: str, size: int, overlap: int):
+    """start, end and words of each window; the spaces of a text are found together."""
+    import numpy as np
+
+    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
+    n = len(spaces) + 1
+    for first in range(0, max(1, n - overlap), size - overlap):
+        stop = min(n, first + size)
+        yield int(spaces[first - 1]) + 1 if first else 0, int(spaces[stop - 1]) if stop < n else len(text), stop - first
 
 
 def token_chunks(texts: DataFrame, size: int, overlap: int) -> DataFrame:
     """doc_id, chunk_id, start_index, n_tokens, text: windows over the words of texts normalized to single spaces. A text's words
     are found once, and chunks are slices of it, so time follows the text and its chunks."""
-    stride = size - overlap
+    return _cut_texts(texts, lambda text: ((start, n, text[start:end]) for start, end, n in _token_windows(text, size, overlap)), ("start_index", "n_tokens"))
 
-    def cut(text):
-        starts = [0]
-        at = text.find(" ")
-        while at >= 0:
-            starts.append(at + 1)
-            at = text.find(" ", at + 1)
-        n = len(starts)
-        for first in range(0, max(1, n - size + stride), stride):
-            stop = min(n, first + size)
-            yield starts[first], stop - first, text[starts[first] : starts[stop] - 1 if stop < n else len(text)]
 
-    return _cut_texts(texts, cut, ("start_index", "n_tokens"))
+def token_spans(texts: DataFrame, size: int, overlap: int) -> DataFrame:
+    """doc_id, chunk_id, start_index, end_index of `token_chunks`, without their texts."""
+    return _cut_texts(texts, lambda text: (w[:2] for w in _token_windows(text, size, overlap)), ("start_index", "end_index"), text=False)
 
 
 def subword_chunks(texts: DataFrame, load, size: int, overlap: int) -> DataFrame:

@@ -71,8 +71,9 @@ def evidence_in(evidence: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _chunk_spans(chunks: DataFrame) -> DataFrame:
-    """doc_id, chunk_id, s, e; chunks with a negative start hold nothing."""
-    own = chunks.select("doc_id", "chunk_id", F.col("start_index").cast("long").alias("s"), (F.col("start_index") + F.length("text")).cast("long").alias("e"))
+    """doc_id, chunk_id, s, e of chunks with their text or their end_index; chunks with a negative start hold nothing."""
+    end = F.col("end_index") if "end_index" in chunks.columns else F.col("start_index") + F.length("text")
+    own = chunks.select("doc_id", "chunk_id", F.col("start_index").cast("long").alias("s"), end.cast("long").alias("e"))
     return own.filter("s >= 0")
 
 

@@ -37,7 +37,7 @@ _RELEVANT = f"{_OFFSETS}, full_texts as{_CHUNKS}, held as (select distinct eval_
 
 
 def _chunks(spark, sf_dir):
-    return chunking.token_chunks(chunking.joined_pages(_documents(spark, sf_dir)), 128, 13)
+    return chunking.token_spans(chunking.joined_pages(_documents(spark, sf_dir)), 128, 13)
 
 
 @query(f"with {_RELEVANT} select * from held")

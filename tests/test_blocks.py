@@ -166,6 +166,20 @@ def test_texts_are_normalized_and_shuffled_once(spark, odd_documents):
             spark.conf.unset(key)
 
 
+def test_spans_of_chunks_are_those_of_their_texts(spark, odd_documents):
+    from millrace.operators import chunking
+    from millrace.plans.fixtures import full_texts, normal_pages
+
+    texts = full_texts(spark, odd_documents[0])
+    plain = chunking.concat_pages(normal_pages(spark, odd_documents[0]))
+    assert sorted((r.doc_id or 0, r.text) for r in texts.collect()) == sorted((r.doc_id or 0, r.text) for r in plain.collect())
+    for size, overlap in ((128, 13), (3, 1), (1, 0)):
+        chunks = chunking.token_chunks(texts, size, overlap).join(texts.withColumnRenamed("text", "whole"), "doc_id")
+        assert chunks.filter("substring(whole, start_index + 1, length(text)) <> text or size(split(text, ' ')) <> n_tokens").count() == 0
+        want = chunks.selectExpr("doc_id", "chunk_id", "start_index", "start_index + length(text) as end_index")
+        assert sorted(chunking.token_spans(texts, size, overlap).filter("doc_id is not null").collect()) == sorted(want.collect())
+
+
 def test_windows_of_tokens(spark):
     texts = ["a b c d a b c d", "x a B c", "", None, "a b", "b a", "a b c"]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
