@@ -20,7 +20,7 @@ SPECIAL = 2
 #: Characters of the texts whose chunks leave a task together.
 CUT_CHARACTERS = 1 << 20
 #: Words whose own tokens a task remembers.
-KNOWN_WORDS = 1 << 17
+KNOWN_WORDS = 3 << 17
 
 
 def concat_pages(pages: DataFrame) -> DataFrame:
@@ -115,52 +115,86 @@ def token_spans(texts: DataFrame, size: int, overlap: int) -> DataFrame:
     return _cut_texts(texts, lambda text: (w[:2] for w in _token_windows(text, size, overlap)), ("start_index", "end_index"), text=False)
 
 
-def subword_chunks(texts: DataFrame, load, size: int, overlap: int) -> DataFrame:
-    """doc_id, chunk_id, start_index, n_tokens, text: whole words of texts normalized to single spaces, packed greedily into at most
-    `size` tokens of a model's tokenizer (more only where a word alone has more); a chunk starts with the last words of the one
-    before, of at most `overlap` tokens.
-
-    load() gives, on an executor, a function from texts to the character offsets (start, end) of their tokens, of a tokenizer that
-    has no token across words. A text is encoded once: a word's tokens are those that start in it or in the space before it.
-    The first word of a chunk has no space before it and is counted as it is encoded alone."""
+def _subword_cut(load, size: int, overlap: int):
+    """A function from a text to start, tokens and text of its chunks, as `subword_chunks` says."""
     from bisect import bisect_right
+    from itertools import accumulate
+
+    held, alone, behind = [], {}, {}
 
-    held, alone = [], {}
+    def learn(words):
+        n = list(map(len, held[0](["a", *words, *["a " + w for w in words]])))
+        alone.update(zip(words, n[1:]))
+        behind.update((w, both - n[0]) for w, both in zip(words, n[len(words) + 1 :]))
 
     def cut(text):
         if not held:
             held.append(load())
-        encode = held[0]
         words = text.split(" ")
-        ends, at = [], 0
-        for w in words:
-            at += len(w)
-            ends.append(at)
-            at += 1
-        n = [0] * len(words)
-        for start, _ in encode([text])[0]:
-            n[bisect_right(ends, start)] += 1  # a token that starts at a word's end is the space of the next
         if len(alone) > KNOWN_WORDS:
             alone.clear()
-        if new := [w for w in dict.fromkeys(words) if w not in alone]:
-            alone.update(zip(new, map(len, encode(new))))
-        before = [0]
-        for x in n:
-            before.append(before[-1] + x)
+            behind.clear()
+        if new := set(words).difference(alone):
+            learn(list(new))
+        before = [0, *accumulate(map(behind.__getitem__, words))]
+        sizes = [0, *accumulate(map(len, words))]
         tokens = lambda first, stop: alone[words[first]] + before[stop] - before[first + 1]
         first, stop = 0, 0
         while stop < len(words):
             stop = max(stop, first + 1)
-            while stop < len(words) and tokens(first, stop + 1) <= size:
-                stop += 1
-            start = ends[first] - len(words[first])
-            yield start, tokens(first, stop), text[start : ends[stop - 1]]
+            stop = max(stop, bisect_right(before, size - alone[words[first]] + before[first + 1], stop) - 1)
+            start = sizes[first] + first  # there is a space before each word but the first
+            yield start, tokens(first, stop), text[start : sizes[stop] + stop - 1]
             back = stop
             while stop < len(words) and back - 1 > first and tokens(back - 1, stop) <= overlap and tokens(back - 1, stop + 1) <= size:
                 back -= 1
             first = back
 
-    return _cut_texts(texts, cut, ("start_index", "n_tokens"))
+    return cut
+
+
+def subword_chunks(texts: DataFrame, load, size: int, overlap: int) -> DataFrame:
+    """doc_id, chunk_id, start_index, n_tokens, text: whole words of texts normalized to single spaces, packed greedily into at most
+    `size` tokens of a model's tokenizer (more only where a word alone has more); a chunk starts with the last words of the one
+    before, of at most `overlap` tokens.
+
+    load() gives, on an executor, a function from texts to encodings (ids or offsets) as long as they have tokens, of a tokenizer
+    that has no token across words and takes a space with the word behind it, whatever stands before. So a task encodes a word once
+    for all its texts (while it remembers it): alone, as the first word of a chunk is, and behind another word."""
+    return _cut_texts(texts, _subword_cut(load, size, overlap), ("start_index", "n_tokens"))
+
+
+def subword_chunks_of_each(texts: DataFrame, load, size: int, overlap: int) -> DataFrame:
+    """The non-empty texts (doc_id, text) with their `subword_chunks` in order, as the arrays start_index, n_tokens and chunks: what
+    holds a text against its chunks needs no shuffle of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    cut = _subword_cut(load, size, overlap)
+
+    def made(docs, own, made):
+        ends = pa.array(np.cumsum([0, *map(len, made)]), pa.int32())
+        columns = zip(*(chunk for chunks in made for chunk in chunks))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(c, t)) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()))]
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(own, pa.string()), *lists], names=["doc_id", "text", "start_index", "n_tokens", "chunks"])
+
+    def run(batches):
+        for batch in batches:
+            docs, own, chunks, held = [], [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if not (text := text.as_py()):
+                    continue
+                docs.append(doc)
+                own.append(text)
+                chunks.append(list(cut(text)))
+                held += len(text)
+                if held > CUT_CHARACTERS:
+                    yield made(docs, own, chunks)
+                    docs, own, chunks, held = [], [], [], 0
+            if docs:
+                yield made(docs, own, chunks)
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, start_index array<long>, n_tokens array<long>, chunks array<string>")
 
 
 def character_chunks(texts: DataFrame, size: int = 2500, overlap: int = 100) -> DataFrame:
