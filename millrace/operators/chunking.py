@@ -115,21 +115,31 @@ def token_spans(texts: DataFrame, size: int, overlap: int) -> DataFrame:
     return _cut_texts(texts, lambda text: (w[:2] for w in _token_windows(text, size, overlap)), ("start_index", "end_index"), text=False)
 
 
-def _subword_cut(load, size: int, overlap: int):
+def _once(load):
+    """What load() gives, loaded when it is first called."""
+    held = []
+
+    def call(texts):
+        if not held:
+            held.append(load())
+        return held[0](texts)
+
+    return call
+
+
+def _subword_cut(encode, size: int, overlap: int):
     """A function from a text to start, tokens and text of its chunks, as `subword_chunks` says."""
     from bisect import bisect_right
     from itertools import accumulate
 
-    held, alone, behind = [], {}, {}
+    alone, behind = {}, {}
 
     def learn(words):
-        n = list(map(len, held[0](["a", *words, *["a " + w for w in words]])))
+        n = list(map(len, encode(["a", *words, *["a " + w for w in words]])))
         alone.update(zip(words, n[1:]))
         behind.update((w, both - n[0]) for w, both in zip(words, n[len(words) + 1 :]))
 
     def cut(text):
-        if not held:
-            held.append(load())
         words = text.split(" ")
         if len(alone) > KNOWN_WORDS:
             alone.clear()
@@ -161,22 +171,35 @@ def subword_chunks(texts: DataFrame, load, size: int, overlap: int) -> DataFrame
     load() gives, on an executor, a function from texts to encodings (ids or offsets) as long as they have tokens, of a tokenizer
     that has no token across words and takes a space with the word behind it, whatever stands before. So a task encodes a word once
     for all its texts (while it remembers it): alone, as the first word of a chunk is, and behind another word."""
-    return _cut_texts(texts, _subword_cut(load, size, overlap), ("start_index", "n_tokens"))
+    return _cut_texts(texts, _subword_cut(_once(load), size, overlap), ("start_index", "n_tokens"))
 
 
-def subword_chunks_of_each(texts: DataFrame, load, size: int, overlap: int) -> DataFrame:
-    """The non-empty texts (doc_id, text) with their `subword_chunks` in order, as the arrays start_index, n_tokens and chunks: what
-    holds a text against its chunks needs no shuffle of them."""
-    import numpy as np
+def subword_audit(texts: DataFrame, load, size: int, overlap: int) -> DataFrame:
+    """doc_id, words, whole, fitting, overlapping of each non-empty text: how many words its `subword_chunks` reach; whether every
+    chunk stands at its start and has as many tokens as its text, encoded anew and as a whole; whether they fit, or are one word;
+    whether the first begins with the text and each other behind the beginning of the one before, but not behind its end.
+    Texts are held against their chunks in the task that cuts them, about a million characters together."""
     import pyarrow as pa
 
-    cut = _subword_cut(load, size, overlap)
-
-    def made(docs, own, made):
-        ends = pa.array(np.cumsum([0, *map(len, made)]), pa.int32())
-        columns = zip(*(chunk for chunks in made for chunk in chunks))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(c, t)) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()))]
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(own, pa.string()), *lists], names=["doc_id", "text", "start_index", "n_tokens", "chunks"])
+    encode = _once(load)
+    cut = _subword_cut(encode, size, overlap)
+
+    def facts(text, chunks, counted):
+        whole = fitting = overlapping = True
+        here, before, first, stop = 0, -1, 0, 0
+        for start, n, part in chunks:
+            first = first + text.count(" ", here, start) if start >= here else text.count(" ", 0, start)
+            own, words = next(counted), part.count(" ") + 1
+            whole = whole and own == n and text.startswith(part, start)
+            fitting = fitting and (own <= size or words == 1)
+            overlapping = overlapping and before < first <= stop
+            here, before, stop = start, first, first + words
+        return stop, whole, fitting, overlapping
+
+    def made(docs, own, chunks):
+        counted = map(len, encode([part for parts in chunks for _, _, part in parts]))
+        columns = [docs, *zip(*(facts(text, parts, counted) for text, parts in zip(own, chunks)))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.bool_()] * 3)], names=["doc_id", "words", "whole", "fitting", "overlapping"])
 
     def run(batches):
         for batch in batches:
@@ -194,7 +217,7 @@ def subword_chunks_of_each(texts: DataFrame, load, size: int, overlap: int) -> D
             if docs:
                 yield made(docs, own, chunks)
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, start_index array<long>, n_tokens array<long>, chunks array<string>")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, words long, whole boolean, fitting boolean, overlapping boolean")
 
 
 def character_chunks(texts: DataFrame, size: int = 2500, overlap: int = 100) -> DataFrame:

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 #: What a byte-level tokenizer takes for words, in lines whose white space is single spaces before other characters (its usual
 #: pattern then needs no look ahead).
 LINES = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\n"
-#: Characters of texts that are encoded together.
-TOGETHER = 1 << 20
 #: Characters that both encoders of a vocabulary take alike: printable Latin, and signs. Line feeds part texts.
 PLAIN = re.compile("[\n -~\u00a1-\u024f\u2010-\u2027\u2030-\u205e]*").fullmatch
 
@@ -34,32 +32,6 @@ def count_tokens(text: Column, load) -> Column:
     return run(text)
 
 
-def count_tokens_of_each(texts: Column, load) -> Column:
-    """As `count_tokens`, of each text of an array (null if that is null); about a million characters are encoded together."""
-    held = []
-
-    @F.pandas_udf("array<long>")
-    def run(rows: pd.Series) -> pd.Series:
-        if not held:
-            held.append(load())
-        out, own, size = [], [], 0
-        for row in rows:
-            own.append([] if row is None else [t or "" for t in row])
-            size += sum(map(len, own[-1]))
-            if size > TOGETHER:
-                out += _counts(own, held[0])
-                own, size = [], 0
-        out += _counts(own, held[0])
-        return pd.Series([None if row is None else n for row, n in zip(rows, out)], dtype="object")
-
-    return run(texts)
-
-
-def _counts(rows: list[list[str]], encode) -> list[list[int]]:
-    n = iter([len(ids) for ids in encode([t for row in rows for t in row])])
-    return [[next(n) for _ in row] for row in rows]
-
-
 def embed(text: Column, load) -> Column:
     """Vectors of unit length (of zeros where the model's is zero); a null text is empty. load() gives a function from texts to rows of numbers."""
 

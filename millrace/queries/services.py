@@ -212,19 +212,7 @@ def q109_subword_chunks(spark, sf_dir):
     import public_tokenizers
 
     path, ranks = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken"))
-    # A text stays with its chunks in one row: neither is shuffled to meet the other. Chunks are cut by the tokens
-    # of remembered words; then the text of each chunk is encoded as a whole.
-    made = chunking.subword_chunks_of_each(full_texts(spark, sf_dir), models.token_ids(path, ranks), 128, 13)
-    counted = models.count_tokens_of_each(F.col("chunks"), models.token_ids(path, ranks))
-    first, there = chunking.words_before(F.col("text"), F.col("start_index")), chunking.stand(F.col("text"), F.col("start_index"), F.col("chunks"))
-    w = F.transform("chunks", chunking.single_spaced_words)
-    met = made.select("doc_id", "n_tokens", w.alias("w"), counted.alias("counted"), first.alias("first"), there.alias("there"))
-    fits = F.forall(F.zip_with("counted", "w", lambda counted, w: (counted <= 128) | (w == 1)), lambda x: x)
-    c = F.zip_with("first", "w", lambda first, w: F.struct(first.alias("first"), (first + w).alias("stop")))
-    held = met.select("doc_id", c.alias("c"), F.slice("first", 2, F.size("first")).alias("next"), ((F.col("counted") == F.col("n_tokens")) & F.col("there")).alias("whole"), fits.alias("fitting"))
-    # A chunk begins behind the one before, not behind its end; none follows the last.
-    step = F.forall(F.zip_with("c", "next", lambda c, after: after.isNull() | ((after <= c["stop"]) & (after > c["first"]))), lambda x: x)
-    return held.select("doc_id", F.element_at("c", -1)["stop"].alias("words"), "whole", "fitting", ((F.element_at("c", 1)["first"] == 0) & step).alias("overlapping"))
+    return chunking.subword_audit(full_texts(spark, sf_dir), models.token_ids(path, ranks), 128, 13)
 
 
 @query("""with a as (select item_id as qid, unnest(['c' || item_id, 'unknown', 'c' || (item_id * 7 + 3) % 100000]) as chunk_id, unnest([0, 1, 2]) as position from benchmark)

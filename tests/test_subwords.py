@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from millrace.operators import chunking, models
 
@@ -47,27 +46,35 @@ def test_ids_are_the_tokenizers():
     assert [list(encode([t])[0]) for t in texts[:200]] == expected[:200] and encode([]) == []
 
 
-def test_chunks_stay_with_their_texts(spark):
+def _mixed():
     rnd = random.Random(7)
     words = ["the", "café", "漢字", "don't", "<|endoftext|>", "x" * 90, "a", "Ünïcode,", "🎉", "“so”"]
-    texts = [(k, " ".join(rnd.choices(words, k=n))) for k, n in enumerate((1, 2, 30, 900))] + [(8, ""), (9, None), (None, "a b")]
-    rows = spark.createDataFrame(texts, "doc_id long, text string")
-    made = chunking.subword_chunks_of_each(rows, models.token_ids(PATH, RANKS), 20, 6)
-    got = made.withColumn("counted", models.count_tokens_of_each(F.col("chunks"), models.token_ids(PATH, RANKS))).collect()
-    assert {(r.doc_id, r.text) for r in got} == {t for t in texts if t[1]}
-    assert all(list(r.counted) == list(r.n_tokens) for r in got)
-    model = tokenizers.Tokenizer.from_file(PATH)
-    assert all(r.n_tokens == [len(e) for e in model.encode_batch(r.chunks, add_special_tokens=False)] for r in got)
-    apart = [(r.doc_id, k, *c) for r in got for k, c in enumerate(zip(r.start_index, r.n_tokens, r.chunks))]
-    alone = chunking.subword_chunks(rows, models.token_offsets(PATH), 20, 6).collect()
+    return [(k, " ".join(rnd.choices(words, k=n))) for k, n in enumerate((1, 2, 30, 900))] + [(8, ""), (9, None), (None, "a b")]
+
+
+def test_both_encoders_cut_alike(spark):
+    rows = spark.createDataFrame(_mixed(), "doc_id long, text string")
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    assert sorted(map(tuple, alone), key=key) == sorted(apart, key=key)
+    a, b = (sorted(map(tuple, chunking.subword_chunks(rows, load, 20, 6).collect()), key=key) for load in (models.token_ids(PATH, RANKS), models.token_offsets(PATH)))
+    assert a == b and len(a) > 60
+
 
+def test_audit_of_chunks(spark):
+    rows = spark.createDataFrame(_mixed(), "doc_id long, text string")
+    got = chunking.subword_audit(rows, models.token_ids(PATH, RANKS), 20, 6).collect()
+    assert {(r.doc_id, r.words) for r in got} == {(doc, len(text.split(" "))) for doc, text in _mixed() if text}
+    assert all(r.whole and r.fitting and r.overlapping for r in got)
+
+
+def test_audit_tells_wrong_counts(spark):
+    """A tokenizer with tokens across words, which chunks are not for."""
+
+    def load():
+        return lambda texts: [range(len(t) ** 2 // 10) for t in texts]
 
-def test_counts_of_arrays(spark):
-    rows = spark.createDataFrame([(1, ["a b", None, ""]), (2, []), (3, None), (4, ["a"])], "k long, t array<string>")
-    got = rows.select("k", models.count_tokens_of_each(F.col("t"), models.token_ids(PATH, RANKS)).alias("n")).collect()
-    assert {r.k: None if r.n is None else list(r.n) for r in got} == {1: [2, 0, 0], 2: [], 3: None, 4: [1]}
+    rows = spark.createDataFrame([(1, "a bcd e fgh i")], "doc_id long, text string")
+    got = chunking.subword_audit(rows, load, 15, 1).first()
+    assert (got.words, got.whole, got.fitting, got.overlapping) == (5, False, False, True)
 
 
 def test_chunks_are_not_shuffled(spark):
